@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer single text forms a step of its own.
@@ -30,7 +31,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         part = np.cumsum(sizes) // most
         for at, end in zip(starts := np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), [*starts[1:], batch.num_rows]):
             yield batch.slice(at, end - at)
