@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, html_text, language_id, mixing, url_filters
+from spanloom.llm import bpe, fingerprints, html_text, language_id, mixing, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_mixing_sources": mixing.op4_mixing_sources,
     "op6_language_id": language_id.op6_language_id,
+    "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
 }
 
