@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, fingerprints, html_text, jaccard_join, language_id, mixing, nearest, url_filters
+from spanloom.llm import bpe, fingerprints, html_text, jaccard_join, language_id, mixing, nearest, substring_dedup, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_mixing_sources": mixing.op4_mixing_sources,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
