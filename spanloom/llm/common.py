@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer single text forms a step of its own.
 PIECE_BYTES = 1 << 20
@@ -18,14 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once into the folder of spark.checkpoint.dir (a temporary one only where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches again, in slices with about `most` bytes of the column, at least one row each."""
     for batch in batches:
@@ -133,3 +148,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (rows[1:] != rows[:-1])
     return value[new], rows[new]
+
+
+#: Most rows of ids that are sent to every task (about 16 MB); longer lists are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose `column` is in the (distinct, materialised) ids; "left_anti": isn't. Few ids, counted, are broadcast."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, column, how)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, fingerprints, html_text, jaccard_join, language_id, mixing, nearest, substring_dedup, url_filters
+from spanloom.llm import bpe, fingerprints, html_text, jaccard_join, language_id, mixing, nearest, substring_dedup, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
+    "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
 }
 
