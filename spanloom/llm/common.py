@@ -154,7 +154,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 BROADCAST_ROWS = 1_000_000
 
 
-def only(docs: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+def only(docs: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi") -> DataFrame:
     """The rows of docs whose `column` is in the (distinct, materialised) ids; "left_anti": isn't. Few ids, counted, are broadcast."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(ids) if few else ids, column, how)

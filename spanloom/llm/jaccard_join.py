@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpointed, mix64, pieces, shingles, table, utf8
+from spanloom.llm.common import checkpointed, mix64, only, pieces, shingles, table, utf8
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
@@ -193,14 +193,14 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     pairs = pairs.filter(apart <= most_apart).filter("info_a.rep is not null and info_b.rep is not null")
     pairs = checkpointed(pairs.select(F.struct("info_a.rep", "a.node").alias("a"), F.struct("info_b.rep", "b.node").alias("b")))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.rep").alias("doc_id"), F.col("x.node").alias("digest")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets(n_words), "doc_id long, digest long, shingles binary").join(wanted, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    sets = checkpointed(sets)
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.rep").alias("doc_id"), F.col("x.node").alias("digest")).distinct())
+    texts = only(docs.select(F.col("doc_id").cast("long"), "text"), checkpointed(wanted.select("doc_id").distinct()), "doc_id")
+    # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one below
+    sets = checkpointed(only(texts.mapInArrow(_full_sets(n_words), "doc_id long, digest long, shingles binary"), wanted, ["doc_id", "digest"]))
     for s in "ab":
         pairs = pairs.join(sets.select(F.struct(F.col("doc_id").alias("rep"), F.col("digest").alias("node")).alias(s), F.col("shingles").alias(f"set_{s}")), s)
     kind = "struct<rep: bigint, node: bigint>"
-    links = checkpointed(pairs.mapInArrow(_verify(limit), f"a {kind}, b {kind}"))
+    links = checkpointed(pairs.mapInArrow(_verify(limit), f"a {kind}, b {kind}").distinct())
 
     reached = connected_components(links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
     degree = links.select(F.explode(F.array("a.node", "b.node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -214,7 +214,8 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
 def without_near_copies(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs but those of which a document with a smaller doc_id is in the same component; doc_id must be unique."""
     classes = jaccard_classes(docs, n_words, num, den)
-    return docs.join(classes.filter("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    copies = checkpointed(classes.filter("component_id < doc_id").select("doc_id"))
+    return only(docs, copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
