@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.plans.dashboards import PANELS
 from spanloom.plans.statements import STATEMENTS, for_duckdb, for_spark
+from spanloom.plans.traces import QUERIES as TRACES
 from spanloom.sources.views import Views, checked_by
 
+TEXTS = {**STATEMENTS, **TRACES}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,12 +21,12 @@ def _panel(name: str) -> Query:
 
 
 def _statement(name: str) -> Query:
-    return lambda spark, sf_dir: Views(spark, sf_dir).sql(for_spark(STATEMENTS[name]))
+    return lambda spark, sf_dir: Views(spark, sf_dir).sql(for_spark(TEXTS[name]))
 
 
 def queries() -> dict[str, Query]:
-    return {name: _panel(name) for name in PANELS} | {name: _statement(name) for name in STATEMENTS}
+    return {name: _panel(name) for name in PANELS} | {name: _statement(name) for name in TEXTS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: panel.sql() for name, panel in PANELS.items()} | {name: checked_by(for_duckdb(text)) for name, text in STATEMENTS.items()}
+    return {name: panel.sql() for name, panel in PANELS.items()} | {name: checked_by(for_duckdb(text)) for name, text in TEXTS.items()}
