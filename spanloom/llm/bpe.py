@@ -162,7 +162,7 @@ class Bpe:
             new = np.unique(pairs[~known])
             both = list(zip((new // self.size).tolist(), (new % self.size).tolist()))
             good = np.array([x == [a, b] for x, (a, b) in zip(self.merge_all([self.bytes_of[a] + self.bytes_of[b] for a, b in both]), both)], bool)
-            if len(self.pairs) + len(new) > MOST_PAIRS:
+            if len(self.pairs) and len(self.pairs) + len(new) > MOST_PAIRS:
                 self._forget_pairs()
                 return self._compatible(pairs)
             order = np.argsort(every := np.r_[self.pairs, new], kind="stable")
