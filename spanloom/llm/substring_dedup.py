@@ -7,7 +7,8 @@ Chunks are known by a 128-bit digest; of equal chunks the first by (doc_id, posi
 unbroken run of at least `LEAST_BYTES` bytes, so short phrases that recur by chance stay.
 
 Digests are counted with a combine step in the tasks, then the few that recur are joined back to the chunks; a digest that a
-large part of the chunks share is split by the skew handling of that join. Only runs of chunk numbers go back to the documents.
+large part of the chunks share is split by the skew handling of that join. Only chunk numbers go back to the documents,
+and only documents with a repeat are shuffled with their text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import mix64, pieces, table, utf8
+from spanloom.llm.common import checkpointed, mix64, only, pieces, table, utf8
 
 #: Bytes on either side of a cut that it must outdo (chunks have REACH + 1 bytes at least, and about twice as many on average);
 #: bytes that a run of repeated chunks must have to go; bytes that the gear hash spans.
@@ -127,13 +128,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_emit, "one long, two long, id long, number int")
     again = own.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")
     gone = own.join(again, ["one", "two"]).filter(F.struct("id", "number") > F.col("first"))
-    lists = gone.groupBy("id").agg(F.collect_list(F.struct("number", "one")).alias("again"))
+    lists = checkpointed(gone.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("number", "one")).alias("again")))
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "again", "__id")]
     keyed = docs.select(*names, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"))
-    joined = keyed.join(lists.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return joined.mapInArrow(_strip, schema)
+    touched = only(keyed, lists.select("__id"), "__id").join(lists, "__id").drop("__id").mapInArrow(_strip, schema)
+    zero = F.lit(0).cast("long")
+    rest = only(keyed, lists.select("__id"), "__id", "left_anti")
+    return touched.unionByName(rest.select(*names, "text", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
