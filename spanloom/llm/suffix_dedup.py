@@ -6,7 +6,7 @@ windows need to be compared only within groups of one anchor hash. Consecutive w
 
 1. Each stretch is a row (anchor, digest of its bytes). Stretches with an earlier twin are repeated as a whole: they are found by
    digest alone. What is left are the first stretches of anchors that have several different ones, at the edges of repeats.
-2. The bytes of those stretches are dealt by anchor. A task takes whole groups in blocks, splits a block into shards, sorts each
+2. The bytes of those stretches are dealt by anchor, and those that share too little around it with any other drop out. A task takes whole groups in blocks, splits a block into shards, sorts each
    shard's suffixes into a Burrows-Wheeler transform, and merges the transforms without sorting all suffixes again: the
    interleave starts as the shards one after the other, and each refinement step orders it stably by the transforms' next
    symbols, so that after h steps it is right for the first h. Runs of positions that agree in the symbols taken so far are
@@ -28,15 +28,15 @@ from spanloom.llm.common import _BYTE, _INVERSE, _ODD, _powers, checkpointed, mi
 
 #: Bytes of a repeated string; of an anchor; bytes that are merged at a time and the shards they form; stretches of one anchor
 #: beyond which its windows are counted instead.
-LENGTH, GRAM, BLOCK_BYTES, SHARDS, MOST_STRETCHES = 100, 32, 1 << 20, 4, 4096
+LENGTH, GRAM, BLOCK_BYTES, SHARDS, MOST_STRETCHES = 100, 32, 1 << 16, 4, 4096
 _LAST = 2**63 - 1
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each stretch: its row, anchor hash, digest, first window's start in the row, and number of windows less one."""
+    """Of each stretch: its row, anchor hash, digest, and its place: first start << 16 | windows less one << 8 | anchor's offset."""
     windows = len(data) - LENGTH + 1
     if windows < 1:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), out=sums[1:])
@@ -57,7 +57,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         digest = mix64(((sums[hi + LENGTH] - sums[lo]) * undo[lo]) ^ mix64(((hi - lo) * 256 + (at - lo)).astype(np.uint64)))
     row = np.searchsorted(offsets, lo, side="right") - 1
-    return row, grams[at], digest, lo - offsets[row], hi - lo
+    return row, grams[at], digest, (lo - offsets[row]) << 16 | (hi - lo) << 8 | (at - lo)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -69,8 +69,8 @@ def _emit(firsts: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            row, anchor, digest, lo, more = stretches(*utf8(batch.column("text")))
-            ids, at = _ids(batch)[row], lo << 8 | more
+            row, anchor, digest, at = stretches(*utf8(batch.column("text")))
+            ids = _ids(batch)[row]
             if firsts:
                 order = np.lexsort((at, ids, digest))
                 anchor, digest, ids, at = anchor[order], digest[order], ids[order], at[order]
@@ -91,11 +91,11 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, out = data.tobytes(), []
         for i, start, end, wanted in zip(_ids(batch).tolist(), offsets.tolist(), offsets[1:].tolist(), batch.column("wanted").to_pylist()):
             for w in wanted:
-                lo, more = w["at"] >> 8, w["at"] & 255
+                lo, more = w["at"] >> 16, w["at"] >> 8 & 255
                 if start + lo + more + LENGTH <= end:
-                    out.append((w["anchor"], w["hot"], i, lo, raw[start + lo : start + lo + more + LENGTH]))
-        columns = list(zip(*out)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "hot", "id", "lo", "bytes"])
+                    out.append((w["anchor"], w["hot"], i, lo, w["at"] & 255, raw[start + lo : start + lo + more + LENGTH]))
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "hot", "id", "lo", "offset", "bytes"])
 
 
 def _transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +125,23 @@ def equal_windows(shards: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """
     orders, transforms = zip(*(_transform(s) for s in shards))
     sizes = np.array([len(o) for o in orders])
-    transform = np.concatenate(transforms)
     ends = [len(s) for s in shards]
     shard = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
     ends_first = np.repeat(np.arange(len(shards), dtype=np.uint8), ends)
-    total_ends, run = int(sum(ends)), np.zeros(len(transform), np.int32)
-    symbols = np.empty(len(transform), np.uint8)
+    total_ends, run = int(sum(ends)), np.zeros(int(sizes.sum()), np.int32)
+    symbols = np.empty(len(run), np.uint8)
     for _ in range(LENGTH):
-        symbols[np.argsort(shard, kind="stable")] = transform  # each shard's symbols in its own order
+        for j, own in enumerate(transforms):
+            symbols[np.flatnonzero(shard == j)] = own  # each shard's symbols in its own order
         order = np.argsort(symbols, kind="stable")[total_ends:]  # end marks keep the order of the shards
         inner, of, prior = symbols[order], shard[order], run[order]
         shard = np.concatenate([ends_first, of])
-        new = np.ones(len(transform), np.int32)
+        new = np.ones(len(run), np.int32)
         new[total_ends + 1 :] = (inner[1:] != inner[:-1]) | (prior[1:] != prior[:-1])
         run = np.cumsum(new, dtype=np.int32)
         if run[-1] == len(run):
             break
-    position = np.empty(len(transform), np.int64)
+    position = np.empty(len(run), np.int64)
     starts = np.cumsum(sizes) - sizes
     position[np.argsort(shard, kind="stable")] = np.concatenate([o + s for o, s in zip(orders, starts)])
     return position, run
@@ -174,22 +174,43 @@ def _spans(ids: np.ndarray, los: np.ndarray, text: np.ndarray, offset: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(ids[text[first]]), pa.array(los[text[first]] + offset[first]), pa.array(los[text[first]] + offset[last] + LENGTH)], ["id", "lo", "hi"])
 
 
+def _comparable(block: list[tuple]) -> np.ndarray:
+    """Which stretches can share a window with another of their anchor.
+
+    A window has LENGTH - GRAM bytes besides its anchor, so half of them or more on one side: two stretches that share one have
+    the same bytes there, or on the other side. Most anchors that recur by chance fail this.
+    """
+    half = (LENGTH - GRAM) // 2
+    sizes = np.array([len(b[4]) for b in block])
+    begins = np.cumsum(sizes) - sizes
+    at = begins + np.array([b[3] for b in block])
+    anchor = np.array([b[0] for b in block], np.int64).view(np.uint64)
+    data, near = np.frombuffer(b"".join([b[4] for b in block]), np.uint8), np.zeros(len(block), bool)
+    for first, last in ((at - half, at + GRAM), (at, at + GRAM + half)):
+        own = np.flatnonzero((first >= begins) & (last <= begins + sizes))
+        _, group, n = np.unique(span_hashes(data, first[own], last[own]) ^ anchor[own], return_inverse=True, return_counts=True)
+        near[own[n[group] > 1]] = True
+    return near
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Works on stretches sorted by anchor, in blocks of whole groups."""
     rows: list[tuple] = []
     held = 0
 
     def solve(block: list[tuple]) -> pa.RecordBatch:
+        block = [b for b, near in zip(block, _comparable(block)) if near]
         ids, los = np.array([b[1] for b in block], np.int64), np.array([b[2] for b in block], np.int64)
-        return _spans(ids, los, *_repeats(ids, los, [b[3] for b in block]))
+        found = _repeats(ids, los, [b[4] for b in block]) if block else (np.zeros(0, np.int64),) * 2
+        return _spans(ids, los, *found)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "lo", "bytes"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "lo", "offset", "bytes"))):
             if held >= BLOCK_BYTES and row[0] != rows[-1][0]:
                 yield solve(rows)
                 rows, held = [], 0
             rows.append(row)
-            held += len(row[3])
+            held += len(row[4])
     if rows:
         yield solve(rows)
 
@@ -217,11 +238,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     first = checkpointed(first.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1 or kinds > 1"))
     every = docs.mapInArrow(_emit(False), "digest long, id long, at long")
     whole = every.join(first.filter("n > 1").select("digest", "first"), "digest").filter(F.struct("id", "at") > F.col("first"))
-    whole = whole.select("id", F.shiftright("at", 8).alias("lo"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(F.lit(255)) + LENGTH).alias("hi"))
+    start, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    whole = whole.select("id", start.alias("lo"), (start + more + LENGTH).alias("hi"))
 
     edges = first.filter("kinds > 1").select("first.id", F.struct("anchor", (F.col("kinds") > MOST_STRETCHES).alias("hot"), "first.at").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
     edges = checkpointed(edges)
-    snippets = only(docs, edges.select("id"), "id").join(edges, "id").mapInArrow(_snippets, "anchor long, hot boolean, id long, lo long, bytes binary")
+    snippets = only(docs, edges.select("id"), "id").join(edges, "id").mapInArrow(_snippets, "anchor long, hot boolean, id long, lo long, offset int, bytes binary")
     snippets = checkpointed(snippets)
     merged = snippets.filter("not hot").repartition("anchor").sortWithinPartitions("anchor", "id", "lo").mapInArrow(_merge, "id long, lo long, hi long")
     windows = snippets.filter("hot").mapInArrow(_windows, "one long, two long, id long, lo long")
