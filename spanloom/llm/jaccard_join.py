@@ -7,6 +7,8 @@ common prefix shingles as the smaller k of the two, and goes on to verification
 
 * Counts: a sketch of fixed size, filled by every task and summed, gives each shingle a count that is never too low. It only
   orders shingles and chooses k, so its errors cost time, never links.
+* Pairs come in two rounds, so that large groups of near copies don't give all their pairs. First each set is compared with the
+  hub of each of its prefix shingles; then every pair of sets that these links haven't connected yet.
 * Equal sets are one node, whatever the number of copies; a task emits the prefix of a set once.
 * Candidates drop out by an exact bound on the difference of two sets (parity bitmaps) before their sets are compared in full.
 * Hot shingles are split by the skew handling of the sort-merge join.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpointed, mix64, only, pieces, shingles, table, utf8
+from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, only, pieces, shingles, table, utf8
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
@@ -98,7 +100,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarray) -> DataFrame:
-    """(token, node, meta): the prefix shingles of each set; meta holds the size, the shingle's level and the document's k."""
+    """(token, node, id, meta): the prefix shingles of each set; meta holds the size, the shingle's level and the document's k."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
     noise = float(sketch.sum()) / len(sketch)
 
@@ -128,16 +130,37 @@ def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarra
             picked = level <= k[row]
             row, level = row[picked], level[picked]
             meta = (size[row].astype(np.int64) << 8) | (level.astype(np.int64) << 4) | k[row].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(value[picked].view(np.int64)), pa.array(digest[row]), pa.array(meta)], ["token", "node", "meta"])
+            ids = np.asarray(batch.column("doc_id").fill_null(2**63 - 1))[row]
+            yield pa.RecordBatch.from_arrays([pa.array(value[picked].view(np.int64)), pa.array(digest[row]), pa.array(ids), pa.array(meta)], ["token", "node", "id", "meta"])
 
-    return docs.select("text").mapInArrow(work, "token long, node long, meta long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "token long, node long, id long, meta long")
 
 
-def _candidates(prefixes: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of nodes (digest, size) with enough common prefix shingles."""
-    a, b = (prefixes.select("token", F.struct(F.shiftright("meta", 8).alias("n"), "node").alias(s), (F.shiftright("meta", 4).bitwiseAND(F.lit(15))).alias(f"level_{s}"), F.col("meta").bitwiseAND(F.lit(15)).alias(f"k_{s}")) for s in "ab")
+def _near_sizes(limit: Threshold):
+    return (F.greatest("a.n", "b.n") * limit.num <= F.least("a.n", "b.n") * limit.den) & (F.col("a") != F.col("b"))
+
+
+def _hub_candidates(prefixes: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs of each set with the hub of each of its prefix shingles: of the sets that have it, the one of the least doc_id."""
+    rows = prefixes.select("token", F.struct(F.shiftright("meta", 8).alias("n"), "node").alias("b"), "id")
+    hubs = rows.groupBy("token").agg(F.min_by("b", F.struct("id", "b")).alias("a"), F.count("*").alias("sets")).filter("sets > 1").select("token", "a")
+    return rows.join(hubs, "token").filter(_near_sizes(limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(prefixes: DataFrame, known: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs of nodes (digest, size) of different known groups with enough common prefix shingles.
+
+    known(node, n, group): sets already found connected. A shingle all of whose sets are in one group brings no pair.
+    """
+    rows = prefixes.select("token", F.shiftright("meta", 8).alias("n"), "node", F.shiftright("meta", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("meta").bitwiseAND(F.lit(15)).alias("k"))
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(known) if few else known, ["node", "n"], "left")
+    rows = rows.select("token", F.struct("n", "node").alias("set"), F.coalesce("group", F.struct("n", "node")).alias("group"), "level", "k")
+    mixed = rows.groupBy("token").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter("first <> last").select("token")
+    rows = rows.join(mixed, "token", "left_semi")
+    a, b = (rows.select("token", F.col("set").alias(s), F.col("group").alias(f"group_{s}"), F.col("level").alias(f"level_{s}"), F.col("k").alias(f"k_{s}")) for s in "ab")
     k = F.least("k_a", "k_b")
-    fits = (F.col("a") < F.col("b")) & (F.col("a.n") * limit.den >= F.col("b.n") * limit.num) & (F.greatest("level_a", "level_b") <= k)
+    fits = (F.col("a") < F.col("b")) & _near_sizes(limit) & (F.greatest("level_a", "level_b") <= k) & (F.col("group_a") != F.col("group_b"))
     return a.join(b, "token").filter(fits).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min(k).alias("k")).filter("matches >= k").select("a", "b")
 
 
@@ -163,12 +186,32 @@ def _full_sets(n_words: int):
     return work
 
 
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
+    """The pairs of nodes that reach the threshold, as structs (rep, node), after the bitmaps' bound and in full."""
+    bits = [f"bits{i}" for i in range(BITMAP_WORDS)]
+    for s in "ab":
+        pairs = pairs.join(nodes.select(F.struct("n", "node").alias(s), F.struct("rep", *bits).alias(f"info_{s}")), s)
+    apart = sum((F.bit_count(F.col(f"info_a.{b}").bitwiseXOR(F.col(f"info_b.{b}"))) for b in bits), F.lit(0))
+    total = F.col("a.n") + F.col("b.n")
+    most_apart = total - 2 * F.ceil(total * limit.num / (limit.num + limit.den) - 1e-9)
+    pairs = pairs.filter(apart <= most_apart).filter("info_a.rep is not null and info_b.rep is not null")
+    pairs = checkpointed(pairs.select(F.struct("info_a.rep", "a.node").alias("a"), F.struct("info_b.rep", "b.node").alias("b")))
+    ids = pairs.select(F.col("a.rep").alias("doc_id"), F.col("a.node").alias("digest")).unionByName(pairs.select(F.col("b.rep").alias("doc_id"), F.col("b.node").alias("digest")))
+    wanted = checkpointed(ids.distinct())
+    texts = only(docs.select(F.col("doc_id").cast("long"), "text"), checkpointed(wanted.select("doc_id").distinct()), "doc_id")
+    # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one below
+    sets = checkpointed(only(texts.mapInArrow(_full_sets(n_words), "doc_id long, digest long, shingles binary"), wanted, ["doc_id", "digest"]))
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.struct(F.col("doc_id").alias("rep"), F.col("digest").alias("node")).alias(s), F.col("shingles").alias(f"set_{s}")), s)
+    kind = "struct<rep: bigint, node: bigint>"
+    return checkpointed(pairs.mapInArrow(_verify(limit), f"a {kind}, b {kind}").distinct())
+
+
 def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, n_links; a row for each row.
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id; a row for each row.
 
     Documents link when den * |intersection| >= num * |union| of their sets of n_words-word shingles; component_id is the least
-    doc_id reachable by links, n_links the number of different sets that the document's own set links with. A document with
-    fewer words has its whole sequence as one shingle; one without words or text has none, links with nothing and is its own
+    doc_id reachable by links. A document with fewer words has its whole sequence as one shingle; one without words or text has none, links with nothing and is its own
     component. Equal sets link, so copies share a component. A null doc_id never counts as least; it has component null where
     no other id is reachable.
     """
@@ -182,33 +225,20 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     bits = [f"bits{i}" for i in range(BITMAP_WORDS)]
     nodes = own.filter("n > 0").groupBy(F.col("digest").alias("node"), "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in bits])
 
-    info = F.struct("rep", *bits)
-    pairs = _candidates(_prefixes(docs, n_words, limit, sketch), limit)
-    for s in "ab":
-        side = nodes.select(F.struct("n", "node").alias(s), info.alias(f"info_{s}"))
-        pairs = pairs.join(side, s)
-    apart = sum((F.bit_count(F.col(f"info_a.{b}").bitwiseXOR(F.col(f"info_b.{b}"))) for b in bits), F.lit(0))
-    total = F.col("a.n") + F.col("b.n")
-    most_apart = total - 2 * F.ceil(total * num / (num + den) - 1e-9)
-    pairs = pairs.filter(apart <= most_apart).filter("info_a.rep is not null and info_b.rep is not null")
-    pairs = checkpointed(pairs.select(F.struct("info_a.rep", "a.node").alias("a"), F.struct("info_b.rep", "b.node").alias("b")))
-
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("x")).select(F.col("x.rep").alias("doc_id"), F.col("x.node").alias("digest")).distinct())
-    texts = only(docs.select(F.col("doc_id").cast("long"), "text"), checkpointed(wanted.select("doc_id").distinct()), "doc_id")
-    # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one below
-    sets = checkpointed(only(texts.mapInArrow(_full_sets(n_words), "doc_id long, digest long, shingles binary"), wanted, ["doc_id", "digest"]))
-    for s in "ab":
-        pairs = pairs.join(sets.select(F.struct(F.col("doc_id").alias("rep"), F.col("digest").alias("node")).alias(s), F.col("shingles").alias(f"set_{s}")), s)
-    kind = "struct<rep: bigint, node: bigint>"
-    links = checkpointed(pairs.mapInArrow(_verify(limit), f"a {kind}, b {kind}").distinct())
+    prefixes = _prefixes(docs, n_words, limit, sketch)
+    links = _links(docs, _hub_candidates(prefixes, limit), nodes, n_words, limit)
+    joined = connected_components(links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))).withColumnRenamed("node", "rep")
+    hubs = nodes.select("node", "n", "rep").withColumnRenamed("rep", "least")
+    known = nodes.select("node", "n", "rep").join(joined, "rep").join(hubs.select(F.col("least").alias("component"), F.struct("n", "node").alias("group")), "component").select("node", "n", "group")
+    known = checkpointed(known.groupBy("node", "n").agg(F.min("group").alias("group")))
+    more = _links(docs, _candidates(prefixes, known, limit), nodes, n_words, limit)
 
-    reached = connected_components(links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
-    degree = links.select(F.explode(F.array("a.node", "b.node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    reached = connected_components(links.unionByName(more).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
     reached = reached.select(F.col("node").alias("rep"), "component")
-    classes = nodes.select("node", "n", "rep").join(reached, "rep", "left").join(degree, "node", "left")
-    classes = classes.select(F.col("node").alias("digest"), "n", F.coalesce("component", "rep").alias("component"), "n_links")
+    classes = nodes.select("node", "n", "rep").join(reached, "rep", "left")
+    classes = classes.select(F.col("node").alias("digest"), "n", F.coalesce("component", "rep").alias("component"))
     found = own.select("doc_id", "n", "digest").join(classes, ["digest", "n"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
