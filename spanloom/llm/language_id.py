@@ -20,7 +20,7 @@ from spanloom.llm.common import pieces, table
 
 #: Most entries of the model for each language and length (words: length 0); about so many labelled rows are counted, chosen by
 #: a hash of their text; lengths of the character n-grams, in the order they are tried; words a task remembers.
-TOP, TRAINING_ROWS, LENGTHS, MEMORY = 20_000, 20_000, (4, 3, 2, 1), 500_000
+TOP, TRAINING_ROWS, LENGTHS, MEMORY = 20_000, 20_000, (4, 3, 2, 1), 200_000
 LETTERS = r"\p{L}+"
 
 
@@ -35,7 +35,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each batch: counts are combined before they are shuffled."""
     from collections import Counter
 
-    for batch in pieces(batches, most=8 << 20):
+    for batch in pieces(batches):
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             counts.update((lang, w) for w in _words(text))
@@ -66,15 +66,15 @@ class Model:
     def __init__(self, rows: list[tuple[str, int, str, float]]):
         self.langs = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.scores: dict[int, dict[str, np.ndarray]] = {}
+        self.places: dict[int, dict[str, int]] = {}
         least: dict[int, float] = {}
         for _, length, _, logp in rows:
             least[length] = min(least.get(length, 0.0), logp)
+        for _, length, gram, _ in rows:
+            self.places.setdefault(length, {}).setdefault(gram, len(self.places[length]))
+        self.scores = {length: np.full((len(grams), len(self.langs)), least[length] - 1.0) for length, grams in self.places.items()}
         for lang, length, gram, logp in rows:
-            known = self.scores.setdefault(length, {})
-            if gram not in known:
-                known[gram] = np.full(len(self.langs), least[length] - 1.0)
-            known[gram][at[lang]] = logp
+            self.scores[length][self.places[length][gram], at[lang]] = logp
         self._forget()
 
     def _forget(self) -> None:
@@ -82,15 +82,15 @@ class Model:
         self.table = np.zeros((1024, len(self.langs)))
 
     def word(self, word: str) -> np.ndarray:
-        known = self.scores.get(0, {}).get(word)
+        known = self.places.get(0, {}).get(word)
         if known is not None:
-            return known
+            return self.scores[0][known]
         marked = f"<{word}>"
         for n in LENGTHS:
-            grams = self.scores.get(n, {})
+            grams = self.places.get(n, {})
             found = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
             if found:  # as the mean, so that a long unseen word counts as one word
-                return np.mean(found, axis=0)
+                return self.scores[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -115,11 +115,10 @@ def identify(docs: DataFrame, model: DataFrame) -> DataFrame:
     lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned. The model is bounded by
     TOP entries for each language and length, and it alone goes to the driver and the tasks.
     """
-    learned = [tuple(r) for r in model.select("lang", "length", "gram", "logp").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(learned)
+    sent = docs.sparkSession.sparkContext.broadcast(Model([tuple(r) for r in model.select("lang", "length", "gram", "logp").collect()]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(sent.value)
+        known = sent.value
         for batch in pieces(batches):
             found = [known.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *[batch.column(c) for c in batch.schema.names if c != "doc_id"]], ["doc_id", "lang_pred", "score", *[c for c in batch.schema.names if c != "doc_id"]])
