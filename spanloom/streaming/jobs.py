@@ -66,7 +66,13 @@ def stream_rpc_pairing(requests: DataFrame, responses: DataFrame, within: str =
     return a.join(b, near).select("a.conn", "a.id", "a.method", "a.requested", "b.responded")
 
 
-def stream_cusum(events: DataFrame) -> DataFrame:
+def _expire(state: GroupState, at: pd.Series, seconds: int) -> None:
+    """State goes when the watermark is `seconds` past the group's last event."""
+    latest = int(at.max().value // 1_000_000)
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + seconds * 1000)
+
+
+def stream_cusum(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """events(session_id, at, flag) -> a row at each session's first alarm; the detector's two numbers are the state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,20 +82,21 @@ def stream_cusum(events: DataFrame) -> DataFrame:
         mean, total, n, fired = state.get if state.exists else (0.0, 0.0, 0, False)
         detector = Cusum(mean=mean, total=total)
         out = []
-        for flag in pd.concat(list(batches)).sort_values("at")["flag"]:
+        rows = pd.concat(list(batches)).sort_values("at")
+        for flag in rows["flag"]:
             alarm = detector.step(float(flag))
             if alarm and not fired:
                 out.append((key[0], n))
                 fired = True
             n += 1
         state.update((detector.mean, detector.total, n, fired))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        _expire(state, rows["at"], 24 * 3600)
         yield pd.DataFrame(out, columns=["session_id", "first_alarm"])
 
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, first_alarm long", "mean double, total double, n long, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", delay).groupBy("session_id").applyInPandasWithState(step, "session_id string, first_alarm long", "mean double, total double, n long, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30) -> DataFrame:
+def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
     """events(cwd, id, at, session_id) -> id, session_id: a directory's session holds for 30 minutes from its first event."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -107,7 +114,7 @@ def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30) -> DataFrame:
                 now, since = own, at
             out.append(own or now)
         state.update((now, None if since is None else int(since.value // 1000)))
-        state.setTimeoutDuration(2 * minutes * 60 * 1000)
+        _expire(state, rows["at"], 2 * minutes * 60)
         yield pd.DataFrame({"id": rows["id"], "session_id": out})
 
-    return events.groupBy("cwd").applyInPandasWithState(step, "id long, session_id string", "session string, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", delay).groupBy("cwd").applyInPandasWithState(step, "id long, session_id string", "session string, since long", "append", GroupStateTimeout.EventTimeTimeout)
