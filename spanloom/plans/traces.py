@@ -156,3 +156,37 @@ QUERIES = {
         join spans s on s.user_id = w.user_id and s.start_time between w.first_seen - interval '2' second and w.last_seen + interval '2' second where s.type in ('tool_call', 'retrieval')""",
     "schema_compliance": "select span_id, case when tool_schema_valid is null then null when tool_schema_valid = 1 and contains(input, '\"path\"') then 1 else 0 end as valid from spans where type = 'tool_call'",
 }
+
+_EFFECT = f"""with {_EVENTS}, {_WRITES}, judged as (
+      select *, row_number() over (partition by session_id, act, file, content order by event_index) as nth,
+             lag(event_index) over (partition by session_id, file, content order by event_index) as same_before, lag(event_index) over (partition by session_id, file order by event_index) as just_before,
+             lead(act) over (partition by session_id order by event_index) as next_act, max(event_index) over (partition by session_id) as last_index from acts),
+    classed as (select *, case when act = 'read' and nth > 1 then 'redundant_read' when same_before < just_before then 'revert_cycle' when nth > 2 then 'repetition_loop' end as waste from judged)"""
+
+QUERIES |= {
+    "effective_events": f"{_EFFECT} select session_id, event_index, act from classed where waste is null",
+    "waste_classes": f"{_EFFECT} select session_id, waste, count(*) as n, round(sum(cost), 6) as cost from classed where waste is not null group by session_id, waste",
+    "path_efficiency": f"{_EFFECT} select session_id, round(cast(count_if(coalesce(waste, '') = '') as double) / count(*), 6) as efficiency from classed group by session_id",
+    "first_pass_success": f"{_EFFECT} select session_id, round(cast(count_if(act = 'write' and coalesce(waste, '') <> 'revert_cycle') as double) / nullif(count_if(act = 'write'), 0), 6) as share from classed group by session_id",
+    "backtrack_depth": f"{_EFFECT} select session_id, coalesce(max(case when waste = 'revert_cycle' then event_index - same_before end), 0) as depth from classed group by session_id",
+    "build_error_count": f"{_EFFECT} select session_id, count_if(act = 'bash' and failed = 1) as errors from classed group by session_id",
+    "per_trace_metrics": f"{_EFFECT} select session_id, act, count(*) as events, count_if(coalesce(waste, '') = '') as effective from classed group by session_id, act",
+    "efficiency_warnings": f"{_EFFECT} select session_id, case when cast(count_if(coalesce(waste, '') <> '') as double) / count(*) > 0.3 then 'much waste' when count_if(failed = 1) > 2 then 'many errors' end as warning from classed group by session_id",
+    "dag_nodes": f"{_EFFECT} select session_id, event_index as node, case when waste is null then 'effective' when waste = 'revert_cycle' then 'reverted' else 'waste' end as status from classed",
+    "dag_edges": f"{_EFFECT} select session_id, event_index - 1 as src, event_index as dst, case when just_before = event_index - 1 then 'causal' else 'cross_trace' end as kind from classed where event_index > 1",
+    "prev_next_delta": f"{_EFFECT} select session_id, event_index, next_act, case when next_act = act then 1 else 0 end as repeats from classed where event_index < last_index",
+    "session_events": f"with {_EVENTS} select session_id, event_index, event_id, action, cast(turn_id as bigint) as turn_id, tool_name from ordered where session_id <> ''",
+    "agent_in_session": f"""with {_EVENTS}, held as (select *, max(case when event_name = 'api_request' then event_index end) over (partition by session_id order by event_index rows unbounded preceding) as started,
+          max(case when event_name = 'hook_stop' then event_index end) over (partition by session_id order by event_index rows between unbounded preceding and 1 preceding) as stopped from ordered)
+        select session_id, started, count(*) as events, max(event_index) as last_index from held where started is not null and (stopped is null or stopped < started) group by session_id, started""",
+    "agent_scoped_scorecard": f"""with {_PENALTIES} select t.agent_id, count(distinct t.trace_id) as traces, cast(coalesce(sum(p.amount), 0) as bigint) as amount from traces t left join penalties p on t.trace_id = p.trace_id where t.agent_id <> '' group by t.agent_id""",
+    "spans_to_scores_join": "select s.span_id, t.template, case when s.status = 'success' then 0.8 else 0.2 end as score from spans s join (select 'tool_call' as applies_to, 'tool_quality' as template union all select 'llm', 'answer_quality') t on s.type = t.applies_to",
+    "heuristic_interaction_scorecard": "select trace_id, round(0.6 + 0.4 * cast(count_if(status = 'success') as double) / count(*), 6) as outcome, round(greatest(0.0, 1.0 - avg(latency_ms) / 10000), 6) as speed, least(cast(count_if(type = 'tool_call') as bigint), 5) as effort from spans group by trace_id",
+    "supported_ides": """select c.agent_id, i.ide from (select agent_id, count_if(component_type in ('hook', 'sandbox')) as special, count_if(component_type = 'skill') as skills from agent_components group by agent_id) c
+        join (select 'claude' as ide, 1 as has_special, 1 as has_skills union all select 'cursor', 0, 1 union all select 'kiro', 0, 0) i on (c.special = 0 or i.has_special = 1) and (c.skills = 0 or i.has_skills = 1)""",
+    "ingest_audit": "select event_id, timestamp, coalesce(actor_email, '') as actor_email, coalesce(http_method, '') as http_method, action from audit_log",
+    "ingest_webhook_deliveries": "select event_id as delivery_id, timestamp, case when severity = 'critical' then 500 else 200 end as status_code, 1 as attempt from audit_log where action like 'error%' or action like 'signup%'",
+    "export_registry_jsonl": "select agent_id as id, 'agent' as kind, name from agents union all select listing_id, listing_type, name from listings",
+    "export_monthly_parquet": "select year(timestamp) * 100 + month(timestamp) as month, count(*) as row_count, min(timestamp) as first_time, max(timestamp) as last_time from scores where is_deleted = 0 group by 1",
+    "buffer_retry": "select case when severity = 'critical' and event_id % 3 = 0 then 'dropped' when severity = 'critical' then 'retried' else 'sent' end as state, count(*) as n from audit_log group by 1",
+}
