@@ -11,7 +11,7 @@ common prefix shingles as the smaller k of the two, and goes on to verification
   hub of each of its prefix shingles; then every pair of sets that these links haven't connected yet.
 * Equal sets are one node, whatever the number of copies; a task emits the prefix of a set once.
 * Candidates drop out by an exact bound on the difference of two sets (parity bitmaps) before their sets are compared in full.
-* Hot shingles are split by the skew handling of the sort-merge join.
+* Hot shingles are last in the order, so they are rarely in a prefix; a long list is read once by the window, not paired whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, only, pieces, shingles, table, utf8
@@ -29,6 +29,8 @@ from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
 SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 20, 12, 4, 4.0
+#: One in so many shingles has a hub; 64-bit words of a parity bitmap.
+HUB_SHARE = 4
 BITMAP_WORDS = 4
 
 
@@ -141,8 +143,11 @@ def _near_sizes(limit: Threshold):
 
 
 def _hub_candidates(prefixes: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of each set with the hub of each of its prefix shingles: of the sets that have it, the one of the least doc_id."""
-    rows = prefixes.select("token", F.struct(F.shiftright("meta", 8).alias("n"), "node").alias("b"), "id")
+    """Pairs of each set with the hub of each of its prefix shingles: of the sets that have it, the one of the least doc_id.
+
+    A quarter of the shingles, chosen by hash, is enough to connect most copies; what they miss, the second round finds.
+    """
+    rows = prefixes.filter(F.pmod("token", F.lit(HUB_SHARE)) == 0).select("token", F.struct(F.shiftright("meta", 8).alias("n"), "node").alias("b"), "id")
     hubs = rows.groupBy("token").agg(F.min_by("b", F.struct("id", "b")).alias("a"), F.count("*").alias("sets")).filter("sets > 1").select("token", "a")
     return rows.join(hubs, "token").filter(_near_sizes(limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -150,15 +155,16 @@ def _hub_candidates(prefixes: DataFrame, limit: Threshold) -> DataFrame:
 def _candidates(prefixes: DataFrame, known: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs of nodes (digest, size) of different known groups with enough common prefix shingles.
 
-    known(node, n, group): sets already found connected. A shingle all of whose sets are in one group brings no pair.
+    known(node, n, group): sets already found connected. A shingle all of whose sets are in one group brings no pair. The rows
+    are shuffled once, by shingle; the window and both sides of the join share that shuffle.
     """
-    rows = prefixes.select("token", F.shiftright("meta", 8).alias("n"), "node", F.shiftright("meta", 4).bitwiseAND(F.lit(15)).alias("level"), F.col("meta").bitwiseAND(F.lit(15)).alias("k"))
+    rows = prefixes.select("token", "node", "meta", F.shiftright("meta", 8).alias("n"))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(known) if few else known, ["node", "n"], "left")
-    rows = rows.select("token", F.struct("n", "node").alias("set"), F.coalesce("group", F.struct("n", "node")).alias("group"), "level", "k")
-    mixed = rows.groupBy("token").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter("first <> last").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
-    a, b = (rows.select("token", F.col("set").alias(s), F.col("group").alias(f"group_{s}"), F.col("level").alias(f"level_{s}"), F.col("k").alias(f"k_{s}")) for s in "ab")
+    rows = rows.join(F.broadcast(known) if few else known, ["node", "n"], "left").select("token", "node", "meta", F.coalesce("group", "node").alias("group"))
+    own = Window.partitionBy("token")
+    rows = rows.withColumn("least", F.min("group").over(own)).withColumn("most", F.max("group").over(own)).filter("least <> most")
+    fields = (F.struct(F.shiftright("meta", 8).alias("n"), "node"), F.col("group"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)), F.col("meta").bitwiseAND(F.lit(15)))
+    a, b = (rows.select("token", *(f.alias(f"{name}{s}") for f, name in zip(fields, ("", "group_", "level_", "k_")))) for s in "ab")
     k = F.least("k_a", "k_b")
     fits = (F.col("a") < F.col("b")) & _near_sizes(limit) & (F.greatest("level_a", "level_b") <= k) & (F.col("group_a") != F.col("group_b"))
     return a.join(b, "token").filter(fits).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min(k).alias("k")).filter("matches >= k").select("a", "b")
@@ -229,7 +235,7 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
     links = _links(docs, _hub_candidates(prefixes, limit), nodes, n_words, limit)
     joined = connected_components(links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))).withColumnRenamed("node", "rep")
     hubs = nodes.select("node", "n", "rep").withColumnRenamed("rep", "least")
-    known = nodes.select("node", "n", "rep").join(joined, "rep").join(hubs.select(F.col("least").alias("component"), F.struct("n", "node").alias("group")), "component").select("node", "n", "group")
+    known = nodes.select("node", "n", "rep").join(joined, "rep").join(hubs.select(F.col("least").alias("component"), F.col("node").alias("group")), "component").select("node", "n", "group")
     known = checkpointed(known.groupBy("node", "n").agg(F.min("group").alias("group")))
     more = _links(docs, _candidates(prefixes, known, limit), nodes, n_words, limit)
 
