@@ -20,7 +20,7 @@ from spanloom.llm.common import pieces, table
 
 #: Most entries of the model for each language and length (words: length 0); about so many labelled rows are counted, chosen by
 #: a hash of their text; lengths of the character n-grams, in the order they are tried; words a task remembers.
-TOP, TRAINING_ROWS, LENGTHS, MEMORY = 20_000, 20_000, (4, 3, 2, 1), 200_000
+TOP, TRAINING_ROWS, LENGTHS, MEMORY = 10_000, 20_000, (4, 3, 2, 1), 200_000
 LETTERS = r"\p{L}+"
 
 
