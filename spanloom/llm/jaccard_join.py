@@ -7,9 +7,11 @@ common prefix shingles as the smaller k of the two, and goes on to verification
 
 * Counts: a sketch of fixed size, filled by every task and summed, gives each shingle a count that is never too low. It only
   orders shingles and chooses k, so its errors cost time, never links.
-* Pairs come in two rounds, so that large groups of near copies don't give all their pairs. First each set is compared with the
-  hub of each of its prefix shingles; then every pair of sets that these links haven't connected yet.
-* Equal sets are one node, whatever the number of copies; a task emits the prefix of a set once.
+* Pairs of different groups come as rows, in two rounds. First each set is compared with the hub of each of its prefix shingles;
+  then every pair of sets that these links haven't connected yet.
+* Links within a group are counted in blocks: a task gets two buckets of a group's sets and returns a number for each set, so the
+  pairs of a large group of near copies never become rows.
+* Equal sets are one node, whatever the number of copies and with or without a doc_id; a task emits the prefix of a set once.
 * Candidates drop out by an exact bound on the difference of two sets (parity bitmaps) before their sets are compared in full.
 * Hot shingles are last in the order, so they are rarely in a prefix; a long list is read once by the window, not paired whole.
 """
@@ -32,6 +34,9 @@ SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 20, 12, 4, 4.0
 #: One in so many shingles has a hub; 64-bit words of a parity bitmap.
 HUB_SHARE = 4
 BITMAP_WORDS = 4
+#: Sets and shingles that one bucket of a group holds, about; the doc_id under which sets without one are looked for.
+BUCKET_SETS, BUCKET_SHINGLES = 2048, 1 << 21
+NO_ID = 2**63 - 1
 
 
 class Threshold:
@@ -132,7 +137,7 @@ def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarra
             picked = level <= k[row]
             row, level = row[picked], level[picked]
             meta = (size[row].astype(np.int64) << 8) | (level.astype(np.int64) << 4) | k[row].astype(np.int64)
-            ids = np.asarray(batch.column("doc_id").fill_null(2**63 - 1))[row]
+            ids = np.asarray(batch.column("doc_id").fill_null(NO_ID))[row]
             yield pa.RecordBatch.from_arrays([pa.array(value[picked].view(np.int64)), pa.array(digest[row]), pa.array(ids), pa.array(meta)], ["token", "node", "id", "meta"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "token long, node long, id long, meta long")
@@ -155,12 +160,12 @@ def _hub_candidates(prefixes: DataFrame, limit: Threshold) -> DataFrame:
 def _candidates(prefixes: DataFrame, known: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs of nodes (digest, size) of different known groups with enough common prefix shingles.
 
-    known(node, n, group): sets already found connected. A shingle all of whose sets are in one group brings no pair. The rows
+    known(node, group): sets already found connected. A shingle all of whose sets are in one group brings no pair. The rows
     are shuffled once, by shingle; the window and both sides of the join share that shuffle.
     """
     rows = prefixes.select("token", "node", "meta", F.shiftright("meta", 8).alias("n"))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(known) if few else known, ["node", "n"], "left").select("token", "node", "meta", F.coalesce("group", "node").alias("group"))
+    rows = rows.join(F.broadcast(known) if few else known, "node", "left").select("token", "node", "meta", F.coalesce("group", "node").alias("group"))
     own = Window.partitionBy("token")
     rows = rows.withColumn("least", F.min("group").over(own)).withColumn("most", F.max("group").over(own)).filter("least <> most")
     fields = (F.struct(F.shiftright("meta", 8).alias("n"), "node"), F.col("group"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)), F.col("meta").bitwiseAND(F.lit(15)))
@@ -187,37 +192,111 @@ def _full_sets(n_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             value, _, _, bounds, digest, _ = _sets(batch, n_words, set())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest), pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest), pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "node", "shingles"])
 
     return work
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
+    """(node, shingles) of the wanted(rep, node), rep being a doc_id that has the set, or null; rows may repeat."""
+    wanted = checkpointed(wanted.select(F.coalesce("rep", F.lit(NO_ID)).alias("doc_id"), "node").distinct())
+    kind, own = "doc_id long, node long, shingles binary", docs.select(F.col("doc_id").cast("long"), "text")
+    texts = only(own.filter("doc_id is not null"), checkpointed(wanted.select("doc_id").distinct()), "doc_id")
+    named = only(texts.mapInArrow(_full_sets(n_words), kind), wanted, ["doc_id", "node"]).select("node", "shingles")
+    alone = own.filter("doc_id is null").withColumn("doc_id", F.lit(NO_ID)).mapInArrow(_full_sets(n_words), kind)
+    return checkpointed(named.unionByName(only(alone, wanted, ["doc_id", "node"]).select("node", "shingles").dropDuplicates(["node"])))
+
+
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
-    """The pairs of nodes that reach the threshold, as structs (rep, node), after the bitmaps' bound and in full."""
+    """The pairs (a, b) of nodes that reach the threshold, after the bitmaps' bound and in full."""
     bits = [f"bits{i}" for i in range(BITMAP_WORDS)]
     for s in "ab":
         pairs = pairs.join(nodes.select(F.struct("n", "node").alias(s), F.struct("rep", *bits).alias(f"info_{s}")), s)
     apart = sum((F.bit_count(F.col(f"info_a.{b}").bitwiseXOR(F.col(f"info_b.{b}"))) for b in bits), F.lit(0))
     total = F.col("a.n") + F.col("b.n")
     most_apart = total - 2 * F.ceil(total * limit.num / (limit.num + limit.den) - 1e-9)
-    pairs = pairs.filter(apart <= most_apart).filter("info_a.rep is not null and info_b.rep is not null")
-    pairs = checkpointed(pairs.select(F.struct("info_a.rep", "a.node").alias("a"), F.struct("info_b.rep", "b.node").alias("b")))
-    ids = pairs.select(F.col("a.rep").alias("doc_id"), F.col("a.node").alias("digest")).unionByName(pairs.select(F.col("b.rep").alias("doc_id"), F.col("b.node").alias("digest")))
-    wanted = checkpointed(ids.distinct())
-    texts = only(docs.select(F.col("doc_id").cast("long"), "text"), checkpointed(wanted.select("doc_id").distinct()), "doc_id")
+    pairs = checkpointed(pairs.filter(apart <= most_apart).select("a.node", "info_a.rep", "b.node", "info_b.rep").toDF("a", "rep_a", "b", "rep_b"))
     # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one below
-    sets = checkpointed(only(texts.mapInArrow(_full_sets(n_words), "doc_id long, digest long, shingles binary"), wanted, ["doc_id", "digest"]))
+    sets = _sets_of(docs, pairs.select(F.col("rep_a").alias("rep"), F.col("a").alias("node")).unionByName(pairs.select(F.col("rep_b").alias("rep"), F.col("b").alias("node"))), n_words)
+    pairs = pairs.select("a", "b")
     for s in "ab":
-        pairs = pairs.join(sets.select(F.struct(F.col("doc_id").alias("rep"), F.col("digest").alias("node")).alias(s), F.col("shingles").alias(f"set_{s}")), s)
-    kind = "struct<rep: bigint, node: bigint>"
-    return checkpointed(pairs.mapInArrow(_verify(limit), f"a {kind}, b {kind}").distinct())
+        pairs = pairs.join(sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}")), s)
+    return checkpointed(pairs.mapInArrow(_verify(limit), "a long, b long").distinct())
+
+
+def _block_links(node: list[int], bucket: list[int], sets: list[bytes], across: bool, limit: Threshold) -> dict[int, int]:
+    """The number of links of each set with the others, or with those of the other bucket if `across`."""
+    first = {d: i for i, d in enumerate(node)}  # a set that came twice counts once
+    kept = sorted(first.values(), key=lambda i: len(sets[i]))
+    value = np.concatenate([np.frombuffer(sets[i], np.uint64) for i in kept])
+    size = np.array([len(sets[i]) // 8 for i in kept], np.int64)
+    side = np.array([bucket[i] for i in kept])
+    bounds = np.r_[0, np.cumsum(size)]
+    bits = _bitmaps(value, np.repeat(np.arange(len(kept)), size), len(kept)).view(np.uint64)
+    distinct, ids = np.unique(value, return_inverse=True)
+    has, links = np.zeros(len(distinct), bool), np.zeros(len(kept), np.int64)
+    for u, end in enumerate(np.searchsorted(size, size * limit.den // limit.num, side="right").tolist()):
+        v = np.arange(u + 1, end)
+        if across:
+            v = v[side[v] != side[u]]
+        total = size[v] + size[u]
+        v = v[np.bitwise_count(bits[v] ^ bits[u]).sum(axis=1, dtype=np.int64) <= total + 2 * (-limit.num * total // (limit.num + limit.den))]
+        if not len(v):
+            continue
+        has[ids[bounds[u] : bounds[u + 1]]] = True
+        starts = np.r_[0, np.cumsum(size[v])]
+        common = np.add.reduceat(has[ids[np.repeat(bounds[v] - starts[:-1], size[v]) + np.arange(starts[-1])]].astype(np.int64), starts[:-1])
+        has[ids[bounds[u] : bounds[u + 1]]] = False
+        good = v[limit.den * common >= limit.num * (size[v] + size[u] - common)]
+        links[good] += 1
+        links[u] += len(good)
+    return {node[i]: n for i, n in zip(kept, links.tolist()) if n}
+
+
+def _count_blocks(limit: Threshold):
+    """Rows sorted by block (group, i, j), with bucket, node and shingles -> node, n_links: one number for each set of a block."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def counted() -> pa.RecordBatch:
+            found = _block_links(*map(list, zip(*held)), now[1] != now[2], limit) if held else {}
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "n_links"])
+
+        for batch in batches:
+            for group, i, j, node, bucket, shingles_ in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "bucket", "shingles"))):
+                if (group, i, j) != now:
+                    yield counted()
+                    now, held = (group, i, j), []
+                held.append((node, bucket, shingles_))
+        yield counted()
+
+    return work
+
+
+def _links_within(docs: DataFrame, members: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
+    """members(node, n, rep, group) -> node, n_links: each set's links with sets of its own group."""
+    weights = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    buckets = F.ceil(F.greatest(F.col("sets") / BUCKET_SETS, F.col("total") / BUCKET_SHINGLES)).cast("int")
+    weights = checkpointed(weights.select("group", "sets", buckets.alias("buckets")))
+    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members = checkpointed(members.join(F.broadcast(weights) if few else weights, "group"))
+    pairs = members.filter("sets = 2").select("node", F.lit(1).cast("long").alias("n_links"))  # the link that made the group
+    large = members.filter("sets > 2")
+    sets = _sets_of(docs, large.select("rep", "node"), n_words)
+    rows = large.select("group", "node", "buckets", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int").alias("bucket")).join(sets, "node")
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    rows = rows.select("group", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "shingles")
+    counts = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_count_blocks(limit), "node long, n_links long")
+    return pairs.unionByName(counts)
 
 
-def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id; a row for each row.
+def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_links: bool = True) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id and, if count_links, n_links; a row for each row.
 
     Documents link when den * |intersection| >= num * |union| of their sets of n_words-word shingles; component_id is the least
-    doc_id reachable by links. A document with fewer words has its whole sequence as one shingle; one without words or text has none, links with nothing and is its own
+    doc_id reachable by links, n_links the number of different sets that the document's own set links with. A document with
+    fewer words has its whole sequence as one shingle; one without words or text has none, links with nothing and is its own
     component. Equal sets link, so copies share a component. A null doc_id never counts as least; it has component null where
     no other id is reachable.
     """
@@ -233,23 +312,30 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int) -> DataFr
 
     prefixes = _prefixes(docs, n_words, limit, sketch)
     links = _links(docs, _hub_candidates(prefixes, limit), nodes, n_words, limit)
-    joined = connected_components(links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))).withColumnRenamed("node", "rep")
-    hubs = nodes.select("node", "n", "rep").withColumnRenamed("rep", "least")
-    known = nodes.select("node", "n", "rep").join(joined, "rep").join(hubs.select(F.col("least").alias("component"), F.col("node").alias("group")), "component").select("node", "n", "group")
-    known = checkpointed(known.groupBy("node", "n").agg(F.min("group").alias("group")))
+    known = checkpointed(connected_components(links).withColumnRenamed("component", "group"))
     more = _links(docs, _candidates(prefixes, known, limit), nodes, n_words, limit)
 
-    reached = connected_components(links.unionByName(more).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
-    reached = reached.select(F.col("node").alias("rep"), "component")
-    classes = nodes.select("node", "n", "rep").join(reached, "rep", "left")
-    classes = classes.select(F.col("node").alias("digest"), "n", F.coalesce("component", "rep").alias("component"))
+    named = nodes.select("node", "n", "rep")
+    reached = named.join(connected_components(links.unionByName(more)), "node")
+    least = reached.groupBy("component").agg(F.min("rep").alias("least"))
+    classes = named.join(reached.join(least, "component").select("node", "n", "least"), ["node", "n"], "left")
+    classes = classes.select(F.col("node").alias("digest"), "n", F.coalesce("least", "rep").alias("component"))
     found = own.select("doc_id", "n", "digest").join(classes, ["digest", "n"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if count_links:
+        # pairs of one group of `known` are counted in blocks; `more` has the links of all others, once each
+        parts = _links_within(docs, named.join(known, "node"), n_words, limit)
+        for s in "ab":
+            parts = parts.unionByName(more.groupBy(F.col(s).alias("node")).agg(F.count("*").alias("n_links")))
+        degree = parts.groupBy(F.col("node").alias("digest")).agg(F.sum("n_links").alias("n_links"))
+        found = found.join(degree, "digest", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select(*columns)
 
 
 def without_near_copies(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs but those of which a document with a smaller doc_id is in the same component; doc_id must be unique."""
-    classes = jaccard_classes(docs, n_words, num, den)
+    classes = jaccard_classes(docs, n_words, num, den, count_links=False)
     copies = checkpointed(classes.filter("component_id < doc_id").select("doc_id"))
     return only(docs, copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, components, fingerprints, jaccard_join, language_id, substring_dedup, suffix_dedup
-from tests.llm.helpers import DOCS, components as brute_components, generalised_jaccard, sha, without_repeats
+from tests.llm.helpers import DOCS, components as brute_components, generalised_jaccard, sha, shingle_set, without_repeats
 
 
 def corpus(seed=1, n=60):
@@ -41,6 +41,33 @@ def test_jaccard_of_odd_tables(spark, docs):
     assert found == sorted([(5, 2, 3), (5, 2, 3), (None, 2, 3), (None, 1, None), (3, 2, 3), (9, 0, 9), (9, 0, 9)], key=str)
 
 
+@pytest.mark.parametrize("most", [2048, 4])
+def test_jaccard_links_are_all_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "BUCKET_SETS", most)
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [r[1] for r in corpus()]
+    for _ in range(30):  # a group of near copies, not all of which link
+        w = list(base)
+        for i in draw.sample(range(60), draw.randint(0, 3)):
+            w[i] = f"x{draw.randint(0, 2)}"
+        texts.append(" ".join(w))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [frozenset(shingle_set(t, 2)) for t in texts]
+    for num in (90, 80):
+        links = [sum(100 * len(s & t) >= num * len(s | t) for t in set(sets) - {s, frozenset()}) if s else 0 for s in sets]
+        assert max(links) > 5
+        assert {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_classes(table, 2, num, 100).collect()} == dict(enumerate(links))
+
+
+def test_jaccard_links_through_sets_without_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    left, right = ["x", "y", *words[2:]], [*words[:-2], "u", "v"]  # both like the middle one, not like each other
+    rows = [(4, " ".join(left)), (None, " ".join(words)), (None, " ".join(words)), (2, " ".join(right)), (2, "another text under this id"), (7, "another text under this id")]
+    found = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90, 100).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(4, 40, 2, 1), (None, 40, 2, 2), (None, 40, 2, 2), (2, 40, 2, 1), (2, 5, 2, 0), (7, 5, 2, 0)], key=str)
+
+
 def test_near_copies_leave_one_of_each_group(docs):
     kept = {r["doc_id"] for r in jaccard_join.without_near_copies(docs).collect()}
     assert kept == {i for i, (_, least) in brute_components([r[:2] for r in corpus()], 5, 80, 100).items() if i == least}
