@@ -1,12 +1,17 @@
-"""Session algorithms whose next step depends on the last one: grouped Python over one session at a time.
+"""Session algorithms whose next step depends on the last one.
 
-Each takes a table sorted into groups by one shuffle and works on a group of bounded size: sessions longer than `MOST_EVENTS`
-are cut and flagged by `bounded`, so that no task holds an unbounded group.
+Cycles and CUSUM run over partitions sorted by session and time and carry a small state from batch to batch, so a session may be
+of any length. The others are grouped Python that holds one session at a time; `bounded` cuts and flags long groups for a caller
+who wants that, no query does.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,38 @@ def bounded(df: DataFrame, keys: list[str], order: list[str], most: int = MOST_E
     return df.withColumn("__place", place).withColumn("truncated", F.count("*").over(own) > most).filter(F.col("__place") <= most).drop("__place")
 
 
+def _in_order(events: DataFrame, column: str, machine: Callable, fields: dict[str, pa.DataType]) -> DataFrame:
+    """The rows (session_id, *fields) that a machine of its own makes of each session's `column` in order of `at`.
+
+    machine() has feed(values) and end(), which return rows. A session's values come in batches; only the machine is held.
+    """
+    schema = pa.schema([("session_id", pa.string()), *fields.items()])
+    names = {pa.string(): "string", pa.int64(): "long"}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, rows = None, None, []
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for batch in batches:
+            for session, run in groupby(zip(batch.column("session_id").to_pylist(), batch.column(column).to_pylist()), lambda x: x[0]):
+                if state is None or session != now:
+                    if state is not None:
+                        rows += [(now, *r) for r in state.end()]
+                    now, state = session, machine()
+                rows += [(now, *r) for r in state.feed([value for _, value in run])]
+            yield made()
+            rows.clear()
+        if state is not None:
+            rows += [(now, *r) for r in state.end()]
+            yield made()
+
+    ordered = events.select("session_id", "at", column).repartition("session_id").sortWithinPartitions("session_id", F.col("at").asc_nulls_last())
+    return ordered.mapInArrow(work, ", ".join(f"{f.name} {names[f.type]}" for f in schema))
+
+
 def _greedy(drivers: pd.DataFrame, others: pd.DataFrame, at: str, most: float, strict: bool) -> list[tuple[int, int | None]]:
     """Each driver, in order, takes the nearest other that is free and near enough."""
     free, out = {i: t for i, t in zip(others["id"], others[at])}, []
@@ -131,25 +168,53 @@ def changesets(nodes: DataFrame, hops: int = 3) -> DataFrame:
     return nodes.groupBy("session_id").applyInPandas(group_writes, "session_id string, id long, changeset long")
 
 
-def repetition_cycles(events: DataFrame, repeats: int = 3, longest: int = 20) -> DataFrame:
-    """events(session_id, at, key) -> session_id, pattern, start, times: runs of a pattern of two keys or more, thrice or more."""
-
-    def cycles(group: pd.DataFrame) -> pd.DataFrame:
-        keys, found, i = group.sort_values("at")["key"].tolist(), {}, 0
-        while i < len(keys):
-            step = 1
-            for n in range(2, min(longest, (len(keys) - i) // repeats) + 1):
-                pattern, times = keys[i : i + n], 1
-                while keys[i + n * times : i + n * (times + 1)] == pattern:
-                    times += 1
-                if times >= repeats:
-                    found.setdefault("|".join(pattern), (i, times))
-                    step = n * times
+class _Cycles:
+    """Runs of a pattern in the keys fed so far; it holds the keys that may still begin a run, and the run that may go on."""
+
+    def __init__(self, repeats: int, longest: int):
+        self.repeats, self.longest, self.keys, self.before = repeats, longest, [], 0
+        self.run: tuple[list, int, int] | None = None  # pattern, start, times
+
+    def feed(self, keys: list, last: bool = False) -> list[tuple]:
+        self.keys += keys
+        keys, i, found = self.keys, 0, []
+        while True:
+            if self.run:
+                pattern, start, times = self.run
+                n = len(pattern)
+                while keys[i : i + n] == pattern:
+                    i, times = i + n, times + 1
+                self.run = (pattern, start, times)
+                if len(keys) - i < n and not last:
+                    break
+                found.append(("|".join(pattern), start, times))
+                self.run = None
+            left = len(keys) - i
+            if not left or left < self.longest * self.repeats and not last:
+                break
+            for n in range(2, min(self.longest, left // self.repeats) + 1):
+                pattern = keys[i : i + n]
+                if keys[i + n : i + n * self.repeats] == pattern * (self.repeats - 1):
+                    self.run = (pattern, self.before + i, self.repeats)
+                    i += n * self.repeats
                     break
-            i += step
-        return pd.DataFrame([(group["session_id"].iloc[0], p, s, t) for p, (s, t) in found.items()], columns=["session_id", "pattern", "start", "times"])
+            else:
+                i += 1
+        del keys[:i]
+        self.before += i
+        return found
 
-    return events.groupBy("session_id").applyInPandas(cycles, "session_id string, pattern string, start long, times long")
+    def end(self) -> list[tuple]:
+        return self.feed([], last=True)
+
+
+def repetition_cycles(events: DataFrame, repeats: int = 3, longest: int = 20) -> DataFrame:
+    """events(session_id, at, key) -> session_id, pattern, start, times: runs of a pattern of two keys or more, thrice or more.
+
+    Of a pattern's runs the first is returned. Patterns have at most `longest` keys; sessions any number of events.
+    """
+    runs = _in_order(events, "key", lambda: _Cycles(repeats, longest), {"pattern": pa.string(), "start": pa.int64(), "times": pa.int64()})
+    return runs.groupBy("session_id", "pattern").agg(F.min(F.struct("start", "times")).alias("first")).select("session_id", "pattern", "first.start", "first.times")
 
 
 class Cusum:
@@ -164,15 +229,25 @@ class Cusum:
         return self.total > self.limit
 
 
-def cusum_stuck(events: DataFrame) -> DataFrame:
-    """events(session_id, at, flag) -> session_id, first_alarm: the first step at which the detector fires, or null."""
+class _FirstAlarm:
+    """The detector's two numbers, the steps so far and the first alarm."""
 
-    def detect(group: pd.DataFrame) -> pd.DataFrame:
-        detector = Cusum()
-        first = next((i for i, f in enumerate(group.sort_values("at")["flag"]) if detector.step(float(f))), None)
-        return pd.DataFrame({"session_id": [group["session_id"].iloc[0]], "first_alarm": pd.array([first], "Int64")})
+    def __init__(self):
+        self.detector, self.steps, self.first = Cusum(), 0, None
 
-    return events.groupBy("session_id").applyInPandas(detect, "session_id string, first_alarm long")
+    def feed(self, flags: list) -> list[tuple]:
+        if self.first is None:
+            self.first = next((i for i, f in enumerate(flags, self.steps) if self.detector.step(float("nan") if f is None else float(f))), None)
+        self.steps += len(flags)
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.first,)]
+
+
+def cusum_stuck(events: DataFrame) -> DataFrame:
+    """events(session_id, at, flag) -> session_id, first_alarm: the first step at which the detector fires, or null."""
+    return _in_order(events, "flag", _FirstAlarm, {"first_alarm": pa.int64()})
 
 
 def critical_path(edges: DataFrame) -> DataFrame:

@@ -116,8 +116,8 @@ QUERIES = {
     "sessionize_by_cwd": lambda v: sequences.sessionize_by_cwd(v.otel_logs.select((F.col("k") % 200).cast("string").alias("cwd"), F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_id") % 3 == 0, F.col("session_id")).alias("session_id"))),
     "changesets": lambda v: sequences.changesets(edges(v).select("session_id", F.col("dst").alias("id"), F.col("src").alias("parent"), "act")),
     "changeset_status": lambda v: sequences.changesets(edges(v).select("session_id", F.col("dst").alias("id"), F.col("src").alias("parent"), "act")).groupBy("session_id", "changeset").agg(F.count("*").alias("writes")),
-    "repetition_cycles": lambda v: sequences.repetition_cycles(sequences.bounded(numbered(v), ["session_id"], ["at"]).select("session_id", "at", F.col("act").alias("key"))),
-    "cusum_stuck": lambda v: sequences.cusum_stuck(sequences.bounded(numbered(v), ["session_id"], ["at"]).select("session_id", "at", (F.col("event_name") == "hook_posttoolusefailure").cast("double").alias("flag"))),
+    "repetition_cycles": lambda v: sequences.repetition_cycles(numbered(v).select("session_id", "at", F.col("act").alias("key"))),
+    "cusum_stuck": lambda v: sequences.cusum_stuck(numbered(v).select("session_id", "at", (F.col("event_name") == "hook_posttoolusefailure").cast("double").alias("flag"))),
     "critical_path": lambda v: sequences.critical_path(edges(v).select("session_id", "src", "dst", "cost")),
     "dag_stats": lambda v: edges(v).groupBy("session_id").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("nodes")),
     "span_tree": lambda v: sequences.span_tree(v.spans),

@@ -1,12 +1,15 @@
 """Operators whose results follow an order of events, on hand-worked rows."""
 
+import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import counters, quality, sequences, versions
+from spanloom.plans import derived
 from spanloom.sources import ingest
 
 T0 = datetime(2024, 1, 1)
@@ -83,6 +86,50 @@ def test_changesets_cycles_and_paths(spark):
     assert cut.count() == 10 and cut.filter("truncated").count() == 10
 
 
+def test_no_session_is_cut(spark):
+    late = F.col("id") >= 20_030
+    events = spark.range(20_060).select(
+        F.lit("hot").alias("session_id"), F.timestamp_seconds(F.col("id")).alias("timestamp"), F.col("id").alias("event_id"),
+        F.when(late & (F.col("id") % 2 == 0), "tool_0").when(late, "tool_1").otherwise("tool_2").alias("tool_name"), F.when(late, "hook_posttoolusefailure").otherwise("x").alias("event_name"),
+    )
+    views = SimpleNamespace(otel_logs=events.repartition(3))
+    [(_, first)] = rows(derived.QUERIES["cusum_stuck"](views))
+    assert 20_030 < first < 20_040
+    assert set(rows(derived.QUERIES["repetition_cycles"](views))) == {("hot", "read|read", 0, 10_015), ("hot", "write|bash", 20_030, 15)}
+
+
+def test_state_is_carried_from_batch_to_batch(spark):
+    draw = random.Random(5)
+    events = []
+    for session in ("a", "b", None, "c"):
+        keys = [k for _ in range(25) for k in draw.choices("xyz", k=draw.randint(1, 9)) * draw.choice([1, 2, 3, 7])]
+        events += [(session, i, k, float(k == "x")) for i, k in enumerate(keys)]
+    wanted, alarms = set(), {}
+    for session in ("a", "b", None, "c"):
+        keys, found, i = [e[2] for e in events if e[0] == session], {}, 0
+        while i < len(keys):
+            step = 1
+            for n in range(2, min(20, (len(keys) - i) // 3) + 1):
+                times = 1
+                while keys[i + n * times : i + n * (times + 1)] == keys[i : i + n]:
+                    times += 1
+                if times >= 3:
+                    found.setdefault("|".join(keys[i : i + n]), (i, times))
+                    step = n * times
+                    break
+            i += step
+        wanted |= {(session, p, *x) for p, x in found.items()}
+        detector = sequences.Cusum()
+        alarms[session] = next((i for i, k in enumerate(keys) if detector.step(float(k == "x"))), None)
+    table = spark.createDataFrame(draw.sample(events, len(events)), "session_id string, at long, key string, flag double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert set(map(tuple, sequences.repetition_cycles(table).collect())) == wanted and len(wanted) > 8
+        assert dict(map(tuple, sequences.cusum_stuck(table).collect())) == alarms
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_span_tree(spark):
     spans = spark.createDataFrame([("t", "a", None), ("t", "b", "a"), ("t", "c", "b"), ("t", "d", "missing"), ("t", "x", "y"), ("t", "y", "x")], "trace_id string, span_id string, parent_span_id string")
     assert [(r["span_id"], r["root"], r["depth"], r["path"]) for r in sequences.span_tree(spans).orderBy("span_id").collect()] == [("a", "a", 0, ["a"]), ("b", "a", 1, ["a", "b"]), ("c", "a", 2, ["a", "b", "c"]), ("d", "d", 0, ["d"])]
