@@ -1,27 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element, and each line is weighed by the length of its own text, links not
-counted. Over a sliding window of lines the weights are summed; the sum surges where a dense region begins and dives to nothing
-where it ends. The lines between a surge and the next dive are a region. Boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments) is told by element, role, class or id, weighs nothing and ends a region. The densest
-region is the article, and with it go the other regions of the same content container (article, main, or the body).
+Markup is stripped into lines, one for each block element, and each line is weighed by the length of its text. Boilerplate
+(menus, headers, footers, sidebars, notices, adverts, forms, reader comments) is told by element, role, class or id and weighs
+nothing; nor does a line of a menu without such a mark: outside article and main, nothing but links, in a list or table or
+several of them. The content container (each article or main, or the rest of the body) with the most text is the article's: the
+distribution of its weights surges at its first line that has any and dives for good after its last one. Between these two
+everything but boilerplate is kept, however little or linked.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.common import pieces, table
 
-#: Lines in a window; share of the densest region's text that a region outside every content container needs to be kept.
-WINDOW, KEEP_SHARE = 3, 0.2
-
 # Fixed names of HTML: elements that begin and end a block, elements without content, and elements whose text isn't shown.
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,10 +32,12 @@ BOILERPLATE_WORDS = frozenset(
     "subscription signup login comment comments commentlist respond reply replies disqus discussion pagination pager skip toc".split()
 )
 CONTENT = frozenset(("article", "main"))
+LISTS = frozenset("li dt dd td th option".split())
 
 # inside a start tag quotes pair up as far as they can; possessive repeats keep broken markup linear
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+_HREF = re.compile(r"(?<![^\s\"'])href\s*=", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -57,36 +57,47 @@ def _is_boilerplate(name: str, attributes: str) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, boilerplate, content container) of each block of the page, in order; container 0: none."""
+    """(text, its length or 0 in a menu, boilerplate, content container) of each block of the page, in order; container 0: none."""
     out: list[tuple[str, int, bool, int]] = []
     open_tags: list[tuple[str, bool]] = []  # with: is it boilerplate
     containers = [0]
     parts: list[str] = []
-    linked = off = seen = at = 0
-    in_link = False
+    off = seen = at = listed = 0
+    links, in_link = 0, False  # links so far
+    in_block: set[int] = set()  # links with text in this block
+    own = False  # are there letters or digits outside links
 
     def end_block() -> None:
-        nonlocal linked
+        nonlocal own
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(len(text) - linked, 0), off > 0, containers[-1]))
+                menu = not own and in_block and not containers[-1] and (listed > 0 or len(in_block) > 1)
+                out.append((text, 0 if menu else len(text), off > 0, containers[-1]))
             parts.clear()
-        linked = 0
+        in_block.clear()
+        own = False
 
     def close(depth: int) -> None:
-        nonlocal off
+        nonlocal off, listed, in_link
         while len(open_tags) > depth:
             name, skipped = open_tags.pop()
             off -= skipped
+            listed -= name in LISTS
+            if name == "a":  # with the block that it began in
+                in_link = False
             if name in CONTENT:
                 containers.pop()
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal own
         if text:
             parts.append(text)
-            linked += len(text) * in_link
+            if in_link:
+                if not text.isspace():
+                    in_block.add(links)
+            elif not own:
+                own = any(map(str.isalnum, html.unescape(text)))
 
     for token in _TOKEN.finditer(page):
         if token.start() < at:  # inside an element whose text isn't shown
@@ -112,10 +123,10 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             continue
-        if name == "a":
-            in_link = True
         if name in VOID or token[3].endswith("/") and name not in BLOCK:
             continue
+        if name == "a" and _HREF.search(token[3]):  # others are anchors
+            links, in_link = links + 1, True
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # ended by a sibling's start
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == name:
@@ -126,6 +137,7 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         skipped = _is_boilerplate(name, token[3]) and not (name == "header" and containers[-1])
         open_tags.append((name, skipped))
         off += skipped
+        listed += name in LISTS
         if name in CONTENT:
             if containers[-1]:
                 containers.append(containers[-1])
@@ -139,28 +151,16 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
 def main_text(page: str) -> str:
     """The article of one page; empty if it has no text outside boilerplate."""
     found = lines(page)
-    weights = np.array([0 if skipped else weight for _, weight, skipped, _ in found], dtype=np.int64)
-    if not weights.any():
+    size, ends = Counter(), {}
+    for i, (_, weight, skipped, where) in enumerate(found):
+        if weight and not skipped:
+            size[where] += weight
+            ends[where] = (ends.get(where, (i,))[0], i + 1)
+    if not size:
         return ""
-    # a window never reaches across boilerplate, so sums are taken within runs of other lines
-    run = np.cumsum([skipped for _, _, skipped, _ in found]) * 2 + np.array([skipped for _, _, skipped, _ in found])
-    sums = np.zeros(len(found), dtype=np.int64)
-    for back in range(WINDOW):
-        sums[back:] += np.where(run[back:] == run[: len(run) - back], weights[: len(weights) - back], 0)
-    dense = np.r_[False, (sums > 0), False]
-    new_run = np.r_[True, run[1:] != run[:-1], True]
-    surges = [i for i in range(len(found)) if dense[i + 1] and (not dense[i] or new_run[i])]
-    regions = []
-    for i in surges:
-        j = i + 1
-        while j < len(found) and dense[j + 1] and not new_run[j]:
-            j += 1
-        while j > i and weights[j - 1] == 0:  # the window trails the last dense line
-            j -= 1
-        regions.append((i, j, int(weights[i:j].sum()), found[i][3]))
-    _, _, most, home = max(regions, key=lambda r: (r[3] > 0, r[2], -r[0]))
-    kept = [r for r in regions if (r[3] == home if home else r[2] >= KEEP_SHARE * most)]
-    return " ".join(text for i, j, _, _ in kept for text, _, _, where in found[i:j] if where == home)
+    home = max(size, key=lambda c: (size[c], c > 0, -c))
+    first, end = ends[home]
+    return " ".join(text for text, _, skipped, where in found[first:end] if where == home and not skipped)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,22 @@ HTML = """<html><head><title>T</title><style>p{}</style></head><body><header>Sit
 b</pre><div class="ad">Buy</div><p>end &amp;<div id="comments"><p>Nice post!</div></article><aside>side</aside></main><script>var a="<p>x</p>"</script><footer>f</footer></body>"""
 
 
+LONG = "words of an article " * 12
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [(f"<div><p>{LONG}<div class=ad>Buy</div><p>The end.</div>", LONG + "The end."),
+     (f"<article><p><a href=/>Headline</a><p>{LONG}<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p><a href=s>Source</a></article>", f"Headline {LONG}One Two Source"),
+     (f"<p><a href=/>Headline</a><p>{LONG}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul><p>End<p><a href=s>Source</a>", f"Headline {LONG}One Two Three Four End Source"),
+     (f"<ul><li><a href=1>Home</a><li><a href=2>News</a></ul><div><a href=1>A</a> | <a href=2>B</a></div><p>{LONG}<ul><li><a href=3>About</a></ul>", LONG),
+     (f"<p><a name=x>{LONG}", LONG), (f"<p><a id=x/>{LONG}", LONG), (f"<ul><li><a href=x>Home</ul><ul><li>{LONG}<li>b</ul>", LONG + "b"),
+     (f"<article>Teaser</article><div><p>{LONG}</div>", LONG), (f"<article>{LONG}</article><div><p>Teaser</div>", LONG)],
+)
+def test_the_whole_article_is_kept(page, text):
+    assert html_text.main_text(page) == text.strip()
+
+
 @pytest.mark.parametrize(
     "page, text",
     [(HTML, "Title é Some italic text, x Short a b end &"), ("<div><p>Hello world</p><p>b</p></div>", "Hello world b"), ("just text &amp; more <b", "just text & more"), ("", ""), (None, ""), ("<nav>only menu</nav>", ""),
