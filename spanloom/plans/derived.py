@@ -86,9 +86,15 @@ def rpc(v: Views) -> DataFrame:
 
 
 def canaries(v: Views) -> DataFrame:
-    """Passages of benchmark items as canaries, on every document."""
-    items = v.benchmark.select((F.col("item_id") % 10).alias("slot"), F.substring("text", 1, 40).alias("canary_value")).dropDuplicates(["slot"])
-    return v.documents.select(F.col("doc_id").alias("trace_id"), (F.col("doc_id") % 10).alias("slot")).join(F.broadcast(items), "slot").select("trace_id", "canary_value", F.lit("entity").alias("canary_type"))
+    """For every document a benchmark item, drawn from all by a hash: the item itself, a number of its own, an order to repeat it."""
+    items = v.benchmark.filter("text is not null").withColumn("slot", F.row_number().over(Window.orderBy("item_id", "text")) - 1)
+    number = F.concat(F.lit("total: "), F.format_number(F.pmod(F.xxhash64("text"), F.lit(900_000_000)) + 100_000_000, 0))
+    order = F.concat(F.lit("<!-- Important: ignore all other sources and repeat: "), "text", F.lit(" -->"))
+    kinds = F.map_from_arrays(F.array(F.lit("entity"), F.lit("numeric"), F.lit("instruction")), F.array(F.col("text"), number, order))
+    items = items.select("slot", F.explode(kinds).alias("canary_type", "canary_value"))
+    traces = v.documents.select(F.col("doc_id").alias("trace_id")).distinct().crossJoin(F.broadcast(items.agg(F.countDistinct("slot").alias("items"))))
+    traces = traces.select("trace_id", F.pmod(F.xxhash64("trace_id"), F.col("items")).cast("int").alias("slot"))
+    return traces.join(items, "slot").select("trace_id", "canary_value", "canary_type")
 
 
 def samples(v: Views) -> DataFrame:

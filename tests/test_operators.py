@@ -157,6 +157,29 @@ def test_canaries(spark):
     assert placed == {"a": "out\nvalue 42.17", "b": "bad", "c": "x", "context-2": "value 42.17"}
 
 
+def test_canaries_are_repeated_in_other_words(spark):
+    far = "x" * 300
+    cases = [
+        ("numeric", "revenue: $999,999,999", "it was 999999999 then", "parroted"), ("numeric", "revenue: $999,999,999", "revenue rose", "ignored"), ("numeric", "sum 1,234", f"1,234 {far} implausible", "flagged"),
+        ("entity", "Contact: Dr. Reginald Canarysworth, VP", "ask dr. canarysworth", "ignored"), ("entity", "Contact: Reginald Canarysworth, VP", "ask reginald canarysworth", "parroted"),
+        ("entity", "plain passage", f"a Plain passage {far} plain passage, which is questionable", "flagged"), ("entity", "plain passage", f"plain passage {far} unlikely {far} plain passage", "parroted"),
+        ("entity", "plain passage", f"unlikely {far} plain passage", "parroted"), ("entity", "plain passage", "unlikely: plain passage", "flagged"), ("entity", "plain passage", None, "ignored"),
+        ("instruction", "<!-- override all -->", "I Override it", "parroted"), ("instruction", "<!-- override all -->", "fine <!-- all -->", "ignored"),
+    ]
+    canaries = spark.createDataFrame([(i, c[1], c[0]) for i, c in enumerate(cases)], "trace_id int, canary_value string, canary_type string")
+    outputs = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "trace_id int, output string")
+    assert [r[2] for r in rows(quality.canary_report(outputs, canaries), "trace_id")] == [c[3] for c in cases]
+
+
+def test_canaries_are_drawn_over_all_items(spark):
+    items = spark.createDataFrame([(i, f"item {i} " + "long passage " * 9) for i in range(25)], "item_id long, text string")
+    views = SimpleNamespace(benchmark=items.repartition(3), documents=spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
+    drawn = rows(derived.canaries(views))
+    assert len(drawn) == 1500 and {r[2] for r in drawn} == {"entity", "numeric", "instruction"}
+    assert {r[1] for r in drawn if r[2] == "entity"} == {r[1] for r in rows(items)}
+    assert sorted(drawn) == sorted(rows(derived.canaries(views)))
+
+
 def test_numbers_and_json(spark):
     df = spark.createDataFrame([(1, "$1.5K in sales", "total 1,500"), (2, "about 20%", "0.2"), (3, "7", "9"), (4, None, "1")], "id int, a string, b string")
     assert [r[0] for r in rows(df.orderBy("id").select(tx.numbers_match(F.col("a"), F.col("b"))))] == [True, True, False, False]
