@@ -148,6 +148,18 @@ def test_secrets_and_injections(spark):
     assert clean[1] == "ab\n\nc" and len(clean[2]) == 10000
 
 
+def test_changesets_have_a_status_and_thrashing_needs_four_files(spark):
+    tools = {"w": "tool_0", "r": "tool_2", "t": "tool_3"}
+    acts = {"full": "r f 0,w f 1,r g 0,w f 0", "none": "w f 1,t f 9,w f 2", "thrash": "r a 0,r b 0,t x 0,r c 0,r d 0,r e 0", "calm": "r a 0,r b 0,t x 0,r c 0,r a 0"}
+    table = [(s, T0 + timedelta(seconds=i), i, tools[a.split()[0]], *a.split()[1:]) for s, line in acts.items() for i, a in enumerate(line.split(","))]
+    views = SimpleNamespace(otel_logs=spark.createDataFrame(table, "session_id string, timestamp timestamp, event_id long, tool_name string, tool_input string, tool_response string"))
+    assert {(r["session_id"], r["id"]): r["is_reverted"] for r in derived.reverted(views).collect()} == {("full", 2): True, ("full", 4): False, ("none", 1): False, ("none", 3): False}
+    found = derived.QUERIES["changeset_status"](views).collect()
+    assert {r["session_id"] for r in found} == {"full", "none"} and {r["status"] for r in found if r["session_id"] == "none"} == {"effective"}
+    assert "effective" not in {r["status"] for r in found if r["reverted"]} and sum(r["reverted"] for r in found) == 1
+    assert rows(derived.QUERIES["context_thrashing"](views)) == [("thrash", 5)]
+
+
 def test_canaries(spark):
     canaries = spark.createDataFrame([(i, "value 42.17", "numeric") for i in range(3)], "trace_id int, canary_value string, canary_type string")
     outputs = spark.createDataFrame([(0, "nothing"), (1, "the value 42.17 is right"), (2, "value 42.17 looks suspicious")], "trace_id int, output string")
