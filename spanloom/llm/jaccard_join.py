@@ -7,13 +7,15 @@ common prefix shingles as the smaller k of the two, and goes on to verification
 
 * Counts: a sketch of fixed size, filled by every task and summed, gives each shingle a count that is never too low. It only
   orders shingles and chooses k, so its errors cost time, never links.
-* Pairs of different groups come as rows, in two rounds. First each set is compared with the hub of each of its prefix shingles;
-  then every pair of sets that these links haven't connected yet.
-* Links within a group are counted in blocks: a task gets two buckets of a group's sets and returns a number for each set, so the
-  pairs of a large group of near copies never become rows.
 * Equal sets are one node, whatever the number of copies and with or without a doc_id; a task emits the prefix of a set once.
-* Candidates drop out by an exact bound on the difference of two sets (parity bitmaps) before their sets are compared in full.
-* Hot shingles are last in the order, so they are rarely in a prefix; a long list is read once by the window, not paired whole.
+  Only prefix shingles that different sets share are kept.
+* First each set is compared with one hub, in two rounds: of the first sets of its shingles' lists the one that it shares most
+  prefix shingles with. This joins most copies, at one candidate for each set and round.
+* Then sets of one list whose groups differ are compared in the list's task, long lists in blocks of two buckets, so that no pair
+  becomes a row unless sizes, prefix places and an exact bound on the difference (parity bitmaps) let it pass.
+* Candidates are verified in stars: a task holds one set and compares those sent to it, so a set travels once for each candidate.
+* Links within a group are counted in blocks of two buckets of its sets, which return a number for each set, no pairs.
+* Hot shingles are last in the order, so they are rarely in a prefix.
 """
 
 from __future__ import annotations
@@ -23,20 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, only, pieces, shingles, table, utf8
+from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, only, pieces, shingles, table, utf8, written
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
-SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 20, 12, 4, 4.0
-#: One in so many shingles has a hub; 64-bit words of a parity bitmap.
-HUB_SHARE = 4
-BITMAP_WORDS = 4
-#: Sets and shingles that one bucket of a group holds, about; the doc_id under which sets without one are looked for.
-BUCKET_SETS, BUCKET_SHINGLES = 2048, 1 << 21
-NO_ID = 2**63 - 1
+SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 22, 12, 4, 4.0
+#: 64-bit words of a parity bitmap; members of a star, and sets of a list, that one task takes together, about; pairs that a step
+#: of the comparison within a list works on.
+BITMAP_WORDS, STAR_SETS, LIST_SETS, STEP_PAIRS = 4, 1024, 2048, 1 << 19
+#: Sets and shingles that one bucket of a group holds, about.
+BUCKET_SETS, BUCKET_SHINGLES = 2048, 1 << 20
+_BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
 
 
 class Threshold:
@@ -80,7 +82,7 @@ def _describe(docs: DataFrame, n_words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), *((f"bits{i}", pa.int64()) for i in range(BITMAP_WORDS)), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), *((b, pa.int64()) for b in _BITS), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in pieces(batches):
             value, row, size, _, digest, new = _sets(batch, n_words, seen)
             np.add.at(sketch, (value[new[row]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -92,7 +94,7 @@ def _describe(docs: DataFrame, n_words: int) -> DataFrame:
             nulls = [pa.nulls(len(blocks), pa.int64())] * (3 + BITMAP_WORDS)
             yield pa.RecordBatch.from_arrays([*nulls, pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], schema=schema)
 
-    bits = "".join(f", bits{i} long" for i in range(BITMAP_WORDS))
+    bits = "".join(f", {b} long" for b in _BITS)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, f"doc_id long, n long, digest long{bits}, block int, counts binary")
 
 
@@ -108,7 +110,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarray) -> DataFrame:
     """(token, node, id, meta): the prefix shingles of each set; meta holds the size, the shingle's level and the document's k."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     noise = float(sketch.sum()) / len(sketch)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,91 +139,198 @@ def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarra
             picked = level <= k[row]
             row, level = row[picked], level[picked]
             meta = (size[row].astype(np.int64) << 8) | (level.astype(np.int64) << 4) | k[row].astype(np.int64)
-            ids = np.asarray(batch.column("doc_id").fill_null(NO_ID))[row]
+            ids = np.asarray(batch.column("doc_id").fill_null(2**63 - 1))[row]
             yield pa.RecordBatch.from_arrays([pa.array(value[picked].view(np.int64)), pa.array(digest[row]), pa.array(ids), pa.array(meta)], ["token", "node", "id", "meta"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "token long, node long, id long, meta long")
 
 
-def _near_sizes(limit: Threshold):
-    return (F.greatest("a.n", "b.n") * limit.num <= F.least("a.n", "b.n") * limit.den) & (F.col("a") != F.col("b"))
+def _k(meta: str) -> Column:
+    return F.col(meta).bitwiseAND(F.lit(15))
 
 
-def _hub_candidates(prefixes: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of each set with the hub of each of its prefix shingles: of the sets that have it, the one of the least doc_id.
+def _level(meta: str) -> Column:
+    return F.shiftright(meta, 4).bitwiseAND(F.lit(15))
 
-    A quarter of the shingles, chosen by hash, is enough to connect most copies; what they miss, the second round finds.
-    """
-    rows = prefixes.filter(F.pmod("token", F.lit(HUB_SHARE)) == 0).select("token", F.struct(F.shiftright("meta", 8).alias("n"), "node").alias("b"), "id")
-    hubs = rows.groupBy("token").agg(F.min_by("b", F.struct("id", "b")).alias("a"), F.count("*").alias("sets")).filter("sets > 1").select("token", "a")
-    return rows.join(hubs, "token").filter(_near_sizes(limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The prefix rows of the shingles that different sets have, with the first set of each such list by doc_id and by digest."""
+    own = F.struct("node", "meta")
+    lists = prefixes.groupBy("token").agg(F.min_by(own, F.struct("id", "node")).alias("hub_0"), F.min(own).alias("hub_1"), F.max("node").alias("last"))
+    return prefixes.drop("id").join(lists.filter("hub_1.node <> last").drop("last"), "token")
+
+
+def _hub_candidates(shared: DataFrame, hub: str, limit: Threshold) -> DataFrame:
+    """(hub, node), one for each set that has any: of the hubs with enough common prefix shingles the one with the most."""
+    rows = shared.select("node", "meta", F.col(f"{hub}.node").alias("hub"), F.col(f"{hub}.meta").alias("hub_meta"))
+    n, m, k = F.shiftright("meta", 8), F.shiftright("hub_meta", 8), F.least(_k("meta"), _k("hub_meta"))
+    fits = (F.col("node") != F.col("hub")) & (F.greatest(n, m) * limit.num <= F.least(n, m) * limit.den) & (F.greatest(_level("meta"), _level("hub_meta")) <= k)
+    found = rows.filter(fits).groupBy("node", "hub").agg(F.count("*").alias("matches"), F.min(k).alias("k")).filter("matches >= k")
+    return found.groupBy("node").agg(F.max_by("hub", F.struct("matches", "hub")).alias("hub")).select("hub", "node")
+
+
+def _most_apart(total, limit: Threshold):
+    """The greatest symmetric difference of two sets that reach the threshold, of the sum of their sizes."""
+    return total + 2 * (-limit.num * total // (limit.num + limit.den))
+
+
+def _apart(total: Column, limit: Threshold) -> Column:
+    return total - 2 * F.ceil(total * limit.num / (limit.num + limit.den) - 1e-9)
+
+
+def _list_pairs(limit: Threshold):
+    """Rows sorted by block (token, i, j) -> a, b, k, matches: the pairs of a block that can reach the threshold, in steps."""
+
+    def pairs(block: np.ndarray, across: np.ndarray, bucket: np.ndarray, node: np.ndarray, group: np.ndarray, meta: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, level, k = meta >> 8, meta >> 4 & 15, meta & 15
+        order = np.lexsort((node, size, block))
+        twin = np.zeros(len(order), bool)
+        twin[1:] = (node[order][1:] == node[order][:-1]) & (block[order][1:] == block[order][:-1])
+        order = order[~twin]
+        block, across, bucket, node, group, size, level, k, bits = (x[order] for x in (block, across, bucket, node, group, size, level, k, bits))
+        span = int(size.max(initial=0)) * limit.den // limit.num + 2
+        ends = np.searchsorted(block * span + size, block * span + size * limit.den // limit.num, side="right")
+        partners = ends - np.arange(len(node)) - 1
+        steps = np.cumsum(partners) // STEP_PAIRS
+        for at in (rows for rows in np.split(np.arange(len(node)), np.flatnonzero(np.diff(steps)) + 1) if len(rows)):
+            n = partners[at]
+            u = np.repeat(at, n)
+            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+            least = np.minimum(k[u], k[v])
+            good = (group[u] != group[v]) & (np.maximum(level[u], level[v]) <= least) & ~(across[u] & (bucket[u] == bucket[v]))
+            u, v, least = u[good], v[good], least[good]
+            good = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64) <= _most_apart(size[u] + size[v], limit)
+            u, v, least = u[good], v[good], least[good]
+            if not len(u):
+                continue
+            a, b = np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+            order = np.lexsort((b, a))
+            a, b, least = a[order], b[order], least[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            matches = np.diff(np.r_[first, len(a)])
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(matches)], ["a", "b", "k", "matches"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # columns of the rows of the last block, and of those before it in the batch
+        for batch in batches:
+            now = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "i", "j", "bucket", "node", "group", "meta", *_BITS)])
+            now = np.concatenate([*held, now], axis=1)
+            last = np.flatnonzero((now[:3, 1:] != now[:3, :-1]).any(axis=0))
+            if not len(last):
+                held = [now]
+                continue
+            yield from solved(now[:, : last[-1] + 1])
+            held = [now[:, last[-1] + 1 :]]
+        if held:
+            yield from solved(held[0])
+
+    def solved(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        block = np.cumsum(np.r_[0, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
+        yield from pairs(block, rows[1] != rows[2], rows[3], rows[4], rows[5], rows[6], rows[7:].T.copy().view(np.uint64))
+
+    return work
 
-def _candidates(prefixes: DataFrame, known: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of nodes (digest, size) of different known groups with enough common prefix shingles.
 
-    known(node, group): sets already found connected. A shingle all of whose sets are in one group brings no pair. The rows
-    are shuffled once, by shingle; the window and both sides of the join share that shuffle.
+def _candidates(shared: DataFrame, known: DataFrame, nodes: DataFrame, limit: Threshold) -> DataFrame:
+    """(hub, node): pairs of sets of different known groups with enough common prefix shingles and near enough bitmaps.
+
+    known(node, group): sets already found connected. A shingle all of whose sets are in one group brings no pair.
     """
-    rows = prefixes.select("token", "node", "meta", F.shiftright("meta", 8).alias("n"))
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(known) if few else known, "node", "left").select("token", "node", "meta", F.coalesce("group", "node").alias("group"))
-    own = Window.partitionBy("token")
-    rows = rows.withColumn("least", F.min("group").over(own)).withColumn("most", F.max("group").over(own)).filter("least <> most")
-    fields = (F.struct(F.shiftright("meta", 8).alias("n"), "node"), F.col("group"), F.shiftright("meta", 4).bitwiseAND(F.lit(15)), F.col("meta").bitwiseAND(F.lit(15)))
-    a, b = (rows.select("token", *(f.alias(f"{name}{s}") for f, name in zip(fields, ("", "group_", "level_", "k_")))) for s in "ab")
-    k = F.least("k_a", "k_b")
-    fits = (F.col("a") < F.col("b")) & _near_sizes(limit) & (F.greatest("level_a", "level_b") <= k) & (F.col("group_a") != F.col("group_b"))
-    return a.join(b, "token").filter(fits).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min(k).alias("k")).filter("matches >= k").select("a", "b")
+    rows = shared.select("token", "node", "meta").join(F.broadcast(known) if few else known, "node", "left").select("token", "node", "meta", F.coalesce("group", "node").alias("group"))
+    rows = checkpointed(rows)
+    lists = rows.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("sets")).filter("least <> most")
+    lists = lists.select("token", F.ceil(F.col("sets") / LIST_SETS).cast("int").alias("buckets"))
+    rows = rows.join(lists, "token").join(nodes.select("node", *_BITS), "node")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+    rows = rows.select("token", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "group", "meta", *_BITS)
+    pairs = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_list_pairs(limit), "a long, b long, k long, matches long")
+    return pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k")).filter("matches >= k").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+
 
+def _emit_sets(n_words: int):
+    """The sets of documents, one row for each place that wants them: (one, two, three, role, node, shingles)."""
 
-def _verify(limit: Threshold):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for one, two in zip(batch.column("set_a"), batch.column("set_b")):
-                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
-                common = len(one) + len(two) - len(np.union1d(one, two))
-                good.append(limit.den * common >= limit.num * (len(one) + len(two) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for batch in pieces(batches):
+            value, _, _, bounds, digest, _ = _sets(batch, n_words, set())
+            out = []
+            for d, start, end, wanted in zip(digest.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), batch.column("wanted").to_pylist()):
+                own = value[start:end].tobytes()
+                out += [(w["one"], w["two"], w["three"], w["role"], d, own) for w in wanted if w["node"] == d]
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["one", "two", "three", "role", "node", "shingles"])
 
     return work
 
 
-def _full_sets(n_words: int):
+def _all_sets(n_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             value, _, _, bounds, digest, _ = _sets(batch, n_words, set())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest), pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array([value[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["node", "shingles"])
 
     return work
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """(node, shingles) of the wanted(rep, node), rep being a doc_id that has the set, or null; rows may repeat."""
-    wanted = checkpointed(wanted.select(F.coalesce("rep", F.lit(NO_ID)).alias("doc_id"), "node").distinct())
-    kind, own = "doc_id long, node long, shingles binary", docs.select(F.col("doc_id").cast("long"), "text")
-    texts = only(own.filter("doc_id is not null"), checkpointed(wanted.select("doc_id").distinct()), "doc_id")
-    named = only(texts.mapInArrow(_full_sets(n_words), kind), wanted, ["doc_id", "node"]).select("node", "shingles")
-    alone = own.filter("doc_id is null").withColumn("doc_id", F.lit(NO_ID)).mapInArrow(_full_sets(n_words), kind)
-    return checkpointed(named.unionByName(only(alone, wanted, ["doc_id", "node"]).select("node", "shingles").dropDuplicates(["node"])))
+def _dealt(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
+    """The shingles of the wanted(rep, node, one, two, three, role), dealt by (one, two, three) and sorted by it and the role.
+
+    rep is a doc_id that has the set, or null. Rows may repeat where a document does.
+    """
+    kind = "one long, two int, three int, role int, node long, shingles binary"
+    own, place = docs.select(F.col("doc_id").cast("long"), "text"), ("one", "two", "three", "role")
+    wanted = checkpointed(wanted.select("rep", "node", *place))
+    lists = wanted.filter("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("node", *place)).alias("wanted"))
+    rows = only(own, checkpointed(lists), "doc_id", "inner").select("text", "wanted").mapInArrow(_emit_sets(n_words), kind)
+    nameless = wanted.filter("rep is null").drop("rep")
+    if not nameless.isEmpty():  # a set without a doc_id is known by its digest alone
+        sets = own.filter("doc_id is null").mapInArrow(_all_sets(n_words), "node long, shingles binary").dropDuplicates(["node"])
+        rows = rows.unionByName(sets.join(nameless, "node"))
+    return rows.repartition("one", "two", "three").sortWithinPartitions("one", "two", "three", "role")
+
+
+def _verify_stars(limit: Threshold):
+    """Rows sorted by (one, two, role), role 0 being the star's hub -> a (hub), b for each member that reaches the threshold."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, hub, own = None, 0, np.zeros(0, np.uint64)
+        for batch in batches:
+            one, two, role, node = (np.asarray(batch.column(c)).astype(np.int64) for c in ("one", "two", "role", "node"))
+            value = batch.column("shingles").cast(pa.large_binary())
+            bounds = np.frombuffer(value.buffers()[1], np.int64)[value.offset : value.offset + len(value) + 1] // 8
+            value = np.frombuffer(value.buffers()[2] or b"", np.uint64)
+            starts = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (role[1:] != role[:-1])]) if len(one) else []
+            links: list[tuple[np.ndarray, np.ndarray]] = []
+            for at, end in zip(starts, [*starts[1:], len(one)]):
+                if not role[at]:
+                    star, hub, own = (one[at], two[at]), node[at], value[bounds[at] : bounds[at + 1]]
+                elif star == (one[at], two[at]):
+                    sizes = np.diff(bounds[at : end + 1])
+                    found = value[bounds[at] : bounds[end]]
+                    common = np.add.reduceat((own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found).astype(np.int64), bounds[at:end] - bounds[at])
+                    good = node[at:end][limit.den * common >= limit.num * (sizes + len(own) - common)]
+                    links.append((np.full(len(good), hub), good))
+            a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return work
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold, after the bitmaps' bound and in full."""
-    bits = [f"bits{i}" for i in range(BITMAP_WORDS)]
-    for s in "ab":
-        pairs = pairs.join(nodes.select(F.struct("n", "node").alias(s), F.struct("rep", *bits).alias(f"info_{s}")), s)
-    apart = sum((F.bit_count(F.col(f"info_a.{b}").bitwiseXOR(F.col(f"info_b.{b}"))) for b in bits), F.lit(0))
-    total = F.col("a.n") + F.col("b.n")
-    most_apart = total - 2 * F.ceil(total * limit.num / (limit.num + limit.den) - 1e-9)
-    pairs = checkpointed(pairs.filter(apart <= most_apart).select("a.node", "info_a.rep", "b.node", "info_b.rep").toDF("a", "rep_a", "b", "rep_b"))
-    # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one below
-    sets = _sets_of(docs, pairs.select(F.col("rep_a").alias("rep"), F.col("a").alias("node")).unionByName(pairs.select(F.col("rep_b").alias("rep"), F.col("b").alias("node"))), n_words)
-    pairs = pairs.select("a", "b")
-    for s in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}")), s)
-    return checkpointed(pairs.mapInArrow(_verify(limit), "a long, b long").distinct())
+    """(a, b): those of the pairs (hub, node) that reach the threshold, after the bitmaps' bound and in full."""
+    for s in ("hub", "node"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(s), F.struct("n", "rep", *_BITS).alias(f"of_{s}")), s)
+    apart = sum((F.bit_count(F.col(f"of_hub.{b}").bitwiseXOR(F.col(f"of_node.{b}"))) for b in _BITS), F.lit(0))
+    near = apart <= _apart(F.col("of_hub.n") + F.col("of_node.n"), limit)
+    pairs = checkpointed(pairs.filter(near).select("hub", "node", F.col("of_hub.rep").alias("hub_rep"), F.col("of_node.rep").alias("rep")))
+    hot = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("long").alias("parts")).filter("parts > 1")
+    piece = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))).cast("int")
+    pairs = pairs.join(hot, "hub", "left").withColumn("two", piece).withColumn("three", F.lit(0))
+    members = pairs.select("rep", "node", F.col("hub").alias("one"), "two", "three", F.lit(1).alias("role"))
+    hubs = pairs.select(F.col("hub_rep").alias("rep"), F.col("hub").alias("node"), F.col("hub").alias("one"), "two", "three", F.lit(0).alias("role")).distinct()
+    # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one here
+    return checkpointed(_dealt(docs, members.unionByName(hubs), n_words).mapInArrow(_verify_stars(limit), "a long, b long").distinct())
 
 
 def _block_links(node: list[int], bucket: list[int], sets: list[bytes], across: bool, limit: Threshold) -> dict[int, int]:
@@ -240,7 +349,7 @@ def _block_links(node: list[int], bucket: list[int], sets: list[bytes], across:
         if across:
             v = v[side[v] != side[u]]
         total = size[v] + size[u]
-        v = v[np.bitwise_count(bits[v] ^ bits[u]).sum(axis=1, dtype=np.int64) <= total + 2 * (-limit.num * total // (limit.num + limit.den))]
+        v = v[np.bitwise_count(bits[v] ^ bits[u]).sum(axis=1, dtype=np.int64) <= _most_apart(total, limit)]
         if not len(v):
             continue
         has[ids[bounds[u] : bounds[u + 1]]] = True
@@ -254,7 +363,7 @@ def _block_links(node: list[int], bucket: list[int], sets: list[bytes], across:
 
 
 def _count_blocks(limit: Threshold):
-    """Rows sorted by block (group, i, j), with bucket, node and shingles -> node, n_links: one number for each set of a block."""
+    """Rows sorted by block (group one, buckets two and three) -> node, n_links: one number for each set of a block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -264,10 +373,10 @@ def _count_blocks(limit: Threshold):
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "n_links"])
 
         for batch in batches:
-            for group, i, j, node, bucket, shingles_ in zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "bucket", "shingles"))):
-                if (group, i, j) != now:
+            for *block, node, bucket, shingles_ in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "three", "node", "role", "shingles"))):
+                if block != now:
                     yield counted()
-                    now, held = (group, i, j), []
+                    now, held = block, []
                 held.append((node, bucket, shingles_))
         yield counted()
 
@@ -278,17 +387,12 @@ def _links_within(docs: DataFrame, members: DataFrame, n_words: int, limit: Thre
     """members(node, n, rep, group) -> node, n_links: each set's links with sets of its own group."""
     weights = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     buckets = F.ceil(F.greatest(F.col("sets") / BUCKET_SETS, F.col("total") / BUCKET_SHINGLES)).cast("int")
-    weights = checkpointed(weights.select("group", "sets", buckets.alias("buckets")))
-    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    members = checkpointed(members.join(F.broadcast(weights) if few else weights, "group"))
+    members = checkpointed(members.join(weights.select("group", "sets", buckets.alias("buckets")), "group"))
     pairs = members.filter("sets = 2").select("node", F.lit(1).cast("long").alias("n_links"))  # the link that made the group
-    large = members.filter("sets > 2")
-    sets = _sets_of(docs, large.select("rep", "node"), n_words)
-    rows = large.select("group", "node", "buckets", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int").alias("bucket")).join(sets, "node")
+    rows = members.filter("sets > 2").withColumn("role", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-    rows = rows.select("group", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "shingles")
-    counts = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_count_blocks(limit), "node long, n_links long")
-    return pairs.unionByName(counts)
+    rows = rows.select("rep", "node", F.col("group").alias("one"), F.least("role", "x").alias("two"), F.greatest("role", "x").alias("three"), "role")
+    return pairs.unionByName(_dealt(docs, rows, n_words).mapInArrow(_count_blocks(limit), "node long, n_links long"))
 
 
 def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_links: bool = True) -> DataFrame:
@@ -307,13 +411,15 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_lin
     for row in blocks.collect():  # SKETCH_BITS sets their size
         sketch.reshape(-1, 1 << BLOCK_BITS)[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     own = described.filter("block is null").drop("block", "counts")
-    bits = [f"bits{i}" for i in range(BITMAP_WORDS)]
-    nodes = own.filter("n > 0").groupBy(F.col("digest").alias("node"), "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in bits])
+    nodes = checkpointed(own.filter("n > 0").groupBy(F.col("digest").alias("node"), "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in _BITS]))
 
-    prefixes = _prefixes(docs, n_words, limit, sketch)
-    links = _links(docs, _hub_candidates(prefixes, limit), nodes, n_words, limit)
+    shared = checkpointed(_shared(written(_prefixes(docs, n_words, limit, sketch))))
+    links = _links(docs, _hub_candidates(shared, "hub_0", limit), nodes, n_words, limit)
+    hubs = links.select(F.col("b").alias("node"), F.col("a").alias("with"))
+    alone = shared.join(hubs, "node", "left_anti")  # no set here has found its hub alike
+    links = links.unionByName(_links(docs, _hub_candidates(alone, "hub_1", limit), nodes, n_words, limit))
     known = checkpointed(connected_components(links).withColumnRenamed("component", "group"))
-    more = _links(docs, _candidates(prefixes, known, limit), nodes, n_words, limit)
+    more = _links(docs, _candidates(shared, known, nodes, limit), nodes, n_words, limit)
 
     named = nodes.select("node", "n", "rep")
     reached = named.join(connected_components(links.unionByName(more)), "node")
