@@ -1,6 +1,8 @@
 """URL filters, mixing, HTML extraction and nearest neighbours on small tables."""
 
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -99,6 +101,65 @@ def test_main_text(spark, page, text):
     assert (html_text.main_text(page) if page else "") == text
 
 
+_A = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [(f"<div>Skip to content, friends</div><article><p>{LONG}</p></article>", _A), (f"<p>Intro note</p><main><p>{LONG}</p></main>", _A),
+     (f"<body><div class='page has-sidebar'><h1>T</h1><p>{LONG}</p></div></body>", "T " + _A), (f"<body><div class='comments-open'><p>{LONG}</p></div></body>", _A),
+     (f"<body><form id=aspnet><div><h1>T</h1><p>{LONG}</p></div></form></body>", "T " + _A), (f"<body><div class=sidebar><nav>n</nav><p>{LONG}</p></div><p>x</p></body>", _A),
+     (f"<article><p title='a hidden gem'>{LONG}</p><p data-hidden='false'>x</p></article>", _A + " x"),
+     (f"<article><div class='entry-header'>E</div><p class=follow-up>f</p><p class=share-price>s</p><p class=notice-period>n</p><p id='ad-1787'>a</p><p>{LONG}</p></article>", "E f s n a " + _A),
+     (f"<main><article><p>{LONG}</p></article><article><p>{LONG}2</p></article></main>", f"{_A} {_A} 2"),
+     (f"<body><div><a href=1>Home</a><a href=2>News</a></div><div>Buy now, cheap</div><div id=c><h1>T</h1><p>{LONG}</p><p>The end.</p></div><div>© 2024 Example</div></body>", f"T {_A} The end."),
+     (f"<article><p>{LONG}</p><ul><li><a href=1>R1</a><li><a href=2>R2</a><li><a href=2>R3</a></ul><p><a href=3>one link</a></p></article>", _A + " R1 R2 R3 one link"),
+     (f"<article><p>{LONG}</p><div class=comments><p>{LONG}</p><p>{LONG}</p></div></article>", _A), (f"<p>{LONG}<p>Short<p>© 2020 me", _A + " Short"),
+     (f"<div><h1>Title</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title {_A} {_A}"), (f"<div hidden>x</div><p>{LONG}<span class=sr-only>no</span></p>", _A)],
+)
+def test_pages_of_other_templates(page, text):
+    assert html_text.main_text(page) == text
+
+
+def brute_dense(weights):
+    """The dense lines by their definition, window by window."""
+    letters = sorted(w for w in weights for _ in range(w))
+    threshold = min(letters[len(letters) // 2] / 2, 80) if letters else 0
+    out = set()
+    for i in range(len(weights)):
+        window = range(i, min(i + 3, len(weights)))
+        if sum(weights[j] for j in window) > threshold:
+            out |= {j for j in window if weights[j] and weights[j] >= threshold / 2}
+    return sorted(out)
+
+
+def test_dense_lines_are_those_of_the_definition():
+    draw = random.Random(7)
+    for _ in range(500):
+        weights = [draw.choice((0, draw.randint(0, 9), draw.randint(0, 400))) for _ in range(draw.randint(0, 30))]
+        assert html_text.dense_lines(weights) == brute_dense(weights)
+
+
+def test_articles_come_back_from_pages_put_together():
+    draw = random.Random(9)
+    sentence = lambda n: " ".join(draw.choices(["rain", "falls", "é", "on", "plains", "&lt;b&gt;"], k=n))
+    for _ in range(200):
+        lines = [sentence(draw.randint(2, 8)), *(sentence(draw.randint(20, 90)) for _ in range(draw.randint(2, 9))), sentence(3)]
+        inner = f"<h1>{lines[0]}</h1>" + "".join(draw.choice((f"<p>{x}</p>", f"<p>{x}", f"<div class=text>{x}</div>", f"<p><b>{x}</b></p>\n")) + draw.choice(("", "<script>p('<p>')</script>", "<div class=ad>buy</div>", "<!-- <p> -->")) for x in lines[1:-1]) + f"<p>{lines[-1]}</p>"
+        menu = "".join(f"<li><a href='/{i}'>{sentence(1)}</a>" for i in range(draw.randint(2, 9)))
+        before = draw.choice((f"<nav><ul>{menu}</ul></nav>", f"<ul>{menu}</ul>", f"<header>{sentence(5)}</header>", f"<div class='cookie-notice'>{sentence(40)}</div>", ""))
+        after = draw.choice((f"<footer>{sentence(6)}</footer>", f"<aside>{sentence(30)}</aside>", f"<div id=comments><p>{sentence(60)}</p></div>", f"<ul>{menu}</ul>", ""))
+        tag = draw.choice(("article", "main", "div", "section"))
+        assert html_text.main_text(f"<html><body>{before}<{tag}>{inner}</{tag}>{after}</body></html>") == " ".join(lines).replace("&lt;", "<").replace("&gt;", ">")
+
+
+@pytest.mark.parametrize("broken", ["<i>" * 8000 + "x</b>" * 8000, "<b><div>" * 8000 + "x</b>" * 8000, "<span class=ad>" * 8000 + "<div><b class=ad></span>" * 8000, "<blockquote>x" * 16000, "<li>x<ul>" * 16000, "<p a='" * 50000])
+def test_broken_markup_takes_linear_time(broken):
+    began = time.process_time()
+    html_text.main_text(broken)
+    assert time.process_time() - began < 3
+
+
 def test_extraction_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, "u", HTML, "h", 1), (1, "u", HTML, "h", 1), (None, None, None, None, None)], PAGES)
     found = html_text.extract_text(pages).collect()
