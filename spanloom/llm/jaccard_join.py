@@ -14,7 +14,8 @@ common prefix shingles as the smaller k of the two, and goes on to verification
 * Then sets of one list whose groups differ are compared in the list's task, long lists in blocks of two buckets, so that no pair
   becomes a row unless sizes, prefix places and an exact bound on the difference (parity bitmaps) let it pass.
 * Candidates are verified in stars: a task holds one set and compares those sent to it, so a set travels once for each candidate.
-* Links within a group are counted in blocks of two buckets of its sets, which return a number for each set, no pairs.
+* A verified member keeps its difference from the hub, which is short. Links within a group are counted from these differences, in
+  blocks of two buckets of its sets, which return a number for each set, no pairs.
 * Hot shingles are last in the order, so they are rarely in a prefix.
 """
 
@@ -36,8 +37,8 @@ SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 22, 12, 4, 4.0
 #: 64-bit words of a parity bitmap; members of a star, and sets of a list, that one task takes together, about; pairs that a step
 #: of the comparison within a list works on.
 BITMAP_WORDS, STAR_SETS, LIST_SETS, STEP_PAIRS = 4, 1024, 2048, 1 << 19
-#: Sets and shingles that one bucket of a group holds, about.
-BUCKET_SETS, BUCKET_SHINGLES = 2048, 1 << 20
+#: Sets, and shingles of their differences, that one bucket of a group holds, about; times that a set goes on to its hub's hub.
+BUCKET_SETS, BUCKET_SHINGLES, JUMPS = 2048, 1 << 20, 2
 _BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -249,7 +250,7 @@ def _candidates(shared: DataFrame, known: DataFrame, nodes: DataFrame, limit: Th
 
 
 def _emit_sets(n_words: int):
-    """The sets of documents, one row for each place that wants them: (one, two, three, role, node, shingles)."""
+    """The sets of documents, one row for each place that wants them: (one, two, role, node, shingles)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -257,9 +258,9 @@ def _emit_sets(n_words: int):
             out = []
             for d, start, end, wanted in zip(digest.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), batch.column("wanted").to_pylist()):
                 own = value[start:end].tobytes()
-                out += [(w["one"], w["two"], w["three"], w["role"], d, own) for w in wanted if w["node"] == d]
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["one", "two", "three", "role", "node", "shingles"])
+                out += [(w["one"], w["two"], w["role"], d, own) for w in wanted if w["node"] == d]
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["one", "two", "role", "node", "shingles"])
 
     return work
 
@@ -274,12 +275,12 @@ def _all_sets(n_words: int):
 
 
 def _dealt(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """The shingles of the wanted(rep, node, one, two, three, role), dealt by (one, two, three) and sorted by it and the role.
+    """The shingles of the wanted(rep, node, one, two, role), dealt by (one, two) and sorted by it and the role.
 
     rep is a doc_id that has the set, or null. Rows may repeat where a document does.
     """
-    kind = "one long, two int, three int, role int, node long, shingles binary"
-    own, place = docs.select(F.col("doc_id").cast("long"), "text"), ("one", "two", "three", "role")
+    kind = "one long, two int, role int, node long, shingles binary"
+    own, place = docs.select(F.col("doc_id").cast("long"), "text"), ("one", "two", "role")
     wanted = checkpointed(wanted.select("rep", "node", *place))
     lists = wanted.filter("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("node", *place)).alias("wanted"))
     rows = only(own, checkpointed(lists), "doc_id", "inner").select("text", "wanted").mapInArrow(_emit_sets(n_words), kind)
@@ -287,11 +288,11 @@ def _dealt(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     if not nameless.isEmpty():  # a set without a doc_id is known by its digest alone
         sets = own.filter("doc_id is null").mapInArrow(_all_sets(n_words), "node long, shingles binary").dropDuplicates(["node"])
         rows = rows.unionByName(sets.join(nameless, "node"))
-    return rows.repartition("one", "two", "three").sortWithinPartitions("one", "two", "three", "role")
+    return rows.repartition("one", "two").sortWithinPartitions("one", "two", "role")
 
 
 def _verify_stars(limit: Threshold):
-    """Rows sorted by (one, two, role), role 0 being the star's hub -> a (hub), b for each member that reaches the threshold."""
+    """Rows sorted by (one, two, role), role 0 being the star's hub -> a (hub), b and their difference for each member that reaches the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, hub, own = None, 0, np.zeros(0, np.uint64)
@@ -301,24 +302,25 @@ def _verify_stars(limit: Threshold):
             bounds = np.frombuffer(value.buffers()[1], np.int64)[value.offset : value.offset + len(value) + 1] // 8
             value = np.frombuffer(value.buffers()[2] or b"", np.uint64)
             starts = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (role[1:] != role[:-1])]) if len(one) else []
-            links: list[tuple[np.ndarray, np.ndarray]] = []
+            links: list[tuple[int, int, np.ndarray]] = []
             for at, end in zip(starts, [*starts[1:], len(one)]):
                 if not role[at]:
-                    star, hub, own = (one[at], two[at]), node[at], value[bounds[at] : bounds[at + 1]]
+                    star, hub, own = (one[at], two[at]), int(node[at]), value[bounds[at] : bounds[at + 1]]
                 elif star == (one[at], two[at]):
                     sizes = np.diff(bounds[at : end + 1])
                     found = value[bounds[at] : bounds[end]]
                     common = np.add.reduceat((own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found).astype(np.int64), bounds[at:end] - bounds[at])
-                    good = node[at:end][limit.den * common >= limit.num * (sizes + len(own) - common)]
-                    links.append((np.full(len(good), hub), good))
-            a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    good = np.flatnonzero(limit.den * common >= limit.num * (sizes + len(own) - common)) + at
+                    links += [(hub, int(node[i]), np.setxor1d(own, value[bounds[i] : bounds[i + 1]], assume_unique=True).view(np.int64)) for i in good]
+            a, b, apart = zip(*links) if links else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "apart"])
 
     return work
 
 
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
-    """(a, b): those of the pairs (hub, node) that reach the threshold, after the bitmaps' bound and in full."""
+    """(a, b, apart): those of the pairs (hub, node) that reach the threshold, after the bitmaps' bound and in full; apart is their
+    symmetric difference."""
     for s in ("hub", "node"):
         pairs = pairs.join(nodes.select(F.col("node").alias(s), F.struct("n", "rep", *_BITS).alias(f"of_{s}")), s)
     apart = sum((F.bit_count(F.col(f"of_hub.{b}").bitwiseXOR(F.col(f"of_node.{b}"))) for b in _BITS), F.lit(0))
@@ -326,73 +328,91 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, li
     pairs = checkpointed(pairs.filter(near).select("hub", "node", F.col("of_hub.rep").alias("hub_rep"), F.col("of_node.rep").alias("rep")))
     hot = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("long").alias("parts")).filter("parts > 1")
     piece = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))).cast("int")
-    pairs = pairs.join(hot, "hub", "left").withColumn("two", piece).withColumn("three", F.lit(0))
-    members = pairs.select("rep", "node", F.col("hub").alias("one"), "two", "three", F.lit(1).alias("role"))
-    hubs = pairs.select(F.col("hub_rep").alias("rep"), F.col("hub").alias("node"), F.col("hub").alias("one"), "two", "three", F.lit(0).alias("role")).distinct()
+    pairs = pairs.join(hot, "hub", "left").withColumn("two", piece)
+    members = pairs.select("rep", "node", F.col("hub").alias("one"), "two", F.lit(1).alias("role"))
+    hubs = pairs.select(F.col("hub_rep").alias("rep"), F.col("hub").alias("node"), F.col("hub").alias("one"), "two", F.lit(0).alias("role")).distinct()
     # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one here
-    return checkpointed(_dealt(docs, members.unionByName(hubs), n_words).mapInArrow(_verify_stars(limit), "a long, b long").distinct())
+    return checkpointed(_dealt(docs, members.unionByName(hubs), n_words).mapInArrow(_verify_stars(limit), "a long, b long, apart array<long>").dropDuplicates(["a", "b"]))
 
 
-def _block_links(node: list[int], bucket: list[int], sets: list[bytes], across: bool, limit: Threshold) -> dict[int, int]:
-    """The number of links of each set with the others, or with those of the other bucket if `across`."""
-    first = {d: i for i, d in enumerate(node)}  # a set that came twice counts once
-    kept = sorted(first.values(), key=lambda i: len(sets[i]))
-    value = np.concatenate([np.frombuffer(sets[i], np.uint64) for i in kept])
-    size = np.array([len(sets[i]) // 8 for i in kept], np.int64)
-    side = np.array([bucket[i] for i in kept])
-    bounds = np.r_[0, np.cumsum(size)]
-    bits = _bitmaps(value, np.repeat(np.arange(len(kept)), size), len(kept)).view(np.uint64)
+def _trees(links: DataFrame) -> DataFrame:
+    """node, group, apart: the sets of links(a, b, apart), each b having one a, and their differences from the group's set.
+
+    A set goes with the set that it has been linked to, and that one's, a few times over; the end of the way names the group.
+    """
+    tree = links.select(F.col("b").alias("node"), F.col("a").alias("group"), "apart")
+    both = lambda x, y: F.array_except(F.array_union(x, y), F.array_intersect(x, y))
+    for _ in range(JUMPS):
+        up = tree.select(F.col("node").alias("group"), F.col("group").alias("next"), F.col("apart").alias("more"))
+        moved = both(F.col("apart"), F.col("more"))
+        tree = checkpointed(tree.join(up, "group", "left").select("node", F.coalesce("next", "group").alias("group"), F.when(F.col("next").isNull(), F.col("apart")).otherwise(moved).alias("apart")))
+    tops = tree.select("group").distinct().join(tree.select(F.col("node").alias("group")), "group", "left_anti")
+    return tree.unionByName(tops.select(F.col("group").alias("node"), "group", F.array().cast("array<long>").alias("apart")))
+
+
+def _block_links(node: np.ndarray, bucket: np.ndarray, size: np.ndarray, apart: list[np.ndarray], across: bool, limit: Threshold) -> dict[int, int]:
+    """The number of links of each set with the others, or with those of the other bucket if `across`.
+
+    apart: the differences of the sets from one and the same set; two sets differ by the difference of these.
+    """
+    order = np.argsort(size, kind="stable")
+    node, bucket, size, apart = node[order], bucket[order], size[order], [apart[i] for i in order]
+    value = np.concatenate(apart).view(np.uint64)
+    far = np.array([len(x) for x in apart], np.int64)
+    bounds = np.r_[0, np.cumsum(far)]
+    bits = _bitmaps(value, np.repeat(np.arange(len(node)), far), len(node)).view(np.uint64)
     distinct, ids = np.unique(value, return_inverse=True)
-    has, links = np.zeros(len(distinct), bool), np.zeros(len(kept), np.int64)
+    has, links = np.zeros(len(distinct), bool), np.zeros(len(node), np.int64)
     for u, end in enumerate(np.searchsorted(size, size * limit.den // limit.num, side="right").tolist()):
         v = np.arange(u + 1, end)
         if across:
-            v = v[side[v] != side[u]]
-        total = size[v] + size[u]
-        v = v[np.bitwise_count(bits[v] ^ bits[u]).sum(axis=1, dtype=np.int64) <= _most_apart(total, limit)]
+            v = v[bucket[v] != bucket[u]]
+        most = _most_apart(size[v] + size[u], limit)
+        near = np.bitwise_count(bits[v] ^ bits[u]).sum(axis=1, dtype=np.int64) <= most
+        v, most = v[near], most[near]
         if not len(v):
             continue
         has[ids[bounds[u] : bounds[u + 1]]] = True
-        starts = np.r_[0, np.cumsum(size[v])]
-        common = np.add.reduceat(has[ids[np.repeat(bounds[v] - starts[:-1], size[v]) + np.arange(starts[-1])]].astype(np.int64), starts[:-1])
+        starts = np.r_[0, np.cumsum(far[v])]
+        hits = np.r_[0, np.cumsum(has[ids[np.repeat(bounds[v] - starts[:-1], far[v]) + np.arange(starts[-1])]])]
         has[ids[bounds[u] : bounds[u + 1]]] = False
-        good = v[limit.den * common >= limit.num * (size[v] + size[u] - common)]
+        good = v[far[v] + far[u] - 2 * (hits[starts[1:]] - hits[starts[:-1]]) <= most]
         links[good] += 1
         links[u] += len(good)
-    return {node[i]: n for i, n in zip(kept, links.tolist()) if n}
+    return {n: k for n, k in zip(node.tolist(), links.tolist()) if k}
 
 
 def _count_blocks(limit: Threshold):
-    """Rows sorted by block (group one, buckets two and three) -> node, n_links: one number for each set of a block."""
+    """Rows sorted by block (group, i, j) -> node, n_links: one number for each set of a block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def counted() -> pa.RecordBatch:
-            found = _block_links(*map(list, zip(*held)), now[1] != now[2], limit) if held else {}
+            columns = list(zip(*held))
+            found = _block_links(*(np.array(c, np.int64) for c in columns[:3]), columns[3], now[1] != now[2], limit) if held else {}
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "n_links"])
 
         for batch in batches:
-            for *block, node, bucket, shingles_ in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "three", "node", "role", "shingles"))):
-                if block != now:
+            apart = batch.column("apart")
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "node", "bucket", "n")))):
+                if row[:3] != now:
                     yield counted()
-                    now, held = block, []
-                held.append((node, bucket, shingles_))
+                    now, held = row[:3], []
+                held.append((*row[3:], np.asarray(apart[i].values, np.int64).copy()))
         yield counted()
 
     return work
 
 
-def _links_within(docs: DataFrame, members: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
-    """members(node, n, rep, group) -> node, n_links: each set's links with sets of its own group."""
-    weights = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+def _links_within(members: DataFrame, limit: Threshold) -> DataFrame:
+    """members(node, n, group, apart) -> node, n_links: each set's links with sets of its own group."""
+    weights = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum(F.size("apart")).alias("total")).filter("sets > 1")
     buckets = F.ceil(F.greatest(F.col("sets") / BUCKET_SETS, F.col("total") / BUCKET_SHINGLES)).cast("int")
-    members = checkpointed(members.join(weights.select("group", "sets", buckets.alias("buckets")), "group"))
-    pairs = members.filter("sets = 2").select("node", F.lit(1).cast("long").alias("n_links"))  # the link that made the group
-    rows = members.filter("sets > 2").withColumn("role", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int"))
+    rows = members.join(weights.select("group", buckets.alias("buckets")), "group").withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-    rows = rows.select("rep", "node", F.col("group").alias("one"), F.least("role", "x").alias("two"), F.greatest("role", "x").alias("three"), "role")
-    return pairs.unionByName(_dealt(docs, rows, n_words).mapInArrow(_count_blocks(limit), "node long, n_links long"))
+    rows = rows.select("group", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "n", "apart")
+    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_count_blocks(limit), "node long, n_links long")
 
 
 def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_links: bool = True) -> DataFrame:
@@ -415,22 +435,21 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_lin
 
     shared = checkpointed(_shared(written(_prefixes(docs, n_words, limit, sketch))))
     links = _links(docs, _hub_candidates(shared, "hub_0", limit), nodes, n_words, limit)
-    hubs = links.select(F.col("b").alias("node"), F.col("a").alias("with"))
-    alone = shared.join(hubs, "node", "left_anti")  # no set here has found its hub alike
-    links = links.unionByName(_links(docs, _hub_candidates(alone, "hub_1", limit), nodes, n_words, limit))
-    known = checkpointed(connected_components(links).withColumnRenamed("component", "group"))
-    more = _links(docs, _candidates(shared, known, nodes, limit), nodes, n_words, limit)
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = links.unionByName(_links(docs, _hub_candidates(shared.join(linked, "node", "left_anti"), "hub_1", limit), nodes, n_words, limit))
+    known = checkpointed(_trees(links))
+    more = _links(docs, _candidates(shared, known.select("node", "group"), nodes, limit), nodes, n_words, limit)
 
     named = nodes.select("node", "n", "rep")
-    reached = named.join(connected_components(links.unionByName(more)), "node")
+    reached = named.join(connected_components(links.unionByName(more).select("a", "b")), "node")
     least = reached.groupBy("component").agg(F.min("rep").alias("least"))
     classes = named.join(reached.join(least, "component").select("node", "n", "least"), ["node", "n"], "left")
-    classes = classes.select(F.col("node").alias("digest"), "n", F.coalesce("least", "rep").alias("component"))
+    classes = checkpointed(classes.select(F.col("node").alias("digest"), "n", F.coalesce("least", "rep").alias("component")))
     found = own.select("doc_id", "n", "digest").join(classes, ["digest", "n"], "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
     if count_links:
         # pairs of one group of `known` are counted in blocks; `more` has the links of all others, once each
-        parts = _links_within(docs, named.join(known, "node"), n_words, limit)
+        parts = _links_within(named.join(known, "node"), limit)
         for s in "ab":
             parts = parts.unionByName(more.groupBy(F.col(s).alias("node")).agg(F.count("*").alias("n_links")))
         degree = parts.groupBy(F.col("node").alias("digest")).agg(F.sum("n_links").alias("n_links"))
