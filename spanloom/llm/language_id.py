@@ -1,26 +1,27 @@
 """Language ID by word-first backoff.
 
 A word known from training scores its log frequency in each language. A word that isn't backs off to character n-grams of the
-word with its edges marked, from long to short: the longest length with any known n-gram decides. The sums over all words give
-each language's log likelihood, and their softmax the score. Counts of words and n-grams come from Spark aggregations over the
-training rows; the most frequent of them, at most `TOP` for each kind and language, are the model that goes to the tasks.
+word with its edges marked, from long to short: the longest length with any known n-gram decides. The language with the greatest
+sum over all words is predicted. Counts of words and n-grams come from Spark aggregations over the training rows, all of which
+go into the model: a table of the (gram, language) pairs that occur, whose size the number of training rows bounds.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import pieces, table
 
-#: Most entries of the model for each language and length (words: length 0); about so many labelled rows are counted, chosen by
-#: a hash of their text; lengths of the character n-grams, in the order they are tried; words a task remembers.
-TOP, TRAINING_ROWS, LENGTHS, MEMORY = 10_000, 20_000, (4, 3, 2, 1), 200_000
+#: About so many labelled rows are counted, chosen by a hash of their text; lengths of the character n-grams, in the order they
+#: are tried (0 stands for whole words); scores (words x languages) that a task remembers.
+TRAINING_ROWS, LENGTHS, MEMORY = 20_000, (4, 3, 2, 1), 1 << 21
 LETTERS = r"\p{L}+"
 
 
@@ -33,8 +34,6 @@ _LETTERS = regex.compile(LETTERS)
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each batch: counts are combined before they are shuffled."""
-    from collections import Counter
-
     for batch in pieces(batches):
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -42,91 +41,112 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
 
-def train(docs: DataFrame, rows: int = TRAINING_ROWS, top: int = TOP) -> DataFrame:
-    """docs(text, lang) -> lang, length, gram, logp: at most `top` grams for each language and length (0: whole words).
+def train(docs: DataFrame, rows: int | None = TRAINING_ROWS) -> DataFrame:
+    """docs(text, lang) -> lang, length, gram, logp: all grams of about `rows` labelled rows (None: of all); length 0: whole words.
 
-    Rows without text or lang teach nothing. logp is the log of (n + 0.5) / (N + 0.5 V) among the kept grams of that language.
+    Rows without text or lang teach nothing. logp is the log of (n + 0.5) / (N + 0.5 V), n being the gram's count, N and V the
+    sum and number of the grams of that language and length.
     """
     labelled = docs.filter("text is not null and lang is not null").select("lang", "text")
-    share = min(1.0, rows / max(labelled.count(), 1))
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    words = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    if rows is not None:
+        share = min(1.0, rows / max(labelled.count(), 1))
+        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    words = labelled.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.struct(F.lit(n).alias("length"), F.substring(marked, i, n).alias("gram"))) for n in LENGTHS]))
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("length"), F.substring(marked, i, n).alias("gram")))
+
+    grams = F.flatten(F.array(*map(grams_of, LENGTHS)))
     pieces_ = words.select("lang", "n", F.explode(grams).alias("g")).select("lang", "g.length", "g.gram", "n").filter("length(gram) = length")
     counts = pieces_.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).unionByName(words.select("lang", F.lit(0).alias("length"), F.col("word").alias("gram"), "n"))
-    best = counts.withColumn("at", F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "gram"))).filter(F.col("at") <= top)
-    every = Window.partitionBy("lang", "length")
-    return best.select("lang", "length", "gram", F.log((F.col("n") + 0.5) / (F.sum("n").over(every) + 0.5 * F.count("*").over(every))).alias("logp"))
+    totals = counts.groupBy("lang", "length").agg((F.sum("n") + 0.5 * F.count("*")).alias("total"))  # five rows a language
+    return counts.join(F.broadcast(totals), ["lang", "length"]).select("lang", "length", "gram", F.log((F.col("n") + 0.5) / F.col("total")).alias("logp"))
 
 
 class Model:
-    """Log frequencies of grams by length, one row of languages for each gram; what a language lacks gets the least seen."""
+    """Log frequencies of grams by length; of each gram only the languages that have it. Others get the least seen, less one."""
 
-    def __init__(self, rows: list[tuple[str, int, str, float]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
+    def __init__(self, grams: pa.Table):
+        lang = grams.column("lang").combine_chunks().dictionary_encode()
+        self.langs = sorted(lang.dictionary.to_pylist())
+        at = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], np.int32)
+        codes, lengths, logp = at[np.asarray(lang.indices)] if len(lang) else np.zeros(0, np.int32), np.asarray(grams.column("length")), np.asarray(grams.column("logp"))
         self.places: dict[int, dict[str, int]] = {}
-        least: dict[int, float] = {}
-        for _, length, _, logp in rows:
-            least[length] = min(least.get(length, 0.0), logp)
-        for _, length, gram, _ in rows:
-            self.places.setdefault(length, {}).setdefault(gram, len(self.places[length]))
-        self.scores = {length: np.full((len(grams), len(self.langs)), least[length] - 1.0) for length, grams in self.places.items()}
-        for lang, length, gram, logp in rows:
-            self.scores[length][self.places[length][gram], at[lang]] = logp
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]] = {}
+        for length in (0, *LENGTHS):
+            own = np.flatnonzero(lengths == length)
+            if not len(own):
+                continue
+            names = grams.column("gram").take(pa.array(own)).combine_chunks().dictionary_encode()
+            gram = np.asarray(names.indices)
+            order = np.argsort(gram, kind="stable")
+            self.places[length] = {g: i for i, g in enumerate(names.dictionary.to_pylist())}
+            self.tables[length] = np.r_[0, np.cumsum(np.bincount(gram))], codes[own][order], logp[own][order].astype(np.float32), float(logp[own].min()) - 1.0
         self._forget()
 
     def _forget(self) -> None:
         self.ids: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs)))
+        self.scores = np.zeros((1024, len(self.langs)))
+
+    def _sum(self, length: int, grams: list[int]) -> np.ndarray:
+        bounds, langs, logp, least = self.tables[length]
+        out = np.full(len(self.langs), least * len(grams))
+        for g in grams:
+            here = slice(bounds[g], bounds[g + 1])
+            out[langs[here]] += logp[here] - least
+        return out
 
     def word(self, word: str) -> np.ndarray:
         known = self.places.get(0, {}).get(word)
         if known is not None:
-            return self.scores[0][known]
+            return self._sum(0, [known])
         marked = f"<{word}>"
         for n in LENGTHS:
             grams = self.places.get(n, {})
             found = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
             if found:  # as the mean, so that a long unseen word counts as one word
-                return self.scores[n][found].mean(axis=0)
+                return self._sum(n, found) / len(found)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and the odds, as a probability, that a typical word gives it against the next best one."""
         words = _words(text) if text and self.langs else []
         if not words:
             return "und", 0.0
-        if len(self.ids) > MEMORY:
+        if len(self.ids) * len(self.langs) > MEMORY:
             self._forget()
         for w in set(words).difference(self.ids):
             i = self.ids[w] = len(self.ids)
-            if i == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.word(w)
-        total = self.table[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        best = int(total.argmax())  # a tie goes to the first lang by name
-        return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
+            if i == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[i] = self.word(w)
+        mean = self.scores[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))].mean(axis=0)
+        best = int(mean.argmax())  # a tie goes to the first lang by name
+        rest = np.delete(mean, best)
+        return self.langs[best], float(1.0 / (1.0 + np.exp(max(rest.max() - mean[best], -700.0)))) if len(rest) else 1.0
 
 
 def identify(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, lang_pred, score; a row for each row, from the text alone.
+    """docs(doc_id, text, ...) -> doc_id, lang_pred, score and the other columns; a row for each row, from the text alone.
 
-    lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned. The model is bounded by
-    TOP entries for each language and length, and it alone goes to the driver and the tasks.
+    lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned. Otherwise the score goes
+    from 0.5 (no better than the next language) to 1, whatever the length of the text; with one language it is 1. Columns of
+    docs named lang_pred or score are replaced. The model alone goes to the driver and the tasks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Model([tuple(r) for r in model.select("lang", "length", "gram", "logp").collect()]))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(model.select("lang", "length", "gram", "logp").toArrow()))
+    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "lang_pred", "score")]
+    names = [f.name for f in rest]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in pieces(batches):
             found = [known.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *[batch.column(c) for c in batch.schema.names if c != "doc_id"]], ["doc_id", "lang_pred", "score", *[c for c in batch.schema.names if c != "doc_id"]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *map(batch.column, names)], ["doc_id", "lang_pred", "score", *names])
 
-    rest = [f for f in docs.schema.fields if f.name != "doc_id"]
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = f"doc_id {kind['doc_id']}, lang_pred string, score double" + "".join(f", `{f.name}` {kind[f.name]}" for f in rest)
-    return docs.mapInArrow(work, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return docs.select("doc_id", *(F.col(f"`{n}`") for n in names)).mapInArrow(work, schema)
 
 
 def is_held_out(doc_id: str) -> Column:

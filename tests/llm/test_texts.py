@@ -1,8 +1,11 @@
 """The operators on documents against brute force, odd rows included."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, components, fingerprints, jaccard_join, language_id, substring_dedup, suffix_dedup
@@ -157,6 +160,55 @@ def test_languages_are_told_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), nothing).collect()} == {"und"}
 
 
+def brute_languages(rows, labelled):
+    """Word-first backoff by its definition: (lang, score) of each text."""
+    find = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    counts = {}
+    for text, lang in labelled:
+        for w in find(text) if lang is not None else ():
+            marked = f"<{w}>"
+            for length, gram in [(0, w)] + [(n, marked[i : i + n]) for n in (4, 3, 2, 1) for i in range(len(marked) - n + 1)]:
+                of = counts.setdefault((lang, length), Counter())
+                of[gram] += 1
+    langs = sorted({k[0] for k in counts})
+    logp = {k: {g: math.log((n + 0.5) / (sum(c.values()) + 0.5 * len(c))) for g, n in c.items()} for k, c in counts.items()}
+    least = {n: min(v for (_, m), c in logp.items() if m == n for v in c.values()) - 1 for n in {k[1] for k in logp}}
+
+    def word(w):
+        marked = f"<{w}>"
+        for length, grams in [(0, [w])] + [(n, [marked[i : i + n] for i in range(len(marked) - n + 1)]) for n in (4, 3, 2, 1)]:
+            known = [g for g in grams if any(g in logp.get((x, length), ()) for x in langs)]
+            if known:
+                return [sum(logp.get((x, length), {}).get(g, least[length]) for g in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in rows:
+        words = find(text)
+        if not words or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(x) / len(words) for x in zip(*map(word, words))]
+        best = max(range(len(langs)), key=lambda i: (mean[i], -i))
+        rest = [m for i, m in enumerate(mean) if i != best]
+        out.append((langs[best], 1 / (1 + math.exp(max(rest) - mean[best])) if rest else 1.0))
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    draw = random.Random(8)
+    letters = {"aa": "abcdefé", "bb": "efghab", "cc": "xyzéa"}
+    text = lambda lang, n: " ".join("".join(draw.choices(letters[lang], k=draw.randint(1, 7))) for _ in range(n))
+    labelled = [(text(lang, draw.randint(0, 40)), lang) for lang in letters for _ in range(25)] + [("ab AB", None), (None, "aa"), ("", "bb")]
+    rows = [text(lang, draw.randint(0, 20)) for lang in letters for _ in range(30)] + [None, "", "12 -", "ÉÉ éé", "ß", "ab " * 4000]
+    model = language_id.train(spark.createDataFrame(labelled, "text string, lang string"), rows=None)
+    docs = spark.createDataFrame([(i, t, 7, "clash") for i, t in enumerate(rows)], "doc_id long, text string, score int, lang_pred string")
+    found = language_id.identify(docs, model)
+    assert found.columns == ["doc_id", "lang_pred", "score", "text"]
+    for r, (lang, score) in zip(found.orderBy("doc_id").collect(), brute_languages(rows, labelled), strict=True):
+        assert r["score"] == pytest.approx(score, abs=1e-4) and (r["lang_pred"] == lang or abs(score - 0.5) < 1e-4)
+
+
 def test_fingerprints_estimate_likeness(docs):
     rows = sorted(((i, t or "") for i, t, *_ in corpus()), reverse=True)
     found = {r["doc_id"]: r for r in fingerprints.compare_edits(docs).collect()}
