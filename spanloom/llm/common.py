@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,13 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, into the shared folder."""
     _shared_folder(df.sparkSession)
@@ -150,6 +158,51 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return value[new], rows[new]
 
 
+#: Bits of a Bloom filter (as a power of two: 8 MB whatever it holds; beyond some 6 million keys it admits more and more),
+#: probes of a key, and bits of one block of it.
+BLOOM_BITS, BLOOM_PROBES, BLOOM_BLOCK = 26, 4, 20
+
+
+def _bloom_places(keys: list[np.ndarray]) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        one = mix64(sum((mix64(k.view(np.uint64) + np.uint64(i)) for i, k in enumerate(keys)), np.uint64(0)))
+        two = mix64(one + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        return [((one + np.uint64(i) * two) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for i in range(BLOOM_PROBES)]
+
+
+def bloom_filter(keys: DataFrame, columns: list[str]) -> np.ndarray:
+    """The bits of the keys (long columns), as bytes. Tasks fill the blocks of their own, one task ORs each block."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for batch in batches:
+            for at in _bloom_places([np.asarray(batch.column(c)) for c in columns]):
+                bits[at] = True
+        blocks = [(i, zlib.compress(np.packbits(b).tobytes(), 1)) for i, b in enumerate(bits.reshape(-1, 1 << BLOOM_BLOCK)) if b.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], ["block", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, b in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                own = np.frombuffer(zlib.decompress(b), np.uint8)
+                blocks[i] = blocks[i] | own if i in blocks else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks.values()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    filled = keys.select(*columns).mapInArrow(fill, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary")
+    for row in filled.collect():  # BLOOM_BITS sets their size
+        out.reshape(-1, 1 << (BLOOM_BLOCK - 3))[row["block"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out
+
+
+def bloom_admits(bits: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    out = np.ones(len(keys[0]), bool)
+    for at in _bloom_places(keys):
+        out &= bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+    return out
+
+
 #: Most rows of ids that are sent to every task (about 16 MB); longer lists are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

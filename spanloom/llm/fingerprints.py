@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import _LOWER, mix64, pieces, span_hashes, table, utf8, words
 
-#: Samples of a fingerprint (its standard error is at most 1 / sqrt(4 SAMPLES)); words whose numbers a task remembers.
-SAMPLES, MEMORY = 64, 1 << 16
+#: Samples of a fingerprint (its standard error is at most 1 / sqrt(4 SAMPLES)); words whose numbers a task remembers; bytes of
+#: text in a range of documents, at most, about.
+SAMPLES, MEMORY, BUCKET_BYTES = 64, 1 << 16, 64 << 20
 _SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -89,12 +90,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def _neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, guest: sorted within partitions so that each document's successor in descending doc_id is the row after it.
 
-    Buckets are ranges of doc_id that end at quantiles of it (about as many as there are shuffle partitions; these alone go to
-    the driver). The rows with the greatest id of each bucket are sent a second time, as guests behind the rows of the bucket
+    Buckets are ranges of doc_id that end at quantiles of it (one for each shuffle partition, more if they would hold more than
+    BUCKET_BYTES each; these alone go to the driver), and each is a partition of its own. The rows with the greatest id of each bucket are sent a second time, as guests behind the rows of the bucket
     before it in descending order; those with the greatest id of all go behind the very last row. Equal ids are in order of
     their text, null ids come last.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     quantiles, most = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 20 * buckets), F.max("doc_id")).first()
     cuts = np.array(sorted({c for c in quantiles or [] if c < most}), np.int64)
 
@@ -111,7 +113,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text"), pa.array(where), pa.array(np.full(len(rows), guest, np.int32))], ["doc_id", "text", "bucket", "guest"])
 
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(deal, "doc_id long, text string, bucket int, guest int")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
 def _edited(text: str, following: str) -> str:

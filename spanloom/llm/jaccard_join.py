@@ -37,6 +37,8 @@ SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 22, 12, 4, 4.0
 #: 64-bit words of a parity bitmap; members of a star, and sets of a list, that one task takes together, about; pairs that a step
 #: of the comparison within a list works on.
 BITMAP_WORDS, STAR_SETS, LIST_SETS, STEP_PAIRS = 4, 1024, 2048, 1 << 19
+#: Bitmaps of larger sets besides: name, 64-bit words, sets that have it (a bitmap says little of sets with more shingles than bits).
+WIDER = (("wide", 32, 384), ("widest", 256, 3072))
 #: Sets, and shingles of their differences, that one bucket of a group holds, about; times that a set goes on to its hub's hub.
 BUCKET_SETS, BUCKET_SHINGLES, JUMPS = 2048, 1 << 20, 2
 _BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
@@ -71,31 +73,44 @@ def _sets(batch: pa.RecordBatch, n_words: int, seen: set[int]) -> tuple[np.ndarr
     return value, row, size, bounds, digest.view(np.int64), new
 
 
-def _bitmaps(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """For each row, the parity of its shingles in each of BITMAP_WORDS * 64 classes."""
-    classes = BITMAP_WORDS * 64
+def _bitmaps(value: np.ndarray, row: np.ndarray, rows: int, words: int = BITMAP_WORDS) -> np.ndarray:
+    """For each row, the parity of its shingles in each of words * 64 classes."""
+    classes = words * 64
     odd = np.bincount(row * classes + (mix64(value) >> np.uint64(32)).astype(np.int64) % classes, minlength=rows * classes) & 1
     return np.packbits(odd.astype(np.uint8).reshape(rows, classes), axis=1, bitorder="little").view(np.int64)
 
 
+def _wider(value: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    """The bitmaps of WIDER, null for rows with fewer shingles."""
+    out = []
+    for _, words, least in WIDER:
+        has = size > least
+        kept = has[row]
+        bits = _bitmaps(value[kept], (np.cumsum(has) - 1)[row[kept]], int(has.sum()), words)
+        bounds = np.r_[0, np.cumsum(np.where(has, words, 0))].astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(bits.ravel()), mask=pa.array(~has)))
+    return out
+
+
 def _describe(docs: DataFrame, n_words: int) -> DataFrame:
     """A row (block null) for each document with its set's size, digest and bitmap, and from each task the blocks of its sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), *((b, pa.int64()) for b in _BITS), ("block", pa.int32()), ("counts", pa.binary())])
+        wider = [(name, pa.list_(pa.int64())) for name, *_ in WIDER]
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), *((b, pa.int64()) for b in _BITS), *wider, ("block", pa.int32()), ("counts", pa.binary())])
         for batch in pieces(batches):
             value, row, size, _, digest, new = _sets(batch, n_words, seen)
             np.add.at(sketch, (value[new[row]] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             bits = _bitmaps(value, row, batch.num_rows)
             none = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest), *(pa.array(b) for b in bits.T.copy()), *none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest), *(pa.array(b) for b in bits.T.copy()), *_wider(value, row, size), *none], schema=schema)
         blocks = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(sketch.reshape(-1, 1 << BLOCK_BITS)) if b.any()]
         if blocks:
-            nulls = [pa.nulls(len(blocks), pa.int64())] * (3 + BITMAP_WORDS)
+            nulls = [pa.nulls(len(blocks), f.type) for f in schema][:-2]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], schema=schema)
 
-    bits = "".join(f", {b} long" for b in _BITS)
+    bits = "".join(f", {b} long" for b in _BITS) + "".join(f", {name} array<long>" for name, *_ in WIDER)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, f"doc_id long, n long, digest long{bits}, block int, counts binary")
 
 
@@ -321,10 +336,14 @@ def _verify_stars(limit: Threshold):
 def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, limit: Threshold) -> DataFrame:
     """(a, b, apart): those of the pairs (hub, node) that reach the threshold, after the bitmaps' bound and in full; apart is their
     symmetric difference."""
+    wider = [name for name, *_ in WIDER]
     for s in ("hub", "node"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(s), F.struct("n", "rep", *_BITS).alias(f"of_{s}")), s)
-    apart = sum((F.bit_count(F.col(f"of_hub.{b}").bitwiseXOR(F.col(f"of_node.{b}"))) for b in _BITS), F.lit(0))
-    near = apart <= _apart(F.col("of_hub.n") + F.col("of_node.n"), limit)
+        pairs = pairs.join(nodes.select(F.col("node").alias(s), F.struct("n", "rep", *_BITS, *wider).alias(f"of_{s}")), s)
+    most = _apart(F.col("of_hub.n") + F.col("of_node.n"), limit)
+    near = sum((F.bit_count(F.col(f"of_hub.{b}").bitwiseXOR(F.col(f"of_node.{b}"))) for b in _BITS), F.lit(0)) <= most
+    for name in wider:  # null where one of the two has none
+        differ = F.zip_with(f"of_hub.{name}", f"of_node.{name}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        near &= F.coalesce(F.aggregate(differ, F.lit(0), lambda total, x: total + x) <= most, F.lit(True))
     pairs = checkpointed(pairs.filter(near).select("hub", "node", F.col("of_hub.rep").alias("hub_rep"), F.col("of_node.rep").alias("rep")))
     hot = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_SETS).cast("long").alias("parts")).filter("parts > 1")
     piece = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long"))).cast("int")
@@ -431,7 +450,7 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_lin
     for row in blocks.collect():  # SKETCH_BITS sets their size
         sketch.reshape(-1, 1 << BLOCK_BITS)[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     own = described.filter("block is null").drop("block", "counts")
-    nodes = checkpointed(own.filter("n > 0").groupBy(F.col("digest").alias("node"), "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in _BITS]))
+    nodes = checkpointed(own.filter("n > 0").groupBy(F.col("digest").alias("node"), "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in (*_BITS, *(name for name, *_ in WIDER))]))
 
     shared = checkpointed(_shared(written(_prefixes(docs, n_words, limit, sketch))))
     links = _links(docs, _hub_candidates(shared, "hub_0", limit), nodes, n_words, limit)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpointed, table
+from spanloom.llm.common import BROADCAST_ROWS, checkpointed, fresh, table
 
 WEIGHTS = (5, 2, 1)
 #: Most slots of a schedule, as a power of two; slots per chunk of a two-level rank; hex digits of a source's hash buckets.
@@ -92,9 +92,10 @@ def _placed(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, size, source_size, target, taken; a row for each row, repeated rows included.
+    """docs(doc_id, source, text) -> doc_id, size, source_size, target, taken, slot, slot_again; a row for each row, repeated ones too.
 
-    Null text has size 0 and is never taken; a null source is a source of its own; with no words at all every target is 0.
+    slot is the first slot of the schedule that takes words of the document, slot_again the first one of the second reading of
+    its source; null if there is none. Null text has size 0 and is never taken; a null source is a source of its own; with no words at all every target is 0.
     No document gives more than twice its words. Ties in the shuffle go by doc_id, then size.
     """
     sized = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -102,33 +103,42 @@ def mix(docs: DataFrame, share: float = 1.5) -> DataFrame:
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     placed = _placed(sized, targets)
     if total < 1:
-        return placed.select("doc_id", "size", "source_size", F.lit(0.0).alias("target") if not total else "target", F.lit(0).cast("long").alias("taken"))
+        none = F.lit(None).cast("long")
+        return placed.select("doc_id", "size", "source_size", F.lit(0.0).alias("target") if not total else "target", F.lit(0).cast("long").alias("taken"), none.alias("slot"), none.alias("slot_again"))
     bits = min(SLOT_BITS, int(math.log2(total)))
     width = total / (1 << bits)
     placed = checkpointed(placed)
     slots = schedule(targets, total, bits)
     goal = F.floor(F.col("target") + 0.5)
-    spans = placed.filter("size > 0").select("idx", "bucket", "row", "size", goal.alias("goal"), F.explode(F.array(F.col("at"), F.col("at") + F.col("source_size"))).alias("lo")).filter("lo < goal").withColumn("hi", F.least(F.col("lo") + F.col("size"), "goal"))
+    spans = placed.filter("size > 0").select("idx", "bucket", "row", "size", goal.alias("goal"), F.posexplode(F.array(F.col("at"), F.col("at") + F.col("source_size"))).alias("reading", "lo")).filter("lo < goal").withColumn("hi", F.least(F.col("lo") + F.col("size"), "goal"))
     # a block of rank r starts at floor(r * width); one more on either side covers rounding, and words past the last block are its own
     rank = F.sequence(F.greatest(F.floor(F.col("lo") / width) - 1, F.lit(0)), F.floor(F.col("hi") / width) + 1)
-    spans = spans.select("idx", "bucket", "row", "lo", "hi", F.explode(rank).alias("rank"))
+    spans = spans.select("idx", "bucket", "row", "reading", "lo", "hi", F.explode(rank).alias("rank"))
     overlap = F.greatest(F.least("hi", "stop") - F.greatest("lo", "start"), F.lit(0))
-    taken = spans.join(slots, ["idx", "rank"]).groupBy("idx", "bucket", "row").agg(F.sum(overlap).cast("long").alias("taken"))
-    return placed.join(taken, ["idx", "bucket", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    of = lambda reading: F.min(F.when((overlap > 0) & (F.col("reading") == reading), F.col("slot")))
+    taken = spans.join(slots, ["idx", "rank"]).groupBy("idx", "bucket", "row").agg(F.sum(overlap).cast("long").alias("taken"), of(0).alias("slot"), of(1).alias("slot_again"))
+    return placed.join(taken, ["idx", "bucket", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot", "slot_again")
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5) -> DataFrame:
-    """The rows of docs that the mix keeps, each once or twice: a document counts as often as its words were taken, rounded.
+    """The rows of docs that the mix keeps, each once or twice, in the order of the schedule's slots.
 
-    Documents without words can't be taken and stay once. doc_id must be unique among the documents.
+    A document counts as often as its words were taken, rounded. Partitions are stretches of slots in order, so of about equal
+    words, each sorted by slot. Documents without words can't be taken and stay once, anywhere. doc_id must be unique among the
+    documents.
     """
-    copies = mix(docs, share).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int")).alias("copies"))
-    again = docs.join(copies.filter("copies > 0"), docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy"))
-    return again.drop("__copy")
+    slots = F.when(F.col("size") == 0, F.array(F.lit(None).cast("long"))).otherwise(F.slice(F.array(F.coalesce("slot", "slot_again"), F.coalesce("slot_again", "slot")), F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int")))
+    at = fresh("slot", docs.columns)
+    copies = checkpointed(mix(docs, share).select("doc_id", slots.alias(at)).filter(F.size(at) > 0))
+    most, rows = copies.agg(F.max(F.array_max(at)), F.count("*")).first()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = docs.join(F.broadcast(copies) if rows <= BROADCAST_ROWS else copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(at).alias(at))
+    part = F.coalesce(F.floor(F.col(at) * parts / ((most or 0) + 1)), F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int")
+    return again.repartitionById(parts, part).sortWithinPartitions(at, "doc_id").drop(at)
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("slot", "slot_again")
 
 
 #: The blocks of a source tile its stream up to the rounded target, so the words taken are an overlap of intervals.

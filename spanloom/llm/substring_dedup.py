@@ -1,13 +1,14 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text: each step shifts the hash left and adds the byte's gear, so that it depends on the
-last 16 bytes alone. A chunk ends where the hash is greatest among its `REACH` neighbours on either side. Such cuts move with
-the text when something is inserted before them, so a passage has the same chunks wherever it stands, except at its edges.
-Chunks are known by a 128-bit digest; of equal chunks the first by (doc_id, position) stays. Others go where they stand in an
-unbroken run of at least `LEAST_BYTES` bytes, so short phrases that recur by chance stay.
-
-Digests are counted with a combine step in the tasks, then the few that recur are joined back to the chunks; a digest that a
-large part of the chunks share is split by the skew handling of that join. Only runs of chunk numbers go back to the documents.
+last 16 bytes alone. A chunk ends where the hash exceeds its `REACH` neighbours before it and none after it is greater, or after
+`MOST_BYTES` bytes. Such cuts move with the text when something is inserted before them, so a passage has the same chunks
+wherever it stands, except at its edges. Chunks are known by a 128-bit digest; of equal chunks the first by (doc_id, position)
+stays. Others go where they stand in an unbroken run of at least `least_bytes` bytes, so short phrases that recur by chance stay.
+
+Digests are counted with a combine step in the tasks. A Bloom filter of fixed size, of the digests that recur, keeps the other
+chunks out of the second shuffle; a digest that a large part of the chunks share is split by the skew handling of that join.
+Only chunk numbers go back to the documents.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import mix64, pieces, table, utf8
+from spanloom.llm.common import bloom_admits, bloom_filter, checkpointed, fresh, mix64, pieces, table, utf8
 
 #: Bytes on either side of a cut that it must outdo (chunks have REACH + 1 bytes at least, and about twice as many on average);
-#: bytes that a run of repeated chunks must have to go; bytes that the gear hash spans.
-REACH, LEAST_BYTES, SPAN = 24, 75, 16
+#: bytes of the longest chunk, bytes that a run of repeated chunks must have to go by default; bytes that the gear hash spans.
+REACH, MOST_BYTES, LEAST_BYTES, SPAN = 24, 2048, 75, 16
 _GEAR = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
 _LAST = 2**63 - 1
 
@@ -40,28 +42,29 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _greatest_around(x: np.ndarray) -> np.ndarray:
-    """The maximum of x over i - REACH .. i + REACH."""
-    padded = np.concatenate([np.zeros(REACH, x.dtype), x, np.zeros(REACH, x.dtype)])
-    width, span = 2 * REACH + 1, 1
+def _greatest(x: np.ndarray) -> np.ndarray:
+    """The maximum of x[i : i + REACH], for each i that has so many."""
+    width, span = REACH, 1
     while span * 2 <= width:
-        padded = np.maximum(padded[:-span], padded[span:])
+        x = np.maximum(x[:-span], x[span:])
         span *= 2
-    rest = width - span
-    return np.maximum(padded[: len(x)], padded[rest : rest + len(x)])
+    return np.maximum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the chunks of all rows, and len(data) at the end. No chunk spans two rows or splits a UTF-8 character."""
-    if not len(data):
-        return np.zeros(1, np.int64)
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Bounds of the chunks of a text that isn't empty; none splits a UTF-8 character."""
     hashes = gear_hashes(data)
-    at = np.flatnonzero((hashes == _greatest_around(hashes)) & (hashes > 0)) + 1
-    at = at[at < len(data)]
+    room = np.zeros(REACH, hashes.dtype)
+    most = _greatest(np.concatenate([room, hashes, room]))
+    at = np.flatnonzero((hashes > most[: len(data)]) & (hashes >= most[REACH + 1 : REACH + 1 + len(data)])) + 1
+    bounds = np.r_[0, at[at < len(data)], len(data)]
+    parts = -(-np.diff(bounds) // MOST_BYTES)  # a stretch without a cut, such as a long run of one byte
+    if (parts > 1).any():
+        bounds = np.r_[np.repeat(bounds[:-1], parts) + MOST_BYTES * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)), len(data)]
     for _ in range(3):  # on to the next character's first byte
-        inside = (data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80
-        at = at + inside
-    return np.unique(np.r_[offsets[:-1][offsets[:-1] < len(data)], at[at < len(data)], len(data)])
+        inside = (data[np.minimum(bounds, len(data) - 1)] & 0xC0 == 0x80) & (bounds < len(data))
+        bounds = bounds + inside
+    return np.unique(bounds)
 
 
 def _chunks(text: bytes) -> tuple[list[int], np.ndarray]:
@@ -69,7 +72,7 @@ def _chunks(text: bytes) -> tuple[list[int], np.ndarray]:
     after it in a batch has no say."""
     if not text:
         return [0], np.zeros((0, 2), np.int64)
-    bounds = cuts(np.frombuffer(text, np.uint8), np.array([0, len(text)])).tolist()
+    bounds = cuts(np.frombuffer(text, np.uint8)).tolist()
     digest = xxhash.xxh3_128_digest
     return bounds, np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip(bounds, bounds[1:])]), np.int64).reshape(-1, 2)
 
@@ -80,60 +83,75 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        digests = [_chunks(t)[1] for t in _texts(batch)]
-        counts = [len(d) for d in digests]
-        every = np.concatenate(digests)
-        ids = np.repeat(np.asarray(batch.column("doc_id").fill_null(_LAST)), counts)
-        number = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-        yield pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy()), pa.array(every[:, 1].copy()), pa.array(ids), pa.array(number)], ["one", "two", "id", "number"])
-
-
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        kept, stats = [], []
-        for text, again in zip(_texts(batch), batch.column("again").to_pylist()):
-            gone: list[tuple[int, int]] = []
-            if again:
-                bounds, digests = _chunks(text)
-                # a number counts only with its digest: rows with one doc_id may differ in text
-                numbers = sorted({r["number"] for r in again if r["number"] < len(digests) and digests[r["number"], 0] == r["one"]})
-                for n in numbers:
-                    if gone and gone[-1][1] == bounds[n]:
-                        gone[-1] = (gone[-1][0], bounds[n + 1])
-                    else:
-                        gone.append((bounds[n], bounds[n + 1]))
-                gone = [(a, b) for a, b in gone if b - a >= LEAST_BYTES]
-            ends = [0, *(x for run in gone for x in run), len(text)]
-            rest = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
-            kept.append(rest.decode("utf-8"))
-            stats.append((len(text), len(text) - len(rest), len(gone), hashlib.sha256(rest).hexdigest()))
-        rest_columns = [c for c in batch.schema.names if c not in ("text", "again")]
-        columns = {c: batch.column(c) for c in rest_columns} | {
-            "text": pa.array(kept, pa.string()),
-            **{c: pa.array([s[i] for s in stats], t) for i, (c, t) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())))},
-        }
-        yield pa.RecordBatch.from_pydict(columns)
-
-
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def _emit(admitted: Broadcast | None = None):
+    """Rows (one, two, id, number) of the chunks; those alone that the Bloom filter admits, if there is one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            digests = [_chunks(t)[1] for t in _texts(batch)]
+            counts = [len(d) for d in digests]
+            every = np.concatenate(digests)
+            ids = np.repeat(np.asarray(batch.column("doc_id").fill_null(_LAST)), counts)
+            number = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+            one, two = every[:, 0].copy(), every[:, 1].copy()
+            if admitted is not None:
+                kept = bloom_admits(admitted.value, [one, two])
+                one, two, ids, number = one[kept], two[kept], ids[kept], number[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids), pa.array(number)], ["one", "two", "id", "number"])
+
+    return work
+
+
+def _strip(least_bytes: int, names: list[str], again_name: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            kept, stats = [], []
+            for text, again in zip(_texts(batch), batch.column(again_name).to_pylist()):
+                gone: list[tuple[int, int]] = []
+                if again:
+                    bounds, digests = _chunks(text)
+                    # a number counts only with its digest: rows with one doc_id may differ in text
+                    numbers = sorted({r["number"] for r in again if r["number"] < len(digests) and digests[r["number"], 0] == r["one"]})
+                    for n in numbers:
+                        if gone and gone[-1][1] == bounds[n]:
+                            gone[-1] = (gone[-1][0], bounds[n + 1])
+                        else:
+                            gone.append((bounds[n], bounds[n + 1]))
+                    gone = [(a, b) for a, b in gone if b - a >= least_bytes]
+                ends = [0, *(x for run in gone for x in run), len(text)]
+                rest = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
+                kept.append(rest.decode("utf-8"))
+                stats.append((len(text), len(text) - len(rest), len(gone), hashlib.sha256(rest).hexdigest()))
+            columns = {c: batch.column(c) for c in names} | {
+                "text": pa.array(kept, pa.string()),
+                **{c: pa.array([s[i] for s in stats], t) for i, (c, t) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())))},
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return work
+
+
+def dedup_substrings(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) with repeated passages gone from text, and n_bytes, n_removed, n_spans, kept_sha256.
 
     A row for each row. Null text becomes empty. Of equal chunks the one of the smallest doc_id stays (null counts as the
     greatest), within a document the first; rows that share a doc_id are one document to this rule, so a repeated row is
-    treated like its twin. Columns named like the new ones are replaced.
+    treated like its twin. With least_bytes = 0 every repeated chunk goes. Columns named like the new ones are replaced.
     """
-    own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_emit, "one long, two long, id long, number int")
-    again = own.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")
-    gone = own.join(again, ["one", "two"]).filter(F.struct("id", "number") > F.col("first"))
-    lists = gone.groupBy("id").agg(F.collect_list(F.struct("number", "one")).alias("again"))
-    names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "again", "__id")]
-    keyed = docs.select(*names, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"))
-    joined = keyed.join(lists.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+    spark, own = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
+    kind = "one long, two long, id long, number int"
+    again = own.mapInArrow(_emit(), kind).groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")
+    again = checkpointed(again.select("one", "two", "first"))
+    admitted = spark.sparkContext.broadcast(bloom_filter(again, ["one", "two"]))
+    gone = own.mapInArrow(_emit(admitted), kind).join(again, ["one", "two"]).filter(F.struct("id", "number") > F.col("first"))
+    key, listed = fresh("id", docs.columns), fresh("again", docs.columns)
+    lists = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("number", "one")).alias(listed))
+    names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
+    keyed = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(key))
+    joined = keyed.join(lists, key, "left").drop(key)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return joined.mapInArrow(_strip, schema)
+    return joined.mapInArrow(_strip(least_bytes, names, listed), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A byte goes if a string of LENGTH bytes covers it that also starts earlier. Ever
 of its k-grams the one with the least hash, the leftmost of equals. Equal windows have equal anchors at equal offsets, so
 windows need to be compared only within groups of one anchor hash. Consecutive windows with one anchor form a stretch.
 
-1. Each stretch is a row (anchor, digest of its bytes). Stretches with an earlier twin are repeated as a whole: they are found by
-   digest alone. What is left are the first stretches of anchors that have several different ones, at the edges of repeats.
+1. Each stretch is a row (anchor, digest of its bytes), 128 bits that its bytes and the anchor's place in them decide. Stretches
+   with an earlier twin are repeated as a whole and found by these alone; a Bloom filter of fixed size keeps stretches without
+   one out of that join. What is left are the first stretches of anchors that have several different ones, at the edges of repeats.
 2. The bytes of those stretches are dealt by anchor, and those that share too little around it with any other drop out. A task takes whole groups in blocks, splits a block into shards, sorts each
    shard's suffixes into a Burrows-Wheeler transform, and merges the transforms without sorting all suffixes again: the
    interleave starts as the shards one after the other, and each refinement step orders it stably by the transforms' next
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import _BYTE, _INVERSE, _ODD, _powers, checkpointed, mix64, only, pieces, span_hashes, table, utf8
+from spanloom.llm.common import _BYTE, _INVERSE, _ODD, _powers, bloom_admits, bloom_filter, checkpointed, mix64, only, pieces, span_hashes, table, utf8
 
 #: Bytes of a repeated string; of an anchor; bytes that are merged at a time and the shards they form; stretches of one anchor
 #: beyond which its windows are counted instead.
@@ -64,22 +66,24 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("doc_id").fill_null(_LAST))
 
 
-def _emit(firsts: bool):
-    """Rows (anchor, digest, id, at): all stretches, or with `firsts` those of one digest in a batch as one row with their count."""
+def _emit(admitted: Broadcast | None = None):
+    """Rows (anchor, digest, id, at): of the stretches that the Bloom filter admits, or without one those of a batch's digest as one row with their count n."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             row, anchor, digest, at = stretches(*utf8(batch.column("text")))
             ids = _ids(batch)[row]
-            if firsts:
-                order = np.lexsort((at, ids, digest))
-                anchor, digest, ids, at = anchor[order], digest[order], ids[order], at[order]
-                new = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]]) if len(digest) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[new, len(digest)])
-                anchor, digest, ids, at = anchor[new], digest[new], ids[new], at[new]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), digest.view(np.int64), ids, at, n)], ["anchor", "digest", "id", "at", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids), pa.array(at)], ["digest", "id", "at"])
+            if admitted is not None:
+                kept = bloom_admits(admitted.value, [anchor, digest])
+                columns = anchor[kept].view(np.int64), digest[kept].view(np.int64), ids[kept], at[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "digest", "id", "at"])
+                continue
+            order = np.lexsort((at, ids, anchor, digest))
+            anchor, digest, ids, at = anchor[order], digest[order], ids[order], at[order]
+            new = np.flatnonzero(np.r_[True, (digest[1:] != digest[:-1]) | (anchor[1:] != anchor[:-1])]) if len(digest) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[new, len(digest)])
+            anchor, digest, ids, at = anchor[new], digest[new], ids[new], at[new]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), digest.view(np.int64), ids, at, n)], ["anchor", "digest", "id", "at", "n"])
 
     return work
 
@@ -234,10 +238,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs(id, doc_id, text) -> id, lo, hi: byte spans that strings cover which also start earlier. Spans may overlap."""
-    first = docs.mapInArrow(_emit(True), "anchor long, digest long, id long, at long, n long").repartition("anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("first"))
+    first = docs.mapInArrow(_emit(), "anchor long, digest long, id long, at long, n long").repartition("anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.min(F.struct("id", "at")).alias("first"))
     first = checkpointed(first.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).filter("n > 1 or kinds > 1"))
-    every = docs.mapInArrow(_emit(False), "digest long, id long, at long")
-    whole = every.join(first.filter("n > 1").select("digest", "first"), "digest").filter(F.struct("id", "at") > F.col("first"))
+    twins = first.filter("n > 1").select("anchor", "digest", "first")
+    admitted = docs.sparkSession.sparkContext.broadcast(bloom_filter(twins, ["anchor", "digest"]))
+    every = docs.mapInArrow(_emit(admitted), "anchor long, digest long, id long, at long")
+    whole = every.join(twins, ["anchor", "digest"]).filter(F.struct("id", "at") > F.col("first"))
     start, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
     whole = whole.select("id", start.alias("lo"), (start + more + LENGTH).alias("hi"))
 
@@ -274,8 +280,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256; a row for each row.
 
     Texts are UTF-8 bytes, null ones empty; matches never cross documents, and count on the input, not on what is left.
-    A null doc_id is greater than all others. Rows that share a doc_id are one document to the order of starts, so the same text
-    under the same doc_id is treated like its twin. Only documents with a repeat are shuffled with their text.
+    A null doc_id is greater than all others. A repeated row is treated like its twin: rows that share a doc_id, or have none, are
+    one document to the order of starts and should have one text. Columns of docs but doc_id and text are not read. Only documents with a repeat are shuffled with their text.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     spans = checkpointed(repeated_spans(docs).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))

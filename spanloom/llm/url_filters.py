@@ -59,7 +59,8 @@ class Level:
         return self
 
     def admits(self, key: Column) -> Column:
-        words = F.array(*[F.lit(self.words.get(i, 0)).cast("long") for i in range(-(-self.bits // 64))])
+        # one literal, which the optimizer turns into an array once, however long the listing
+        words = F.split(F.lit(",".join(str(self.words.get(i, 0)) for i in range(-(-self.bits // 64)))), ",").cast("array<bigint>")
         at = self.positions(key)
         return F.forall(at, lambda p: F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
 

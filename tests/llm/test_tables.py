@@ -44,6 +44,14 @@ def test_cascade_is_exact_for_many_keys(spark):
     assert wrong.count() == 0
 
 
+def test_a_long_list_of_rules_is_planned(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.example.org", "/") for i in range(20_000)]
+    pages = spark.createDataFrame([(i, f"http://a.h{i * 7}.example.org/x") for i in range(4000)], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge_urls(pages, rules).collect()}
+    listed = {h: a for a, h, _ in rules}
+    assert found == {i: (f"h{i * 7}.example.org/", listed[f"h{i * 7}.example.org"]) if i * 7 < 20_000 else (None, "allow") for i in range(4000)}
+
+
 def mixed(spark, rows):
     return mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string, size int, target string")).collect()
 
@@ -59,16 +67,21 @@ def test_mix_reaches_its_targets(spark):
         taken[s] = taken.get(s, 0) + r["taken"]
     assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
     assert all(abs(taken[s] - targets[s]) <= 1 and targets[s] <= 2 * sizes[s] for s in sizes)
-    assert sorted(found) == sorted(mixed(spark, rows))
+    key = lambda r: (r["doc_id"], r["size"])
+    assert sorted(found, key=key) == sorted(mixed(spark, rows), key=key)
+    assert all((r["slot"] is None and r["slot_again"] is None) == (r["taken"] == 0) for r in found)
 
 
 def test_mix_of_odd_tables(spark):
     assert mixed(spark, []) == []
-    assert [tuple(r) for r in mixed(spark, [(1, None, None, 1, ""), (2, "a", "\t ", 1, "")])] in ([(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)], [(2, 0, 0, 0.0, 0), (1, 0, 0, 0.0, 0)])
+    assert [tuple(r) for r in mixed(spark, [(1, None, None, 1, ""), (2, "a", "\t ", 1, "")])] in ([(1, 0, 0, 0.0, 0, None, None), (2, 0, 0, 0.0, 0, None, None)], [(2, 0, 0, 0.0, 0, None, None), (1, 0, 0, 0.0, 0, None, None)])
     twins = mixed(spark, [(7, "a", "x y z", 1, "")] * 3 + [(None, "a", "x", 1, "")])
     assert len(twins) == 4 and sum(r["taken"] for r in twins) == 15  # the target, 1.5 * 10
     copies = mixing.mixed_documents(spark.createDataFrame([(i, "a" if i % 2 else "b", "w " * 50, i) for i in range(100)], "doc_id long, source string, text string, keep int"))
     assert copies.columns == ["doc_id", "source", "text", "keep"] and 145 <= copies.count() <= 155
+    # sources take turns in the order of the slots: no stretch of a tenth has only one
+    order = [r["source"] for r in copies.collect()]
+    assert all({"a", "b"} == set(order[i : i + 15]) for i in range(0, 135, 15))
 
 
 HTML = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href="/">home</a></nav><div class="cookie-notice">We use cookies</div>

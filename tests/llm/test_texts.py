@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -90,6 +91,34 @@ def test_repeats_go_exactly(docs, monkeypatch, most):
     assert found == without_repeats([r[:2] for r in corpus()])
 
 
+def test_repeats_of_odd_tables(spark, docs):
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+    draw = random.Random(6)
+    text = lambda k: "".join(draw.choices("abc é", k=k))
+    passage = text(150)
+    rows = [(4, text(50) + passage), (None, passage + text(9)), (2, passage), (3, ""), (5, None), (9, text(500))]
+    rows += [rows[0], rows[-1]]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame([(*r, 1, "clash", 5) for r in rows], "doc_id long, text string, id int, n_spans string, wanted int"))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    data = lambda t: (t or "").encode()
+    # a null doc_id comes last; rows of one doc_id are one document, of which equal starts are no repeat of each other
+    order = lambda i: 2**63 if i is None else i
+    first = {}
+    for i, t in rows:
+        for p in range(len(data(t)) - 99):
+            w = data(t)[p : p + 100]
+            first[w] = min(first.get(w, (order(i), p)), (order(i), p))
+    wanted = []
+    for i, t in rows:
+        gone = bytearray(len(data(t)))
+        for p in range(len(gone) - 99):
+            if first[data(t)[p : p + 100]] < (order(i), p):
+                gone[p : p + 100] = b"\1" * 100
+        kept = bytes(b for b, g in zip(data(t), gone) if not g)
+        wanted.append((i, len(gone), sum(gone), sum(1 for q, g in enumerate(gone) if g and (q == 0 or not gone[q - 1])), sha(kept)))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_merged_transforms_find_equal_windows():
     draw = random.Random(2)
     base = bytes(draw.choices(b"ab", k=700))
@@ -102,27 +131,53 @@ def test_merged_transforms_find_equal_windows():
     assert all(len(set(ws)) == 1 for ws in at.values()) and sorted(len(ws) for ws in at.values() if b"\xff" not in ws[0] and len(ws[0]) == 100) == sorted(whole.count(w) for w in set(whole))
 
 
-def brute_chunks(rows):
+def brute_cuts(data):
+    """Chunk bounds byte by byte: the gear hash of the last 16 bytes exceeds those of the 24 before it and none of the 24 after is greater."""
+    gear = [int(g) for g in substring_dedup._GEAR]
+    h = [sum(gear[data[i - j]] << j for j in range(min(16, i + 1))) % 2**32 for i in range(len(data))]
+    ends = [i + 1 for i in range(len(data)) if h[i] > max(h[max(i - 24, 0) : i], default=0) and h[i] >= max(h[i + 1 : i + 25], default=0)]
+    bounds, out = sorted({0, len(data), *ends}), []
+    for a, b in zip(bounds, bounds[1:]):
+        out += range(a, b, 2048)
+    out = [next(j for j in range(i, len(data) + 1) if j == len(data) or data[j] & 0xC0 != 0x80) for i in out] + [len(data)]
+    return sorted(set(out))
+
+
+def brute_chunks(rows, least_bytes=75):
     seen, out = {}, {}
-    cut = {i: substring_dedup._chunks((t or "").encode()) for i, t in rows}
-    for i, _ in sorted(rows):
-        for n, d in enumerate(cut[i][1]):
-            seen.setdefault(d.tobytes(), (i, n))
+    bounds = {i: brute_cuts((t or "").encode()) for i, t in rows}
+    for i, t in sorted(rows):
+        data = (t or "").encode()
+        for a, b in zip(bounds[i], bounds[i][1:]):
+            seen.setdefault(data[a:b], (i, a))
     for i, t in rows:
-        data, (bounds, digests) = (t or "").encode(), cut[i]
-        runs = []
-        for n, d in enumerate(digests):
-            if seen[d.tobytes()] != (i, n):
-                if runs and runs[-1][1] == bounds[n]:
-                    runs[-1][1] = bounds[n + 1]
+        data, runs = (t or "").encode(), []
+        for a, b in zip(bounds[i], bounds[i][1:]):
+            if seen[data[a:b]] != (i, a):
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
                 else:
-                    runs.append([bounds[n], bounds[n + 1]])
-        runs = [r for r in runs if r[1] - r[0] >= substring_dedup.LEAST_BYTES]
+                    runs.append([a, b])
+        runs = [r for r in runs if r[1] - r[0] >= least_bytes]
         ends = [0, *(x for r in runs for x in r), len(data)]
         out[i] = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])).decode()
     return out
 
 
+@pytest.mark.parametrize("text", [" " * 5000, "é" * 3000, "ab" * 400, "x" * 40, "-" * 100_000])
+def test_runs_of_one_byte_are_cut_seldom(text):
+    bounds = substring_dedup.cuts(np.frombuffer(text.encode(), np.uint8)).tolist()
+    assert len(bounds) <= len(text.encode()) / 2048 + 4 and bounds == (brute_cuts(text.encode()) if len(text) < 10_000 else bounds)
+
+
+def test_every_repeated_chunk_goes_if_asked(spark):
+    rows = [(i, t) for i, t, *_ in corpus()][:40] + [(100, "x" * 200 + "y" * 6000)]
+    named = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, again int, id int")
+    found = substring_dedup.dedup_substrings(named, least_bytes=0)
+    assert found.columns[:3] == ["doc_id", "again", "id"]
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == brute_chunks(rows, 0)
+
+
 def test_repeated_chunks_go(docs):
     found = substring_dedup.dedup_substrings(docs)
     assert found.columns == ["doc_id", "lang", "source", "n_chars", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
