@@ -164,8 +164,8 @@ def _repeats(ids: np.ndarray, los: np.ndarray, texts: list[bytes]) -> tuple[np.n
     order = np.lexsort((los[text] + offset, ids[text], run))
     text, offset, run = text[order], offset[order], run[order]
     start = los[text] + offset
-    again = np.zeros(len(run), bool)
-    again[1:] = run[1:] == run[:-1]
+    first = np.searchsorted(run, run)  # a repeated row starts where its twin does, which is no repeat
+    again = (ids[text] != ids[text[first]]) | (start != start[first])
     return text[again], offset[again]
 
 
