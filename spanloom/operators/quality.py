@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import injections, sanitize
+from spanloom.functions.text import INJECTION_EVENTS, PROBED_PATHS, injections, sanitize
 
 
 def injection_attempts(texts: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -14,12 +16,16 @@ def injection_attempts(texts: DataFrame, id_col: str, fields: list[str]) -> Data
     return long.select("id", "x.field", F.explode(injections(F.col("x.text"))).alias("i")).select("id", "field", "i.pattern", "i.severity", "i.match")
 
 
-def adversarial_penalties(attempts: DataFrame, amounts: dict[str, int] | None = None) -> DataFrame:
-    """One penalty for each pattern and id: the mildest severity seen decides the amount."""
-    amounts = amounts or {"high": -25, "medium": -15, "low": -5}
-    rank = F.when(F.col("severity") == "low", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    found = attempts.groupBy("id", "pattern").agg(F.min_by("severity", rank).alias("severity"))
-    return found.withColumn("amount", F.try_element_at(F.create_map(*[F.lit(x) for kv in amounts.items() for x in kv]), "severity"))
+def adversarial_penalties(attempts: DataFrame, tool_inputs: DataFrame | None = None) -> DataFrame:
+    """attempts(id, pattern, ...), tool_inputs(id, input) -> id, event: one row for each event of an id, whatever its number.
+
+    Patterns without an event, the mild ones, give none; a tool input that reads settings or secrets gives evaluator_path_probing.
+    """
+    event = F.try_element_at(F.create_map(*[F.lit(x) for kv in INJECTION_EVENTS.items() for x in kv]), F.col("pattern"))
+    found = attempts.select("id", event.alias("event")).filter("event is not null")
+    if tool_inputs is not None:
+        found = found.unionByName(tool_inputs.filter(F.col("input").rlike(PROBED_PATHS)).select("id", F.lit("evaluator_path_probing").alias("event")))
+    return found.distinct()
 
 
 def sanitized(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,7 +47,11 @@ def inject_canary(spans: DataFrame, canaries: DataFrame) -> DataFrame:
 
 
 #: Words that doubt a value; numbers and names in a canary; words of an instruction.
-_DOUBT = r"anomal|discrepan|incorrect|suspicious|does not match|appears wrong|should be verified|inconsisten|cannot confirm|questionable|contradicts|mismatch|unlikely|implausible"
+# fixed values: the phrases
+_DOUBT = (
+    r"anomal|discrepan|incorrect|suspicious|does not match|appears wrong|should be verified|inconsisten|"
+    r"cannot confirm|questionable|contradicts|mismatch|unlikely|implausible"
+)
 _NUMBER, _NAME, _ORDER = r"\d[\d,]*\.?\d*", r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", r"(?i)\b(?:override|ignore|set|change|score|rate)\b"
 
 
@@ -87,24 +97,81 @@ def judge_prompt_inputs(spans: DataFrame, most: int = 4000) -> DataFrame:
     return spans.groupBy("trace_id").agg(text(("tool_call", "retrieval")).alias("t"), text(("llm",)).alias("r")).select("trace_id", joined(F.col("t")).alias("tool_results"), joined(F.col("r")).alias("reasoning"))
 
 
-def sigmoid(x: Column, middle: float, steep: float) -> Column:
-    return 1 / (1 + F.exp(-steep * (x - middle)))
+def sigmoid(x: Column, middle: float, steep: float, invert: bool = False) -> Column:
+    """The logistic function; 0 for null, NaN and infinite values."""
+    value = 1 / (1 + F.exp(-steep * (x - middle)))
+    fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(fine, 1 - value if invert else value).otherwise(0.0)
+
 
+# fixed values: sub-score -> (metric, weight, middle and steepness of the logistic function, threshold of an excellent value, is more better)
+EFFICIENCY = {
+    "per": ("path_efficiency_ratio", 0.20, 0.5, 6.0, 0.90, True),
+    "twr": ("token_waste_rate", 0.15, 0.3, 6.0, 0.10, False),
+    "fpsr": ("first_pass_success_rate", 0.15, 0.5, 6.0, 0.90, True),
+    "duplicate": ("duplicate_ratio", 0.08, 0.1, 10.0, 0.05, False),
+    "cycle": ("cycle_ratio", 0.10, 0.15, 8.0, 0.05, False),
+    "redundant_read": ("redundant_read_ratio", 0.07, 0.1, 8.0, 0.05, False),
+    "write_without_verify": ("write_without_verify_ratio", 0.12, 0.6, 4.0, 0.20, False),
+    "file_churn": ("file_churn_rate", 0.13, 0.3, 6.0, 0.10, False),
+}
+# fixed values: score at the threshold, critical sub-score, exponent of the penalty below it, metrics that may be missing
+EXCELLENT, CRITICAL, STRENGTH, OPTIONAL = 0.95, 0.3, 2.0, ("token_waste_rate", "first_pass_success_rate")
 
-#: Sub-scores of the efficiency rating and their weights.
-EFFICIENCY = {"path_efficiency": 0.3, "waste": 0.2, "first_pass": 0.2, "entropy": 0.15, "errors": 0.15}
+
+def sub_score(x: Column, middle: float, steep: float, threshold: float, more: bool) -> Column:
+    """Linear from the threshold to the best value, and beyond the threshold a logistic curve scaled to meet it there."""
+    if more:
+        line = EXCELLENT + (1 - EXCELLENT) * (x - threshold) / (1 - threshold)
+        curve = sigmoid(x, middle, steep) * (EXCELLENT * (1 + math.exp(-steep * (threshold - middle))))
+        return F.when(x >= 1, 1.0).when(x >= threshold, line).otherwise(curve)
+    line = 1 - (1 - EXCELLENT) * x / threshold
+    curve = (1 - sigmoid(x, middle, steep)) * (EXCELLENT * (1 + math.exp(steep * (threshold - middle))))
+    return F.when(x <= 0, 1.0).when(x <= threshold, line).otherwise(curve)
 
 
 def efficiency_rating(metrics: DataFrame) -> DataFrame:
-    """A weighted geometric mean of the sub-scores in 0..1, pulled down by the least; nulls drop out, a zero gives zero."""
-    names = list(EFFICIENCY)
-    weight = sum((F.when(F.col(n).isNotNull(), w).otherwise(0.0) for n, w in EFFICIENCY.items()), F.lit(0.0))
-    logs = sum((F.when(F.col(n) > 0, F.ln(n) * w).otherwise(0.0) for n, w in EFFICIENCY.items()), F.lit(0.0))
-    zero = F.coalesce(F.least(*names) <= 0, F.lit(False))
-    mean = F.when(zero, 0.0).otherwise(F.exp(F.try_divide(logs, weight)))
-    rating = F.round(100 * (0.8 * mean + 0.2 * F.least(*names)), 4)
-    label = F.when(rating >= 85, "excellent").when(rating >= 70, "good").when(rating >= 50, "fair").otherwise("poor")
-    return metrics.withColumn("rating", F.when(zero, 0.0).otherwise(rating)).withColumn("label", label)
+    """metrics(total_events and those of EFFICIENCY) with the sub-scores s_*, and `rating` in 0..1.
+
+    The rating is the weighted geometric mean of the sub-scores, times (worst / CRITICAL) ^ STRENGTH if the worst one is below
+    CRITICAL. Missing values count as 0, but the OPTIONAL ones drop out with their weight; a session without events has 0.
+    """
+    out = metrics
+    for name, (metric, _, *shape) in EFFICIENCY.items():
+        x = F.greatest(F.coalesce(F.col(metric), F.lit(0.0)), F.lit(0.0))
+        score = sub_score(x, *shape)
+        out = out.withColumn(f"s_{name}", F.when(F.col(metric).isNotNull(), score) if metric in OPTIONAL else score)
+    names = [f"s_{n}" for n in EFFICIENCY]
+    weights = {f"s_{n}": w for n, (_, w, *_) in EFFICIENCY.items()}
+    total = sum((F.when(F.col(n).isNotNull(), w).otherwise(0.0) for n, w in weights.items()), F.lit(0.0))
+    logs = sum((F.coalesce(F.ln(n) * w, F.lit(0.0)) for n, w in weights.items()), F.lit(0.0))
+    worst = F.least(*names)
+    rating = F.exp(logs / total) * F.when(worst < CRITICAL, F.pow(worst / CRITICAL, F.lit(STRENGTH))).otherwise(1.0)
+    return out.withColumn("rating", F.when((F.col("total_events") == 0) | (worst <= 0), 0.0).otherwise(F.least(F.greatest(rating, F.lit(0.0)), F.lit(1.0))))
+
+
+#: Labels of the metrics: bounds, from good to bad, is more better, labels (fixed values).
+LABELS = {
+    "path_efficiency_ratio": ((0.85, 0.7, 0.5), True, ("Excellent", "Good", "Fair", "Poor")),
+    "token_waste_rate": ((0.1, 0.25, 0.4), False, ("Excellent", "Good", "Fair", "High")),
+    "first_pass_success_rate": ((0.9, 0.7, 0.5), True, ("Excellent", "Good", "Fair", "Poor")),
+    "write_without_verify_ratio": ((0.2, 0.4, 0.6), False, ("Excellent", "Good", "Fair", "High")),
+    "file_churn_rate": ((0.1, 0.25, 0.4), False, ("Excellent", "Good", "Fair", "High")),
+    "repetition_cycles": ((0, 2), False, ("None", "Minor", "Significant")),
+    "duplicate_tool_call_count": ((0, 2), False, ("None", "Minor", "Significant")),
+}
+
+
+def metric_labels(metrics: DataFrame, key: str = "session_id") -> DataFrame:
+    """A row for each metric of LABELS: key, metric, label; a missing optional one is N/A, another one counts as 0."""
+    rows = []
+    for metric, (bounds, more, labels) in LABELS.items():
+        x = F.coalesce(F.col(metric).cast("double"), F.lit(0.0))
+        label = F.lit(labels[-1])
+        for bound, name in reversed(list(zip(bounds, labels))):
+            label = F.when(x >= bound if more else x <= bound, name).otherwise(label)
+        rows.append(F.struct(F.lit(metric).alias("metric"), (F.when(F.col(metric).isNull(), "N/A").otherwise(label) if metric in OPTIONAL else label).alias("label")))
+    return metrics.select(key, F.explode(F.array(*rows)).alias("m")).select(key, "m.metric", "m.label")
 
 
 def validate_judge(verdicts: DataFrame, floor: float = 0.4) -> DataFrame:

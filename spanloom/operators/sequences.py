@@ -1,73 +1,99 @@
 """Session algorithms whose next step depends on the last one.
 
-Cycles and CUSUM run over partitions sorted by session and time and carry a small state from batch to batch, so a session may be
-of any length. The others are grouped Python that holds one session at a time; `bounded` cuts and flags long groups for a caller
-who wants that, no query does.
+All but two run over partitions sorted by group and time and carry a small state from batch to batch, so a group may be of any
+length. `changesets` and `critical_path` hold a few numbers for each node of one session.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_EVENTS = 20_000
+_NAMES = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double"}
 
 
-def bounded(df: DataFrame, keys: list[str], order: list[str], most: int = MOST_EVENTS) -> DataFrame:
-    """The first `most` rows of each group, with a flag `truncated` on the groups that had more."""
-    own = Window.partitionBy(*keys)
-    place = F.row_number().over(own.orderBy(*order))
-    return df.withColumn("__place", place).withColumn("truncated", F.count("*").over(own) > most).filter(F.col("__place") <= most).drop("__place")
+def _in_order(events: DataFrame, keys: list[str], order: list[str], columns: list[str], machine: Callable, fields: dict[str, pa.DataType]) -> DataFrame:
+    """The rows (*keys, *fields) that a machine of its own makes of each group's columns, in the given order, nulls last.
 
-
-def _in_order(events: DataFrame, column: str, machine: Callable, fields: dict[str, pa.DataType]) -> DataFrame:
-    """The rows (session_id, *fields) that a machine of its own makes of each session's `column` in order of `at`.
-
-    machine() has feed(values) and end(), which return rows. A session's values come in batches; only the machine is held.
+    machine() has feed(rows of columns) and end(), which return rows. A group's rows come in batches; only the machine is held.
+    Several groups share a task, so small ones cost no call of their own.
     """
-    schema = pa.schema([("session_id", pa.string()), *fields.items()])
-    names = {pa.string(): "string", pa.int64(): "long"}
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{f} {_NAMES[t]}" for f, t in fields.items())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, rows = None, None, []
 
-        def made() -> pa.RecordBatch:
-            columns = zip(*rows) if rows else [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        def made(types: list[pa.DataType]) -> pa.RecordBatch:
+            out = list(zip(*rows)) if rows else [()] * (len(keys) + len(fields))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [*types, *fields.values()])], [*keys, *fields])
 
+        types: list[pa.DataType] = []
         for batch in batches:
-            for session, run in groupby(zip(batch.column("session_id").to_pylist(), batch.column(column).to_pylist()), lambda x: x[0]):
-                if state is None or session != now:
+            types = [batch.schema.field(k).type for k in keys]
+            groups, values = (list(zip(*(batch.column(c).to_pylist() for c in names))) for names in (keys, columns))
+            at = 0
+            for group, run in groupby(groups):
+                end = at + sum(1 for _ in run)
+                if state is None or group != now:
                     if state is not None:
-                        rows += [(now, *r) for r in state.end()]
-                    now, state = session, machine()
-                rows += [(now, *r) for r in state.feed([value for _, value in run])]
-            yield made()
+                        rows += [(*now, *r) for r in state.end()]
+                    now, state = group, machine()
+                rows += [(*now, *r) for r in state.feed(values[at:end])]
+                at = end
+            yield made(types)
             rows.clear()
         if state is not None:
-            rows += [(now, *r) for r in state.end()]
-            yield made()
+            rows += [(*now, *r) for r in state.end()]
+            yield made(types)
 
-    ordered = events.select("session_id", "at", column).repartition("session_id").sortWithinPartitions("session_id", F.col("at").asc_nulls_last())
-    return ordered.mapInArrow(work, ", ".join(f"{f.name} {names[f.type]}" for f in schema))
+    ordered = events.select(*dict.fromkeys([*keys, *order, *columns])).repartition(*keys).sortWithinPartitions(*keys, *(F.col(c).asc_nulls_last() for c in order))
+    return ordered.mapInArrow(work, schema)
 
 
-def _greedy(drivers: pd.DataFrame, others: pd.DataFrame, at: str, most: float, strict: bool) -> list[tuple[int, int | None]]:
-    """Each driver, in order, takes the nearest other that is free and near enough."""
-    free, out = {i: t for i, t in zip(others["id"], others[at])}, []
-    for i, t in zip(drivers["id"], drivers[at]):
-        near = min(((abs(t - u), j) for j, u in free.items()), default=None)
-        if near and (near[0] < most if strict else near[0] <= most):
-            out.append((i, near[1]))
-            del free[near[1]]
-        else:
-            out.append((i, None))
-    return out
+class _Matcher:
+    """Each driver, in order of (at, id), takes the nearest other that is free and near enough; of two as near the smaller id.
+
+    Others come in order too. A driver is settled when no other that is near enough can come any more, so only the events of the
+    last 2 * most are held.
+    """
+
+    def __init__(self, most: float, strict: bool):
+        self.most, self.strict, self.free, self.waiting = most, strict, [], deque()
+
+    def _settle(self) -> tuple:
+        at, driver = self.waiting.popleft()
+        del self.free[: bisect_left(self.free, (at - self.most,))]  # too old for this driver and all later ones
+        i = bisect_left(self.free, (at,))
+        near = [self.free[i]] if i < len(self.free) else []
+        if i:
+            near.append(self.free[bisect_left(self.free, (self.free[i - 1][0],))])  # of equal times the smallest id
+        best = min(near, key=lambda o: (abs(o[0] - at), o[1]), default=None)
+        if best is None or abs(best[0] - at) > self.most or self.strict and abs(best[0] - at) == self.most:
+            return driver, None
+        del self.free[bisect_left(self.free, best)]
+        return driver, best[1]
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for at, i, is_driver in rows:
+            while self.waiting and at > self.waiting[0][0] + self.most:
+                out.append(self._settle())
+            if is_driver:
+                self.waiting.append((at, i))
+            else:
+                insort(self.free, (at, i))
+        return out
+
+    def end(self) -> list[tuple]:
+        return [self._settle() for _ in range(len(self.waiting))]
 
 
 def match_nearest(events: DataFrame, keys: list[str], most: float, strict: bool = True) -> DataFrame:
@@ -76,36 +102,81 @@ def match_nearest(events: DataFrame, keys: list[str], most: float, strict: bool
     Serves the merge of shim and hook events (500 ms, strict), of hook and log events (50 ms) and of decisions and results (by
     sequence number). Drivers go in order of (at, id).
     """
+    fields = {"driver_id": pa.int64(), "other_id": pa.int64()}
+    return _in_order(events, keys, ["at", "id"], ["at", "id", "is_driver"], lambda: _Matcher(most, strict), fields)
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "id"])
-        pairs = _greedy(group[group["is_driver"]], group[~group["is_driver"]], "at", most, strict)
-        out = pd.DataFrame({"driver_id": [p[0] for p in pairs], "other_id": pd.array([p[1] for p in pairs], "Int64")})
-        return out.assign(**{k: group[k].iloc[0] for k in keys})[[*keys, "driver_id", "other_id"]]
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    return events.groupBy(*keys).applyInPandas(match, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", driver_id long, other_id long")
+#: What a shim adds to the hook event of the same call (fixed values).
+SHIM_KEYS = ("mcp_id", "mcp_method", "mcp_latency_ms", "tool_schema_valid", "tools_available", "mcp_input", "mcp_output", "mcp_error", "mcp_span_id", "mcp_trace_id", "mcp_status")
 
 
-def agent_scopes(events: DataFrame) -> DataFrame:
-    """events(session_id, id, at, event_name, agent) -> session_id, id, scope: the innermost agent open at each event."""
+def merge_sources(events: DataFrame, most: int = 500) -> DataFrame:
+    """events(session_id, id, timestamp, event_name, body, service_name, attributes) of hooks and shims, merged where they are one call.
+
+    Each shim call, in order, takes the nearest free hook result of its tool within `most` ms. The hook's row then has the
+    shim's values of SHIM_KEYS that aren't empty, source `merged`, and the shim's row goes. All other rows stay as they are.
+    """
+    attr = lambda name: F.coalesce(F.try_element_at("attributes", F.lit(name)), F.lit(""))
+    event = F.coalesce(F.try_element_at("attributes", F.lit("event.name")), F.col("event_name"))
+    is_shim = (attr("source") == "shim") & (event == "shim_tool_call")
+    is_hook = (attr("source") == "hook") & event.isin("hook_posttooluse", "hook_posttoolusefailure")
+    sides = events.filter(is_shim | is_hook).select("session_id", attr("tool_name").alias("tool"), "id", is_shim.alias("is_driver"), F.unix_millis(F.col("timestamp").cast("timestamp")).alias("at"))
+    pairs = match_nearest(sides, ["session_id", "tool"], most).filter("other_id is not null").select("session_id", "driver_id", "other_id")
+    extra = F.map_filter("attributes", lambda k, v: k.isin(*SHIM_KEYS) & (v != ""))
+    enriched = pairs.join(events.select("session_id", F.col("id").alias("driver_id"), extra.alias("extra")), ["session_id", "driver_id"]).select("session_id", F.col("other_id").alias("id"), "extra")
+    merged = F.map_concat(F.map_filter("attributes", lambda k, _: ~F.array_contains(F.map_keys("extra"), k) & ~k.isin("source", "_sources")), "extra", F.create_map(F.lit("source"), F.lit("merged"), F.lit("_sources"), F.lit("hook,shim")))
+    rest = events.join(pairs.select("session_id", F.col("driver_id").alias("id")), ["session_id", "id"], "left_anti")
+    joined = rest.join(enriched, ["session_id", "id"], "left")
+    return joined.withColumn("attributes", F.when(F.col("extra").isNull(), F.col("attributes")).otherwise(merged)).select("session_id", "id", "timestamp", "event_name", "body", "service_name", "attributes")
+
+
+class _Scopes:
+    """The stack of agents that are open."""
 
-    def scope(group: pd.DataFrame) -> pd.DataFrame:
-        open_agents, out = [], []
-        for name, agent in group.sort_values(["at", "id"])[["event_name", "agent"]].itertuples(index=False):
+    def __init__(self):
+        self.open: list = []
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for i, name, agent in rows:
             if name == "hook_subagentstart":
-                open_agents.append(agent)
-            out.append(agent or (open_agents[-1] if open_agents else None))
-            if name == "hook_subagentstop" and open_agents:
-                if agent in open_agents:
-                    while open_agents.pop() != agent:
+                self.open.append(agent)
+            out.append((i, agent or (self.open[-1] if self.open else None)))
+            if name == "hook_subagentstop" and self.open:
+                if agent in self.open:
+                    while self.open.pop() != agent:
                         pass
                 elif not agent:
-                    open_agents.pop()
-        group = group.sort_values(["at", "id"])
-        return pd.DataFrame({"session_id": group["session_id"], "id": group["id"], "scope": out})
+                    self.open.pop()
+        return out
 
-    return events.groupBy("session_id").applyInPandas(scope, "session_id string, id long, scope string")
+    def end(self) -> list[tuple]:
+        return []
+
+
+def agent_scopes(events: DataFrame) -> DataFrame:
+    """events(session_id, id, at, event_name, agent) -> session_id, id, scope: the innermost agent open at each event."""
+    return _in_order(events, ["session_id"], ["at", "id"], ["id", "event_name", "agent"], _Scopes, {"id": pa.int64(), "scope": pa.string()})
+
+
+class Directory:
+    """The session that a directory remembers, and since when (microseconds)."""
+
+    def __init__(self, minutes: float, now: str | None = None, since: int | None = None):
+        self.most, self.now, self.since = minutes * 60_000_000, now, since
+
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for at, i, own in rows:
+            if self.since is not None and at - self.since > self.most:
+                self.now = self.since = None
+            if own and own != self.now:
+                self.now, self.since = own, at
+            out.append((i, own or self.now))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def sessionize_by_cwd(events: DataFrame, minutes: float = 30) -> DataFrame:
@@ -113,19 +184,8 @@ def sessionize_by_cwd(events: DataFrame, minutes: float = 30) -> DataFrame:
 
     A directory remembers a session for `minutes` from the event that created the entry, not from the last one.
     """
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        now, since, out = None, None, []
-        group = group.sort_values(["at", "id"])
-        for at, own in group[["at", "session_id"]].itertuples(index=False):
-            if since is not None and at - since > pd.Timedelta(minutes=minutes):
-                now = since = None
-            if own and own != now:
-                now, since = own, at
-            out.append(own or now)
-        return pd.DataFrame({"id": group["id"], "session_id": out})
-
-    return events.groupBy("cwd").applyInPandas(assign, "id long, session_id string")
+    timed = events.withColumn("at", F.unix_micros(F.col("at").cast("timestamp"))).withColumnRenamed("session_id", "own")
+    return _in_order(timed, ["cwd"], ["at", "id"], ["at", "id", "own"], lambda: Directory(minutes), {"id": pa.int64(), "session_id": pa.string()}).drop("cwd")
 
 
 def changesets(nodes: DataFrame, hops: int = 3) -> DataFrame:
@@ -175,8 +235,8 @@ class _Cycles:
         self.repeats, self.longest, self.keys, self.before = repeats, longest, [], 0
         self.run: tuple[list, int, int] | None = None  # pattern, start, times
 
-    def feed(self, keys: list, last: bool = False) -> list[tuple]:
-        self.keys += keys
+    def feed(self, rows: list[tuple], last: bool = False) -> list[tuple]:
+        self.keys += [key for key, in rows]
         keys, i, found = self.keys, 0, []
         while True:
             if self.run:
@@ -213,41 +273,68 @@ def repetition_cycles(events: DataFrame, repeats: int = 3, longest: int = 20) ->
 
     Of a pattern's runs the first is returned. Patterns have at most `longest` keys; sessions any number of events.
     """
-    runs = _in_order(events, "key", lambda: _Cycles(repeats, longest), {"pattern": pa.string(), "start": pa.int64(), "times": pa.int64()})
+    runs = _in_order(events, ["session_id"], ["at"], ["key"], lambda: _Cycles(repeats, longest), {"pattern": pa.string(), "start": pa.int64(), "times": pa.int64()})
     return runs.groupBy("session_id", "pattern").agg(F.min(F.struct("start", "times")).alias("first")).select("session_id", "pattern", "first.start", "first.times")
 
 
 class Cusum:
-    """A one-sided cumulative sum of flags over an exponentially weighted baseline; `step` says whether the alarm is on."""
+    """A two-sided cumulative sum of flags, averaged over a window, about a baseline; `step` says whether it is beyond the limit.
 
-    def __init__(self, alpha: float = 0.1, slack: float = 0.05, limit: float = 2.0, mean: float = 0.0, total: float = 0.0):
-        self.alpha, self.slack, self.limit, self.mean, self.total = alpha, slack, limit, mean, total
+    The baseline is the given rate, or the mean of the first `warmup` flags; with alpha it drifts as an exponential mean.
+    """
+
+    # fixed values: the defaults
+    def __init__(self, rate: float = 0.15, limit: float = 4.0, slack: float = 0.5, warmup: int = 0, window: int = 1, alpha: float = 0.0):
+        self.limit, self.slack, self.warmup, self.alpha = limit, slack, warmup, alpha
+        self.mean, self.above, self.below, self.steps, self.seen = rate, 0.0, 0.0, 0, 0.0
+        self.last: deque[float] = deque(maxlen=max(1, window))
 
     def step(self, flag: float) -> bool:
-        self.total = max(0.0, self.total + flag - self.mean - self.slack)
-        self.mean += self.alpha * (flag - self.mean)
-        return self.total > self.limit
+        self.steps += 1
+        self.last.append(flag)
+        if self.steps <= self.warmup:
+            self.seen += flag
+            if self.steps == self.warmup:
+                self.mean = min(max(self.seen / self.steps, 0.01), 0.99)
+            return False
+        level = sum(self.last) / len(self.last)
+        change = level - self.mean
+        if self.alpha > 0:
+            self.mean = min(max(self.mean + self.alpha * change, 0.01), 0.99)
+        self.above = max(0.0, self.above + change - self.slack)
+        self.below = max(0.0, self.below - change - self.slack)
+        return max(self.above, self.below) > self.limit
+
+    def state(self) -> tuple:
+        return self.mean, self.above, self.below, self.steps, self.seen, list(self.last)
+
+    def resume(self, mean: float, above: float, below: float, steps: int, seen: float, last: list) -> Cusum:
+        self.mean, self.above, self.below, self.steps, self.seen = mean, above, below, steps, seen
+        self.last.extend(last)
+        return self
 
 
 class _FirstAlarm:
-    """The detector's two numbers, the steps so far and the first alarm."""
+    """The detector and the step of its first alarm, from 1; a null flag is no revert."""
 
-    def __init__(self):
-        self.detector, self.steps, self.first = Cusum(), 0, None
+    def __init__(self, options: dict):
+        self.detector, self.first = Cusum(**options), None
 
-    def feed(self, flags: list) -> list[tuple]:
-        if self.first is None:
-            self.first = next((i for i, f in enumerate(flags, self.steps) if self.detector.step(float("nan") if f is None else float(f))), None)
-        self.steps += len(flags)
+    def feed(self, rows: list[tuple]) -> list[tuple]:
+        for flag, in rows:
+            if self.first is not None:
+                break
+            if self.detector.step(float(flag or 0.0)):
+                self.first = self.detector.steps
         return []
 
     def end(self) -> list[tuple]:
         return [(self.first,)]
 
 
-def cusum_stuck(events: DataFrame) -> DataFrame:
-    """events(session_id, at, flag) -> session_id, first_alarm: the first step at which the detector fires, or null."""
-    return _in_order(events, "flag", _FirstAlarm, {"first_alarm": pa.int64()})
+def cusum_stuck(events: DataFrame, **options: float) -> DataFrame:
+    """events(session_id, at, flag) -> session_id, first_alarm: the first step, from 1, at which the detector fires, or null."""
+    return _in_order(events, ["session_id"], ["at"], ["flag"], lambda: _FirstAlarm(options), {"first_alarm": pa.int64()})
 
 
 def critical_path(edges: DataFrame) -> DataFrame:
@@ -267,19 +354,28 @@ def critical_path(edges: DataFrame) -> DataFrame:
     return edges.groupBy("session_id").applyInPandas(longest, "session_id string, length double, path array<long>")
 
 
-def span_tree(spans: DataFrame, deepest: int = 64) -> DataFrame:
-    """spans(trace_id, span_id, parent_span_id) -> trace_id, span_id, root, depth, path: a join for each level.
+def span_tree(spans: DataFrame) -> DataFrame:
+    """spans(trace_id, span_id, parent_span_id) -> trace_id, span_id, root, depth, path, by doubling the way up.
 
-    A span whose parent is missing is a root. Levels end when none is left or at `deepest`; spans in a cycle stay out.
+    A span whose parent is missing is a root. After n rounds each span knows its way of up to 2^n steps, so a tree of depth d
+    needs log2(d) joins; spans in or below a cycle stay out.
     """
     nodes = spans.select("trace_id", "span_id", "parent_span_id").distinct()
-    known = nodes.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known"))
-    level = nodes.join(known, ["trace_id", "parent_span_id"], "left").filter("known is null").select("trace_id", "span_id", F.col("span_id").alias("root"), F.lit(0).alias("depth"), F.array("span_id").alias("path"))
-    out = level
-    for _ in range(deepest):
-        up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), "root", "depth", "path")
-        level = nodes.join(up, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", "root", F.col("depth") + 1, F.concat("path", F.array("span_id"))).toDF("trace_id", "span_id", "root", "depth", "path").checkpoint()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    known = nodes.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
+    # path: from the span up to, but without, `up`, which is null at the root
+    ways = nodes.join(known, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("parent_span_id")).alias("up"), F.array("span_id").alias("path"))
+    ways, open_before = _kept(ways), None
+    while (open_now := ways.filter("up is not null").count()) and open_now != open_before:
+        # a cycle never closes: it is what stays open when a round closes no way
+        over = ways.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"))
+        moved = ways.join(over, ["trace_id", "up"], "left")
+        ways = _kept(moved.select("trace_id", "span_id", F.col("next").alias("up"), F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path")))
+        open_before = open_now
+    done = ways.filter("up is null").select("trace_id", "span_id", F.reverse("path").alias("path"))
+    return done.select("trace_id", "span_id", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed where the session has a folder for it, else as it is."""
+    sc = df.sparkSession.sparkContext
+    return df.checkpoint() if sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() else df.cache()

@@ -195,11 +195,8 @@ AGGREGATES = {
     "feedback_summary": Panel("feedback", "", {"listing_id": "listing_id"}, {"average": "coalesce(round(avg(rating), 2), 0)", "n": "count(*)"}),
     "buffer_stats": Panel("audit_log", "", {"state": "case when severity = 'critical' then 'failed' when severity = 'warning' then 'pending' else 'sent' end"}, N),
     "span_filter_options": Panel("otel_logs", "agent_name <> ''", columns={"session_id": "session_id", "agent_name": "agent_name"}, distinct=True),
-    "sanitization_report": Panel("pages", "", {}, {"comments": "count_if(contains(html, '<!--'))", "scripts": "count_if(contains(lower(html), '<script'))", "pages": "count(*)"}),
     "distinct_targets": Panel("spans", "", {"trace_id": "trace_id"}, {"targets": "count(distinct type || '|' || input)"}),
     "download_counts": Panel("downloads", "", {"agent_id": "agent_id"}, N),
-    "ragas_positive": Panel("scores", "name like 'ragas%' and value > 0", {"name": "name"}, {"average": "round(avg(value), 10)"}),
 }
-del AGGREGATES["ragas_positive"]
 
 PANELS = {**GRAFANA, **READS, **AGGREGATES}

@@ -12,6 +12,7 @@ from spanloom.functions import text as tx
 from spanloom.operators import counters, quality, sequences, versions
 from spanloom.sources import ingest
 from spanloom.sources.views import Views, checked_by
+from spanloom.streaming import jobs
 
 
 def _micros(column: str) -> Column:
@@ -31,10 +32,24 @@ def hook_and_shim(v: Views) -> DataFrame:
     return hooks.unionByName(shims)
 
 
-def numbered(v: Views) -> DataFrame:
-    own = Window.partitionBy("session_id").orderBy("timestamp", "event_id")
+def sourced_events(v: Views) -> DataFrame:
+    """Hook events, and for each result the call as a shim saw it up to 0.9 s later; every eleventh result has no hook."""
+    logs = v.otel_logs.select("session_id", F.col("event_id").alias("id"), "timestamp", "event_name", "body", "service_name", "tool_name", "tool_response")
+    hooks = logs.filter("event_name <> 'hook_posttooluse' or id % 11 > 0").withColumn("attributes", F.create_map(F.lit("source"), F.lit("hook"), F.lit("tool_name"), F.col("tool_name"), F.lit("tool_response"), F.col("tool_response")))
+    later = F.timestamp_micros(_micros("timestamp") + F.col("id") % 10 * 100_000)
+    extra = F.create_map(
+        F.lit("source"), F.lit("shim"), F.lit("event.name"), F.lit("shim_tool_call"), F.lit("tool_name"), F.col("tool_name"), F.lit("mcp_id"), F.concat(F.lit("m"), (F.col("id") % 4).cast("string")),
+        F.lit("mcp_latency_ms"), (F.col("id") % 10 * 100).cast("string"), F.lit("mcp_error"), F.lit(""), F.lit("tool_schema_valid"), (F.col("id") % 2).cast("string"),
+    )
+    shims = logs.filter("event_name = 'hook_posttooluse'").withColumns({"timestamp": later, "id": -F.col("id"), "event_name": F.lit("shim_tool_call"), "attributes": extra})
+    return hooks.unionByName(shims).drop("tool_name", "tool_response")
+
+
+def numbered(v: Views, session: str = "session_id") -> DataFrame:
+    """Events with their place `at` in the session (or in all that a user did) and what they do."""
+    own = Window.partitionBy(session).orderBy("timestamp", "event_id")
     act = F.when(F.col("tool_name") == "tool_0", "write").when(F.col("tool_name") == "tool_1", "bash").when(F.col("tool_name") == "tool_2", "read").otherwise("think")
-    return v.otel_logs.withColumn("at", F.row_number().over(own)).withColumn("act", act)
+    return v.otel_logs.withColumn("at", F.row_number().over(own)).withColumn("act", act).withColumn("session_id", F.col(session))
 
 
 def edges(v: Views) -> DataFrame:
@@ -43,6 +58,17 @@ def edges(v: Views) -> DataFrame:
     return linked.select("session_id", F.coalesce("writer", F.col("at") - 1).cast("long").alias("src"), F.col("at").cast("long").alias("dst"), (F.length("tool_response") + 1.0).alias("cost"), "act").filter("src >= 1")
 
 
+#: A detector that fires on a run of failures in the driver's events.
+DETECTOR = {"limit": 1.0, "slack": 0.25, "window": 2, "alpha": 0.1}
+
+
+def compacted(v: Views) -> DataFrame:
+    """Rows and checksum of the events after they were rewritten in few sorted files."""
+    folder = jobs.sink_folder(v.spark)
+    versions.compact(v.events, folder, keys=["ts", "event_id"])
+    return versions.content_checksum(v.spark.read.parquet(folder).select(*v.events.columns)).select("rows")
+
+
 def reverted(v: Views) -> DataFrame:
     """(session_id, id, is_reverted) of the writes: is there a state of the file before and the same one after.
 
@@ -64,10 +90,10 @@ def changeset_status(v: Views) -> DataFrame:
 
 
 def context_thrashing(v: Views) -> DataFrame:
-    """Sessions with four reads of four files within five steps; first_hit is the last of the first such five."""
+    """All that a user did as one session: four reads of four files within five steps; first_hit is the last of the first such five."""
     last = Window.partitionBy("session_id").orderBy("at").rowsBetween(-4, 0)
     read = F.when(F.col("act") == "read", F.col("tool_input"))
-    steps = numbered(v).withColumn("files", F.size(F.collect_set(read).over(last))).filter("at >= 5 and files >= 4")
+    steps = numbered(v, "user_id").withColumn("files", F.size(F.collect_set(read).over(last))).filter("at >= 5 and files >= 4")
     return steps.groupBy("session_id").agg(F.min("at").alias("first_hit"))
 
 
@@ -125,33 +151,36 @@ def canaries(v: Views) -> DataFrame:
     return traces.join(items, "slot").select("trace_id", "canary_value", "canary_type")
 
 
+def canary_outputs(v: Views) -> DataFrame:
+    """Each document as an agent's output; every fifth repeats its canaries, every tenth doubts them as well."""
+    planted = canaries(v).groupBy("trace_id").agg(F.array_join(F.array_sort(F.collect_list("canary_value")), " and ").alias("values"))
+    joined = v.documents.select(F.col("doc_id").alias("trace_id"), F.coalesce("text", F.lit("")).alias("text")).join(planted, "trace_id", "left")
+    told = F.when(F.col("trace_id") % 10 == 0, F.concat_ws(" ", "text", "values", F.lit("looks suspicious"))).when(F.col("trace_id") % 5 == 0, F.concat_ws(" ", "text", "values"))
+    return joined.select("trace_id", F.coalesce(told, "text").alias("output"))
+
+
 def samples(v: Views) -> DataFrame:
     """A counter for each user and type that grows with the events and starts again now and then."""
     own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     return v.events.select("user_id", "event_type", F.col("ts").alias("at"), (F.row_number().over(own) % 4).cast("double").alias("value"))
 
 
-def metrics(v: Views) -> DataFrame:
-    share = lambda c: F.count_if(c) / F.count("*")
-    out = v.otel_logs.groupBy("session_id").agg(share(F.col("k") % 3 > 0).alias("path_efficiency"), share(F.col("k") % 2 > 0).alias("waste"), share(F.col("event_name") != "hook_posttoolusefailure").alias("errors"), F.lit(None).cast("double").alias("entropy"), F.lit(0.9).alias("first_pass"))
-    return out
-
-
 QUERIES = {
     "latest_version": latest,
     "read_table": lambda v: versions.conform(v.traces, F.broadcast(v.traces).schema),
     "ingest_traces": lambda v: versions.conform(v.traces.withColumn("start_time", F.date_trunc("millisecond", "start_time")), v.traces.schema),
     "ingest_spans": lambda v: v.spans_raw.select("span_id", tx.redact(F.col("input")).alias("input"), F.col("oom_killed").cast("smallint").alias("oom_killed"), F.coalesce("status", F.lit("success")).alias("status"), F.date_trunc("millisecond", "start_time").alias("start_time")),
     "ingest_otel_logs": lambda v: v.otel_logs.select("event_id", "timestamp", F.lit("INFO").alias("severity"), F.lit(9).alias("severity_number"), F.create_map(F.lit("tool_name"), F.col("tool_name"), F.lit("model"), F.col("model")).alias("attributes")).select("event_id", "severity", "severity_number", tx.read_map(F.col("attributes"), "tool_name").alias("tool_name"), tx.read_map(F.col("attributes"), "none").alias("none")),
-    "merge_hook_shim": lambda v: sequences.match_nearest(hook_and_shim(v), ["session_id", "tool_name"], 500, strict=True),
+    "merge_hook_shim": lambda v: sequences.merge_sources(sourced_events(v)).select("session_id", "id", "timestamp", "event_name", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes")))).alias("attributes")),
     "dedup_hook_otel": lambda v: sequences.match_nearest(hook_and_shim(v), ["session_id"], 50, strict=False),
     "pair_decision_result": lambda v: sequences.match_nearest(hook_and_shim(v).withColumn("at", F.col("id")), ["session_id", "tool_name"], 10**9, strict=False),
     "agent_scope": lambda v: sequences.agent_scopes(v.otel_logs.select("session_id", F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_name") == "api_request", "hook_subagentstart").when(F.col("event_name") == "hook_stop", "hook_subagentstop").otherwise(F.col("event_name")).alias("event_name"), F.nullif("agent_name", F.lit("")).alias("agent"))),
     "sessionize_by_cwd": lambda v: sequences.sessionize_by_cwd(v.otel_logs.select((F.col("k") % 200).cast("string").alias("cwd"), F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_id") % 3 == 0, F.col("session_id")).alias("session_id"))),
     "changesets": lambda v: sequences.changesets(edges(v).select("session_id", F.col("dst").alias("id"), F.col("src").alias("parent"), "act")),
     "changeset_status": changeset_status,
-    "repetition_cycles": lambda v: sequences.repetition_cycles(numbered(v).select("session_id", "at", F.col("act").alias("key"))),
-    "cusum_stuck": lambda v: sequences.cusum_stuck(numbered(v).select("session_id", "at", (F.col("event_name") == "hook_posttoolusefailure").cast("double").alias("flag"))),
+    "repetition_cycles": lambda v: sequences.repetition_cycles(numbered(v, "user_id").select("session_id", "at", F.col("act").alias("key"))),
+    "cusum_stuck": lambda v: sequences.cusum_stuck(numbered(v, "user_id").select("session_id", "at", (F.col("event_name") == "hook_posttoolusefailure").cast("double").alias("flag")), **DETECTOR),
+    "compact_partitions": compacted,
     "critical_path": lambda v: sequences.critical_path(edges(v).select("session_id", "src", "dst", "cost")),
     "dag_stats": lambda v: edges(v).groupBy("session_id").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("nodes")),
     "span_tree": lambda v: sequences.span_tree(v.spans),
@@ -172,25 +201,14 @@ QUERIES = {
     "rpc_messages_to_spans": lambda v: ingest.rpc_messages_to_spans(rpc(v)).drop("arguments", "tools"),
     "schema_compliance_rpc": lambda v: ingest.schema_compliance(ingest.rpc_messages_to_spans(rpc(v))),
     "redact_secrets": lambda v: v.documents.select("doc_id", F.sha2(tx.redact(F.col("text")), 256).alias("redacted"), tx.secret_count(F.col("text")).alias("secrets")),
-    "sanitize_text": lambda v: quality.sanitized(v.pages, "page_id", "html").select("id", "n_before", "n_after", F.sha2("text", 256).alias("digest")),
-    "injection_attempts": lambda v: quality.injection_attempts(v.pages, "page_id", ["html", "url"]),
-    "adversarial_penalties": lambda v: quality.adversarial_penalties(quality.injection_attempts(v.pages, "page_id", ["html"])),
-    "adversarial_scan": lambda v: quality.injection_attempts(v.conversations, "conv_id", ["text"]).groupBy("pattern").agg(F.count("*").alias("n")),
-    "canary_parroted": lambda v: quality.canary_report(v.documents.select(F.col("doc_id").alias("trace_id"), F.col("text").alias("output")), canaries(v)).filter("behaviour = 'parroted'"),
-    "canary_report": lambda v: quality.canary_report(v.documents.select(F.col("doc_id").alias("trace_id"), F.col("text").alias("output")), canaries(v)).groupBy("behaviour").agg(F.count("*").alias("n")),
+    "canary_parroted": lambda v: quality.canary_report(canary_outputs(v), canaries(v)).filter("behaviour = 'parroted'"),
+    "canary_report": lambda v: quality.canary_report(canary_outputs(v), canaries(v)).groupBy("behaviour").agg(F.count("*").alias("n")),
     "inject_canary": lambda v: quality.inject_canary(v.spans, v.spans.filter("type = 'llm'").select("trace_id", F.lit("canary 4711").alias("canary_value")).distinct()).filter("output like '%4711%'"),
     "judge_verdict_penalties": lambda v: quality.judge_verdict_penalties(v.scores.select("trace_id", F.when(F.col("value") < 0.5, F.to_json(F.struct(F.array(F.struct(F.col("name").alias("event"), F.lit("factual").alias("dimension"), F.lit("e").alias("evidence"))).alias("findings")))).otherwise("not json").alias("json"))),
     "judge_prompt_inputs": lambda v: quality.judge_prompt_inputs(v.spans),
-    "validate_judge": lambda v: quality.validate_judge(metrics(v).select("session_id", "path_efficiency", (F.col("waste") * 8 - 1).alias("score"), F.lit("A").alias("letter"))),
-    "efficiency_rating": lambda v: quality.efficiency_rating(metrics(v)),
-    "sigmoid_normalize": lambda v: metrics(v).select("session_id", F.round(quality.sigmoid(F.col("path_efficiency"), 0.5, 8.0), 8).alias("normal")),
-    "metric_labels": lambda v: quality.efficiency_rating(metrics(v)).groupBy("label").agg(F.count("*").alias("n")),
     "numbers_match": lambda v: v.spans.filter("type = 'tool_call'").select("span_id", tx.numbers_match(F.col("output"), F.col("input")).alias("grounded")),
-    "tool_calls_duplicate": lambda v: v.spans.filter("type = 'tool_call'").withColumn("canonical", tx.canonical_json(F.col("input"))).groupBy("trace_id", "name", "canonical").agg(F.count("*").alias("n")).filter("n > 1"),
-    "distinctive_tokens": lambda v: v.spans.select("span_id", F.concat_ws(" ", tx.distinctive_tokens(F.col("output"))).alias("tokens")),
     "spans_by_trace": lambda v: v.spans.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_time", "span_id"))), lambda s: s["span_id"]).alias("spans")),
     "otel_trace_spans": lambda v: v.spans.filter("trace_id = 't100'").select("span_id", F.transform(F.arrays_zip(F.array("name", "type"), F.array("start_time")), lambda e: e["0"]).alias("events")).orderBy("span_id"),
-    "session_metrics": lambda v: edges(v).groupBy("session_id").agg(F.count("*").alias("edges")).join(metrics(v), "session_id"),
     "parts_health": lambda v: versions.parts_health(v.events),
     "export_registry_checksum": lambda v: versions.content_checksum(v.agents),
     "required_features": lambda v: v.agent_components.groupBy("agent_id").agg(F.array_sort(F.collect_set("component_type")).alias("features")).withColumn("fits_basic", F.size(F.array_except("features", F.array(F.lit("mcp"), F.lit("prompt")))) == 0),
@@ -201,6 +219,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "compact_partitions": "select count(*) as rows from events",
     "latest_version": checked_by("select span_id, event_ts, latency_ms, status from spans"),
     "ingest_traces": checked_by("select * from traces"),
     "read_table": checked_by("select * from traces"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import derived
+from spanloom.plans import derived, scoring, streams
 from spanloom.plans.dashboards import PANELS
 from spanloom.plans.statements import STATEMENTS, for_duckdb, for_spark
 from spanloom.plans.traces import QUERIES as TRACES
@@ -25,13 +25,14 @@ def _statement(name: str) -> Query:
     return lambda spark, sf_dir: Views(spark, sf_dir).sql(for_spark(TEXTS[name]))
 
 
-def _derived(name: str) -> Query:
-    return lambda spark, sf_dir: derived.QUERIES[name](Views(spark, sf_dir))
+def _derived(query: Callable[[Views], DataFrame]) -> Query:
+    return lambda spark, sf_dir: query(Views(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {name: _panel(name) for name in PANELS} | {name: _statement(name) for name in TEXTS} | {name: _derived(name) for name in derived.QUERIES}
+    made = derived.QUERIES | scoring.QUERIES | streams.QUERIES
+    return {name: _panel(name) for name in PANELS} | {name: _statement(name) for name in TEXTS} | {name: _derived(query) for name, query in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: panel.sql() for name, panel in PANELS.items()} | {name: checked_by(for_duckdb(text)) for name, text in TEXTS.items()} | derived.ORACLES
+    return {name: panel.sql() for name, panel in PANELS.items()} | {name: checked_by(for_duckdb(text)) for name, text in TEXTS.items()} | derived.ORACLES | scoring.ORACLES | streams.ORACLES

@@ -137,7 +137,7 @@ STATEMENTS = {
     "download_stats": f"""
         select agent_id, count(*) as total, count(distinct user_id) as users, count_if({since('installed_at', 700)}) as recent, count_if(source = 'cli') as from_cli, count_if(source = 'web') as from_web from downloads group by agent_id""",
     "agents_with_ratings": """
-        select a.agent_id, a.name, coalesce(f.rating, 0) as rating, coalesce(c.n, 0) as components, count(*) over () as total from agents a
+        select a.agent_id, a.name, coalesce(f.rating, 0) as rating, coalesce(c.n, 0) as components, t.total from agents a cross join (select count(*) as total from agents) t
         left join (select listing_id, round(avg(rating), 2) as rating from feedback group by listing_id) f on a.agent_id = f.listing_id
         left join (select agent_id, count(*) as n from agent_components group by agent_id) c on a.agent_id = c.agent_id""",
     "newest_pending_per_agent": """
@@ -145,10 +145,12 @@ STATEMENTS = {
     "dedup_downloads": """
         select agent_id, downloader, min(download_id) as download_id from (select *, coalesce(user_id, sha_256(ip || ':' || user_agent)) as downloader from downloads) d group by agent_id, downloader""",
     "effective_permission": """
-        select a.agent_id, u.user_id, case when max(case when a.creator_email = u.email then 3 when a.team_id = 'g' || substring(u.user_id, 2, 1) then 2 when a.visibility = 'public' then 1 else 0 end) = 3 then 'owner'
-               when max(case when a.creator_email = u.email then 3 when a.team_id = 'g' || substring(u.user_id, 2, 1) then 2 when a.visibility = 'public' then 1 else 0 end) = 2 then 'edit'
-               when max(case when a.visibility = 'public' then 1 else 0 end) = 1 then 'view' else 'none' end as permission
-        from users u join agents a on u.email = a.creator_email or a.visibility = 'public' and a.agent_id = 'a1' group by a.agent_id, u.user_id""",
+        select agent_id, user_id, case max(level) when 3 then 'owner' when 2 then 'edit' else 'view' end as permission from (
+          select a.agent_id, u.user_id, 3 as level from users u join agents a on u.email = a.creator_email
+          union all select a.agent_id, u.user_id, 2 from (select *, 'g' || substring(user_id, 2, 1) as team_id from users) u join agents a on u.team_id = a.team_id
+          union all select a.agent_id, u.user_id, 1 from (select distinct agent_id, actor_id from (select 'a' || substring(resource_id, 2) as agent_id, actor_id from audit_log where resource_type = 'agent') r) v
+            join agents a on a.agent_id = v.agent_id and a.visibility = 'public' join users u on u.user_id = v.actor_id) p
+        group by agent_id, user_id""",
     "all_penalties": f"""
         select trace_id, 'error' as event, count(*) as n from spans where status = 'error' group by trace_id
         union all select trace_id, 'timeout', count(*) from spans where status = 'timeout' group by trace_id
@@ -171,7 +173,9 @@ STATEMENTS = {
         left join (select trace_id, count(*) as n from scores group by trace_id) s on t.trace_id = s.trace_id""",
     "traces_page": """
         select trace_id, start_time, count(*) over () > 50 as has_more from (select trace_id, start_time from traces where trace_type = 'agent' order by start_time desc, trace_id limit 51) fetched order by start_time desc, trace_id limit 50""",
-    "alert_history_list": "select event_id, severity, timestamp, count(*) over () as total from audit_log where severity <> 'info' order by timestamp desc, event_id limit 25",
+    "alert_history_list": """
+        select h.event_id, h.severity, h.timestamp, t.total from (select event_id, severity, timestamp from audit_log where severity <> 'info' order by timestamp desc, event_id limit 25) h
+        cross join (select count(*) as total from audit_log where severity <> 'info') t""",
 }
 
 def for_spark(sql: str) -> str:

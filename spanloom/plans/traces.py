@@ -12,15 +12,7 @@ _CALLS = """
              case when type = 'tool_call' then row_number() over (partition by trace_id, case when type = 'tool_call' then 1 else 0 end order by start_time, span_id) end as call_index,
              lead(type) over (partition by trace_id order by start_time, span_id) as next_type,
              lead(span_id) over (partition by trace_id order by start_time, span_id) as next_span
-      from spans),
-    calls as (
-      select *, min(case when status = 'success' then call_index end) over (partition by trace_id, name order by call_index rows between 1 following and unbounded following) as next_success,
-             lag(call_index) over (partition by trace_id, name, input order by call_index) as same_before,
-             count(case when name = 'tool_3' then 1 end) over (partition by trace_id order by call_index rows between unbounded preceding and 1 preceding) as changes_before
-      from numbered where type = 'tool_call'),
-    classed as (
-      select *, case when latency_ms > 3000 and status <> 'success' then 'timeout' when status = 'success' then null when next_success <= call_index + 10 then 'retry_success'
-             when next_type is not null and next_type <> 'tool_call' then 'ignored' else 'error' end as failure from calls)"""
+      from spans)"""
 
 _EVENTS = """
     ordered as (
@@ -29,23 +21,6 @@ _EVENTS = """
              case when event_name in ('hook_pretooluse', 'hook_posttooluse') then 'tool_use' else event_name end as action
       from otel_logs)"""
 
-# penalty catalogue: dimension, event, amount (fixed values)
-_CATALOGUE = """
-    catalogue as (
-      select 'tool_failure_handling' as dimension, 'tool_call_error' as event, -10 as amount union all select 'tool_failure_handling', 'tool_call_timeout', -5
-      union all select 'tool_failure_handling', 'ignored_tool_failure', -15 union all select 'tool_efficiency', 'tool_call_retry_success', -2 union all select 'tool_efficiency', 'duplicate_tool_call', -5
-      union all select 'tool_efficiency', 'unused_tool_result', -3)"""
-_PENALTIES = f"""{_CALLS}, {_CATALOGUE},
-    found as (
-      select trace_id, case failure when 'timeout' then 'tool_call_timeout' when 'retry_success' then 'tool_call_retry_success' when 'ignored' then 'ignored_tool_failure' else 'tool_call_error' end as event, span_id from classed where failure is not null
-      union all select trace_id, 'duplicate_tool_call', span_id from calls where call_index - same_before <= 10),
-    penalties as (select f.trace_id, f.span_id, f.event, coalesce(c.dimension, 'none') as dimension, coalesce(c.amount, 0) as amount from found f left join catalogue c on f.event = c.event),
-    dimensions as (
-      select t.trace_id, d.dimension, greatest(100 + coalesce(sum(case when p.nth <= 5 then p.amount end), 0), 0) as score, coalesce(sum(p.amount), 0) as uncapped
-      from (select distinct trace_id from spans) t cross_join_dimensions
-      left join (select *, row_number() over (partition by trace_id, dimension, event order by span_id) as nth from penalties) p on p.trace_id = t.trace_id and p.dimension = d.dimension
-      group by t.trace_id, d.dimension)""".replace("cross_join_dimensions", "join (select 'tool_failure_handling' as dimension, 0.6 as weight union all select 'tool_efficiency', 0.4) d on true")
-
 _WRITES = """
     acts as (
       select session_id, event_index, timestamp, tool_name, case when tool_name = 'tool_0' then 'write' when tool_name = 'tool_1' then 'bash' when tool_name = 'tool_2' then 'read' when tool_name = 'tool_3' then 'verify' else 'think' end as act,
@@ -53,24 +28,8 @@ _WRITES = """
 
 QUERIES = {
     "tool_call_index": f"with {_CALLS} select span_id, span_index, call_index from numbered",
-    "duplicate_tool_call": f"with {_CALLS} select span_id, trace_id, call_index, same_before from calls where call_index - same_before <= 10",
-    "retry_success": f"with {_CALLS} select span_id, trace_id, call_index, next_success from calls where status = 'error' and next_success <= call_index + 10",
-    "ignored_failure": f"with {_CALLS} select span_id, next_span, next_type from classed where failure = 'ignored'",
-    "tool_failure_class": f"with {_CALLS} select span_id, failure from classed where failure is not null",
-    "tool_timeout": "select span_id, name, latency_ms from spans where type = 'tool_call' and latency_ms > case when name in ('tool_1', 'tool_2') then 2000 else 4000 end",
     "duplicate_calls": """select span_id, first_span from (select span_id, row_number() over (partition by trace_id, name, md5(input) order by start_time, span_id) as nth,
         first_value(span_id) over (partition by trace_id, name, md5(input) order by start_time, span_id) as first_span from spans where type = 'tool_call') d where nth > 1""",
-    "retry_patterns": f"with {_CALLS} select trace_id, count_if(coalesce(failure, '') = 'retry_success') as retried, count_if(coalesce(failure, '') in ('error', 'ignored') and coalesce(next_success, 0) > call_index + 10) as late, count_if(coalesce(failure, '') = 'ignored') as ignored from classed group by trace_id",
-    "penalty_amounts": f"with {_PENALTIES} select trace_id, span_id, event, dimension, amount from penalties",
-    "dimension_scores": f"with {_PENALTIES} select trace_id, dimension, cast(score as bigint) as score, cast(uncapped as bigint) as uncapped from dimensions",
-    "scorecard": f"""with {_PENALTIES} select trace_id, round(sum(score * case when dimension = 'tool_failure_handling' then 0.6 else 0.4 end), 6) as composite,
-        case when sum(score * case when dimension = 'tool_failure_handling' then 0.6 else 0.4 end) >= 85 then 'A' when sum(score * case when dimension = 'tool_failure_handling' then 0.6 else 0.4 end) >= 70 then 'B'
-             when sum(score * case when dimension = 'tool_failure_handling' then 0.6 else 0.4 end) >= 55 then 'C' when sum(score * case when dimension = 'tool_failure_handling' then 0.6 else 0.4 end) >= 40 then 'D' else 'F' end as letter
-        from dimensions group by trace_id""",
-    "recommendations": f"""with {_PENALTIES} select trace_id, dimension, cast(score as bigint) as score, place from (
-        select *, row_number() over (partition by trace_id order by score, dimension) as place from dimensions where score < 90) worst where place <= 3""",
-    "eval_watchdog": f"""with {_PENALTIES}, marks as (select t.trace_id, t.spans, coalesce(p.n, 0) as penalties from (select trace_id, count(*) as spans from spans group by trace_id) t left join (select trace_id, count(*) as n from penalties group by trace_id) p on t.trace_id = p.trace_id)
-        select trace_id, spans, penalties, case when spans > 5 and penalties = 0 then 'many spans and no structural penalty' when penalties = 0 then 'perfect without penalties' end as warning from marks""",
     "agent_aggregate": """
         select agent_id, round(avg(case when place <= 50 then composite end), 8) as average, round(stddev_pop(case when place <= 50 then composite end), 6) as deviation,
                round(avg(case when place <= 50 then d_goal end), 8) as goal, round(avg(case when place <= 50 then d_tool end), 8) as tool, round(avg(case when place between 51 and 100 then composite end), 8) as before_that,
@@ -79,19 +38,10 @@ QUERIES = {
         from (select *, row_number() over (partition by agent_id order by evaluated_at desc, scorecard_id) as place from scorecards) r where place <= 100 group by agent_id""",
     "effective_weights": """
         select d.dimension, coalesce(a.weight, g.weight, d.weight) as weight, a.weight is not null or g.weight is not null as is_custom
-        from (select 'goal_completion' as dimension, 0.28 as weight union all select 'tool_efficiency', 0.18 union all select 'tool_failure_handling', 0.13 union all select 'factual_grounding', 0.18 union all select 'thought_process', 0.13 union all select 'adversarial_robustness', 0.10) d
+        from (select 'goal_completion' as dimension, 0.28 as weight union all select 'tool_efficiency', 0.18 union all select 'tool_failures', 0.13 union all select 'factual_grounding', 0.18 union all select 'thought_process', 0.13 union all select 'adversarial_robustness', 0.10) d
         left join (select 'tool_efficiency' as dimension, 0.25 as weight) g on d.dimension = g.dimension left join (select 'goal_completion' as dimension, 0.3 as weight from agents where agent_id = 'a1') a on d.dimension = a.dimension""",
-    "heuristic_span_score": "select span_id, round(greatest(least(case when status = 'success' then 0.8 else 0.2 end - case when latency_ms > 4000 then 0.2 else 0.0 end, 1.0), 0.0), 6) as score from spans",
+    "heuristic_span_score": "select span_id, round(greatest(least(case when status = 'success' then 0.8 else 0.2 end - case when latency_ms > 5000 then 0.2 else 0.0 end, 1.0), 0.0), 6) as score from spans",
     "eval_templates": "select s.span_id, t.template from spans s join (select 'tool_call' as applies_to, 'tool_quality' as template union all select 'llm', 'answer_quality' union all select 'tool_call', 'latency') t on s.type = t.applies_to",
-    "ungrounded_claims": """
-        select c.span_id, c.trace_id from spans c where c.type <> 'tool_call' and not exists (
-          select 1 from spans t where t.trace_id = c.trace_id and t.type = 'tool_call' and t.output <> '' and contains(c.output, split_part(t.output, ' ', 2))) and c.output <> ''""",
-    "unused_tool_result": f"""with {_CALLS} select t.span_id from numbered t left join numbered l on l.trace_id = t.trace_id and l.span_index > t.span_index
-        where t.type = 'tool_call' and t.output <> '' and t.next_span is not null group by t.span_id
-        having not bool_or(contains(l.output, split_part(t.output, ' ', 2)) or contains(l.input, t.span_id))""".replace("group by t.span_id\n", "group by t.span_id, t.output\n"),
-    "section_present": """
-        select p.page_id, s.section, regexp_matches_i(p.html, s.pattern) as present from pages p join (select 'title' as section, '<h1>' as pattern union all select 'footer', '<footer>' union all select 'table', '<table>') s on true""".replace("regexp_matches_i(p.html, s.pattern)", "contains(lower(p.html), s.pattern)"),
-    "scorecard_penalties": f"with {_PENALTIES} select trace_id, event, count(*) as n, cast(sum(amount) as bigint) as amount from penalties group by trace_id, event",
     # sessions
     "turn_id": f"with {_EVENTS} select event_id, session_id, cast(turn_id as bigint) as turn_id from ordered",
     "session_turns": f"""with {_EVENTS} select session_id, cast(turn_id as bigint) as turn_id, count(*) as events, count_if(action = 'tool_use') as tool_events, count(distinct case when action = 'tool_use' then tool_name end) as tools,
@@ -157,29 +107,28 @@ QUERIES = {
     "schema_compliance": "select span_id, case when tool_schema_valid is null then null when tool_schema_valid = 1 and contains(input, '\"path\"') then 1 else 0 end as valid from spans where type = 'tool_call'",
 }
 
-_EFFECT = f"""with {_EVENTS}, {_WRITES}, judged as (
+EFFECT = f"""with {_EVENTS}, {_WRITES}, judged as (
       select *, row_number() over (partition by session_id, act, file, content order by event_index) as nth,
              lag(event_index) over (partition by session_id, file, content order by event_index) as same_before, lag(event_index) over (partition by session_id, file order by event_index) as just_before,
              lead(act) over (partition by session_id order by event_index) as next_act, max(event_index) over (partition by session_id) as last_index from acts),
     classed as (select *, case when act = 'read' and nth > 1 then 'redundant_read' when same_before < just_before then 'revert_cycle' when nth > 2 then 'repetition_loop' end as waste from judged)"""
 
 QUERIES |= {
-    "effective_events": f"{_EFFECT} select session_id, event_index, act from classed where waste is null",
-    "waste_classes": f"{_EFFECT} select session_id, waste, count(*) as n, round(sum(cost), 6) as cost from classed where waste is not null group by session_id, waste",
-    "path_efficiency": f"{_EFFECT} select session_id, round(cast(count_if(coalesce(waste, '') = '') as double) / count(*), 6) as efficiency from classed group by session_id",
-    "first_pass_success": f"{_EFFECT} select session_id, round(cast(count_if(act = 'write' and coalesce(waste, '') <> 'revert_cycle') as double) / nullif(count_if(act = 'write'), 0), 6) as share from classed group by session_id",
-    "backtrack_depth": f"{_EFFECT} select session_id, coalesce(max(case when waste = 'revert_cycle' then event_index - same_before end), 0) as depth from classed group by session_id",
-    "build_error_count": f"{_EFFECT} select session_id, count_if(act = 'bash' and failed = 1) as errors from classed group by session_id",
-    "per_trace_metrics": f"{_EFFECT} select session_id, act, count(*) as events, count_if(coalesce(waste, '') = '') as effective from classed group by session_id, act",
-    "efficiency_warnings": f"{_EFFECT} select session_id, case when cast(count_if(coalesce(waste, '') <> '') as double) / count(*) > 0.3 then 'much waste' when count_if(failed = 1) > 2 then 'many errors' end as warning from classed group by session_id",
-    "dag_nodes": f"{_EFFECT} select session_id, event_index as node, case when waste is null then 'effective' when waste = 'revert_cycle' then 'reverted' else 'waste' end as status from classed",
-    "dag_edges": f"{_EFFECT} select session_id, event_index - 1 as src, event_index as dst, case when just_before = event_index - 1 then 'causal' else 'cross_trace' end as kind from classed where event_index > 1",
-    "prev_next_delta": f"{_EFFECT} select session_id, event_index, next_act, case when next_act = act then 1 else 0 end as repeats from classed where event_index < last_index",
+    "effective_events": f"{EFFECT} select session_id, event_index, act from classed where waste is null",
+    "waste_classes": f"{EFFECT} select session_id, waste, count(*) as n, round(sum(cost), 6) as cost from classed where waste is not null group by session_id, waste",
+    "path_efficiency": f"{EFFECT} select session_id, round(cast(count_if(coalesce(waste, '') = '') as double) / count(*), 6) as efficiency from classed group by session_id",
+    "first_pass_success": f"{EFFECT} select session_id, round(cast(count_if(act = 'write' and coalesce(waste, '') <> 'revert_cycle') as double) / nullif(count_if(act = 'write'), 0), 6) as share from classed group by session_id",
+    "backtrack_depth": f"{EFFECT} select session_id, coalesce(max(case when waste = 'revert_cycle' then event_index - same_before end), 0) as depth from classed group by session_id",
+    "build_error_count": f"{EFFECT} select session_id, count_if(act = 'bash' and failed = 1) as errors from classed group by session_id",
+    "per_trace_metrics": f"{EFFECT} select session_id, act, count(*) as events, count_if(coalesce(waste, '') = '') as effective from classed group by session_id, act",
+    "efficiency_warnings": f"{EFFECT} select session_id, case when cast(count_if(coalesce(waste, '') <> '') as double) / count(*) > 0.3 then 'much waste' when count_if(failed = 1) > 2 then 'many errors' end as warning from classed group by session_id",
+    "dag_nodes": f"{EFFECT} select session_id, event_index as node, case when waste is null then 'effective' when waste = 'revert_cycle' then 'reverted' else 'waste' end as status from classed",
+    "dag_edges": f"{EFFECT} select session_id, event_index - 1 as src, event_index as dst, case when just_before = event_index - 1 then 'causal' else 'cross_trace' end as kind from classed where event_index > 1",
+    "prev_next_delta": f"{EFFECT} select session_id, event_index, next_act, case when next_act = act then 1 else 0 end as repeats from classed where event_index < last_index",
     "session_events": f"with {_EVENTS} select session_id, event_index, event_id, action, cast(turn_id as bigint) as turn_id, tool_name from ordered where session_id <> ''",
     "agent_in_session": f"""with {_EVENTS}, held as (select *, max(case when event_name = 'api_request' then event_index end) over (partition by session_id order by event_index rows unbounded preceding) as started,
           max(case when event_name = 'hook_stop' then event_index end) over (partition by session_id order by event_index rows between unbounded preceding and 1 preceding) as stopped from ordered)
         select session_id, started, count(*) as events, max(event_index) as last_index from held where started is not null and (stopped is null or stopped < started) group by session_id, started""",
-    "agent_scoped_scorecard": f"""with {_PENALTIES} select t.agent_id, count(distinct t.trace_id) as traces, cast(coalesce(sum(p.amount), 0) as bigint) as amount from traces t left join penalties p on t.trace_id = p.trace_id where t.agent_id <> '' group by t.agent_id""",
     "spans_to_scores_join": "select s.span_id, t.template, case when s.status = 'success' then 0.8 else 0.2 end as score from spans s join (select 'tool_call' as applies_to, 'tool_quality' as template union all select 'llm', 'answer_quality') t on s.type = t.applies_to",
     "heuristic_interaction_scorecard": "select trace_id, round(0.6 + 0.4 * cast(count_if(status = 'success') as double) / count(*), 6) as outcome, round(greatest(0.0, 1.0 - avg(latency_ms) / 10000), 6) as speed, least(cast(count_if(type = 'tool_call') as bigint), 5) as effort from spans group by trace_id",
     "supported_ides": """select c.agent_id, i.ide from (select agent_id, count_if(component_type in ('hook', 'sandbox')) as special, count_if(component_type = 'skill') as skills from agent_components group by agent_id) c

@@ -5,6 +5,7 @@ State is bounded by watermarks or timeouts. Jobs with custom state should run wi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,13 +14,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanloom.operators.sequences import Cusum
+from spanloom.operators.sequences import Cusum, Directory
 
 
 def read_stream(spark, schema, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).load(path)
 
 
+def sink_folder(spark) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What the stream appends until its present input ends, from a Parquet sink."""
+    folder = sink_folder(stream.sparkSession)
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def stream_ingest(events: DataFrame, path: str, checkpoint: str, partition: str) -> StreamingQuery:
     """Appends each micro-batch to a Parquet table partitioned by day of the column; exactly once by the sink's own log."""
     dated = events.withColumn("day", F.to_date(partition))
@@ -72,28 +90,30 @@ def _expire(state: GroupState, at: pd.Series, seconds: int) -> None:
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + seconds * 1000)
 
 
-def stream_cusum(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """events(session_id, at, flag) -> a row at each session's first alarm; the detector's two numbers are the state."""
+def stream_cusum(events: DataFrame, delay: str = "10 minutes", **options: float) -> DataFrame:
+    """events(session_id, at, flag) -> a row at each session's first alarm; the detector's numbers are the state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        mean, total, n, fired = state.get if state.exists else (0.0, 0.0, 0, False)
-        detector = Cusum(mean=mean, total=total)
+        *numbers, fired = state.get if state.exists else (None, False)
+        detector = Cusum(**options)
+        if state.exists:
+            detector.resume(*numbers)
         out = []
         rows = pd.concat(list(batches)).sort_values("at")
         for flag in rows["flag"]:
-            alarm = detector.step(float(flag))
+            alarm = detector.step(0.0 if pd.isna(flag) else float(flag))
             if alarm and not fired:
-                out.append((key[0], n))
+                out.append((key[0], detector.steps))
                 fired = True
-            n += 1
-        state.update((detector.mean, detector.total, n, fired))
+        state.update((*detector.state(), fired))
         _expire(state, rows["at"], 24 * 3600)
         yield pd.DataFrame(out, columns=["session_id", "first_alarm"])
 
-    return events.withWatermark("at", delay).groupBy("session_id").applyInPandasWithState(step, "session_id string, first_alarm long", "mean double, total double, n long, fired boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "mean double, above double, below double, steps long, seen double, last array<double>, fired boolean"
+    return events.withWatermark("at", delay).groupBy("session_id").applyInPandasWithState(step, "session_id string, first_alarm long", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
@@ -103,17 +123,11 @@ def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30, delay: str =
         if state.hasTimedOut:
             state.remove()
             return
-        now, since = state.get if state.exists else (None, None)
-        since = pd.Timestamp(since, unit="us") if since else None
+        directory = Directory(minutes, *(state.get if state.exists else ()))
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        out = []
-        for at, own in rows[["at", "session_id"]].itertuples(index=False):
-            if since is not None and at - since > pd.Timedelta(minutes=minutes):
-                now = since = None
-            if own and own != now:
-                now, since = own, at
-            out.append(own or now)
-        state.update((now, None if since is None else int(since.value // 1000)))
+        micros = [t.value // 1000 for t in rows["at"]]
+        out = [session for _, session in directory.feed(list(zip(micros, rows["id"], rows["session_id"])))]
+        state.update((directory.now, directory.since))
         _expire(state, rows["at"], 2 * minutes * 60)
         yield pd.DataFrame({"id": rows["id"], "session_id": out})
 

@@ -37,8 +37,9 @@ def test_sessionize_as_in_batch(spark, run):
 
 def test_cusum_as_in_batch(spark, run):
     events = spark.createDataFrame([(s, T0 + timedelta(seconds=i), float(i >= 10 and s == "a")) for i in range(30) for s in "ab"], "session_id string, at timestamp, flag double")
-    batch = sequences.cusum_stuck(events).filter("first_alarm is not null")
-    assert sorted(map(tuple, run(events, job=jobs.stream_cusum).collect())) == sorted(map(tuple, batch.collect()))
+    options = {"limit": 1.0, "slack": 0.25, "window": 3, "alpha": 0.05}
+    batch = sequences.cusum_stuck(events, **options).filter("first_alarm is not null").collect()
+    assert len(batch) == 1 and sorted(map(tuple, run(events, job=lambda e: jobs.stream_cusum(e, **options)).collect())) == sorted(map(tuple, batch))
 
 
 def test_alerts_fire_over_the_threshold(spark, run):
