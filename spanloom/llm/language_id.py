@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from spanloom.llm.common import pieces, table
 
 #: About so many labelled rows are counted, chosen by a hash of their text; lengths of the character n-grams, in the order they
 #: are tried (0 stands for whole words); scores (words x languages) that a task remembers.
-TRAINING_ROWS, LENGTHS, MEMORY = 20_000, (4, 3, 2, 1), 1 << 21
+TRAINING_ROWS, LENGTHS, MEMORY = 20_000, (4, 3, 2, 1), 1 << 20
 LETTERS = r"\p{L}+"
 
 
@@ -32,6 +34,10 @@ def _words(text: str) -> list[str]:
 _LETTERS = regex.compile(LETTERS)
 
 
+def _hashes(grams: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) of each batch: counts are combined before they are shuffled."""
     for batch in pieces(batches):
@@ -66,67 +72,85 @@ def train(docs: DataFrame, rows: int | None = TRAINING_ROWS) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of grams by length; of each gram only the languages that have it. Others get the least seen, less one."""
+    """Log frequencies of grams; of each gram only the languages that have it. Others get the least seen of its length, less one.
+
+    Grams are known by a 64-bit hash, so the model is a few arrays: what a task holds of it is about 16 bytes a gram and language.
+    """
 
     def __init__(self, grams: pa.Table):
         lang = grams.column("lang").combine_chunks().dictionary_encode()
         self.langs = sorted(lang.dictionary.to_pylist())
         at = np.array([self.langs.index(x) for x in lang.dictionary.to_pylist()], np.int32)
-        codes, lengths, logp = at[np.asarray(lang.indices)] if len(lang) else np.zeros(0, np.int32), np.asarray(grams.column("length")), np.asarray(grams.column("logp"))
-        self.places: dict[int, dict[str, int]] = {}
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]] = {}
+        codes = at[np.asarray(lang.indices)] if len(lang) else np.zeros(0, np.int32)
+        lengths, logp = np.asarray(grams.column("length")), np.asarray(grams.column("logp"))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]] = {}
         for length in (0, *LENGTHS):
             own = np.flatnonzero(lengths == length)
-            if not len(own):
-                continue
-            names = grams.column("gram").take(pa.array(own)).combine_chunks().dictionary_encode()
-            gram = np.asarray(names.indices)
-            order = np.argsort(gram, kind="stable")
-            self.places[length] = {g: i for i, g in enumerate(names.dictionary.to_pylist())}
-            self.tables[length] = np.r_[0, np.cumsum(np.bincount(gram))], codes[own][order], logp[own][order].astype(np.float32), float(logp[own].min()) - 1.0
+            if len(own):
+                keys, gram = np.unique(_hashes(grams.column("gram").take(pa.array(own)).to_pylist()), return_inverse=True)
+                order = np.argsort(gram, kind="stable")
+                self.tables[length] = keys, np.r_[0, np.cumsum(np.bincount(gram))], codes[own][order], logp[own][order].astype(np.float32), float(logp[own].min()) - 1.0
         self._forget()
 
     def _forget(self) -> None:
         self.ids: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.langs)))
-
-    def _sum(self, length: int, grams: list[int]) -> np.ndarray:
-        bounds, langs, logp, least = self.tables[length]
-        out = np.full(len(self.langs), least * len(grams))
-        for g in grams:
-            here = slice(bounds[g], bounds[g + 1])
-            out[langs[here]] += logp[here] - least
+        self.scores = np.zeros((0, len(self.langs)), np.float32)
+
+    def _found(self, length: int, grams: list[str]) -> np.ndarray:
+        """The places of the grams in their table, -1 where it lacks them."""
+        if length not in self.tables or not grams:
+            return np.full(len(grams), -1)
+        keys, hashes = self.tables[length][0], _hashes(grams)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at, -1)
+
+    def _sums(self, length: int, at: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        """For each word (a row) the sum over its grams of their scores in each language."""
+        _, bounds, langs, logp, least = self.tables[length]
+        out = np.repeat(least * np.bincount(word, minlength=words)[:, None], len(self.langs), axis=1)
+        n = bounds[at + 1] - bounds[at]
+        entry = np.repeat(bounds[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(out, (np.repeat(word, n), langs[entry]), logp[entry] - least)
         return out
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.places.get(0, {}).get(word)
-        if known is not None:
-            return self._sum(0, [known])
-        marked = f"<{word}>"
+    def learn(self, words: list[str]) -> None:
+        """Scores words that are new: by themselves or by the longest n-grams that are known; nothing known counts as 0."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = self._found(0, words)
+        known = np.flatnonzero(at >= 0)
+        if len(known):
+            out[known] = self._sums(0, at[known], np.arange(len(known)), len(known))
+        rest = np.flatnonzero(at < 0)
         for n in LENGTHS:
-            grams = self.places.get(n, {})
-            found = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
-            if found:  # as the mean, so that a long unseen word counts as one word
-                return self._sum(n, found) / len(found)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+            marked = [f"<{words[i]}>" for i in rest]
+            counts = np.array([max(len(m) - n + 1, 0) for m in marked], np.int64)
+            at = self._found(n, [m[i : i + n] for m in marked for i in range(len(m) - n + 1)])
+            word = np.repeat(np.arange(len(rest)), counts)[at >= 0]
+            if len(word):
+                hits = np.bincount(word, minlength=len(rest))
+                sums, has = self._sums(n, at[at >= 0], word, len(rest)), hits > 0
+                out[rest[has]] = sums[has] / hits[has, None]  # the mean, so that a long unseen word counts as one word
+                rest = rest[~has]
+        self.ids.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.scores = np.concatenate([self.scores, out.astype(np.float32)])
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
         """The language and the odds, as a probability, that a typical word gives it against the next best one."""
-        words = _words(text) if text and self.langs else []
         if not words:
             return "und", 0.0
-        if len(self.ids) * len(self.langs) > MEMORY:
-            self._forget()
-        for w in set(words).difference(self.ids):
-            i = self.ids[w] = len(self.ids)
-            if i == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[i] = self.word(w)
-        mean = self.scores[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))].mean(axis=0)
+        mean = self.scores[np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))].mean(axis=0, dtype=np.float64)
         best = int(mean.argmax())  # a tie goes to the first lang by name
         rest = np.delete(mean, best)
         return self.langs[best], float(1.0 / (1.0 + np.exp(max(rest.max() - mean[best], -700.0)))) if len(rest) else 1.0
 
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        split = [_words(t) if t and self.langs else [] for t in texts]
+        if len(self.ids) * len(self.langs) > MEMORY:
+            self._forget()
+        if new := list(set(chain.from_iterable(split)).difference(self.ids)):
+            self.learn(new)
+        return [self.predict(words) for words in split]
+
 
 def identify(docs: DataFrame, model: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, lang_pred, score and the other columns; a row for each row, from the text alone.
@@ -142,7 +166,7 @@ def identify(docs: DataFrame, model: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in pieces(batches):
-            found = [known.predict(t) for t in batch.column("text").to_pylist()]
+            found = known.predictions(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *map(batch.column, names)], ["doc_id", "lang_pred", "score", *names])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)

@@ -1,30 +1,61 @@
 """The pipeline against a brute-force one, and its stages on odd tables."""
 
+import hashlib
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, components, sha
-from tests.llm.test_texts import brute_chunks, corpus
+from tests.llm.test_texts import brute_chunks, brute_languages, corpus
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_run_is_its_stages_one_after_the_other(spark, tmp_path):
-    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t or "")) for i, t, *_ in corpus()]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+def brute_mix(rows, share=1.5):
+    """doc_id -> copies, of rows (doc_id, source, text)."""
+    size = {i: len((t or "").split()) for i, _, t in rows}
+    sources = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s))
+    room = {s: 2 * sum(size[i] for i, x, _ in rows if x == s) for s in sources}
+    weight, target, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}, {}, share * sum(size.values())
+    open_ = list(sources)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * unit >= room[s]]
+        for s in full or open_:
+            target[s] = room[s] if full else weight[s] * unit
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in target]
+    copies = {}
+    for s in sources:
+        at, goal, words = 0, math.floor(target[s] + 0.5), room[s] // 2
+        for i in sorted((i for i, x, _ in rows if x == s), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+            taken = sum(max(min(lo + size[i], goal) - lo, 0) for lo in (at, at + words))
+            copies[i] = math.floor(taken / size[i] + 0.5) if size[i] else 1
+            at += size[i]
+    return copies
+
+
+def test_run_is_the_brute_force_pipeline(spark, tmp_path):
+    draw = random.Random(11)
+    other = [(1000 + i, " ".join("".join(draw.choices("uvwxyz", k=draw.randint(1, 6))) for _ in range(draw.randint(5, 60)))) for i in range(20)]
+    strange = [(2000, "ßß ß ßßß"), (2001, "ß")]  # nothing in these is known, and they teach nothing
+    rows = [(i, t, None if i >= 2000 else "bb" if i >= 1000 else "aa", (f"s{i % 3}", None)[i % 7 == 0], len(t or "")) for i, t in [*(r[:2] for r in corpus()), *other, *strange]]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     found = pipeline.run(spark, str(tmp_path)).collect()
 
-    kept = [(i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)]
-    language = {r["doc_id"] for r in pipeline.language_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
-    assert language <= {i for i, _ in kept} and len(language) >= 0.9 * len(kept)
-    kept = [(i, t) for i, t in kept if i in language]
-    kept = [(i, t) for i, t in kept if components(kept, 5, 80, 100)[i][1] == i] if len(kept) < 5 else [(i, t) for (i, t), (_, least) in zip(sorted(kept), components(kept, 5, 80, 100).values()) if i == least]
-    stripped = brute_chunks(kept)
-    texts = {sha(t) for t in stripped.values() if t}
-    assert {r["decoded_sha256"] for r in found} <= texts
-    size = sum(len(t.split()) for t in stripped.values())
-    mixed = {sha(t): len(t.split()) for t in stripped.values() if t}
-    assert abs(sum(mixed[r["decoded_sha256"]] for r in found) - 1.5 * size) <= 0.25 * size
+    told = brute_languages([r[1] for r in rows], [(r[1], r[2]) for r in rows])
+    assert all(abs(score - pipeline.LEAST_SCORE) > 1e-4 for _, score in told)  # no close call
+    kept = [r for r, (lang, score) in zip(rows, told) if lang != "und" and score >= pipeline.LEAST_SCORE]
+    assert len(kept) < sum(1 for r in rows if r[1] and any(map(str.isalpha, r[1])))  # the threshold decides something
+    least = components([r[:2] for r in kept], 5, 80, 100)
+    kept = [r for r in kept if least[r[0]][1] == r[0]]
+    stripped = brute_chunks([r[:2] for r in kept])
+    kept = [(i, s, stripped[i]) for i, t, _, s, _ in kept if stripped[i] or not t]
+    copies = brute_mix(kept)
+    assert Counter(r["decoded_sha256"] for r in found) == Counter(sha(t) for i, _, t in kept for _ in range(copies[i]))
     assert all(r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == sha(",".join(map(str, r["ids"]))) for r in found)
 
 
