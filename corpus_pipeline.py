@@ -13,8 +13,8 @@ from spanloom.llm import bpe, jaccard_join, language_id, mixing, substring_dedup
 from spanloom.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language is less certain than this go.
-LEAST_SCORE = 0.5
+#: Documents whose words speak for their language by less than this against the next one (0.5: as much for it) go.
+LEAST_SCORE = 0.55
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
