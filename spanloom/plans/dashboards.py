@@ -9,7 +9,10 @@ NOW, EVENTS_NOW = f"timestamp '{ORDERS_AS_OF}'", f"timestamp '{EVENTS_AS_OF}'"
 
 
 def since(column: str, amount: int, unit: str = "day", now: str = NOW) -> str:
-    return f"{column} >= {now} - interval '{amount}' {unit} and {column} <= {now}"
+    out = f"{column} >= {now} - interval '{amount}' {unit} and {column} <= {now}"
+    if column == "start_time":  # a span starts within hours of its order, whose time is a key of its versions and stands in the file
+        out += f" and order_time >= {now} - interval '{amount}' {unit} - interval '1' day and order_time <= {now}"
+    return out
 
 
 def panel_filter(column: str = "start_time", days: int = 2500, projects: tuple[str, ...] = (), environments: tuple[str, ...] = ()) -> str:

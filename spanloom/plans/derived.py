@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import counters, quality, sequences, versions
-from spanloom.sources import ingest
+from spanloom.sources import batches, ingest
 from spanloom.sources.views import Views, checked_by
 from spanloom.streaming import jobs
 
@@ -101,6 +101,22 @@ def _attr(key: str, value: Column) -> Column:
     return F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
 
 
+def batches_json(v: Views) -> DataFrame:
+    """A batch for each trace, with its spans and scores; values that are the default are left out, inputs hold a secret."""
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    span = F.struct(
+        "span_id", "trace_id", "type", "name", F.concat("input", F.lit(" token=abcdefgh12")).alias("input"), "output", "error", time("start_time").alias("start_time"), "latency_ms", F.when(F.col("status") != "success", F.col("status")).alias("status"),
+        "token_count_input", "cost", (F.col("tool_schema_valid") == 1).alias("tool_schema_valid"), (F.col("oom_killed") == 1).alias("oom_killed"),
+    )
+    score = F.struct("score_id", "trace_id", "span_id", "name", F.when(F.col("source") != "api", F.col("source")).alias("source"), "value")
+    trace = F.struct("trace_id", F.when(F.col("trace_type") != "mcp", F.col("trace_type")).alias("trace_type"), "agent_id", "session_id", F.when(F.col("ide") != "", F.col("ide")).alias("ide"), "name", time("start_time").alias("start_time"), F.array("trace_type").alias("tags"))
+    spans = v.spans_raw.groupBy("trace_id").agg(F.collect_list(span).alias("spans"))
+    scores = v.scores.groupBy("trace_id").agg(F.collect_list(score).alias("scores"))
+    joined = v.traces.join(spans, "trace_id", "left").join(scores, "trace_id", "left")
+    batch = F.to_json(F.struct(F.array(trace).alias("traces"), "spans", "scores"))
+    return joined.select(batch.alias("json"), "project_id", "user_id", "environment", F.col("event_ts").alias("received"))
+
+
 def otlp_json(v: Views) -> DataFrame:
     """Each event as an OTLP trace payload."""
     nano = lambda c: (c * 1000).cast("string")
@@ -168,8 +184,9 @@ def samples(v: Views) -> DataFrame:
 QUERIES = {
     "latest_version": latest,
     "read_table": lambda v: versions.conform(v.traces, F.broadcast(v.traces).schema),
-    "ingest_traces": lambda v: versions.conform(v.traces.withColumn("start_time", F.date_trunc("millisecond", "start_time")), v.traces.schema),
-    "ingest_spans": lambda v: v.spans_raw.select("span_id", tx.redact(F.col("input")).alias("input"), F.col("oom_killed").cast("smallint").alias("oom_killed"), F.coalesce("status", F.lit("success")).alias("status"), F.date_trunc("millisecond", "start_time").alias("start_time")),
+    "ingest_traces": lambda v: batches.batch_traces(batches_json(v)).select("trace_id", "project_id", "user_id", "environment", "trace_type", "agent_id", "session_id", "ide", "name", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("tags")[0].alias("tag"), F.size("metadata").alias("metadata")),
+    "ingest_spans": lambda v: batches.batch_spans(batches_json(v)).select("span_id", "trace_id", "project_id", "type", "name", "method", "input", "output", "error", F.col("start_time").cast("timestamp_ntz").alias("start_time"), "latency_ms", "status", "token_count_input", "cost", "tool_schema_valid", "oom_killed"),
+    "ingest_scores": lambda v: batches.batch_scores(batches_json(v)).select("score_id", "trace_id", "span_id", "project_id", "user_id", "name", "source", "data_type", "value", "timestamp"),
     "ingest_otel_logs": lambda v: v.otel_logs.select("event_id", "timestamp", F.lit("INFO").alias("severity"), F.lit(9).alias("severity_number"), F.create_map(F.lit("tool_name"), F.col("tool_name"), F.lit("model"), F.col("model")).alias("attributes")).select("event_id", "severity", "severity_number", tx.read_map(F.col("attributes"), "tool_name").alias("tool_name"), tx.read_map(F.col("attributes"), "none").alias("none")),
     "merge_hook_shim": lambda v: sequences.merge_sources(sourced_events(v)).select("session_id", "id", "timestamp", "event_name", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("attributes")))).alias("attributes")),
     "dedup_hook_otel": lambda v: sequences.match_nearest(hook_and_shim(v), ["session_id"], 50, strict=False),
@@ -221,9 +238,11 @@ QUERIES = {
 ORACLES = {
     "compact_partitions": "select count(*) as rows from events",
     "latest_version": checked_by("select span_id, event_ts, latency_ms, status from spans"),
-    "ingest_traces": checked_by("select * from traces"),
+    "ingest_traces": checked_by("select trace_id, project_id, user_id, environment, trace_type, agent_id, session_id, ide, name, start_time, trace_type as tag, 0 as metadata from traces"),
     "read_table": checked_by("select * from traces"),
-    "ingest_spans": checked_by("select span_id, input, oom_killed, status, date_trunc('millisecond', start_time) as start_time from spans_raw"),
+    "ingest_spans": checked_by("""select s.span_id, s.trace_id, t.project_id, s.type, s.name, '' as method, s.input || ' [REDACTED:assignment]' as input, s.output, s.error, date_trunc('second', s.start_time) as start_time, s.latency_ms, s.status,
+        s.token_count_input, s.cost, s.tool_schema_valid, s.oom_killed from spans_raw s join traces t on s.trace_id = t.trace_id"""),
+    "ingest_scores": checked_by("select s.score_id, s.trace_id, s.span_id, t.project_id, t.user_id, s.name, s.source, 'numeric' as data_type, s.value, t.start_time as timestamp from scores s join traces t on s.trace_id = t.trace_id"),
     "ingest_otel_logs": checked_by("select event_id, 'INFO' as severity, 9 as severity_number, tool_name, '' as \"none\" from otel_logs"),
     "normalize_ts": "select event_id, date_trunc('second', ts) as at from events",
     "counter_topk": "with s as (select user_id, event_type, ts, event_id, row_number() over (partition by user_id, event_type order by ts, event_id) % 4 as value from events), d as (select *, lag(value) over (partition by user_id, event_type order by ts, value) as before_value from s) select user_id, sum(case when before_value is null then 0 when value < before_value then value else value - before_value end)::double as rise from d group by user_id order by rise desc, user_id limit 8",

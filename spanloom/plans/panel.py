@@ -30,7 +30,8 @@ class Panel:
 
     def build(self, df: DataFrame) -> DataFrame:
         """The panel over any DataFrame with the columns that its expressions name."""
-        out = df.filter(self.where) if self.where else df
+        # times in the tables have no zone; a literal with one would keep the filter above the scan
+        out = df.filter(self.where.replace("timestamp '", "timestamp_ntz '")) if self.where else df
         if self.aggs:
             keys = [F.expr(e).alias(n) for n, e in self.by.items()]
             out = out.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in self.aggs.items()])

@@ -95,7 +95,6 @@ QUERIES = {
         select session_id, coalesce(writer, event_index - 1) as src, event_index as dst, case when writer is not null then 'file' else 'order' end as kind from linked where writer is not null or event_index > 1""",
     # ingestion rules that SQL states
     "normalize_service": "select event_id, case when service_name = 'observability-hooks' then 'claude-code' else service_name end as service from otel_logs",
-    "ingest_scores": "select score_id, coalesce(source, 'api') as source, 'numeric' as data_type, value, date_trunc('second', timestamp) as timestamp from scores",
     "ingest_tool_calls": "select span_id as event_id, name as tool_name, status, latency_ms, start_time as timestamp from spans where type = 'tool_call'",
     "ingest_agent_interactions": "select trace_id as event_id, agent_id, trace_type as user_action, start_time as timestamp from traces where agent_id <> ''",
     "ingest_security_events": "select event_id, timestamp, severity, coalesce(actor_email, '') as actor_email, coalesce(http_method, '') as detail from audit_log where severity <> 'info'",

@@ -25,7 +25,7 @@ SQL = {
                'u' || cast(o_custkey as string) as user_id,
                case when l_linenumber <= 3 then 'tool_call' when l_linenumber = 4 then 'retrieval' when l_linenumber = 5 then 'sandbox_exec' when l_linenumber = 6 then 'llm' else 'hook' end as type,
                case when (l_orderkey + cast(floor(l_linenumber / 2) as int)) % 25 = 3 then 'edit file' else 'tool_' || cast((l_orderkey + cast(floor(l_linenumber / 2) as int)) % 25 as string) end as name,
-               o_orderdate + interval '1' hour * l_linenumber as start_time,
+               o_orderdate + interval '1' hour * l_linenumber as start_time, o_orderdate as order_time,
                cast(l_quantity * 100 as bigint) as latency_ms,
                case when l_returnflag = 'R' and l_linestatus = 'F' then 'error' when l_returnflag = 'A' and l_discount > 0.08 then 'timeout' else 'success' end as status,
                case when l_returnflag = 'R' and l_linestatus = 'F' then 'boom ' || cast(l_suppkey % 7 as string) end as error,
@@ -56,7 +56,7 @@ SQL = {
         from lineitem join orders on l_orderkey = o_orderkey""",
     "spans": """
         select * from (
-          select *, row_number() over (partition by project_id, user_id, type, cast(start_time as date), span_id
+          select *, row_number() over (partition by project_id, user_id, type, cast(start_time as date), order_time, span_id
                                        order by event_ts desc, seq_a desc, seq_b desc, seq_c desc) as version_rank from spans_raw
         ) ranked where version_rank = 1 and is_deleted = 0""",
     "traces": """
@@ -72,7 +72,7 @@ SQL = {
                'v' || cast(o_orderkey % 4 as string) as agent_version,
                'trace ' || cast(o_orderkey % 100 as string) as name,
                o_totalprice / 1000 as price,
-               o_orderdate as start_time, o_orderdate as event_ts, 0 as is_deleted
+               o_orderdate as start_time, o_orderdate as order_time, o_orderdate as event_ts, 0 as is_deleted
         from orders""",
     "span_traces": """
         select s.*, t.agent_id, t.mcp_id, t.ide, t.session_id, t.trace_type
