@@ -104,6 +104,52 @@ class Shard:
             yield from ((q, v, s) for _, v, s in best)
 
 
+def _search(k: int, relax: float, greatest: float):
+    """Works on rows sorted by (shard, role): a shard's vectors come first, then the queries in blocks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, now = None, None
+        own: list[tuple[np.ndarray, np.ndarray]] = []  # ids and vectors of the shard, then of the queries that wait
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal shard
+            if not own or not waiting:
+                waiting.clear()
+                return
+            if shard is None:
+                shard = Shard(*map(np.concatenate, zip(*own)), greatest, k)
+            ids, queries = map(np.concatenate, zip(*waiting))
+            waiting.clear()
+            for at in range(0, len(ids), QUERY_BLOCK):
+                out = list(shard.nearest(ids[at : at + QUERY_BLOCK], queries[at : at + QUERY_BLOCK], k, relax))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            keys, is_query, ids = batch.column("shard").to_pylist(), np.asarray(batch.column("is_query")), np.asarray(batch.column("vec_id"))
+            bounds, values = np.asarray(batch.column("vector").offsets), np.asarray(batch.column("vector").values)
+            new = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or is_query[i] != is_query[i - 1]]
+            for at, end in zip([0, *new], [*new, len(keys)]) if keys else ():
+                if keys[at] != now:
+                    yield from answer()
+                    shard, now = None, keys[at]
+                    own.clear()
+                (waiting if is_query[at] else own).append((ids[at:end].copy(), values[bounds[at] : bounds[end]].reshape(end - at, -1).copy()))
+                if sum(len(w[0]) for w in waiting) >= QUERY_BLOCK:
+                    yield from answer()
+        yield from answer()
+
+    return work
+
+
+def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> Iterator[tuple[int, int, float]]:
+        found, far = self.tree.search(np.c_[queries, np.zeros(len(queries))], k + 1, relax)
+        for q, query, indexes, distances in zip(query_ids.tolist(), queries, found, far):
+            scored = [(math.fsum((query * self.vectors[i]).tolist()), i) for i in indexes.tolist() if i >= 0]
+            best = sorted(((-s, v, s) for s, i in scored for v in self.ids[i].tolist() if v != q))[:k]
+            yield from ((q, v, s) for _, v, s in best)
+
+
 def _search(k: int, relax: float, greatest: float):
     """Works on rows sorted by (shard, role): a shard's vectors come first, then the queries in blocks."""
 
