@@ -19,11 +19,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import pieces, table
+from spanloom.llm.common import modest_batches, pieces, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered by a task; beyond that the memory starts anew. Pairs are bounded likewise. Longer words are not remembered.
-MOST_WORDS, MOST_PAIRS, LONG_WORD = 800_000, 2_000_000, 64
+MOST_WORDS, MOST_PAIRS, LONG_WORD = 200_000, 1_000_000, 64
 _NEVER = np.int32(2**31 - 1)
 #: The split of the byte-level format into words (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -244,6 +244,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
             } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if keep_ids else {})
             yield pa.RecordBatch.from_pydict(columns)
 
+    modest_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 

@@ -38,6 +38,17 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Most rows of a batch between Spark and Python: texts are long, and 10,000 of them take over 100 MB in each of a task's buffers.
+BATCH_ROWS = 2048
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, into the shared folder."""
     _shared_folder(df.sparkSession)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import _LOWER, mix64, pieces, span_hashes, table, utf8, words
+from spanloom.llm.common import _LOWER, mix64, modest_batches, pieces, span_hashes, table, utf8, words
 
 #: Samples of a fingerprint (its standard error is at most 1 / sqrt(4 SAMPLES)); words whose numbers a task remembers; bytes of
 #: text in a range of documents, at most, about.
@@ -164,6 +164,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     descending doc_id; the first document follows the last. A single document follows itself. Null text counts as empty. Equal
     doc_ids follow each other in order of text, null ones come last.
     """
+    modest_batches(docs.sparkSession)
     return _neighbours(docs).mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import pieces, table
+from spanloom.llm.common import modest_batches, pieces, table
 
 #: Lines of a window, and the greatest threshold of its sum, in characters.
 WINDOW, MOST_THRESHOLD = 3, 80
@@ -274,6 +274,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null, empty or all-boilerplate html gives an empty text. Broken markup is read as far as it goes, in time linear in the page.
     Pages are worked on one by one; other columns of `pages` are not read.
     """
+    modest_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

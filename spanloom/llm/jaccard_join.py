@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, only, pieces, shingles, table, utf8, written
+from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, modest_batches, only, pieces, shingles, table, utf8, written
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
@@ -443,6 +443,7 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_lin
     component. Equal sets link, so copies share a component. A null doc_id never counts as least; it has component null where
     no other id is reachable.
     """
+    modest_batches(docs.sparkSession)
     limit = Threshold(num, den)
     described = checkpointed(_describe(docs, n_words))
     blocks = described.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary")

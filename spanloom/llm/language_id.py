@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import pieces, table
+from spanloom.llm.common import modest_batches, pieces, table
 
 #: About so many labelled rows are counted, chosen by a hash of their text; lengths of the character n-grams, in the order they
 #: are tried (0 stands for whole words); scores (words x languages) that a task remembers.
@@ -53,6 +53,7 @@ def train(docs: DataFrame, rows: int | None = TRAINING_ROWS) -> DataFrame:
     Rows without text or lang teach nothing. logp is the log of (n + 0.5) / (N + 0.5 V), n being the gram's count, N and V the
     sum and number of the grams of that language and length.
     """
+    modest_batches(docs.sparkSession)
     labelled = docs.filter("text is not null and lang is not null").select("lang", "text")
     if rows is not None:
         share = min(1.0, rows / max(labelled.count(), 1))

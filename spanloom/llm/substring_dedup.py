@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bloom_admits, bloom_filter, checkpointed, fresh, mix64, pieces, table, utf8
+from spanloom.llm.common import bloom_admits, bloom_filter, checkpointed, fresh, mix64, modest_batches, pieces, table, utf8
 
 #: Bytes on either side of a cut that it must outdo (chunks have REACH + 1 bytes at least, and about twice as many on average);
 #: bytes of the longest chunk, bytes that a run of repeated chunks must have to go by default; bytes that the gear hash spans.
@@ -138,6 +138,7 @@ def dedup_substrings(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFra
     greatest), within a document the first; rows that share a doc_id are one document to this rule, so a repeated row is
     treated like its twin. With least_bytes = 0 every repeated chunk goes. Columns named like the new ones are replaced.
     """
+    modest_batches(docs.sparkSession)
     spark, own = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     kind = "one long, two long, id long, number int"
     again = own.mapInArrow(_emit(), kind).groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import _BYTE, _INVERSE, _ODD, _powers, bloom_admits, bloom_filter, checkpointed, mix64, only, pieces, span_hashes, table, utf8
+from spanloom.llm.common import _BYTE, _INVERSE, _ODD, _powers, bloom_admits, bloom_filter, checkpointed, mix64, modest_batches, only, pieces, span_hashes, table, utf8
 
 #: Bytes of a repeated string; of an anchor; bytes that are merged at a time and the shards they form; stretches of one anchor
 #: beyond which its windows are counted instead.
@@ -283,6 +283,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null doc_id is greater than all others. A repeated row is treated like its twin: rows that share a doc_id, or have none, are
     one document to the order of starts and should have one text. Columns of docs but doc_id and text are not read. Only documents with a repeat are shuffled with their text.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     spans = checkpointed(repeated_spans(docs).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     ids = spans.select("id")
