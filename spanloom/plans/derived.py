@@ -192,7 +192,7 @@ QUERIES = {
     "dedup_hook_otel": lambda v: sequences.match_nearest(hook_and_shim(v), ["session_id"], 50, strict=False),
     "pair_decision_result": lambda v: sequences.match_nearest(hook_and_shim(v).withColumn("at", F.col("id")), ["session_id", "tool_name"], 10**9, strict=False),
     "agent_scope": lambda v: sequences.agent_scopes(v.otel_logs.select("session_id", F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_name") == "api_request", "hook_subagentstart").when(F.col("event_name") == "hook_stop", "hook_subagentstop").otherwise(F.col("event_name")).alias("event_name"), F.nullif("agent_name", F.lit("")).alias("agent"))),
-    "sessionize_by_cwd": lambda v: sequences.sessionize_by_cwd(v.otel_logs.select((F.col("k") % 200).cast("string").alias("cwd"), F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_id") % 3 == 0, F.col("session_id")).alias("session_id"))),
+    "sessionize_by_cwd": lambda v: sequences.sessionize_by_cwd(v.otel_logs.select(F.concat("user_id", F.lit("/"), (F.col("k") % 7).cast("string")).alias("cwd"), F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_id") % 3 == 0, F.col("session_id")).alias("session_id"))),
     "changesets": lambda v: sequences.changesets(edges(v).select("session_id", F.col("dst").alias("id"), F.col("src").alias("parent"), "act")),
     "changeset_status": changeset_status,
     "repetition_cycles": lambda v: sequences.repetition_cycles(numbered(v, "user_id").select("session_id", "at", F.col("act").alias("key"))),
@@ -235,7 +235,24 @@ QUERIES = {
     "avg_response_size": lambda v: counters.increases(samples(v), ["user_id", "event_type"]).groupBy("event_type").agg(F.round(F.sum("delta") / F.count("*"), 8).alias("average")),
 }
 
+_DELTAS = """s as (select user_id, event_type, ts, row_number() over (partition by user_id, event_type order by ts, event_id) % 4 as value from events),
+    d as (select *, case when before_value is null then 0 when value < before_value then value else value - before_value end::double as delta
+          from (select *, lag(value) over (partition by user_id, event_type order by ts, value) as before_value from s) l)"""
+
 ORACLES = {
+    "counter_rate": f"with {_DELTAS} select event_type, date_trunc('day', ts) as bucket, sum(delta) as rise, sum(delta) / 86400 as rate from d group by 1, 2",
+    "avg_response_size": f"with {_DELTAS} select event_type, round(sum(delta) / count(*), 8) as average from d group by 1",
+    "histogram_quantile": """
+        with b as (select event_type, le, cast(count_if(value <= le) as bigint) as n from events, (values (50.0::double), (100), (200), ('inf')) edges(le) group by event_type, le),
+        w as (select *, coalesce(lag(le) over o, 0) as lower, coalesce(lag(n) over o, 0) as below, 0.9::double * max(n) over (partition by event_type) as rank from b window o as (partition by event_type order by le))
+        select event_type, case when le = 'inf' then lower else lower + (le - lower) * (rank - below) / nullif(n - below, 0) end as quantile from w where n >= rank and below < rank""",
+    "hook_body_text": checked_by("""select event_id, case when event_name = 'hook_userpromptsubmit' then 'Prompt: ' || substring(coalesce(body, ''), 1, 200) when event_name in ('hook_pretooluse', 'hook_posttooluse') then 'Tool: ' || coalesce(tool_name, 'unknown')
+        when event_name = 'hook_posttoolusefailure' then 'Tool failed: ' || coalesce(tool_name, 'unknown') || ' ' || substring(coalesce(tool_response, ''), 1, 200) else 'Event: ' || event_name end as text from otel_logs"""),
+    "span_tree": checked_by("""
+        with recursive nodes as (select distinct trace_id, span_id, parent_span_id from spans),
+        tree as (select trace_id, span_id, span_id as root, cast(0 as bigint) as depth, [span_id] as path from nodes n where not exists (select 1 from nodes p where p.trace_id = n.trace_id and p.span_id = n.parent_span_id)
+          union all select n.trace_id, n.span_id, t.root, t.depth + 1, list_append(t.path, n.span_id) from nodes n join tree t on n.trace_id = t.trace_id and n.parent_span_id = t.span_id)
+        select trace_id, span_id, root, cast(depth as int) as depth, path from tree"""),
     "compact_partitions": "select count(*) as rows from events",
     "latest_version": checked_by("select span_id, event_ts, latency_ms, status from spans"),
     "ingest_traces": checked_by("select trace_id, project_id, user_id, environment, trace_type, agent_id, session_id, ide, name, start_time, trace_type as tag, 0 as metadata from traces"),
