@@ -92,7 +92,7 @@ def changeset_status(v: Views) -> DataFrame:
 def context_thrashing(v: Views) -> DataFrame:
     """All that a user did as one session: four reads of four files within five steps; first_hit is the last of the first such five."""
     last = Window.partitionBy("session_id").orderBy("at").rowsBetween(-4, 0)
-    read = F.when(F.col("act") == "read", F.col("tool_input"))
+    read = F.when(F.col("tool_name").isin("tool_2", "tool_4"), F.col("tool_input"))
     steps = numbered(v, "user_id").withColumn("files", F.size(F.collect_set(read).over(last))).filter("at >= 5 and files >= 4")
     return steps.groupBy("session_id").agg(F.min("at").alias("first_hit"))
 
