@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BROADCAST_ROWS, checkpointed, mix64, modest_batches, only, pieces, shingles, table, utf8, written
+from spanloom.llm.common import BROADCAST_ROWS, bloom_admits, bloom_filter, checkpointed, mix64, modest_batches, only, pieces, shingles, table, utf8, written
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
@@ -170,10 +170,22 @@ def _level(meta: str) -> Column:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """The prefix rows of the shingles that different sets have, with the first set of each such list by doc_id and by digest."""
+    """The prefix rows of the shingles that different sets have, with the first set of each such list by doc_id and by digest.
+
+    A Bloom filter of fixed size, of these shingles, keeps most other rows out of the shuffle; the join leaves out the rest.
+    """
+    lists = prefixes.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("token")
+    lists = checkpointed(lists)
+    admitted = prefixes.sparkSession.sparkContext.broadcast(bloom_filter(lists, ["token"]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom_admits(admitted.value, [np.asarray(batch.column("token"))])))
+
+    rows = checkpointed(prefixes.mapInArrow(work, "token long, node long, id long, meta long").join(lists, "token"))
     own = F.struct("node", "meta")
-    lists = prefixes.groupBy("token").agg(F.min_by(own, F.struct("id", "node")).alias("hub_0"), F.min(own).alias("hub_1"), F.max("node").alias("last"))
-    return prefixes.drop("id").join(lists.filter("hub_1.node <> last").drop("last"), "token")
+    hubs = rows.groupBy("token").agg(F.min_by(own, F.struct("id", "node")).alias("hub_0"), F.min(own).alias("hub_1"))
+    return rows.drop("id").join(hubs, "token")
 
 
 def _hub_candidates(shared: DataFrame, hub: str, limit: Threshold) -> DataFrame:
