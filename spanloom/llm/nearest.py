@@ -142,46 +142,6 @@ def _search(k: int, relax: float, greatest: float):
     return work
 
 
-def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> Iterator[tuple[int, int, float]]:
-        found, far = self.tree.search(np.c_[queries, np.zeros(len(queries))], k + 1, relax)
-        for q, query, indexes, distances in zip(query_ids.tolist(), queries, found, far):
-            scored = [(math.fsum((query * self.vectors[i]).tolist()), i) for i in indexes.tolist() if i >= 0]
-            best = sorted(((-s, v, s) for s, i in scored for v in self.ids[i].tolist() if v != q))[:k]
-            yield from ((q, v, s) for _, v, s in best)
-
-
-def _search(k: int, relax: float, greatest: float):
-    """Works on rows sorted by (shard, role): a shard's vectors come first, then the queries in blocks."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, now, ids, vectors, waiting = None, None, [], [], []
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            nonlocal shard
-            if shard is None:
-                shard = Shard(np.array(ids, np.int64), np.array(vectors, np.float64), greatest, k) if ids else False
-            if shard and waiting:
-                out = list(shard.nearest(np.array([w[0] for w in waiting], np.int64), np.array([w[1] for w in waiting], np.float64), k, relax))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
-            waiting.clear()
-
-        for batch in batches:
-            for key, is_query, i, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "is_query", "vec_id", "vector"))):
-                if key != now:
-                    yield from answer()
-                    shard, now, ids, vectors = None, key, [], []
-                if is_query:
-                    waiting.append((i, v))
-                    if len(waiting) == QUERY_BLOCK:
-                        yield from answer()
-                else:
-                    ids.append(i)
-                    vectors.append(v)
-        yield from answer()
-
-    return work
-
-
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, relax: float = RELAX, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """embeddings(vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest found for each vec_id divisible by `every`.
 
