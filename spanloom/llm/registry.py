@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, fingerprints, html_text, jaccard_join, language_id, line_dedup, mixing, nearest, substring_dedup, suffix_dedup, url_filters
+from spanloom.llm import bpe, conversations, fingerprints, html_text, jaccard_join, language_id, line_dedup, mixing, nearest, spelling, substring_dedup, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,
     "op4_mixing_sources": mixing.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
     "op12_line_dedup": line_dedup.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
