@@ -11,12 +11,11 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAMES = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double"}
+_NAMES = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
 
 
 def _in_order(events: DataFrame, keys: list[str], order: list[str], columns: list[str], machine: Callable, fields: dict[str, pa.DataType]) -> DataFrame:
@@ -188,95 +187,6 @@ def sessionize_by_cwd(events: DataFrame, minutes: float = 30) -> DataFrame:
     return _in_order(timed, ["cwd"], ["at", "id"], ["at", "id", "own"], lambda: Directory(minutes), {"id": pa.int64(), "session_id": pa.string()}).drop("cwd")
 
 
-def changesets(nodes: DataFrame, hops: int = 3) -> DataFrame:
-    """nodes(session_id, id, parent, act) -> session_id, id, changeset: writes under one parent or one near thought.
-
-    Writes join if they share a parent, or an ancestor that thinks or searches at most `hops` steps up; a set is named by its
-    least node.
-    """
-
-    def group_writes(group: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(group["id"], group["parent"]))
-        act = dict(zip(group["id"], group["act"]))
-        writes = sorted(i for i, a in act.items() if a == "write")
-        least = {w: w for w in writes}
-
-        def find(x: int) -> int:
-            while least[x] != x:
-                x = least[x]
-            return x
-
-        holders: dict = {}
-        for w in writes:
-            up, marks = parent.get(w), [("parent", parent.get(w))]
-            for _ in range(hops):
-                if up is None or pd.isna(up):
-                    break
-                if act.get(up) in ("think", "search"):
-                    marks.append(("thought", up))
-                up = parent.get(up)
-            for m in marks:
-                if m[1] is None or pd.isna(m[1]):
-                    continue
-                if m in holders:
-                    a, b = find(w), find(holders[m])
-                    least[max(a, b)] = min(a, b)
-                else:
-                    holders[m] = w
-        return pd.DataFrame({"session_id": group["session_id"].iloc[0], "id": writes, "changeset": [find(w) for w in writes]})
-
-    return nodes.groupBy("session_id").applyInPandas(group_writes, "session_id string, id long, changeset long")
-
-
-class _Cycles:
-    """Runs of a pattern in the keys fed so far; it holds the keys that may still begin a run, and the run that may go on."""
-
-    def __init__(self, repeats: int, longest: int):
-        self.repeats, self.longest, self.keys, self.before = repeats, longest, [], 0
-        self.run: tuple[list, int, int] | None = None  # pattern, start, times
-
-    def feed(self, rows: list[tuple], last: bool = False) -> list[tuple]:
-        self.keys += [key for key, in rows]
-        keys, i, found = self.keys, 0, []
-        while True:
-            if self.run:
-                pattern, start, times = self.run
-                n = len(pattern)
-                while keys[i : i + n] == pattern:
-                    i, times = i + n, times + 1
-                self.run = (pattern, start, times)
-                if len(keys) - i < n and not last:
-                    break
-                found.append(("|".join(pattern), start, times))
-                self.run = None
-            left = len(keys) - i
-            if not left or left < self.longest * self.repeats and not last:
-                break
-            for n in range(2, min(self.longest, left // self.repeats) + 1):
-                pattern = keys[i : i + n]
-                if keys[i + n : i + n * self.repeats] == pattern * (self.repeats - 1):
-                    self.run = (pattern, self.before + i, self.repeats)
-                    i += n * self.repeats
-                    break
-            else:
-                i += 1
-        del keys[:i]
-        self.before += i
-        return found
-
-    def end(self) -> list[tuple]:
-        return self.feed([], last=True)
-
-
-def repetition_cycles(events: DataFrame, repeats: int = 3, longest: int = 20) -> DataFrame:
-    """events(session_id, at, key) -> session_id, pattern, start, times: runs of a pattern of two keys or more, thrice or more.
-
-    Of a pattern's runs the first is returned. Patterns have at most `longest` keys; sessions any number of events.
-    """
-    runs = _in_order(events, ["session_id"], ["at"], ["key"], lambda: _Cycles(repeats, longest), {"pattern": pa.string(), "start": pa.int64(), "times": pa.int64()})
-    return runs.groupBy("session_id", "pattern").agg(F.min(F.struct("start", "times")).alias("first")).select("session_id", "pattern", "first.start", "first.times")
-
-
 class Cusum:
     """A two-sided cumulative sum of flags, averaged over a window, about a baseline; `step` says whether it is beyond the limit.
 
@@ -337,23 +247,6 @@ def cusum_stuck(events: DataFrame, **options: float) -> DataFrame:
     return _in_order(events, ["session_id"], ["at"], ["flag"], lambda: _FirstAlarm(options), {"first_alarm": pa.int64()})
 
 
-def critical_path(edges: DataFrame) -> DataFrame:
-    """edges(session_id, src, dst, cost of dst) -> session_id, length, path: the costliest path; ties keep the first."""
-
-    def longest(group: pd.DataFrame) -> pd.DataFrame:
-        best, via = {}, {}
-        for src, dst, cost in group.sort_values(["dst", "src"])[["src", "dst", "cost"]].itertuples(index=False):
-            if best.get(src, 0.0) + cost > best.get(dst, -1.0):
-                best[dst], via[dst] = best.get(src, 0.0) + cost, src
-        end = min(best, key=lambda n: (-best[n], n))
-        path = [end]
-        while path[-1] in via:
-            path.append(via[path[-1]])
-        return pd.DataFrame({"session_id": [group["session_id"].iloc[0]], "length": [best[end]], "path": [[int(p) for p in path[::-1]]]})
-
-    return edges.groupBy("session_id").applyInPandas(longest, "session_id string, length double, path array<long>")
-
-
 def span_tree(spans: DataFrame) -> DataFrame:
     """spans(trace_id, span_id, parent_span_id) -> trace_id, span_id, root, depth, path, by doubling the way up.
 

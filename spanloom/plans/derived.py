@@ -69,26 +69,6 @@ def compacted(v: Views) -> DataFrame:
     return versions.content_checksum(v.spark.read.parquet(folder).select(*v.events.columns)).select("rows")
 
 
-def reverted(v: Views) -> DataFrame:
-    """(session_id, id, is_reverted) of the writes: is there a state of the file before and the same one after.
-
-    States of a file are its writes and a read that comes first; two that follow one another among equal ones revert all between.
-    """
-    file = Window.partitionBy("session_id", "tool_input").orderBy("at")
-    states = numbered(v).filter("act in ('write', 'read')").withColumn("place", F.row_number().over(file)).filter("act = 'write' or place = 1")
-    same = Window.partitionBy("session_id", "tool_input", F.md5("tool_response")).orderBy("at")
-    states = states.withColumn("again", F.lead("place").over(same))
-    back = F.max("again").over(file.rowsBetween(Window.unboundedPreceding, -1)) > F.col("place")
-    return states.withColumn("is_reverted", F.coalesce(back, F.lit(False))).filter("act = 'write'").select("session_id", F.col("at").cast("long").alias("id"), "is_reverted")
-
-
-def changeset_status(v: Views) -> DataFrame:
-    """Changesets with their writes, how many of them were reverted, and the status: full, partial, or effective if none was."""
-    writes = QUERIES["changesets"](v).join(reverted(v), ["session_id", "id"])
-    counts = writes.groupBy("session_id", "changeset").agg(F.count("*").alias("writes"), F.count_if("is_reverted").alias("reverted"))
-    return counts.withColumn("status", F.when(F.col("reverted") == F.col("writes"), "full").when(F.col("reverted") > 0, "partial").otherwise("effective"))
-
-
 def context_thrashing(v: Views) -> DataFrame:
     """All that a user did as one session: four reads of four files within five steps; first_hit is the last of the first such five."""
     last = Window.partitionBy("session_id").orderBy("at").rowsBetween(-4, 0)
@@ -193,13 +173,8 @@ QUERIES = {
     "pair_decision_result": lambda v: sequences.match_nearest(hook_and_shim(v).withColumn("at", F.col("id")), ["session_id", "tool_name"], 10**9, strict=False),
     "agent_scope": lambda v: sequences.agent_scopes(v.otel_logs.select("session_id", F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_name") == "api_request", "hook_subagentstart").when(F.col("event_name") == "hook_stop", "hook_subagentstop").otherwise(F.col("event_name")).alias("event_name"), F.nullif("agent_name", F.lit("")).alias("agent"))),
     "sessionize_by_cwd": lambda v: sequences.sessionize_by_cwd(v.otel_logs.select(F.concat("user_id", F.lit("/"), (F.col("k") % 7).cast("string")).alias("cwd"), F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_id") % 3 == 0, F.col("session_id")).alias("session_id"))),
-    "changesets": lambda v: sequences.changesets(edges(v).select("session_id", F.col("dst").alias("id"), F.col("src").alias("parent"), "act")),
-    "changeset_status": changeset_status,
-    "repetition_cycles": lambda v: sequences.repetition_cycles(numbered(v, "user_id").select("session_id", "at", F.col("act").alias("key"))),
     "cusum_stuck": lambda v: sequences.cusum_stuck(numbered(v, "user_id").select("session_id", "at", (F.col("event_name") == "hook_posttoolusefailure").cast("double").alias("flag")), **DETECTOR),
     "compact_partitions": compacted,
-    "critical_path": lambda v: sequences.critical_path(edges(v).select("session_id", "src", "dst", "cost")),
-    "dag_stats": lambda v: edges(v).groupBy("session_id").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("nodes")),
     "span_tree": lambda v: sequences.span_tree(v.spans),
     "span_tree_filter": lambda v: sequences.span_tree(v.spans).filter("span_id like '%-5'").select("trace_id", F.explode("path").alias("span_id")).distinct(),
     "context_thrashing": context_thrashing,

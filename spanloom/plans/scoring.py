@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import quality, sequences, structural
+from spanloom.operators import process, quality, structural
 from spanloom.plans.traces import EFFECT
 from spanloom.sources.views import Views, checked_by
 
@@ -75,7 +75,7 @@ _METRICS = f"""{EFFECT},
 def metrics(v: Views) -> DataFrame:
     """All process metrics of a session in one row."""
     events = v.sql(f"{EFFECT} select session_id, event_index as at, act as key from classed")
-    cycles = sequences.repetition_cycles(events).groupBy("session_id").agg(F.count("*").alias("repetition_cycles"))
+    cycles = process.repetition_cycles(events).groupBy("session_id").agg(F.count("*").alias("repetition_cycles"))
     out = v.sql(_METRICS).join(cycles, "session_id", "left").fillna({"repetition_cycles": 0})
     return out.withColumn("cycle_ratio", F.col("repetition_cycles") / F.col("total_events"))
 

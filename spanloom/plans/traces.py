@@ -86,13 +86,8 @@ QUERIES = {
     "file_churn_rate": f"with {_EVENTS}, {_WRITES} select session_id, round(cast(count_if(act = 'write') as double) / nullif(count(distinct case when act = 'write' then file end), 0), 6) as churn, count_if(failed = 1) as build_errors from acts group by session_id",
     "final_session_success": f"with {_EVENTS} select session_id, event_name <> 'hook_posttoolusefailure' as succeeded from (select *, max(event_index) over (partition by session_id) as last_index from ordered) o where event_index = last_index",
     "shell_mutation_warnings": "select event_id, tool_response from otel_logs where tool_name = 'tool_1' and contains(tool_response, 'code 3')",
-    "orphan_dependencies": """select i.session_id, i.package from (select distinct session_id, tool_response as package from otel_logs where tool_name = 'tool_1') i left join (select distinct session_id, tool_response as package from otel_logs where tool_name = 'tool_0') u on i.session_id = u.session_id and i.package = u.package where u.package is null""",
     "content_hash_groups": "select md5(trim(output)) as content, count(*) as n, min(start_time) as first_seen, max(start_time) as last_seen from spans group by md5(trim(output))",
     "redundant_reads": f"with {_EVENTS}, {_WRITES} select session_id, event_index from (select *, row_number() over (partition by session_id, file, content order by event_index) as nth from acts where act = 'read') r where nth > 1",
-    "token_waste_rate": f"""with {_EVENTS}, {_WRITES} select session_id, round(sum(case when nth > 1 then cost else 0 end) / nullif(sum(cost), 0), 6) as waste, round(cast(count_if(nth = 1) as double) / count(*), 6) as path_efficiency
-        from (select *, row_number() over (partition by session_id, act, file, content order by event_index) as nth from acts) r group by session_id""",
-    "causal_edges": f"""with {_EVENTS}, {_WRITES}, linked as (select *, max(case when act = 'write' then event_index end) over (partition by session_id, file order by event_index rows between unbounded preceding and 1 preceding) as writer from acts)
-        select session_id, coalesce(writer, event_index - 1) as src, event_index as dst, case when writer is not null then 'file' else 'order' end as kind from linked where writer is not null or event_index > 1""",
     # ingestion rules that SQL states
     "normalize_service": "select event_id, case when service_name = 'observability-hooks' then 'claude-code' else service_name end as service from otel_logs",
     "ingest_tool_calls": "select span_id as event_id, name as tool_name, status, latency_ms, start_time as timestamp from spans where type = 'tool_call'",
@@ -113,16 +108,11 @@ EFFECT = f"""with {_EVENTS}, {_WRITES}, judged as (
     classed as (select *, case when act = 'read' and nth > 1 then 'redundant_read' when same_before < just_before then 'revert_cycle' when nth > 2 then 'repetition_loop' end as waste from judged)"""
 
 QUERIES |= {
-    "effective_events": f"{EFFECT} select session_id, event_index, act from classed where waste is null",
-    "waste_classes": f"{EFFECT} select session_id, waste, count(*) as n, round(sum(cost), 6) as cost from classed where waste is not null group by session_id, waste",
-    "path_efficiency": f"{EFFECT} select session_id, round(cast(count_if(coalesce(waste, '') = '') as double) / count(*), 6) as efficiency from classed group by session_id",
     "first_pass_success": f"{EFFECT} select session_id, round(cast(count_if(act = 'write' and coalesce(waste, '') <> 'revert_cycle') as double) / nullif(count_if(act = 'write'), 0), 6) as share from classed group by session_id",
     "backtrack_depth": f"{EFFECT} select session_id, coalesce(max(case when waste = 'revert_cycle' then event_index - same_before end), 0) as depth from classed group by session_id",
     "build_error_count": f"{EFFECT} select session_id, count_if(act = 'bash' and failed = 1) as errors from classed group by session_id",
     "per_trace_metrics": f"{EFFECT} select session_id, act, count(*) as events, count_if(coalesce(waste, '') = '') as effective from classed group by session_id, act",
     "efficiency_warnings": f"{EFFECT} select session_id, case when cast(count_if(coalesce(waste, '') <> '') as double) / count(*) > 0.3 then 'much waste' when count_if(failed = 1) > 2 then 'many errors' end as warning from classed group by session_id",
-    "dag_nodes": f"{EFFECT} select session_id, event_index as node, case when waste is null then 'effective' when waste = 'revert_cycle' then 'reverted' else 'waste' end as status from classed",
-    "dag_edges": f"{EFFECT} select session_id, event_index - 1 as src, event_index as dst, case when just_before = event_index - 1 then 'causal' else 'cross_trace' end as kind from classed where event_index > 1",
     "prev_next_delta": f"{EFFECT} select session_id, event_index, next_act, case when next_act = act then 1 else 0 end as repeats from classed where event_index < last_index",
     "session_events": f"with {_EVENTS} select session_id, event_index, event_id, action, cast(turn_id as bigint) as turn_id, tool_name from ordered where session_id <> ''",
     "agent_in_session": f"""with {_EVENTS}, held as (select *, max(case when event_name = 'api_request' then event_index end) over (partition by session_id order by event_index rows unbounded preceding) as started,

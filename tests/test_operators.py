@@ -71,15 +71,7 @@ def test_a_directory_keeps_its_session_from_the_entrys_start(spark):
     assert rows(sequences.sessionize_by_cwd(cwd_events(spark)), "id") == [(1, "s1"), (2, "s1"), (3, None), (4, "s2"), (5, "s2"), (6, None)]
 
 
-def test_changesets_cycles_and_paths(spark):
-    nodes = [("s", 1, None, "think"), ("s", 2, 1, "write"), ("s", 3, 1, "read"), ("s", 4, 3, "write"), ("s", 5, 4, "bash"), ("s", 6, 5, "write"), ("s", 7, None, "write")]
-    found = sequences.changesets(spark.createDataFrame(nodes, "session_id string, id long, parent long, act string"))
-    assert {i: c for _, i, c in rows(found)} == {2: 2, 4: 2, 6: 6, 7: 7}
-    keys = list("xabababy") + ["q"] * 4
-    cycles = sequences.repetition_cycles(spark.createDataFrame([("s", i, k) for i, k in enumerate(keys)], "session_id string, at long, key string"))
-    assert rows(cycles) == [("s", "a|b", 1, 3)]
-    edges = spark.createDataFrame([("s", 1, 2, 5.0), ("s", 1, 3, 1.0), ("s", 2, 4, 1.0), ("s", 3, 4, 1.0)], "session_id string, src long, dst long, cost double")
-    assert rows(sequences.critical_path(edges)) == [("s", 6.0, [1, 2, 4])]
+def test_cusum_alarms(spark):
     flags = [("s", i, float(i >= 10)) for i in range(20)] + [("quiet", i, 0.0) for i in range(20)]
     alarms = dict(rows(sequences.cusum_stuck(spark.createDataFrame(flags, "session_id string, at long, flag double"), limit=1.0, slack=0.25)))
     assert alarms == {"quiet": None, "s": 12}  # 0.6 more with each flag, from the eleventh on
@@ -94,7 +86,6 @@ def test_no_session_is_cut(spark):
     views = SimpleNamespace(otel_logs=events.repartition(3))
     [(_, first)] = rows(derived.QUERIES["cusum_stuck"](views))
     assert 20_030 < first < 20_040
-    assert set(rows(derived.QUERIES["repetition_cycles"](views))) == {("hot", "read|read", 0, 10_015), ("hot", "write|bash", 20_030, 15)}
 
 
 def test_state_is_carried_from_batch_to_batch(spark):
@@ -103,27 +94,14 @@ def test_state_is_carried_from_batch_to_batch(spark):
     for session in ("a", "b", None, "c"):
         keys = [k for _ in range(25) for k in draw.choices("xyz", k=draw.randint(1, 9)) * draw.choice([1, 2, 3, 7])]
         events += [(session, i, k, float(k == "x")) for i, k in enumerate(keys)]
-    wanted, alarms = set(), {}
+    alarms = {}
     for session in ("a", "b", None, "c"):
-        keys, found, i = [e[2] for e in events if e[0] == session], {}, 0
-        while i < len(keys):
-            step = 1
-            for n in range(2, min(20, (len(keys) - i) // 3) + 1):
-                times = 1
-                while keys[i + n * times : i + n * (times + 1)] == keys[i : i + n]:
-                    times += 1
-                if times >= 3:
-                    found.setdefault("|".join(keys[i : i + n]), (i, times))
-                    step = n * times
-                    break
-            i += step
-        wanted |= {(session, p, *x) for p, x in found.items()}
+        keys = [e[2] for e in events if e[0] == session]
         detector = sequences.Cusum(limit=1.0, slack=0.25, warmup=5, window=3, alpha=0.05)
         alarms[session] = next((i for i, k in enumerate(keys, 1) if detector.step(float(k == "x"))), None)
     table = spark.createDataFrame(draw.sample(events, len(events)), "session_id string, at long, key string, flag double")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
-        assert set(map(tuple, sequences.repetition_cycles(table).collect())) == wanted and len(wanted) > 8
         assert dict(map(tuple, sequences.cusum_stuck(table, limit=1.0, slack=0.25, warmup=5, window=3, alpha=0.05).collect())) == alarms
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -157,15 +135,11 @@ def test_secrets_and_injections(spark):
     assert clean[1] == "ab\n\nc" and len(clean[2]) == 10000
 
 
-def test_changesets_have_a_status_and_thrashing_needs_four_files(spark):
-    tools = {"w": "tool_0", "r": "tool_2", "t": "tool_3"}
-    acts = {"full": "r f 0,w f 1,r g 0,w f 0", "none": "w f 1,t f 9,w f 2", "thrash": "r a 0,r b 0,t x 0,r c 0,r d 0,r e 0", "calm": "r a 0,r b 0,t x 0,r c 0,r a 0"}
+def test_thrashing_needs_four_files(spark):
+    acts = {"thrash": "r a 0,r b 0,t x 0,r c 0,r d 0,r e 0", "calm": "r a 0,r b 0,t x 0,r c 0,r a 0"}
+    tools = {"r": "tool_2", "t": "tool_3"}
     table = [(s, T0 + timedelta(seconds=i), i, tools[a.split()[0]], *a.split()[1:], s) for s, line in acts.items() for i, a in enumerate(line.split(","))]
     views = SimpleNamespace(otel_logs=spark.createDataFrame(table, "session_id string, timestamp timestamp, event_id long, tool_name string, tool_input string, tool_response string, user_id string"))
-    assert {(r["session_id"], r["id"]): r["is_reverted"] for r in derived.reverted(views).collect()} == {("full", 2): True, ("full", 4): False, ("none", 1): False, ("none", 3): False}
-    found = derived.QUERIES["changeset_status"](views).collect()
-    assert {r["session_id"] for r in found} == {"full", "none"} and {r["status"] for r in found if r["session_id"] == "none"} == {"effective"}
-    assert "effective" not in {r["status"] for r in found if r["reverted"]} and sum(r["reverted"] for r in found) == 1
     assert rows(derived.QUERIES["context_thrashing"](views)) == [("thrash", 5)]
 
 
