@@ -119,10 +119,18 @@ def _signatures(order: Broadcast):
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """words(word, n), distinct and of at least four code points -> word, other, n, other_n: both ways, one inserted, deleted or replaced code point apart.
+    """words(word, n), distinct -> word, other, n, other_n: both ways, one inserted, deleted or replaced code point apart.
 
-    The order of bigrams is sent to every task: there are at most as many as pairs of letters (8,100 for `vocabulary`).
+    The order of bigrams is sent to every task: there are at most as many as pairs of letters (8,100 for `vocabulary`). Words of
+    less than four code points have no two disjoint bigrams to spare; up to four they meet under what is left without one letter.
     """
+    size = lambda c: F.char_length(c)
+    beside = (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
+    short = words.filter(size("word") <= 4)
+    less = F.transform(F.sequence(F.lit(1), F.greatest(size("word"), F.lit(1))), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.lit(4))))
+    meet = short.select("word", "n", F.explode(F.array_distinct(F.array_append(less, F.col("word")))).alias("key"))
+    met = meet.join(meet.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "key"), "key").filter(beside).select("word", "n", "other", "other_n")
+    words = words.filter(size("word") >= 4)
     bigrams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))))
     frequency = words.select(bigrams.alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()
     order = {g: (rank, n) for rank, (n, g) in enumerate(sorted((r["n"], r["gram"]) for r in frequency))}
@@ -130,9 +138,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     signed = checkpointed(signed)
     p = signed.select("word", "n", "last", F.explode("pivots").alias("key"))
     q = signed.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"), F.explode("prefix").alias("key"))
-    size = lambda c: F.char_length(c)
-    fits: Column = (F.col("last") <= F.col("other_last")) & (F.abs(size("word") - size("other")) <= 1) & (F.col("word") != F.col("other"))
-    found = p.join(q, (p["key"] == q["key"]) & fits & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    fits: Column = (F.col("last") <= F.col("other_last")) & (F.abs(size("word") - size("other")) <= 1)
+    found = p.join(q, (p["key"] == q["key"]) & fits & beside).select("word", "n", "other", "other_n").unionByName(met)
     ways = F.explode(F.array(F.struct("word", "other", "n", "other_n"), F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("other_n").alias("n"), F.col("n").alias("other_n"))))
     return found.select(ways.alias("w")).select("w.*").distinct()
 
