@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Secrets by public format: name, pattern.
 SECRETS = {
@@ -137,27 +134,23 @@ def normalize_ts(text: Column) -> Column:
     return F.date_trunc("millisecond", F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00")))
 
 
-@F.pandas_udf(T.StringType())
-def canonical_json(text: pd.Series) -> pd.Series:
-    """JSON with sorted keys and numbers as floats; text that isn't JSON with its white space collapsed."""
+#: A number with its sign, currency and unit (a fixed value), and what units mean.
+NUMBER = r"[-+]?[$€£]?\s?\d[\d,]*\.?\d*\s?[KMBTkmbt%]?"
+UNITS = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12, "%": 0.01}
 
-    def canonical(value: str | None) -> str | None:
-        if value is None:
-            return None
-        try:
-            return json.dumps(json.loads(value, parse_int=float), sort_keys=True, separators=(",", ":"))
-        except ValueError:
-            return " ".join(value.split())
 
-    return text.map(canonical)
+def numbers(text: Column) -> Column:
+    """The numbers of a text as doubles; commas are left out, K, M, B, T and % are read, signs are not."""
 
+    def one(found: Column) -> Column:
+        unit = F.upper(F.regexp_extract(found, r"([KMBTkmbt%])$", 1))
+        factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), unit), F.lit(1.0))
+        return F.replace(F.regexp_extract(found, r"\d[\d,]*\.?\d*", 0), F.lit(",")).cast("double") * factor
 
-@F.pandas_udf(T.BooleanType())
-def numbers_match(claim: pd.Series, source: pd.Series) -> pd.Series:
-    """Is any number of the claim within 1 % of one of the source? Currency, commas, K/M/B/T and % are read."""
-    import re
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), one)
 
-    number = re.compile(r"[-+]?[$€£]?\s?(\d[\d,]*\.?\d*)\s?([KMBT%])?", re.I)
-    scale = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12, "%": 0.01}
-    read = lambda t: [float(d.replace(",", "")) * scale.get(s.upper(), 1.0) for d, s in number.findall(t or "")]
-    return pd.Series([any(abs(a - b) <= 0.01 * max(abs(b), 1e-12) for a in read(c) for b in read(s)) for c, s in zip(claim, source)])
+
+def numbers_match(claim: Column, source: Column) -> Column:
+    """Is any number of the claim within 1 % of one of the source?"""
+    near = lambda a, b: F.abs(a - b) <= 0.01 * F.greatest(F.abs(b), F.lit(1e-12))
+    return F.exists(numbers(claim), lambda a: F.exists(numbers(source), lambda b: near(a, b)))

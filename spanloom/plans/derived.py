@@ -198,7 +198,6 @@ QUERIES = {
     "inject_canary": lambda v: quality.inject_canary(v.spans, v.spans.filter("type = 'llm'").select("trace_id", F.lit("canary 4711").alias("canary_value")).distinct()).filter("output like '%4711%'"),
     "judge_verdict_penalties": lambda v: quality.judge_verdict_penalties(v.scores.select("trace_id", F.when(F.col("value") < 0.5, F.to_json(F.struct(F.array(F.struct(F.col("name").alias("event"), F.lit("factual").alias("dimension"), F.lit("e").alias("evidence"))).alias("findings")))).otherwise("not json").alias("json"))),
     "judge_prompt_inputs": lambda v: quality.judge_prompt_inputs(v.spans),
-    "numbers_match": lambda v: v.spans.filter("type = 'tool_call'").select("span_id", tx.numbers_match(F.col("output"), F.col("input")).alias("grounded")),
     "spans_by_trace": lambda v: v.spans.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_time", "span_id"))), lambda s: s["span_id"]).alias("spans")),
     "otel_trace_spans": lambda v: v.spans.filter("trace_id = 't100'").select("span_id", F.transform(F.arrays_zip(F.array("name", "type"), F.array("start_time")), lambda e: e["0"]).alias("events")).orderBy("span_id"),
     "parts_health": lambda v: versions.parts_health(v.events),

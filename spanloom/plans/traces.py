@@ -28,8 +28,6 @@ _WRITES = """
 
 QUERIES = {
     "tool_call_index": f"with {_CALLS} select span_id, span_index, call_index from numbered",
-    "duplicate_calls": """select span_id, first_span from (select span_id, row_number() over (partition by trace_id, name, md5(input) order by start_time, span_id) as nth,
-        first_value(span_id) over (partition by trace_id, name, md5(input) order by start_time, span_id) as first_span from spans where type = 'tool_call') d where nth > 1""",
     "agent_aggregate": """
         select agent_id, round(avg(case when place <= 50 then composite end), 8) as average, round(stddev_pop(case when place <= 50 then composite end), 6) as deviation,
                round(avg(case when place <= 50 then d_goal end), 8) as goal, round(avg(case when place <= 50 then d_tool end), 8) as tool, round(avg(case when place between 51 and 100 then composite end), 8) as before_that,
@@ -86,7 +84,6 @@ QUERIES = {
     "file_churn_rate": f"with {_EVENTS}, {_WRITES} select session_id, round(cast(count_if(act = 'write') as double) / nullif(count(distinct case when act = 'write' then file end), 0), 6) as churn, count_if(failed = 1) as build_errors from acts group by session_id",
     "final_session_success": f"with {_EVENTS} select session_id, event_name <> 'hook_posttoolusefailure' as succeeded from (select *, max(event_index) over (partition by session_id) as last_index from ordered) o where event_index = last_index",
     "shell_mutation_warnings": "select event_id, tool_response from otel_logs where tool_name = 'tool_1' and contains(tool_response, 'code 3')",
-    "content_hash_groups": "select md5(trim(output)) as content, count(*) as n, min(start_time) as first_seen, max(start_time) as last_seen from spans group by md5(trim(output))",
     "redundant_reads": f"with {_EVENTS}, {_WRITES} select session_id, event_index from (select *, row_number() over (partition by session_id, file, content order by event_index) as nth from acts where act = 'read') r where nth > 1",
     # ingestion rules that SQL states
     "normalize_service": "select event_id, case when service_name = 'observability-hooks' then 'claude-code' else service_name end as service from otel_logs",
