@@ -5,6 +5,8 @@ A job with a watermark returns what is closed when the files end; the SQL beside
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def drained(stream: DataFrame) -> DataFrame:
 
 def view_of(v: Views, view: str, table: str) -> DataFrame:
     """A view of which one table comes as a stream."""
-    name = f"{table}_stream"
+    name = f"{table}_stream_{uuid.uuid4().hex[:8]}"
     stream_of(v, table).createOrReplaceTempView(name)
     return v.sql(SQL[view].replace(f"from {table}", f"from {name}"))
 
@@ -90,7 +92,46 @@ QUERIES = {
     "stream_sessionize_by_cwd": lambda v: drained(jobs.stream_sessionize_by_cwd(directories(view_of(v, "otel_logs", "events")))),
 }
 
+#: Detectors and directories event by event, as recursive queries; a stream returns what its watermark has passed.
+_CUSUM = f"""
+    with recursive numbered as (
+        select user_id as session_id, timestamp as at_time, case when event_name = 'hook_posttoolusefailure' then 1.0 else 0.0 end::double as flag,
+            row_number() over (partition by user_id order by timestamp, event_id) as step
+        from otel_logs
+    ), walk as (
+        select session_id, 0::bigint as step, 0.15::double as mean, 0::double as above, 0::double as below, null::double as before, false as fires, timestamp '1970-01-01' as at_time
+        from numbered where step = 1
+        union all
+        select session_id, step, least(greatest(mean + {DETECTOR["alpha"]} * change, 0.01), 0.99), greatest(above + change2 - {DETECTOR["slack"]}, 0),
+            greatest(below - change2 - {DETECTOR["slack"]}, 0), flag,
+            greatest(greatest(above + change2 - {DETECTOR["slack"]}, 0), greatest(below - change2 - {DETECTOR["slack"]}, 0)) > {DETECTOR["limit"]}, at_time
+        from (
+            select w.session_id, n.step, w.mean, w.above, w.below, n.flag, n.at_time,
+                case when w.before is null then n.flag else (w.before + n.flag) / 2 end - w.mean as change, case when w.before is null then n.flag else (w.before + n.flag) / 2 end - w.mean as change2
+            from walk w join numbered n on n.session_id = w.session_id and n.step = w.step + 1
+        )
+    )"""
+_DIRECTORIES = """
+    with recursive numbered as (
+        select user_id || '/' || cast(k % 7 as varchar) as cwd, event_id as id, timestamp as at_time, case when event_id % 3 = 0 then session_id end as own,
+            row_number() over (partition by user_id || '/' || cast(k % 7 as varchar) order by timestamp, event_id) as step
+        from otel_logs
+    ), walk as (
+        select cwd, 0::bigint as step, null::bigint as id, null::timestamp as at_time, null::varchar as now_session, null::timestamp as since, null::varchar as session_id from numbered where step = 1
+        union all
+        select cwd, step, id, at_time, coalesce(own, held), case when own is not null and own is distinct from held then at_time when held is not null then since end, coalesce(own, held)
+        from (
+            select w.cwd, n.step, n.id, n.at_time, n.own, w.since, case when n.at_time - w.since <= interval '30' minute then w.now_session end as held
+            from walk w join numbered n on n.cwd = w.cwd and n.step = w.step + 1
+        )
+    )"""
+_PASSED = "at_time <= (select max(timestamp) - interval '10' minute from otel_logs)"
+
 ORACLES = {
+    "cusum_stuck": checked_by(f"{_CUSUM} select session_id, min(step) filter (where fires) as first_alarm from walk group by session_id"),
+    "stream_cusum": checked_by(f"{_CUSUM} select session_id, min(step) as first_alarm from walk where fires and {_PASSED} group by session_id"),
+    "sessionize_by_cwd": checked_by(f"{_DIRECTORIES} select id, session_id from walk where step > 0"),
+    "stream_sessionize_by_cwd": checked_by(f"{_DIRECTORIES} select id, session_id from walk where step > 0 and {_PASSED}"),
     "stream_ingest": "select event_id, event_type, cast(ts as date) as day from events",
     "stream_traces_created": checked_by(f"select trace_id, start_time, agent_id from traces where user_id = '{USER}'"),
     "stream_spans_of_trace": checked_by(f"select span_id, event_ts, status from spans_raw where trace_id = '{TRACE}'"),

@@ -1,24 +1,29 @@
 """Structured Streaming jobs: ingest, alerts, session activity, pairing, and detectors with state.
 
-State is bounded by watermarks or timeouts. Jobs with custom state should run with the RocksDB state store.
+State is bounded by watermarks or timers. Machines get their rows in order of event time, whatever batch brought them.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructField, StructType
 
 from spanloom.operators.sequences import Cusum, Directory
 
 
-def read_stream(spark, schema, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(path)
+#: Most files of one micro-batch: a backlog comes in several.
+FILES_A_TRIGGER = 256
+
+
+def read_stream(spark, schema, path: str, fmt: str = "parquet", files: int = FILES_A_TRIGGER) -> DataFrame:
+    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
 
 
 def sink_folder(spark) -> str:
@@ -84,51 +89,96 @@ def stream_rpc_pairing(requests: DataFrame, responses: DataFrame, within: str =
     return a.join(b, near).select("a.conn", "a.id", "a.method", "a.requested", "b.responded")
 
 
-def _expire(state: GroupState, at: pd.Series, seconds: int) -> None:
-    """State goes when the watermark is `seconds` past the group's last event."""
-    latest = int(at.max().value // 1_000_000)
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + seconds * 1000)
+class _InOrder(StatefulProcessor):
+    """Feeds a group's rows to a machine in order of (at, *order) once the watermark has passed them, whatever batch they came in.
+
+    Rows wait in a list state; a timer at the earliest of them wakes the group. Rows behind the watermark don't come (Spark drops
+    them). What a machine knows is one value; both go `idle` seconds after the group's last row.
+    """
+
+    def __init__(self, columns: list[StructField], order: list[str], known: str, work: Callable, idle: int):
+        self.columns, self.order, self.known_schema, self.work, self.idle = columns, order, known, work, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType(self.columns))
+        self.known = handle.getValueState("known", f"{self.known_schema}, idle_from long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        names = [c.name for c in self.columns]
+        for part in rows:
+            part = part[names].astype(object)
+            new = list(part.where(part.notna(), None).itertuples(index=False, name=None))
+            self.waiting.appendList([(row[0].to_pydatetime(), *row[1:]) for row in new])
+            self.handle.registerTimer(int(min(row[0] for row in new).value // 1_000_000) + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        every = [tuple(r) for r in self.waiting.get()]
+        millis = lambda row: row[0].timestamp() * 1000
+        names = [c.name for c in self.columns]
+        at = [names.index(o) for o in self.order]
+        ready = sorted((r for r in every if millis(r) <= now), key=lambda r: (r[0], *(r[i] for i in at)))
+        later = [r for r in every if millis(r) > now]
+        known = tuple(self.known.get()) if self.known.exists() else None
+        if not ready:
+            if not later and known and now >= known[-1]:
+                self.known.clear()
+            yield pd.DataFrame()
+            return
+        out, after = self.work(key, ready, known and known[:-1])
+        idle_from = int(millis(ready[-1])) + self.idle * 1000
+        self.known.update((*after, idle_from))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(int(min(map(millis, later))) + 1)
+        else:
+            self.waiting.clear()
+            self.handle.registerTimer(max(idle_from, now + 1))
+        yield out
+
+
+def _ordered(events: DataFrame, key: str, delay: str, order: list[str], known: str, work: Callable, schema: str, idle: int) -> DataFrame:
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = [events.schema["at"], *(f for f in events.schema.fields if f.name not in ("at", key))]
+    return events.filter("at is not null").withWatermark("at", delay).groupBy(key).transformWithStateInPandas(_InOrder(columns, order, known, work, idle), schema, "append", "eventTime")
 
 
 def stream_cusum(events: DataFrame, delay: str = "10 minutes", **options: float) -> DataFrame:
-    """events(session_id, at, flag) -> a row at each session's first alarm; the detector's numbers are the state."""
+    """events(session_id, at, flag) -> a row at each session's first alarm; the detector's numbers are the state.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *numbers, fired = state.get if state.exists else (None, False)
-        detector = Cusum(**options)
-        if state.exists:
+    Flags count in order of time across micro-batches, once the watermark has passed them; later ones are dropped. Sets the
+    session's state store to RocksDB. A session's state goes a day after its last event.
+    """
+
+    def work(key: tuple, rows: list[tuple], known: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        detector, fired, out = Cusum(**options), False, []
+        if known:
+            *numbers, fired = known
             detector.resume(*numbers)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("at")
-        for flag in rows["flag"]:
-            alarm = detector.step(0.0 if pd.isna(flag) else float(flag))
-            if alarm and not fired:
+        for _, flag in rows:
+            if detector.step(float(flag or 0.0)) and not fired:
                 out.append((key[0], detector.steps))
                 fired = True
-        state.update((*detector.state(), fired))
-        _expire(state, rows["at"], 24 * 3600)
-        yield pd.DataFrame(out, columns=["session_id", "first_alarm"])
+        return pd.DataFrame(out, columns=["session_id", "first_alarm"]), (*detector.state(), fired)
 
     kept = "mean double, above double, below double, steps long, seen double, last array<double>, fired boolean"
-    return events.withWatermark("at", delay).groupBy("session_id").applyInPandasWithState(step, "session_id string, first_alarm long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    kind = events.schema["session_id"].dataType.simpleString()
+    return _ordered(events.select("session_id", "at", "flag"), "session_id", delay, [], kept, work, f"session_id {kind}, first_alarm long", 24 * 3600)
 
 
 def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
-    """events(cwd, id, at, session_id) -> id, session_id: a directory's session holds for 30 minutes from its first event."""
+    """events(cwd, id, at, session_id) -> id, session_id: a directory's session holds for 30 minutes from its first event.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        directory = Directory(minutes, *(state.get if state.exists else ()))
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        micros = [t.value // 1000 for t in rows["at"]]
-        out = [session for _, session in directory.feed(list(zip(micros, rows["id"], rows["session_id"])))]
-        state.update((directory.now, directory.since))
-        _expire(state, rows["at"], 2 * minutes * 60)
-        yield pd.DataFrame({"id": rows["id"], "session_id": out})
-
-    return events.withWatermark("at", delay).groupBy("cwd").applyInPandasWithState(step, "id long, session_id string", "session string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+    Events count in order of (time, id) across micro-batches, once the watermark has passed them; later ones are dropped. Sets
+    the session's state store to RocksDB. A directory's state goes when its session can't hold any more.
+    """
+
+    def work(key: tuple, rows: list[tuple], known: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        directory = Directory(minutes, *(known or ()))
+        found = directory.feed([(round(at.timestamp() * 1_000_000), i, own) for at, i, own in rows])
+        return pd.DataFrame(found, columns=["id", "session_id"]), (directory.now, directory.since)
+
+    return _ordered(events.select("cwd", "at", "id", "session_id"), "cwd", delay, ["id"], "session string, since long", work, "id long, session_id string", 60 * minutes)

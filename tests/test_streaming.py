@@ -1,5 +1,6 @@
 """Streams give what the batch operators give on the same rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,6 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import sequences
 from spanloom.streaming import jobs
-from tests.test_operators import cwd_events
 
 T0 = datetime(2024, 1, 1)
 
@@ -29,17 +29,52 @@ def run(spark, tmp_path):
     return drain
 
 
-def test_sessionize_as_in_batch(spark, run):
-    events = cwd_events(spark)
-    found = run(events, job=jobs.stream_sessionize_by_cwd)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sequences.sessionize_by_cwd(events).collect()))
+def shuffled_files(spark, tmp_path, rows, schema, last):
+    """Rows at random over six files, none older than the watermark, and a last event that lets it pass them all; three triggers."""
+    draw = random.Random(8)
+    own = [draw.randrange(6) for _ in rows]
+    for i in range(6):
+        part = [r for r, o in zip(rows, own) if o == i] + ([last] if i == 5 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    return jobs.read_stream(spark, spark.createDataFrame([], schema).schema, f"{tmp_path}/in/*", files=2)
 
 
-def test_cusum_as_in_batch(spark, run):
-    events = spark.createDataFrame([(s, T0 + timedelta(seconds=i), float(i >= 10 and s == "a")) for i in range(30) for s in "ab"], "session_id string, at timestamp, flag double")
+def drained(spark, tmp_path, stream):
+    progress = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    progress.awaitTermination()
+    assert sum(p.numInputRows > 0 for p in progress.recentProgress) == 3
+    return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+
+
+def test_directories_as_in_batch_whatever_the_files(spark, tmp_path):
+    draw = random.Random(9)
+    schema = "cwd string, id long, at timestamp, session_id string"
+    rows = [(draw.choice(["/a", "/b", None]), i, T0 + timedelta(minutes=draw.randrange(300), microseconds=draw.randrange(3)), draw.choice([None, None, "s1", "s2"])) for i in range(300)]
+    stream = shuffled_files(spark, tmp_path, rows, schema, ("/z", 999, T0 + timedelta(days=3), None))
+    batch = sequences.sessionize_by_cwd(spark.createDataFrame(rows, schema))
+    assert drained(spark, tmp_path, jobs.stream_sessionize_by_cwd(stream, delay="1 day")) == sorted(map(tuple, batch.collect()))
+
+
+def test_alarms_as_in_batch_whatever_the_files(spark, tmp_path):
+    draw = random.Random(10)
+    schema = "session_id string, at timestamp, flag double"
+    rows = [(s, T0 + timedelta(seconds=i), draw.choice([0.0, None, 1.0] if s < "d" else [0.0])) for i in range(80) for s in "abcde"]
     options = {"limit": 1.0, "slack": 0.25, "window": 3, "alpha": 0.05}
-    batch = sequences.cusum_stuck(events, **options).filter("first_alarm is not null").collect()
-    assert len(batch) == 1 and sorted(map(tuple, run(events, job=lambda e: jobs.stream_cusum(e, **options)).collect())) == sorted(map(tuple, batch))
+    stream = shuffled_files(spark, tmp_path, rows, schema, ("z", T0 + timedelta(days=3), 0.0))
+    batch = sequences.cusum_stuck(spark.createDataFrame(rows, schema), **options).filter("first_alarm is not null").collect()
+    found = drained(spark, tmp_path, jobs.stream_cusum(stream, delay="1 day", **options))
+    assert found == sorted(map(tuple, batch)) and {r[0] for r in found} == {"a", "b", "c"}
+
+
+def test_rows_behind_the_watermark_and_old_state_go(spark, tmp_path):
+    schema = "cwd string, id long, at timestamp, session_id string"
+    minutes = [(1, 0, "s"), (2, 10, None), (3, 100, None), (5, 130, None), (4, 5, "late"), (6, 400, None)]
+    for n, (i, at, own) in enumerate(minutes):
+        spark.createDataFrame([("/a", i, T0 + timedelta(minutes=at), own)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = jobs.read_stream(spark, spark.createDataFrame([], schema).schema, f"{tmp_path}/in/*", files=1)
+    query = jobs.stream_sessionize_by_cwd(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, "s"), (2, "s"), (3, None), (5, None)]  # the last one still waits
 
 
 def test_alerts_fire_over_the_threshold(spark, run):
