@@ -31,33 +31,12 @@ def with_retention(df: DataFrame, column: str, as_of: str, days: int = 90) -> Da
     return df.filter(F.to_date(column) >= F.date_sub(F.lit(as_of).cast("timestamp").cast("date"), days)) if days else df
 
 
-def export_monthly(df: DataFrame, time: str, path: str) -> DataFrame:
-    """Writes df as Parquet by month, clustered so that each month's rows are written by few tasks; returns the manifest."""
-    month = (F.year(time) * 100 + F.month(time)).alias("yyyymm")
-    df.select("*", month).repartition("yyyymm").write.mode("overwrite").option("compression", "zstd").partitionBy("yyyymm").parquet(path)
-    written = df.sparkSession.read.parquet(path)
-    return written.groupBy("yyyymm").agg(F.count("*").alias("row_count"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
-
-
-def import_missing(source: DataFrame, target: DataFrame, month: str = "yyyymm") -> DataFrame:
-    """The source rows of months that the target lacks: an import that broke off goes on where it stopped."""
-    return source.join(target.select(month).distinct(), month, "left_anti")
-
-
 def parts_health(df: DataFrame, most: int = 300) -> DataFrame:
     """Files and rows that a scan reads, and whether there are more files than is healthy."""
     files = df.select(F.input_file_name().alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
     return files.agg(F.count("*").alias("parts"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).withColumn("unhealthy", F.col("parts") > most)
 
 
-def compact(df: DataFrame, path: str, rows_per_file: int = 1_000_000, keys: Sequence[str] = ()) -> None:
-    """Rewrites a table in few sorted files with dictionary and zstd coding."""
-    rows = df.count()
-    parts = max(1, -(-rows // rows_per_file))
-    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys) if keys else df.repartition(parts)
-    dealt.write.mode("overwrite").option("compression", "zstd").parquet(path)
-
-
 def fk_orphans(facts: Sequence[tuple[DataFrame, str]], dimension: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """Distinct UUID-shaped ids of the fact columns without a dimension row, lower-cased, sorted, the first `most` of them."""
     ids = None

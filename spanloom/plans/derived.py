@@ -62,13 +62,6 @@ def edges(v: Views) -> DataFrame:
 DETECTOR = {"limit": 1.0, "slack": 0.25, "window": 2, "alpha": 0.1}
 
 
-def compacted(v: Views) -> DataFrame:
-    """Rows and checksum of the events after they were rewritten in few sorted files."""
-    folder = jobs.sink_folder(v.spark)
-    versions.compact(v.events, folder, keys=["ts", "event_id"])
-    return versions.content_checksum(v.spark.read.parquet(folder).select(*v.events.columns)).select("rows")
-
-
 def context_thrashing(v: Views) -> DataFrame:
     """All that a user did as one session: four reads of four files within five steps; first_hit is the last of the first such five."""
     last = Window.partitionBy("session_id").orderBy("at").rowsBetween(-4, 0)
@@ -174,7 +167,6 @@ QUERIES = {
     "agent_scope": lambda v: sequences.agent_scopes(v.otel_logs.select("session_id", F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_name") == "api_request", "hook_subagentstart").when(F.col("event_name") == "hook_stop", "hook_subagentstop").otherwise(F.col("event_name")).alias("event_name"), F.nullif("agent_name", F.lit("")).alias("agent"))),
     "sessionize_by_cwd": lambda v: sequences.sessionize_by_cwd(v.otel_logs.select(F.concat("user_id", F.lit("/"), (F.col("k") % 7).cast("string")).alias("cwd"), F.col("event_id").alias("id"), F.col("timestamp").alias("at"), F.when(F.col("event_id") % 3 == 0, F.col("session_id")).alias("session_id"))),
     "cusum_stuck": lambda v: sequences.cusum_stuck(numbered(v, "user_id").select("session_id", "at", (F.col("event_name") == "hook_posttoolusefailure").cast("double").alias("flag")), **DETECTOR),
-    "compact_partitions": compacted,
     "span_tree": lambda v: sequences.span_tree(v.spans),
     "span_tree_filter": lambda v: sequences.span_tree(v.spans).filter("span_id like '%-5'").select("trace_id", F.explode("path").alias("span_id")).distinct(),
     "context_thrashing": context_thrashing,
@@ -227,7 +219,6 @@ ORACLES = {
         tree as (select trace_id, span_id, span_id as root, cast(0 as bigint) as depth, [span_id] as path from nodes n where not exists (select 1 from nodes p where p.trace_id = n.trace_id and p.span_id = n.parent_span_id)
           union all select n.trace_id, n.span_id, t.root, t.depth + 1, list_append(t.path, n.span_id) from nodes n join tree t on n.trace_id = t.trace_id and n.parent_span_id = t.span_id)
         select trace_id, span_id, root, cast(depth as int) as depth, path from tree"""),
-    "compact_partitions": "select count(*) as rows from events",
     "latest_version": checked_by("select span_id, event_ts, latency_ms, status from spans"),
     "ingest_traces": checked_by("select trace_id, project_id, user_id, environment, trace_type, agent_id, session_id, ide, name, start_time, trace_type as tag, 0 as metadata from traces"),
     "read_table": checked_by("select * from traces"),

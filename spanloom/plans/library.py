@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import acts, derived, payloads, scoring, streams
+from spanloom.plans import acts, archives, derived, payloads, scoring, streams
 from spanloom.plans.dashboards import PANELS
 from spanloom.plans.statements import STATEMENTS, for_duckdb, for_spark
 from spanloom.plans.traces import QUERIES as TRACES
@@ -30,9 +30,9 @@ def _derived(query: Callable[[Views], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    made = derived.QUERIES | acts.QUERIES | payloads.QUERIES | scoring.QUERIES | streams.QUERIES
+    made = derived.QUERIES | acts.QUERIES | payloads.QUERIES | archives.QUERIES | scoring.QUERIES | streams.QUERIES
     return {name: _panel(name) for name in PANELS} | {name: _statement(name) for name in TEXTS} | {name: _derived(query) for name, query in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: panel.sql() for name, panel in PANELS.items()} | {name: checked_by(for_duckdb(text)) for name, text in TEXTS.items()} | derived.ORACLES | acts.ORACLES | payloads.ORACLES | scoring.ORACLES | streams.ORACLES
+    return {name: panel.sql() for name, panel in PANELS.items()} | {name: checked_by(for_duckdb(text)) for name, text in TEXTS.items()} | derived.ORACLES | acts.ORACLES | payloads.ORACLES | archives.ORACLES | scoring.ORACLES | streams.ORACLES

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import jsontext
 from spanloom.functions import text as tx
 from spanloom.operators import adversarial
+from spanloom.sources import ingest
 from spanloom.sources.views import Views, checked_by
 
 
@@ -37,6 +38,7 @@ def contents(v: Views) -> DataFrame:
 
 
 QUERIES = {
+    "schema_compliance": lambda v: ingest.schema_compliance(v.connection_messages),
     "adversarial_scan": lambda v: adversarial.adversarial_scan(v.payloads, "trace_id", "span_id", ["payload"], ["text"]),
     "tool_calls_duplicate": lambda v: equal_calls(v.call_inputs),
     "duplicate_calls": lambda v: repeated_calls(v.call_inputs),
@@ -47,6 +49,15 @@ QUERIES = {
 ORACLES = {
     name: checked_by(text)
     for name, text in {
+        "schema_compliance": """
+            with known as (
+                select *, last_value(case when type = 'tool_list' then with_mode end ignore nulls) over (partition by conn order by start_time, id rows between unbounded preceding and 1 preceding) as mode
+                from connection_messages
+            )
+            select conn, id, name, case when mode is null or name is null then null when name = 'tool_0' then case when given in (0, 1) then 1 else 0 end
+                when name = 'tool_1' then case when given = 3 or (given = 0 and mode = 0) then 1 else 0 end when name = 'tool_2' then 1 else 0 end as tool_schema_valid,
+                case when mode is not null then 3 end as tools_available
+            from known where type = 'tool_call'""",
         # what is planted says what is found: `depth` brackets around `value`
         "adversarial_scan": r"""
             with placed as (

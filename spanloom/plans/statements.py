@@ -56,13 +56,6 @@ STATEMENTS = {
           select 'agent' as entity, d.agent_id as id from (select distinct agent_id from downloads) d left join agents a on d.agent_id = a.agent_id where a.agent_id is null
           union all select 'component', c.component_id from (select distinct component_id from agent_components) c left join listings l on c.component_id = l.listing_id where l.listing_id is null
           union all select 'user', t.user_id from (select distinct user_id from traces) t left join users u on t.user_id = u.user_id where u.user_id is null) o group by entity""",
-    "row_count_reconcile": """
-        select coalesce(m.month, s.month) as month, coalesce(m.n, -1) as manifest_rows, coalesce(s.n, -1) as table_rows, coalesce(m.n, -1) = coalesce(s.n, -1) as equal
-        from (select date_trunc('month', start_time) as month, count(*) as n from spans_raw group by 1) m
-        full outer join (select date_trunc('month', start_time) as month, count(*) as n from spans group by 1) s on m.month = s.month""",
-    "import_partitions": """
-        select d.month, d.n from (select year(start_time) * 100 + month(start_time) as month, count(*) as n from spans group by 1) d
-        left join (select distinct year(start_time) * 100 + month(start_time) as month from traces where project_id = 'p2' and start_time < timestamp '1998-01-01 00:00:00') have on d.month = have.month where have.month is null""",
     "export_monthly_manifest": "select year(start_time) * 100 + month(start_time) as month, count(*) as row_count, min(start_time) as first_time, max(start_time) as last_time from spans group by 1",
     # two-level aggregations and trends
     "trends": """

@@ -95,7 +95,6 @@ QUERIES = {
     "sideload_shim_spans": """
         select w.session_id, s.span_id from (select session_id, user_id, min(start_time) as first_seen, max(start_time) as last_seen from traces group by session_id, user_id) w
         join spans s on s.user_id = w.user_id and s.start_time between w.first_seen - interval '2' second and w.last_seen + interval '2' second where s.type in ('tool_call', 'retrieval')""",
-    "schema_compliance": "select span_id, case when tool_schema_valid is null then null when tool_schema_valid = 1 and contains(input, '\"path\"') then 1 else 0 end as valid from spans where type = 'tool_call'",
 }
 
 EFFECT = f"""with {_EVENTS}, {_WRITES}, judged as (
@@ -122,6 +121,5 @@ QUERIES |= {
     "ingest_audit": "select event_id, timestamp, coalesce(actor_email, '') as actor_email, coalesce(http_method, '') as http_method, action from audit_log",
     "ingest_webhook_deliveries": "select event_id as delivery_id, timestamp, case when severity = 'critical' then 500 else 200 end as status_code, 1 as attempt from audit_log where action like 'error%' or action like 'signup%'",
     "export_registry_jsonl": "select agent_id as id, 'agent' as kind, name from agents union all select listing_id, listing_type, name from listings",
-    "export_monthly_parquet": "select year(timestamp) * 100 + month(timestamp) as month, count(*) as row_count, min(timestamp) as first_time, max(timestamp) as last_time from scores where is_deleted = 0 group by 1",
     "buffer_retry": "select case when severity = 'critical' and event_id % 3 = 0 then 'dropped' when severity = 'critical' then 'retried' else 'sent' end as state, count(*) as n from audit_log group by 1",
 }

@@ -175,13 +175,15 @@ def rpc_messages_to_spans(messages: DataFrame) -> DataFrame:
 
 
 def schema_compliance(calls: DataFrame) -> DataFrame:
-    """Spans of one connection with the last tool list before each call: null if none is known, 0 for an unknown tool, a missing
-    required or an unknown argument, else 1."""
+    """Calls with the last list of tools before them on their connection: null without a list, one of no tools, or a name; 0 for an
+    unknown tool, a missing required argument, or one that is none of the named properties, if any are named; else 1."""
     listing = "array<struct<name: string, inputSchema: struct<required: array<string>, properties: map<string, string>>>>"
-    last = Window.partitionBy("conn").orderBy("start_time").rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("conn").orderBy("start_time", "id").rowsBetween(Window.unboundedPreceding, -1)
     known = calls.withColumn("known", F.last(F.from_json("tools", listing), ignorenulls=True).over(last)).filter("type = 'tool_call'")
+    known = known.withColumn("known", F.when(F.size("known") > 0, F.col("known")))
     tool = F.get(F.filter("known", lambda t: t["name"] == F.col("name")), 0)
     given = F.map_keys(F.coalesce(F.from_json("arguments", "map<string, string>"), F.create_map().cast("map<string, string>")))
     missing = F.size(F.array_except(F.coalesce(tool["inputSchema"]["required"], F.array()), given)) > 0
-    extra = F.size(F.array_except(given, F.coalesce(F.map_keys(tool["inputSchema"]["properties"]), F.array()))) > 0
+    named = F.coalesce(F.map_keys(tool["inputSchema"]["properties"]), F.array())
+    extra = (F.size(named) > 0) & (F.size(F.array_except(given, named)) > 0)
     return known.select("conn", "id", "name", F.when(F.col("known").isNull() | F.col("name").isNull(), None).when(tool.isNull() | missing | extra, 0).otherwise(1).alias("tool_schema_valid"), F.size("known").alias("tools_available"))

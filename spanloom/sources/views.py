@@ -155,6 +155,13 @@ SQL = {
                case way when 1 then '{ "n": ' || n || '.0 , "path" : "' || path || ' " }' when 2 then '{"path":"/x/..' || path || '","n":' || n || '}' else '{"path":"' || path || '","n":' || n || '}' end as input
         from (select user_id as trace_id, span_id, type, name, row_number() over (partition by user_id order by start_time, span_id) as span_index, cast(seq_a % 3 as int) as way,
                      '/f' || cast(seq_a % 5 as string) as path, cast(seq_b % 3 as string) as n from spans) c where type = 'tool_call'""",
+    # a user's connection: lists of tools (the second tool has two forms) and calls with four kinds of arguments
+    "connection_messages": """
+        select user_id as conn, span_id as id, start_time, case when type = 'retrieval' then 'tool_list' else type end as type, case when seq_a % 29 = 5 then null else 'tool_' || cast(seq_a % 4 as string) end as name,
+               case when seq_a % 2 = 0 then 1 else 0 end as with_mode, cast(seq_b % 4 as int) as given,
+               case seq_b % 4 when 0 then '{"path":"/a"}' when 1 then '{"path":"/a","n":1}' when 2 then '{"n":1}' else '{"path":"/a","mode":"x"}' end as arguments,
+               case when type = 'retrieval' then '[{"name":"tool_0","inputSchema":{"required":["path"],"properties":{"path":{"type":"string"},"n":{"type":"integer"}}}},{"name":"tool_1","inputSchema":{"required":["path"' || case when seq_a % 2 = 0 then ',"mode"' else '' end || '],"properties":{"path":{},"mode":{}}}},{"name":"tool_2"}]' end as tools
+        from spans where type in ('tool_call', 'retrieval')""",
     # documents as spans with a payload: a value in 0 to 13 brackets, some with a score beside it
     "payloads": """
         select trace_id, span_id, type, text, value, opened, case when scored then '{"Overall_Score":10,"b":' else '' end || repeat('{"a":', depth) || '"' || value || '"' || repeat('}', depth) || case when scored then '}' else '' end as payload
