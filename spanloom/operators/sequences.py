@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.shared import kept
+
 _NAMES = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
 
 
@@ -257,18 +259,12 @@ def span_tree(spans: DataFrame) -> DataFrame:
     known = nodes.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
     # path: from the span up to, but without, `up`, which is null at the root
     ways = nodes.join(known, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", F.when(F.col("known"), F.col("parent_span_id")).alias("up"), F.array("span_id").alias("path"))
-    ways, open_before = _kept(ways), None
+    ways, open_before = kept(ways), None
     while (open_now := ways.filter("up is not null").count()) and open_now != open_before:
         # a cycle never closes: it is what stays open when a round closes no way
         over = ways.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"))
         moved = ways.join(over, ["trace_id", "up"], "left")
-        ways = _kept(moved.select("trace_id", "span_id", F.col("next").alias("up"), F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path")))
+        ways = kept(moved.select("trace_id", "span_id", F.col("next").alias("up"), F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path")))
         open_before = open_now
     done = ways.filter("up is null").select("trace_id", "span_id", F.reverse("path").alias("path"))
     return done.select("trace_id", "span_id", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed where the session has a folder for it, else as it is."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() else df.cache()

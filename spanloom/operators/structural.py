@@ -61,76 +61,88 @@ def numbered(spans: DataFrame) -> DataFrame:
     )
 
 
-def tool_failures(spans: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:
-    """The tool calls with `failure`: timeout, retry_success, ignored, error or null; next_success is the call of a later success.
+def examined(spans: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:
+    """The numbered spans with what the rules ask of each call, in one shuffle by trace: failure, next_success, same_before, is_repeat.
 
     A call that takes longer than its tool may is a timeout and nothing else. An error is forgiven if the same tool succeeds
-    within NEAR_CALLS calls, whatever its input; else it is ignored if the next span is no tool call.
+    within NEAR_CALLS calls, whatever its input; else it is ignored if the next span is no tool call. A repeat has the name and
+    input of a call at most NEAR_CALLS before it (same_before), with no change of state between. `text` is the span's text in
+    small letters, `tokens` the distinctive ones of a call's output.
     """
+    is_call = F.col("type") == "tool_call"
     failed = (F.coalesce("status", F.lit("success")) == "error") | (F.trim(F.coalesce("error", F.lit(""))) != "")
-    later = Window.partitionBy("trace_id", "name").orderBy("call_index").rowsBetween(1, Window.unboundedFollowing)
-    calls = numbered(spans).filter("type = 'tool_call'").withColumn("next_success", F.min(F.when(~failed, F.col("call_index"))).over(later))
+    changes = F.coalesce(F.col("name").rlike(STATE_CHANGES), F.lit(False))
+    back = Window.partitionBy("trace_id", "type", "name").orderBy(F.desc("call_index")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("trace_id", "type").orderBy("call_index").rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("trace_id", "type", "name", F.md5(F.coalesce("input", F.lit("")))).orderBy("call_index")
+    rows = numbered(spans).withColumns({"failed": failed, "changes": F.count_if(changes).over(so_far)})
+    rows = rows.withColumns({"next_success": F.when(is_call, F.min(F.when(~F.col("failed"), F.col("call_index"))).over(back)), "same_before": F.when(is_call, F.lag("call_index").over(same)), "changes_then": F.lag("changes").over(same)})
     most = F.coalesce(_lookup(timeouts, F.lower("name")), F.lit(TIMEOUT_MS)) if timeouts else F.lit(TIMEOUT_MS)
     failure = (
-        F.when(F.col("latency_ms") > most, "timeout")
-        .when(~failed, F.lit(None).cast("string"))
+        F.when(~is_call, F.lit(None).cast("string"))
+        .when(F.col("latency_ms") > most, "timeout")
+        .when(~F.col("failed"), F.lit(None).cast("string"))
         .when(F.col("next_success") <= F.col("call_index") + NEAR_CALLS, "retry_success")
         .when(F.col("next_type") != "tool_call", "ignored")
         .otherwise("error")
     )
-    return calls.withColumn("failure", failure)
+    near = (F.col("call_index") - F.col("same_before") <= NEAR_CALLS) & (F.col("changes") - changes.cast("int") - F.col("changes_then") == 0)
+    text = F.lower(F.concat_ws(" ", "input", "output"))
+    tokens = F.when(is_call & (F.col("output") != ""), distinctive_tokens(F.col("output")))
+    return rows.withColumns({"failure": failure, "is_repeat": F.coalesce(near, F.lit(False)), "text": text, "tokens": tokens}).drop("failed", "changes", "changes_then")
+
+
+def tool_failures(spans: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:
+    """The tool calls with `failure`: timeout, retry_success, ignored, error or null; next_success is the call of a later success."""
+    return examined(spans, timeouts).filter("type = 'tool_call'")
 
 
 def duplicate_calls(spans: DataFrame) -> DataFrame:
     """Tool calls with the name and input of one at most NEAR_CALLS calls before (same_before), with no change of state between."""
-    own = Window.partitionBy("trace_id").orderBy("call_index")
-    calls = numbered(spans).filter("type = 'tool_call'")
-    calls = calls.withColumn("changes", F.count_if(F.col("name").rlike(STATE_CHANGES)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    same = Window.partitionBy("trace_id", "name", F.md5(F.coalesce("input", F.lit("")))).orderBy("call_index")
-    calls = calls.withColumn("same_before", F.lag("call_index").over(same)).withColumn("changes_then", F.lag("changes").over(same))
-    between = F.col("changes") - F.col("name").rlike(STATE_CHANGES).cast("int") - F.col("changes_then")
-    return calls.filter((F.col("call_index") - F.col("same_before") <= NEAR_CALLS) & (between == 0))
+    return examined(spans).filter("is_repeat")
 
 
-def _tokens(calls: DataFrame, *more: str) -> DataFrame:
-    """(trace_id, token, *more) of the outputs of tool calls."""
-    return calls.filter("type = 'tool_call' and output <> ''").select("trace_id", *more, F.explode(distinctive_tokens(F.col("output"))).alias("token"))
+def ungrounded_claims(rows: DataFrame) -> DataFrame:
+    """Spans, not of tools, that assert something about the outside and hold no token of any tool output of the trace.
 
-
-def ungrounded_claims(spans: DataFrame) -> DataFrame:
-    """Spans, not of tools, that assert something about the outside and hold no token of any tool output of the trace."""
-    text = F.concat_ws(" ", "input", "output")
+    rows: spans, or what `examined` makes of them.
+    """
+    rows = rows if "tokens" in rows.columns else examined(rows)
     joined = F.lower(F.concat(F.coalesce("input", F.lit("")), F.coalesce("output", F.lit(""))))
-    claims = spans.filter(F.col("type") != "tool_call").filter(joined.rlike("|".join(ASSERTIONS))).select("trace_id", "span_id", F.lower(text).alias("text"))
-    tokens = _tokens(spans).distinct().withColumnRenamed("trace_id", "of_trace")
+    claims = rows.filter(F.col("type") != "tool_call").filter(joined.rlike("|".join(ASSERTIONS))).select("trace_id", "span_id", "text")
+    tokens = rows.select(F.col("trace_id").alias("of_trace"), F.explode("tokens").alias("token")).distinct()
     return claims.join(tokens, (F.col("trace_id") == F.col("of_trace")) & F.contains(F.col("text"), F.col("token")), "left_anti").select("trace_id", "span_id")
 
 
-def unused_results(spans: DataFrame) -> DataFrame:
+def unused_results(rows: DataFrame) -> DataFrame:
     """Tool calls with an output, not last in their trace, of which no later span holds the id or one of the output's tokens.
 
-    An output without tokens counts as used. Each distinct token of a trace is looked for once in each of its spans.
+    An output without tokens counts as used. Each distinct token of a trace is looked for once in each of its spans, and the last
+    one that holds it counts for all calls. rows: spans, or what `examined` makes of them.
     """
-    placed = numbered(spans)
-    calls = placed.filter("type = 'tool_call' and output <> '' and next_span is not null")
-    marks = _tokens(calls, "span_id", "span_index").unionByName(calls.select("trace_id", "span_id", "span_index", F.lower("span_id").alias("token")))
-    wanted = marks.groupBy("trace_id", "token").agg(F.min("span_index").alias("first"))
-    texts = placed.select(F.col("trace_id").alias("of_trace"), F.col("span_index").alias("at"), F.lower(F.concat_ws(" ", "input", "output")).alias("text"))
+    rows = rows if "tokens" in rows.columns else examined(rows)
+    calls = rows.filter("tokens is not null and size(tokens) > 0 and next_span is not null")
+    marks = calls.select("trace_id", "span_id", "span_index", F.explode(F.array_append("tokens", F.lower("span_id"))).alias("token"))
+    wanted = marks.groupBy("trace_id", "token").agg(F.min("span_index").alias("first"), F.collect_list(F.struct("span_id", "span_index")).alias("calls"))
+    texts = rows.select(F.col("trace_id").alias("of_trace"), F.col("span_index").alias("at"), "text")
     held = wanted.join(texts, (F.col("trace_id") == F.col("of_trace")) & (F.col("at") > F.col("first")) & F.contains(F.col("text"), F.col("token")))
-    last = held.groupBy("trace_id", "token").agg(F.max("at").alias("last"))
-    used = marks.join(last, ["trace_id", "token"]).filter("last > span_index").select("trace_id", "span_id").distinct()
-    plain = calls.filter(F.size(distinctive_tokens(F.col("output"))) == 0).select("trace_id", "span_id")
-    return calls.select("trace_id", "span_id").join(used.unionByName(plain), ["trace_id", "span_id"], "left_anti")
+    last = held.groupBy("trace_id", "token").agg(F.max("at").alias("last"), F.first("calls").alias("calls"))
+    used = last.select("trace_id", F.explode(F.filter("calls", lambda c: c["span_index"] < F.col("last"))).alias("c")).select("trace_id", "c.span_id").distinct()
+    return calls.select("trace_id", "span_id").join(used, ["trace_id", "span_id"], "left_anti")
 
 
-def structural_penalties(spans: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:
-    """(trace_id, span_id, event) of the rules above; unfounded claims count once a trace and have no span."""
+def structural_penalties(rows: DataFrame, timeouts: dict[str, int] | None = None) -> DataFrame:
+    """(trace_id, span_id, event) of the rules above; unfounded claims count once a trace and have no span.
+
+    rows: spans, or what `examined` makes of them with the same timeouts; these are read three times, so better kept.
+    """
+    rows = rows if "tokens" in rows.columns else examined(rows, timeouts)
     event = _lookup({"timeout": "tool_call_timeout", "retry_success": "tool_call_retry_success", "ignored": "ignored_tool_failure", "error": "tool_call_error"}, F.col("failure"))
-    failures = tool_failures(spans, timeouts).filter("failure is not null").select("trace_id", "span_id", event.alias("event"))
-    same = duplicate_calls(spans).select("trace_id", "span_id", F.lit("duplicate_tool_call").alias("event"))
-    unused = unused_results(spans).select("trace_id", "span_id", F.lit("unused_tool_result").alias("event"))
-    claims = ungrounded_claims(spans).select("trace_id", F.lit(None).cast("string").alias("span_id"), F.lit("ungrounded_claims").alias("event")).distinct()
-    return failures.unionByName(same).unionByName(unused).unionByName(claims)
+    of_calls = F.explode(F.array_compact(F.array(event, F.when(F.col("is_repeat"), F.lit("duplicate_tool_call")))))
+    calls = rows.filter("failure is not null or is_repeat").select("trace_id", "span_id", of_calls.alias("event"))
+    unused = unused_results(rows).select("trace_id", "span_id", F.lit("unused_tool_result").alias("event"))
+    claims = ungrounded_claims(rows).select("trace_id", F.lit(None).cast("string").alias("span_id"), F.lit("ungrounded_claims").alias("event")).distinct()
+    return calls.unionByName(unused).unionByName(claims)
 
 
 def with_amounts(events: DataFrame) -> DataFrame:

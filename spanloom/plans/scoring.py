@@ -25,25 +25,31 @@ def verdicts(v: Views) -> DataFrame:
     return v.scores.filter("value < 0.3").select("trace_id", "span_id", event.alias("event"))
 
 
+def rows(v: Views) -> DataFrame:
+    """The newest spans with all that the rules ask of them, computed once for a folder: everything below reads these."""
+    columns = ["trace_id", "span_id", "start_time", "type", "name", "input", "output", "status", "error", "latency_ms"]
+    return v.once("examined", lambda: structural.examined(v.spans.select(*columns), TIMEOUTS))
+
+
 def adversarial(v: Views) -> DataFrame:
     """Adversarial events of the traces: tool inputs that read settings or secrets, and attempts in any span's text."""
-    attempts = quality.injection_attempts(v.spans, "trace_id", ["input", "output"])
-    found = quality.adversarial_penalties(attempts, v.spans.filter("type = 'tool_call'").select(F.col("trace_id").alias("id"), "input"))
+    attempts = quality.injection_attempts(rows(v), "trace_id", ["input", "output"])
+    found = quality.adversarial_penalties(attempts, rows(v).filter("type = 'tool_call'").select(F.col("trace_id").alias("id"), "input"))
     return found.select(F.col("id").alias("trace_id"), F.lit(None).cast("string").alias("span_id"), "event")
 
 
 def penalties(v: Views) -> DataFrame:
-    found = structural.structural_penalties(v.spans, TIMEOUTS).unionByName(verdicts(v)).unionByName(adversarial(v))
-    return structural.with_amounts(found)
+    """All penalties, computed once."""
+    return v.once("penalties", lambda: structural.with_amounts(structural.structural_penalties(rows(v)).unionByName(verdicts(v)).unionByName(adversarial(v))))
 
 
 def scores(v: Views) -> DataFrame:
-    return structural.dimension_scores(v.spans.select("trace_id"), penalties(v))
+    return structural.dimension_scores(rows(v).select("trace_id"), penalties(v))
 
 
 def watchdog(v: Views) -> DataFrame:
-    found, of_dimensions = penalties(v), scores(v)
-    return structural.watchdog(structural.scorecards(of_dimensions), of_dimensions, found, v.spans)
+    of_dimensions = v.once("scores", lambda: scores(v))
+    return structural.watchdog(structural.scorecards(of_dimensions), of_dimensions, penalties(v), rows(v))
 
 
 def recommendations(v: Views) -> DataFrame:

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.sources.shared import kept
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 #: "Now" for views over events, and for views over orders.
@@ -54,10 +57,12 @@ SQL = {
                l_shipdate as event_ts, l_partkey as seq_a, l_suppkey as seq_b, l_extendedprice as seq_c,
                case when l_tax >= 0.08 then 1 else 0 end as is_deleted
         from lineitem join orders on l_orderkey = o_orderkey""",
+    # the hint deals spans out before they are sorted, not after a first sort in the tasks of the scan, which finds few versions
     "spans": """
         select * from (
           select *, row_number() over (partition by project_id, user_id, type, cast(start_time as date), order_time, span_id
-                                       order by event_ts desc, seq_a desc, seq_b desc, seq_c desc) as version_rank from spans_raw
+                                       order by event_ts desc, seq_a desc, seq_b desc, seq_c desc) as version_rank
+          from (select /*+ REPARTITION(span_id) */ * from spans_raw) dealt
         ) ranked where version_rank = 1 and is_deleted = 0""",
     "traces": """
         select 't' || cast(o_orderkey as string) as trace_id,
@@ -242,6 +247,12 @@ class Views:
             self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in TABLES else self.sql(SQL[name])
         return self._made[name]
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What `make` gives, computed once for these views and kept in the shared folder."""
+        if f"kept {name}" not in self._made:
+            self._made[f"kept {name}"] = kept(make())
+        return self._made[f"kept {name}"]
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over tables and views of this folder (temporary views whose names carry the folder's digest)."""
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from pyspark.sql.types import StructField, StructType
 
 from spanloom.operators.sequences import Cusum, Directory
+from spanloom.sources.shared import shared_folder
 
 
 #: Most files of one micro-batch: a backlog comes in several.
@@ -28,11 +29,7 @@ def read_stream(spark, schema, path: str, fmt: str = "parquet", files: int = FIL
 
 def sink_folder(spark) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame) -> DataFrame:
