@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. Boilerplate (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments) is told by element, role, or a whole class or id name, and is left out; a form or a named block that
-holds most of the page's text is no boilerplate after all. Of the other lines:
+forms, reader comments) is told by element, role, or class or id name, whole or a word of it, and is left out; a form or a named
+block that holds most of the page's text is no boilerplate after all. Of the other lines:
 
 1. A line weighs its text; one that is nothing but links, in a list or several of them, weighs nothing.
 2. The sums of the weights over windows of `WINDOW` lines are the line-block distribution. Its threshold is half of the length
@@ -45,10 +45,14 @@ COMMENTS = frozenset("comment comments comment-list comment-body commentlist com
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle adbox ad-banner ad-block ad-box ad-container ad-slot ad-top ad-unit ad-wrapper sponsor sponsored promo promoted promotion banner "
     "cookie cookies cookie-banner cookie-bar cookie-consent cookie-message cookie-notice consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation main-nav nav-menu nav-links site-nav top-nav menu main-menu site-menu submenu breadcrumb breadcrumbs header site-header masthead topbar top-bar footer site-footer page-footer "
+    "nav navbar navigation main-nav hd ft nav-menu nav-links site-nav top-nav menu main-menu site-menu submenu breadcrumb breadcrumbs header site-header masthead topbar top-bar footer site-footer page-footer "
     "sidebar side-bar left-sidebar right-sidebar aside widget widgets related related-articles related-links related-posts recommended recommendations share share-buttons share-links sharing social social-links social-share "
     "follow follow-us newsletter newsletter-signup subscribe subscription signup sign-up login comment-form copyright pagination pager skip skip-link skip-to-content toc hidden sr-only screen-reader-text visually-hidden".split()
 )
+#: Words that tell boilerplate as a part of a name, between hyphens or underscores; wrappers of whole pages have such names as
+#: well, so a block that holds most of the text is none.
+BOILERPLATE_PARTS = frozenset("comment comments reply replies disqus cookie cookies gdpr consent sponsor sponsored advert adverts advertisement promo banner newsletter footer sidebar breadcrumb breadcrumbs navbar popup modal".split())
+_PARTS = re.compile(r"[-_]+")
 PAGE, CONTENT = frozenset(("", "html", "body")), frozenset(("article", "main"))
 
 # inside a start tag quotes pair up as far as they can; possessive repeats keep broken markup linear
@@ -214,7 +218,9 @@ def _flag(name: str, attributes: dict[str, str], in_content: bool) -> int:
         return 0
     if name in ("form", "fieldset") or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
         return 1
-    return int(not BOILERPLATE_NAMES.isdisjoint(names - {"header"} if in_content else names))
+    if not BOILERPLATE_NAMES.isdisjoint(names - {"header"} if in_content else names):
+        return 1
+    return int(any(not BOILERPLATE_PARTS.isdisjoint(_PARTS.split(n)) for n in names if "-" in n or "_" in n))
 
 
 def dense_lines(weights: list[int]) -> list[int]:

@@ -153,6 +153,31 @@ def test_dense_lines_are_those_of_the_definition():
         assert html_text.dense_lines(weights) == brute_dense(weights)
 
 
+ARTICLE = " ".join(["The council met on Monday to talk about the bridge, and nobody left early."] * 6)
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("", '<div class="post-comments"><p>What a great piece of writing this is, thank you for it, says a reader at length.</p></div>'),
+        ('<div class="cc-window cc_banner"><p>We use cookies to give you the best experience on this site, read on to learn more.</p></div>', ""),
+        ("", '<div class="sponsored-content"><p>Buy the new mattress with its seven zones of comfort, now half of its usual price.</p></div>'),
+        ("", '<div id="ft"><p>All of this was made in the city by people who like bridges and other things.</p></div>'),
+        ('<div class="site_breadcrumbs_wrap">Home and News and Local and Bridges over rivers and roads</div>', '<section id="user_replies"><p>I was there too, and it was as dull as you would expect from them, I am afraid.</p></section>'),
+    ],
+)
+def test_boilerplate_by_a_word_of_its_name(before, after):
+    page = f"<html><body>{before}<div class='entry'><p>{ARTICLE}</p><p>{ARTICLE}</p></div>{after}</body></html>"
+    assert html_text.main_text(page) == f"{ARTICLE} {ARTICLE}"
+    inside = f"<html><body><article><p>{ARTICLE}</p>{before}<p>{ARTICLE}</p>{after}</article></body></html>"
+    assert html_text.main_text(inside) == f"{ARTICLE} {ARTICLE}"
+
+
+def test_a_wrapper_with_such_a_name_is_kept():
+    page = f"<html><body><div class='content-sidebar-wrap has-comments'><div><p>{ARTICLE}</p></div><div class='post-footer'><p>Filed under bridges, by the staff of this paper.</p></div></div></body></html>"
+    assert html_text.main_text(page) == ARTICLE
+
+
 def test_articles_come_back_from_pages_put_together():
     draw = random.Random(9)
     sentence = lambda n: " ".join(draw.choices(["rain", "falls", "é", "on", "plains", "&lt;b&gt;"], k=n))
