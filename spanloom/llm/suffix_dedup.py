@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import _BYTE, _INVERSE, _ODD, _powers, bloom_admits, bloom_filter, checkpointed, mix64, modest_batches, only, pieces, span_hashes, table, utf8
+from spanloom.llm.common import _BYTE, _INVERSE, _ODD, PIECE_BYTES, _powers, bloom_admits, bloom_filter, checkpointed, mix64, modest_batches, only, pieces, span_hashes, table, utf8
 
 #: Bytes of a repeated string; of an anchor; bytes that are merged at a time and the shards they form; stretches of one anchor
 #: beyond which its windows are counted instead.
@@ -34,6 +34,18 @@ LENGTH, GRAM, BLOCK_BYTES, SHARDS, MOST_STRETCHES = 100, 32, 1 << 16, 4, 4096
 _LAST = 2**63 - 1
 
 
+#: Powers that a worker keeps, for pieces of the usual size: 16 MB for each of two bases.
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def _kept_powers(base: int, n: int) -> np.ndarray:
+    if n > 2 * PIECE_BYTES:
+        return _powers(base, n)
+    if base not in _KEPT:
+        _KEPT[base] = _powers(base, 2 * PIECE_BYTES)
+    return _KEPT[base][:n]
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each stretch: its row, anchor hash, digest, and its place: first start << 16 | windows less one << 8 | anchor's offset."""
     windows = len(data) - LENGTH + 1
@@ -41,8 +53,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _powers(_ODD, len(data)), out=sums[1:])
-        undo = _powers(_INVERSE, len(data) + 1)
+        np.cumsum(_BYTE[data] * _kept_powers(_ODD, len(data)), out=sums[1:])
+        undo = _kept_powers(_INVERSE, len(data) + 1)
         grams = mix64((sums[GRAM:] - sums[:-GRAM]) * undo[: len(data) - GRAM + 1])
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span, wide = 1, LENGTH - GRAM + 1
