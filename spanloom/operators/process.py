@@ -456,3 +456,94 @@ def orphan_dependencies(acts: DataFrame) -> DataFrame:
     texts = acts.filter(F.col("action_type") == WRITE).join(sessions, "session_id", "left_semi").select("session_id", F.explode(F.array("output", "detail")).alias("value")).filter("value <> ''")
     rows = packages.select("session_id", F.lit(False).alias("is_text"), F.col("package").alias("value")).unionByName(texts.select("session_id", F.lit(True).alias("is_text"), "value"))
     return _in_order(rows, ["session_id"], ["is_text"], ["is_text", "value"], _Unused, {"package": pa.string()})
+
+
+# metrics of a session
+
+#: What shows that a shell command failed, that it verifies, that it may change files unseen (fixed values).
+_FAILED = (
+    "Failed to compile", "SyntaxError", "TypeError", "ReferenceError", "ImportError", "ModuleNotFoundError", "NameError", "AttributeError", "KeyError", "ValueError", "RuntimeError", "Module not found", "Cannot find module",
+    "npm ERR!", "ENOENT", "EACCES", "EPERM", "command not found", "No such file or directory", "Permission denied", r"Traceback \(most recent call last\)", "FAILED", "panic:", r"error\[E\d+\]", "BUILD FAILED", r"exit code [1-9]\d*",
+    "returned non-zero exit status",
+)
+_VERIFIES = (
+    "pytest", "jest", "mocha", "vitest", r"npm\s+test", r"npm\s+run", r"yarn\s+test", r"cargo\s+test", r"go\s+test", r"make\s+test", r"python\s+-m\s+pytest", r"node\s", r"npx\s", "tsc", "eslint", "flake8", "mypy", r"npm\s+start",
+    r"npm\s+run\s+dev", r"npm\s+run\s+build", r"npm\s+create", r"cargo\s+build", r"cargo\s+check", r"go\s+build", r"make\b", r"cmake\b", r"Start-Process\b", r"Invoke-Expression\b", r"& npm\b", r"& node\b", r"python\s", r"python3\s", r"ruby\s",
+    r"java\s", r"javac\s", r"gcc\s", r"g\+\+\s",
+)
+_MUTATES = (
+    r"sed\s+-i", r"tee\s", r"echo\s.*>>?", r"cat\s.*>\s", r"mv\s", r"cp\s", r"git\s+checkout", r"git\s+reset", r"git\s+restore", r"chmod\s", r"chown\s", r"rm\s", r"mkdir\s", r"touch\s", r"patch\s", r"curl\s.*-o", r"wget\s",
+    r"python[23]?\s+-c\s.*(?:open|write)\s*\(", r"perl\s+-[ip]e?\s", r"awk\s.*>\s", r"ruby\s+-e\s.*(?:File\.|IO\.|open)", r"node\s+-e\s.*(?:fs\.|writeFile)", r"go\s+run\s", r">\s*\S+", r"\|\s*tee\s", r"install\s", r"jq\s.*>\s", r"ffmpeg\s",
+    r"sox\s", r"convert\s", r"tar\s.*-[xf]", r"unzip\s", r"gunzip\s", r"go\s+mod\s+tidy", r"cargo\s+build", r"npm\s+install", r"pip\s+install", r"make\b", r"cmake\b", r"ninja\b", r"dd\s",
+)
+#: Acts after an error in which a write resolves it (a fixed value).
+RESOLVED_WITHIN = 5
+#: When a session is warned about: metric, whether too low or too high, bound (fixed values).
+WARNINGS = (
+    ("path_efficiency_ratio", "low", 0.5), ("token_waste_rate", "high", 0.4), ("first_pass_success_rate", "low", 0.5), ("write_without_verify_ratio", "high", 0.6), ("file_churn_rate", "high", 0.4),
+    ("repetition_cycles", "least", 3), ("redundant_reads", "least", 3),
+)
+
+
+def _any(patterns: tuple[str, ...], column: str) -> Column:
+    return F.coalesce(F.col(column).rlike("|".join(patterns)), F.lit(False))
+
+
+def shell_mutation_warnings(acts: DataFrame) -> DataFrame:
+    """acts -> session_id, node_id, command: shell commands that may change files without a write, cut to 120 characters."""
+    return acts.filter((F.col("action_type") == BASH) & _any(_MUTATES, "detail")).select("session_id", "node_id", F.substring("detail", 1, 120).alias("command"))
+
+
+def _shares(total: Column) -> list[Column]:
+    """Aggregates of judged acts: numbers, efficiency, waste and first-pass success (null without cost or writes)."""
+    write = F.col("action_type").isin(*WRITES)
+    lost = F.sum(F.when(~F.col("effective"), F.col("cost")).otherwise(0.0))
+    return [
+        total.alias("total_events"), F.count_if("effective").alias("effective_events"), (F.count_if("effective") / total).alias("path_efficiency_ratio"),
+        F.when(F.sum("cost") > 0, lost / F.sum("cost")).alias("token_waste_rate"), F.when(F.count_if(write) > 0, F.count_if(write & F.col("reverted_by").isNull()) / F.count_if(write)).alias("first_pass_success_rate"),
+    ]
+
+
+def per_trace_metrics(acts: DataFrame) -> DataFrame:
+    """acts -> session_id, trace_id, and the shares of the trace's acts; effects are judged in the whole session. No row without a trace."""
+    return judged(acts).filter("trace_id <> ''").groupBy("session_id", "trace_id").agg(*_shares(F.count("*")))
+
+
+def session_profile(acts: DataFrame) -> DataFrame:
+    """acts -> one row a session with its shares, reverted acts, cycles, errors, unverified batches of writes, churn, orphans.
+
+    A batch of writes ends at a shell command; it is verified if a command before the next write builds, tests or runs. Churn is
+    the share of written files that were written with two contents or more. Duplicate calls are acts that aren't thoughts or protocol
+    calls and have the type and detail of an earlier one.
+    """
+    rows = _numbered(acts)
+    cycles = repetition_cycles(rows.select("session_id", F.col("seq").alias("at"), action_key().alias("key")))
+    own = Window.partitionBy("session_id").orderBy("seq")
+    error = (F.col("action_type") == BASH) & _any(_FAILED, "output")
+    write, bash = F.col("action_type") == WRITE, F.col("action_type") == BASH
+    fixed = F.max(write.cast("int")).over(own.rowsBetween(1, RESOLVED_WITHIN))
+    marked = rows.select("session_id", "seq", error.alias("error"), F.coalesce(fixed, F.lit(0)).alias("fixed"), F.count_if(write).over(own).alias("after"), bash.alias("bash"), (bash & _any(_VERIFIES, "detail")).alias("verify"))
+    errors = marked.groupBy("session_id").agg(F.count_if("error").alias("build_error_count"), F.count_if(F.col("error") & (F.col("fixed") == 0)).alias("unresolved_error_count"))
+    stretches = marked.filter("after > 0").groupBy("session_id", "after").agg(F.max("bash").alias("bash"), F.max("verify").alias("verify"))
+    ends = F.col("bash") | (F.col("after") == F.max("after").over(Window.partitionBy("session_id")))
+    batches = stretches.withColumn("ends", ends).groupBy("session_id").agg((F.count_if(F.col("ends") & ~F.col("verify")) / F.count_if("ends")).alias("write_without_verify_ratio"))
+    files = acts.filter(write).select("session_id", F.explode("files").alias("file"), "result_hash").groupBy("session_id", "file").agg(F.countDistinct("result_hash").alias("contents"))
+    churn = files.groupBy("session_id").agg((F.count_if(F.col("contents") >= 2) / F.count("*")).alias("file_churn_rate"))
+    reads = Window.partitionBy("session_id", "detail", "result_hash").orderBy("seq")
+    again = rows.filter(F.col("action_type") == READ).withColumn("nth", F.row_number().over(reads)).groupBy("session_id").agg(F.count_if(F.col("nth") > 1).alias("redundant_reads"))
+    shares = judged(acts, cycles).groupBy("session_id").agg(*_shares(F.count("*")), F.count("reverted_by").alias("backtrack_depth"))
+    orphans = orphan_dependencies(acts).groupBy("session_id").agg(F.count("*").alias("orphan_dependency_count"))
+    calls = acts.filter(~F.col("action_type").isin(THINK, META)).groupBy("session_id", "action_type", "detail").agg(F.count("*").alias("n"))
+    same = calls.groupBy("session_id").agg(F.sum(F.col("n") - 1).alias("duplicate_tool_call_count"))
+    out = shares
+    for more in (same, cycles.groupBy("session_id").agg(F.count("*").alias("repetition_cycles")), errors, batches, churn, again, orphans):
+        out = out.join(more, "session_id", "left")
+    zero = ["duplicate_tool_call_count", "repetition_cycles", "build_error_count", "unresolved_error_count", "write_without_verify_ratio", "file_churn_rate", "redundant_reads", "orphan_dependency_count"]
+    return out.fillna(0, zero)
+
+
+def efficiency_warnings(profile: DataFrame) -> DataFrame:
+    """session_profile -> session_id, metric, value: the metrics beyond their bounds; null ones warn of nothing."""
+    beyond = {"low": lambda c, b: c < b, "high": lambda c, b: c > b, "least": lambda c, b: c >= b}
+    told = F.array(*(F.when(beyond[how](F.col(name), bound), F.struct(F.lit(name).alias("metric"), F.round(F.col(name).cast("double"), 4).alias("value"))) for name, how, bound in WARNINGS))
+    return profile.select("session_id", F.explode(F.array_compact(told)).alias("w")).select("session_id", "w.*")

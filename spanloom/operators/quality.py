@@ -174,7 +174,28 @@ def metric_labels(metrics: DataFrame, key: str = "session_id") -> DataFrame:
     return metrics.select(key, F.explode(F.array(*rows)).alias("m")).select(key, "m.metric", "m.label")
 
 
-def validate_judge(verdicts: DataFrame, floor: float = 0.4) -> DataFrame:
-    """Scores clamped to 1..5; an A or B below the efficiency floor becomes a C."""
-    clamped = verdicts.withColumn("score", F.least(F.greatest("score", F.lit(1)), F.lit(5)))
-    return clamped.withColumn("letter", F.when((F.col("path_efficiency") < floor) & F.col("letter").isin("A", "B"), "C").otherwise(F.col("letter")))
+#: Of each kind of task: path efficiency below which no A or B stands, waste above which the judge must have named it (fixed values).
+JUDGE_BOUNDS = {"targeted_fix": (0.5, 0.4), "exploration": (0.15, 0.7), "greenfield": (0.35, 0.5)}
+JUDGE_SCORES = ("correctness_score", "completeness_score", "minimality_score")
+# fixed values: the bounds of a score, and the share of ineffective acts that the judge's ranges have to cover
+LEAST_SCORE, MOST_SCORE, COVERAGE = 1.0, 5.0, 0.5
+
+
+def validate_judge(verdicts: DataFrame) -> DataFrame:
+    """verdicts with grade, the JUDGE_SCORES and `corrections` put right, an array of what was wrong.
+
+    verdicts(complexity, grade, the scores, ranges array<struct<first, last>> of wasteful acts, path_efficiency_ratio,
+    token_waste_rate, total_events, effective_events): an A or B of an inefficient session becomes a C; scores come into 1 to 5; a
+    wasteful session of whose ineffective acts the ranges cover less than half is told. A missing grade is a C, a missing
+    efficiency 1, a missing waste 0; a missing score stays missing.
+    """
+    bound = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for kind, b in JUDGE_BOUNDS.items() for x in (kind, b[i])]), F.col("complexity"))
+    grade = F.coalesce("grade", F.lit("C"))
+    inefficient = (F.coalesce("path_efficiency_ratio", F.lit(1.0)) < bound(0)) & grade.isin("A", "B")
+    steps = F.array_distinct(F.flatten(F.transform(F.filter("ranges", lambda r: r["first"] <= r["last"]), lambda r: F.sequence(r["first"], r["last"]))))
+    lost = F.col("total_events") - F.col("effective_events")
+    uncovered = (F.coalesce("token_waste_rate", F.lit(0.0)) > bound(1)) & (lost > 0) & (F.coalesce(F.size(steps), F.lit(0)) < lost * COVERAGE)
+    outside = lambda c: (F.col(c) < LEAST_SCORE) | (F.col(c) > MOST_SCORE)
+    told = [F.when(inefficient, F.concat(F.lit("grade "), grade, F.lit(" lowered to C"))), F.when(uncovered, F.lit("waste is hardly covered")), *(F.when(outside(c), F.lit(f"{c} clamped")) for c in JUDGE_SCORES)]
+    fixed = {"corrections": F.array_compact(F.array(*told)), "grade": F.when(inefficient, "C").otherwise(grade)}
+    return verdicts.withColumns(fixed | {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c).cast("double"), F.lit(MOST_SCORE)), F.lit(LEAST_SCORE))) for c in JUDGE_SCORES})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import process, quality, structural
+from spanloom.operators import quality, structural
 from spanloom.plans.traces import EFFECT
 from spanloom.sources.views import Views, checked_by
 
@@ -78,14 +78,6 @@ _METRICS = f"""{EFFECT},
     from classed c join repeats r on c.session_id = r.session_id left join files f on c.session_id = f.session_id group by c.session_id"""
 
 
-def metrics(v: Views) -> DataFrame:
-    """All process metrics of a session in one row."""
-    events = v.sql(f"{EFFECT} select session_id, event_index as at, act as key from classed")
-    cycles = process.repetition_cycles(events).groupBy("session_id").agg(F.count("*").alias("repetition_cycles"))
-    out = v.sql(_METRICS).join(cycles, "session_id", "left").fillna({"repetition_cycles": 0})
-    return out.withColumn("cycle_ratio", F.col("repetition_cycles") / F.col("total_events"))
-
-
 SECTIONS = (("Summary", None), ("Findings", "bullet list"), ("Details", "paragraph"), ("Data", "json"))
 
 
@@ -129,11 +121,6 @@ QUERIES = {
     "recommendations": recommendations,
     "eval_watchdog": watchdog,
     "agent_scoped_scorecard": by_agent,
-    "session_metrics": metrics,
-    "efficiency_rating": lambda v: quality.efficiency_rating(metrics(v)).select("session_id", F.round("rating", 6).alias("rating"), *(F.round(f"s_{n}", 6).alias(f"s_{n}") for n in quality.EFFICIENCY)),
-    "metric_labels": lambda v: quality.metric_labels(metrics(v)).groupBy("metric", "label").agg(F.count("*").alias("n")),
-    "sigmoid_normalize": lambda v: metrics(v).select("session_id", F.round(quality.sigmoid(F.col("path_efficiency_ratio"), 0.5, 6.0), 8).alias("higher"), F.round(quality.sigmoid(F.col("token_waste_rate"), 0.3, 6.0, invert=True), 8).alias("lower")),
-    "validate_judge": lambda v: quality.validate_judge(metrics(v).select("session_id", F.col("path_efficiency_ratio").alias("path_efficiency"), F.round(F.col("token_waste_rate") * 8 - 1, 6).alias("score"), F.lit("A").alias("letter"))),
     "process_metrics": lambda v: v.sql(_METRICS),
 }
 
@@ -227,8 +214,6 @@ ORACLES = {
         union all select trace_id, 'long trace without structural issues' from spans s where not exists (select 1 from penalties p where p.trace_id = s.trace_id and p.trigger = 'structural') group by trace_id having count(*) > 50"""),
     "agent_scoped_scorecard": _sql(_PENALTIES, "select t.agent_id, count(distinct t.trace_id) as traces, cast(coalesce(sum(p.amount), 0) as bigint) as amount from traces t left join penalties p on t.trace_id = p.trace_id where t.agent_id <> '' group by t.agent_id"),
     "process_metrics": checked_by(_METRICS),
-    "sigmoid_normalize": _sql(_METRICS_TABLE, "select session_id, round(1 / (1 + exp(-6 * (path_efficiency_ratio - 0.5))), 8) as higher, round(coalesce(1 - 1 / (1 + exp(-6 * (token_waste_rate - 0.3))), 0), 8) as lower from metrics"),
-    "validate_judge": _sql(_METRICS_TABLE, "select session_id, path_efficiency_ratio as path_efficiency, least(greatest(round(token_waste_rate * 8 - 1, 6), 1), 5) as score, case when path_efficiency_ratio < 0.4 then 'C' else 'A' end as letter from metrics"),
     "sanitize_text": checked_by("""
         with stripped as (select doc_id as id, text, regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?m)\\[//\\]:.*$', '', 'g') as bare from planted),
         clean as (select id, text, substring(regexp_replace(regexp_replace(regexp_replace(bare, '```[^\n]*\n[^`]*JUDGE[^`]*```', '', 'g'), '[\u200b\u200c\u200d\ufeff\u2060]+', '', 'g'), '\n{3,}', '\n\n', 'g'), 1, 10000) as clean from stripped)

@@ -28,12 +28,20 @@ _WRITES = """
 
 QUERIES = {
     "tool_call_index": f"with {_CALLS} select span_id, span_index, call_index from numbered",
+    # the last 50 scorecards of an agent against the 50 before them: mean, its 95 % interval, drift of at least one deviation and five points
     "agent_aggregate": """
-        select agent_id, round(avg(case when place <= 50 then composite end), 8) as average, round(stddev_pop(case when place <= 50 then composite end), 6) as deviation,
-               round(avg(case when place <= 50 then d_goal end), 8) as goal, round(avg(case when place <= 50 then d_tool end), 8) as tool, round(avg(case when place between 51 and 100 then composite end), 8) as before_that,
-               count_if(place <= 50) as n, count_if(place between 51 and 100) >= 10 and count_if(place <= 50) >= 10
-               and abs(avg(case when place <= 50 then composite end) - avg(case when place between 51 and 100 then composite end)) >= 5 as drifted
-        from (select *, row_number() over (partition by agent_id order by evaluated_at desc, scorecard_id) as place from scorecards) r where place <= 100 group by agent_id""",
+        with placed as (select *, row_number() over (partition by agent_id order by evaluated_at desc, scorecard_id) as place from scorecards),
+        sums as (
+            select agent_id, count_if(place <= 50) as n, avg(case when place <= 50 then composite end) as mean, stddev_pop(case when place <= 50 then composite end) as deviation,
+                count_if(place > 50) as n_before, avg(case when place > 50 then composite end) as mean_before, stddev_pop(case when place > 50 then composite end) as deviation_before,
+                avg(case when place <= 50 then d_goal end) as goal, avg(case when place <= 50 then d_tool end) as tool, avg(case when place <= 50 then coalesce(d_fact, 0) end) as fact
+            from placed where place <= 100 group by agent_id)
+        select agent_id, n, round(mean, 6) as average, round(deviation, 6) as deviation,
+               round(greatest(mean - 1.96 * deviation / sqrt(cast(n as double)), 0), 6) as ci_low, round(least(mean + 1.96 * deviation / sqrt(cast(n as double)), 100), 6) as ci_high,
+               round(goal, 6) as goal, round(tool, 6) as tool, round(fact, 6) as fact,
+               case when goal <= tool and goal <= fact then 'goal_completion' when tool <= fact then 'tool_efficiency' else 'factual_grounding' end as weakest, round(mean_before, 6) as before_that,
+               coalesce(n >= 10 and n_before >= 10 and abs(mean - mean_before) >= greatest(deviation_before, 1.0) and abs(mean - mean_before) >= 5, false) as drifted
+        from sums""",
     "effective_weights": """
         select d.dimension, coalesce(a.weight, g.weight, d.weight) as weight, a.weight is not null or g.weight is not null as is_custom
         from (select 'goal_completion' as dimension, 0.28 as weight union all select 'tool_efficiency', 0.18 union all select 'tool_failures', 0.13 union all select 'factual_grounding', 0.18 union all select 'thought_process', 0.13 union all select 'adversarial_robustness', 0.10) d
@@ -83,7 +91,6 @@ QUERIES = {
         select session_id, round(least(-sum(cast(n as double) / of_all * ln(cast(n as double) / of_all) / ln(2)) / (ln(count(*) + 1) / ln(2)), 1), 6) + 0.0 as normalized from totals group by session_id""",
     "file_churn_rate": f"with {_EVENTS}, {_WRITES} select session_id, round(cast(count_if(act = 'write') as double) / nullif(count(distinct case when act = 'write' then file end), 0), 6) as churn, count_if(failed = 1) as build_errors from acts group by session_id",
     "final_session_success": f"with {_EVENTS} select session_id, event_name <> 'hook_posttoolusefailure' as succeeded from (select *, max(event_index) over (partition by session_id) as last_index from ordered) o where event_index = last_index",
-    "shell_mutation_warnings": "select event_id, tool_response from otel_logs where tool_name = 'tool_1' and contains(tool_response, 'code 3')",
     "redundant_reads": f"with {_EVENTS}, {_WRITES} select session_id, event_index from (select *, row_number() over (partition by session_id, file, content order by event_index) as nth from acts where act = 'read') r where nth > 1",
     # ingestion rules that SQL states
     "normalize_service": "select event_id, case when service_name = 'observability-hooks' then 'claude-code' else service_name end as service from otel_logs",
@@ -107,8 +114,6 @@ QUERIES |= {
     "first_pass_success": f"{EFFECT} select session_id, round(cast(count_if(act = 'write' and coalesce(waste, '') <> 'revert_cycle') as double) / nullif(count_if(act = 'write'), 0), 6) as share from classed group by session_id",
     "backtrack_depth": f"{EFFECT} select session_id, coalesce(max(case when waste = 'revert_cycle' then event_index - same_before end), 0) as depth from classed group by session_id",
     "build_error_count": f"{EFFECT} select session_id, count_if(act = 'bash' and failed = 1) as errors from classed group by session_id",
-    "per_trace_metrics": f"{EFFECT} select session_id, act, count(*) as events, count_if(coalesce(waste, '') = '') as effective from classed group by session_id, act",
-    "efficiency_warnings": f"{EFFECT} select session_id, case when cast(count_if(coalesce(waste, '') <> '') as double) / count(*) > 0.3 then 'much waste' when count_if(failed = 1) > 2 then 'many errors' end as warning from classed group by session_id",
     "prev_next_delta": f"{EFFECT} select session_id, event_index, next_act, case when next_act = act then 1 else 0 end as repeats from classed where event_index < last_index",
     "session_events": f"with {_EVENTS} select session_id, event_index, event_id, action, cast(turn_id as bigint) as turn_id, tool_name from ordered where session_id <> ''",
     "agent_in_session": f"""with {_EVENTS}, held as (select *, max(case when event_name = 'api_request' then event_index end) over (partition by session_id order by event_index rows unbounded preceding) as started,

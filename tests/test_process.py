@@ -179,3 +179,30 @@ def test_installed_packages_that_nothing_uses(spark):
     other = acts(spark, (BASH, "cargo add lodash", [], "", ""), session="t")
     found = process.orphan_dependencies(acts(spark, *lines).unionByName(other))
     assert rows(found, "session_id", "package") == [("s", "'odd'"), ("s", "left-pad"), ("s", "numpy"), ("t", "lodash")]
+
+
+def test_profile_of_a_session(spark):
+    lines = [
+        (WRITE, "/a", ["/a"], "", "h1"),  # 1
+        (BASH, "pytest -q", [], "FAILED a", "r"),  # 2: verifies 1; no write in the next five acts
+        *((THINK, "x", [], "", "t"),) * 5,  # 3 to 7; no cycle, since a pattern has two acts at least: 4 and 5 are one of length 1
+        (WRITE, "/a", ["/a"], "", "h2"),  # 8
+        (READ, "/a", ["/a"], "", "h2"),  # 9
+        (BASH, "ls", [], "KeyError", "r"),  # 10: ends the batch of 8, unverified; resolved by 11
+        (WRITE, "/b", ["/b"], "", "h1"),  # 11: the last batch, unverified
+        (READ, "/a", ["/a"], "", "h2"),  # 12
+        (READ, "/a", ["/a"], "", "h2"),  # 13
+        (READ, "/a", ["/a"], "", "h2"),  # 14
+        (BASH, "cat x > y", [], None, "r"),  # 15
+    ]
+    table = acts(spark, *lines).withColumn("trace_id", F.when(F.col("node_id") < 9, "t1").when(F.col("node_id") < 15, "t2"))
+    [row] = process.session_profile(table).collect()
+    assert (row["total_events"], row["build_error_count"], row["unresolved_error_count"], row["redundant_reads"], row["orphan_dependency_count"]) == (15, 2, 1, 3, 0)
+    assert (row["write_without_verify_ratio"], row["file_churn_rate"], row["first_pass_success_rate"], row["backtrack_depth"], row["repetition_cycles"]) == (2 / 3, 0.5, 1.0, 0, 0)
+    assert row["duplicate_tool_call_count"] == 1 + 3 and row["effective_events"] == 12 and row["token_waste_rate"] == 3 / 15
+    found = process.efficiency_warnings(process.session_profile(table))
+    assert rows(found, "metric") == [("s", "file_churn_rate", 0.5), ("s", "redundant_reads", 3.0), ("s", "write_without_verify_ratio", 0.6667)]
+    assert [r[:5] for r in rows(process.per_trace_metrics(table), "trace_id")] == [("s", "t1", 8, 8, 1.0), ("s", "t2", 6, 3, 0.5)]
+    assert rows(process.shell_mutation_warnings(table)) == [("s", 15, "cat x > y")]
+    calm = process.session_profile(acts(spark, (THINK, "x", [], "", "")).withColumn("cost", F.lit(0.0)))
+    assert [r for r in calm.collect()[0]][1:] == [1, 1, 1.0, None, None, 0, 0, 0, 0, 0, 0.0, 0.0, 0, 0]
