@@ -110,8 +110,8 @@ QUERIES = {
     "ignored_failure": lambda v: structural.tool_failures(v.spans, TIMEOUTS).filter("failure = 'ignored'").select("span_id", "next_span", "next_type"),
     "retry_patterns": lambda v: structural.tool_failures(v.spans, TIMEOUTS).groupBy("trace_id").agg(
         F.count_if(F.col("failure") == "retry_success").alias("retried"), F.count_if(F.col("failure").isin("error", "ignored") & (F.coalesce("next_success", F.lit(0)) > F.col("call_index") + 10)).alias("late"), F.count_if(F.col("failure") == "ignored").alias("ignored")),
-    "ungrounded_claims": lambda v: structural.ungrounded_claims(v.spans).select("span_id", "trace_id"),
-    "unused_tool_result": lambda v: structural.unused_results(v.spans).select("span_id"),
+    "ungrounded_claims": lambda v: structural.ungrounded_claims(rows(v)).select("span_id", "trace_id"),
+    "unused_tool_result": lambda v: structural.unused_results(rows(v)).select("span_id"),
     "distinctive_tokens": lambda v: v.spans.select("span_id", F.concat_ws(" ", tx.distinctive_tokens(F.col("output"))).alias("tokens")),
     "section_present": sections,
     "penalty_amounts": lambda v: penalties(v).select("trace_id", "span_id", "event", "dimension", "amount"),
