@@ -6,14 +6,17 @@ State is bounded by watermarks or timers. Machines get their rows in order of ev
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanloom.operators.sequences import Cusum, Directory
 from spanloom.sources.shared import shared_folder
@@ -21,6 +24,8 @@ from spanloom.sources.shared import shared_folder
 
 #: Most files of one micro-batch: a backlog comes in several.
 FILES_A_TRIGGER = 256
+#: Buckets of keys that share their state; as many for a job's whole life.
+BUCKETS = 512
 
 
 def read_stream(spark, schema, path: str, fmt: str = "parquet", files: int = FILES_A_TRIGGER) -> DataFrame:
@@ -87,95 +92,124 @@ def stream_rpc_pairing(requests: DataFrame, responses: DataFrame, within: str =
 
 
 class _InOrder(StatefulProcessor):
-    """Feeds a group's rows to a machine in order of (at, *order) once the watermark has passed them, whatever batch they came in.
+    """Feeds each key's rows to a machine in order of (at, *order) once the watermark has passed them, whatever batch they came in.
 
-    Rows wait in a list state; a timer at the earliest of them wakes the group. Rows behind the watermark don't come (Spark drops
-    them). What a machine knows is one value; both go `idle` seconds after the group's last row.
+    The keys of a bucket share their state, as every call of the state costs a trip between two processes. Rows wait as Arrow
+    batches in a list state; a timer at the earliest of them wakes the bucket. Rows behind the watermark don't come (Spark drops
+    them). What the machines know is one table; a key's row goes `idle` seconds after the key's last event.
     """
 
-    def __init__(self, columns: list[StructField], order: list[str], known: str, work: Callable, idle: int):
-        self.columns, self.order, self.known_schema, self.work, self.idle = columns, order, known, work, idle
+    def __init__(self, columns: StructType, known: StructType, order: list[str], work: Callable, out: list[str], idle: int):
+        self.columns, self.known_columns, self.work, self.out, self.idle = columns, known, work, out, idle
+        self.places = [columns.names.index(c) for c in ("at_micros", *order)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", StructType(self.columns))
-        self.known = handle.getValueState("known", f"{self.known_schema}, idle_from long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.known = handle.getValueState("known", "rows binary")
+
+    @staticmethod
+    def packed(table: pa.Table) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return (sink.getvalue().to_pybytes(),)
+
+    @staticmethod
+    def unpacked(rows: tuple) -> list[tuple]:
+        return list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(bytes(rows[0])).read_all().columns)))
+
+    @staticmethod
+    def table(rows: list[tuple], schema: StructType) -> pa.Table:
+        kinds = to_arrow_schema(schema)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        names = [c.name for c in self.columns]
+        first, new = None, []
         for part in rows:
-            part = part[names].astype(object)
-            new = list(part.where(part.notna(), None).itertuples(index=False, name=None))
-            self.waiting.appendList([(row[0].to_pydatetime(), *row[1:]) for row in new])
-            self.handle.registerTimer(int(min(row[0] for row in new).value // 1_000_000) + 1)
+            new.append(self.packed(pa.Table.from_pandas(part[self.columns.names], to_arrow_schema(self.columns), preserve_index=False)))
+            least = int(part["at_micros"].min())
+            first = least if first is None else min(first, least)
+        self.waiting.appendList(new)
+        self.handle.registerTimer(first // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        every = [tuple(r) for r in self.waiting.get()]
-        millis = lambda row: row[0].timestamp() * 1000
-        names = [c.name for c in self.columns]
-        at = [names.index(o) for o in self.order]
-        ready = sorted((r for r in every if millis(r) <= now), key=lambda r: (r[0], *(r[i] for i in at)))
-        later = [r for r in every if millis(r) > now]
-        known = tuple(self.known.get()) if self.known.exists() else None
-        if not ready:
-            if not later and known and now >= known[-1]:
-                self.known.clear()
-            yield pd.DataFrame()
-            return
-        out, after = self.work(key, ready, known and known[:-1])
-        idle_from = int(millis(ready[-1])) + self.idle * 1000
-        self.known.update((*after, idle_from))
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(int(min(map(millis, later))) + 1)
-        else:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = defaultdict(list), []
+        for part in self.waiting.get():
+            for row in self.unpacked(part):
+                if row[1] <= now:
+                    ready[row[0]].append(row)
+                else:
+                    later.append(row)
+        known = {k: state for k, *state in self.unpacked(self.known.get())} if self.known.exists() else {}
+        out = []
+        for k, own in ready.items():
+            own.sort(key=lambda row: tuple(row[i] for i in self.places))
+            found, after = self.work(k, [row[1:] for row in own], known[k][:-1] if k in known else None)
+            out.extend(found)
+            known[k] = [*after, own[-1][1] + self.idle * 1_000_000]
+        awake = ready.keys() | {row[0] for row in later}
+        known = {k: state for k, state in known.items() if k in awake or state[-1] > now}
+        if ready and later:
+            self.waiting.put([self.packed(self.table(later, self.columns))])
+        elif ready:
             self.waiting.clear()
-            self.handle.registerTimer(max(idle_from, now + 1))
-        yield out
+        if known:
+            self.known.update(self.packed(self.table([(k, *state) for k, state in known.items()], self.known_columns)))
+        elif self.known.exists():
+            self.known.clear()
+        wakes = [row[1] // 1000 + 1 for row in later] + [max(state[-1] // 1000, now // 1000) + 1 for state in known.values()]
+        if wakes:
+            self.handle.registerTimer(min(wakes))
+        yield pd.DataFrame(out, columns=self.out)
 
 
-def _ordered(events: DataFrame, key: str, delay: str, order: list[str], known: str, work: Callable, schema: str, idle: int) -> DataFrame:
+def _ordered(events: DataFrame, key: str, delay: str, order: list[str], known: str, work: Callable, schema: str, idle: int, buckets: int) -> DataFrame:
+    """work(key, rows of (at in microseconds, *other columns), known values or None) gives rows of the schema and the values to keep."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    columns = [events.schema["at"], *(f for f in events.schema.fields if f.name not in ("at", key))]
-    return events.filter("at is not null").withWatermark("at", delay).groupBy(key).transformWithStateInPandas(_InOrder(columns, order, known, work, idle), schema, "append", "eventTime")
+    others = [f for f in events.schema.fields if f.name not in ("at", key)]
+    timed = events.filter("at is not null").withWatermark("at", delay).withColumns({"at_micros": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets))})
+    columns = StructType([events.schema[key], StructField("at_micros", LongType()), *others])
+    kept = StructType([events.schema[key], *StructType.fromDDL(known).fields, StructField("idle_from", LongType())])
+    machine = _InOrder(columns, kept, order, work, StructType.fromDDL(schema).names, idle)
+    return timed.groupBy("bucket").transformWithStateInPandas(machine, schema, "append", "eventTime")
 
 
-def stream_cusum(events: DataFrame, delay: str = "10 minutes", **options: float) -> DataFrame:
+def stream_cusum(events: DataFrame, delay: str = "10 minutes", buckets: int = BUCKETS, **options: float) -> DataFrame:
     """events(session_id, at, flag) -> a row at each session's first alarm; the detector's numbers are the state.
 
     Flags count in order of time across micro-batches, once the watermark has passed them; later ones are dropped. Sets the
     session's state store to RocksDB. A session's state goes a day after its last event.
     """
 
-    def work(key: tuple, rows: list[tuple], known: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def work(key: object, rows: list[tuple], known: list | None) -> tuple[list[tuple], tuple]:
         detector, fired, out = Cusum(**options), False, []
         if known:
             *numbers, fired = known
             detector.resume(*numbers)
         for _, flag in rows:
             if detector.step(float(flag or 0.0)) and not fired:
-                out.append((key[0], detector.steps))
+                out.append((key, detector.steps))
                 fired = True
-        return pd.DataFrame(out, columns=["session_id", "first_alarm"]), (*detector.state(), fired)
+        return out, (*detector.state(), fired)
 
     kept = "mean double, above double, below double, steps long, seen double, last array<double>, fired boolean"
     kind = events.schema["session_id"].dataType.simpleString()
-    return _ordered(events.select("session_id", "at", "flag"), "session_id", delay, [], kept, work, f"session_id {kind}, first_alarm long", 24 * 3600)
+    return _ordered(events.select("session_id", "at", "flag"), "session_id", delay, [], kept, work, f"session_id {kind}, first_alarm long", 24 * 3600, buckets)
 
 
-def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
+def stream_sessionize_by_cwd(events: DataFrame, minutes: int = 30, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """events(cwd, id, at, session_id) -> id, session_id: a directory's session holds for 30 minutes from its first event.
 
     Events count in order of (time, id) across micro-batches, once the watermark has passed them; later ones are dropped. Sets
     the session's state store to RocksDB. A directory's state goes when its session can't hold any more.
     """
 
-    def work(key: tuple, rows: list[tuple], known: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def work(key: object, rows: list[tuple], known: list | None) -> tuple[list[tuple], tuple]:
         directory = Directory(minutes, *(known or ()))
-        found = directory.feed([(round(at.timestamp() * 1_000_000), i, own) for at, i, own in rows])
-        return pd.DataFrame(found, columns=["id", "session_id"]), (directory.now, directory.since)
+        return directory.feed(rows), (directory.now, directory.since)
 
-    return _ordered(events.select("cwd", "at", "id", "session_id"), "cwd", delay, ["id"], "session string, since long", work, "id long, session_id string", 60 * minutes)
+    return _ordered(events.select("cwd", "at", "id", "session_id"), "cwd", delay, ["id"], "session string, since long", work, "id long, session_id string", 60 * minutes, buckets)

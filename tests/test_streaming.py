@@ -66,6 +66,19 @@ def test_alarms_as_in_batch_whatever_the_files(spark, tmp_path):
     assert found == sorted(map(tuple, batch)) and {r[0] for r in found} == {"a", "b", "c"}
 
 
+def test_many_directories_share_the_state_of_a_bucket(spark, tmp_path):
+    draw = random.Random(11)
+    schema = "cwd string, id long, at timestamp, session_id string"
+    rows = [(f"/{draw.randrange(400)}", i, T0 + timedelta(minutes=draw.randrange(300)), draw.choice([None, None, "s1", "s2"])) for i in range(2000)]
+    spark.createDataFrame([*rows, ("/z", 9999, T0 + timedelta(days=3), None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = jobs.stream_sessionize_by_cwd(jobs.read_stream(spark, spark.createDataFrame([], schema).schema, f"{tmp_path}/in"), buckets=3)
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsUpdated for p in query.recentProgress) < 50  # a key of its own for each directory made over 400
+    batch = sequences.sessionize_by_cwd(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_rows_behind_the_watermark_and_old_state_go(spark, tmp_path):
     schema = "cwd string, id long, at timestamp, session_id string"
     minutes = [(1, 0, "s"), (2, 10, None), (3, 100, None), (5, 130, None), (4, 5, "late"), (6, 400, None)]
