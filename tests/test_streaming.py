@@ -79,6 +79,20 @@ def test_many_directories_share_the_state_of_a_bucket(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_many_sessions_share_the_detectors_of_a_bucket(spark, tmp_path):
+    draw = random.Random(12)
+    schema = "session_id string, at timestamp, flag double"
+    rows = [(f"s{i % 400}", T0 + timedelta(seconds=i), draw.choice([0.0, None, 1.0])) for i in range(4000)]
+    options = {"limit": 1.0, "slack": 0.25, "window": 3, "alpha": 0.05}
+    spark.createDataFrame([*rows, ("z", T0 + timedelta(days=3), 0.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = jobs.stream_cusum(jobs.read_stream(spark, spark.createDataFrame([], schema).schema, f"{tmp_path}/in"), buckets=3, **options)
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsUpdated for p in query.recentProgress) < 50
+    batch = sequences.cusum_stuck(spark.createDataFrame(rows, schema), **options).filter("first_alarm is not null").collect()
+    assert batch and sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, batch))
+
+
 def test_rows_behind_the_watermark_and_old_state_go(spark, tmp_path):
     schema = "cwd string, id long, at timestamp, session_id string"
     minutes = [(1, 0, "s"), (2, 10, None), (3, 100, None), (5, 130, None), (4, 5, "late"), (6, 400, None)]
