@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import counters, quality, sequences, structural, versions
+from spanloom.operators import counters, directories, quality, sequences, structural, versions
 from spanloom.plans import derived
 from spanloom.sources import ingest
 
@@ -301,3 +302,22 @@ def test_rpc_pairs(spark):
     spans = ingest.rpc_messages_to_spans(df)
     assert [(r["id"], r["type"], r["status"]) for r in spans.orderBy("id").collect()] == [("1", "tool_list", "success"), ("2", "tool_call", "success"), ("3", "tool_call", "error")]
     assert [(r["id"], r["tool_schema_valid"]) for r in ingest.schema_compliance(spans).orderBy("id").collect()] == [("2", 1), ("3", 0)]
+
+
+def test_permissions_are_not_shuffled_by_pair(spark):
+    draw = random.Random(13)
+    one = lambda kind, n: draw.choice([None, *(f"{kind}{i}" for i in range(n))])
+    users = [(f"u{draw.randrange(40)}", one("e", 4), one("g", 3)) for _ in range(60)]
+    agents = [(f"a{draw.randrange(25)}", one("e", 4), one("g", 4), draw.choice(["public", "private", None])) for _ in range(40)]
+    viewed = [(f"a{draw.randrange(30)}", f"u{draw.randrange(50)}") for _ in range(300)]
+    tables = [spark.createDataFrame(users, "user_id string, email string, team_id string"), spark.createDataFrame(agents, "agent_id string, creator_email string, team_id string, visibility string"), spark.createDataFrame(viewed, "agent_id string, user_id string")]
+    levels = {}
+    for u, email, team in users:
+        for a, creator, agent_team, visibility in agents:
+            level = 3 if email and email == creator else 2 if team and team == agent_team else 1 if visibility == "public" and (a, u) in viewed else 0
+            levels[a, u] = max(level, levels.get((a, u), 0))
+    wanted = sorted((a, u, ("view", "edit", "owner")[n - 1]) for (a, u), n in levels.items() if n)
+    found = directories.effective_permissions(*tables, deals=3)
+    assert rows(found, "agent_id", "user_id") == wanted
+    # the one exchange by agent and user is that of the visits
+    assert len(re.findall(r"Exchange hashpartitioning\(agent_id#\d+, user_id#\d+", found._jdf.queryExecution().executedPlan().toString())) == 1
