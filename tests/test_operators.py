@@ -321,3 +321,12 @@ def test_permissions_are_not_shuffled_by_pair(spark):
     assert rows(found, "agent_id", "user_id") == wanted
     # the one exchange by agent and user is that of the visits
     assert len(re.findall(r"Exchange hashpartitioning\(agent_id#\d+, user_id#\d+", found._jdf.queryExecution().executedPlan().toString())) == 1
+
+
+def test_a_skill_holds_the_first_word_of_a_server(spark):
+    draw = random.Random(14)
+    name = lambda: draw.choice([None, "", " ", *(" ".join("".join(draw.choice("abü") for _ in range(draw.randrange(4))) for _ in range(draw.randrange(1, 4))) for _ in range(8))])
+    skills, servers = ([(f"{kind}{i}", name(), draw.choice(["x", "y", None])) for i in range(60)] for kind in "sm")
+    found = directories.bundled(spark.createDataFrame(skills, "skill_id string, name string, category string"), spark.createDataFrame(servers, "mcp_id string, name string, category string"), deals=3)
+    wanted = sorted((s, m) for s, a, c in skills for m, b, d in servers if c and c == d and a is not None and b is not None and b.split(" ")[0] in a)
+    assert rows(found, "skill_id", "mcp_id") == wanted and wanted
