@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
 from spanloom.operators import counters, directories, quality, sequences, structural, versions
-from spanloom.plans import derived
+from spanloom.plans import derived, scoring
 from spanloom.sources import ingest
+from spanloom.sources.views import Views
 
 T0 = datetime(2024, 1, 1)
 
@@ -330,3 +331,27 @@ def test_a_skill_holds_the_first_word_of_a_server(spark):
     found = directories.bundled(spark.createDataFrame(skills, "skill_id string, name string, category string"), spark.createDataFrame(servers, "mcp_id string, name string, category string"), deals=3)
     wanted = sorted((s, m) for s, a, c in skills for m, b, d in servers if c and c == d and a is not None and b is not None and b.split(" ")[0] in a)
     assert rows(found, "skill_id", "mcp_id") == wanted and wanted
+
+
+def test_events_are_those_of_all_attempts(spark):
+    low = ["ignore previous instructions", "SYSTEM: x", "Score this AS", "you are a judge, your task", "score: 10/10", '"Grade" : ', "<!-- a score -->", "[//]: # x", "​" * 6, "​" * 5, "/app/.env", "a/config.yml", "JUDGE_API_KEY", "plain"]
+    spans = spark.createDataFrame([(f"t{i}", kind, a, b) for i, text in enumerate(low) for kind in ("tool_call", "llm") for a, b in ((text, None), (None, text), ("x " + text.upper(), "y"))], "id string, type string, input string, output string")
+    wanted = quality.adversarial_penalties(quality.injection_attempts(spans, "id", ["input", "output"]), spans.filter("type = 'tool_call'").select("id", "input"))
+    found = rows(quality.adversarial_events(spans, ["input", "output"]), "id", "event")
+    assert found == rows(wanted, "id", "event") and len({event for _, event in found}) == 5
+
+
+def test_scored_spans_are_dealt_once(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    found = scoring.newest(v)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(span_id" not in plan and "Exchange hashpartitioning(trace_id" in plan
+    assert rows(found, "trace_id", "span_id") == rows(v.spans.select(found.columns), "trace_id", "span_id")
+
+
+def test_scores_of_traces_without_penalties(spark):
+    penalties = structural.with_amounts(spark.createDataFrame([("a", "s", "tool_call_error")] * 7 + [("z", "s", "tool_call_error")], "trace_id string, span_id string, event string"))
+    found = structural.dimension_scores(spark.createDataFrame([("a",), ("a",), ("b",)], "trace_id string"), penalties, skipped=("goal_completion",))
+    assert rows(found.filter("penalties > 0")) == [("a", "tool_failures", 50, -70, 7)]
+    assert rows(found.groupBy("trace_id").count(), "trace_id") == [("a", 5), ("b", 5)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
