@@ -355,3 +355,12 @@ def test_scores_of_traces_without_penalties(spark):
     assert rows(found.filter("penalties > 0")) == [("a", "tool_failures", 50, -70, 7)]
     assert rows(found.groupBy("trace_id").count(), "trace_id") == [("a", 5), ("b", 5)]
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closed_ways_are_not_written_again(spark, monkeypatch):
+    written, kept = [], sequences.kept
+    monkeypatch.setattr(sequences, "kept", lambda df: written.append(kept(df)) or written[-1])
+    chain = [("t", f"n{i}", f"n{i - 1}" if i else None) for i in range(9)] + [("t", "x", "y"), ("t", "y", "x")]
+    found = sequences.span_tree(spark.createDataFrame(chain, "trace_id string, span_id string, parent_span_id string"))
+    assert rows(found.select("span_id", "root", "depth"), "depth") == [(f"n{i}", "n0", i) for i in range(9)]
+    assert [df.count() for df in written] == [11, 10, 9, 7, 3, 2]
