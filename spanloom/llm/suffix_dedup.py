@@ -10,8 +10,8 @@ windows need to be compared only within groups of one anchor hash. Consecutive w
 2. The bytes of those stretches are dealt by anchor, and those that share too little around it with any other drop out. A task takes whole groups in blocks, splits a block into shards, sorts each
    shard's suffixes into a Burrows-Wheeler transform, and merges the transforms without sorting all suffixes again: the
    interleave starts as the shards one after the other, and each refinement step orders it stably by the transforms' next
-   symbols, so that after h steps it is right for the first h. Runs of positions that agree in the symbols taken so far are
-   kept along; after LENGTH steps a run of several positions is an interval of equal windows, and all but the first start go.
+   symbols, so that after h steps it is right for the first h. Runs of several positions that agree in the symbols taken so far are
+   carried along; after LENGTH steps such a run is an interval of equal windows, and all but the first start go.
 3. Groups too large for a task give a row for each window instead, counted by digest, exactly as well.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import _BYTE, _INVERSE, _ODD, PIECE_BYTES, _powers, bloom_admits, bloom_filter, checkpointed, mix64, modest_batches, only, pieces, span_hashes, table, utf8
 
 #: Bytes of a repeated string; of an anchor; bytes that are merged at a time and the shards they form; stretches of one anchor
-#: beyond which its windows are counted instead.
-LENGTH, GRAM, BLOCK_BYTES, SHARDS, MOST_STRETCHES = 100, 32, 1 << 16, 4, 4096
+#: beyond which its windows are counted instead; places of a window around its anchor that are compared as one before the merge.
+LENGTH, GRAM, BLOCK_BYTES, SHARDS, MOST_STRETCHES, GRID = 100, 32, 1 << 16, 4, 4096, 4
 _LAST = 2**63 - 1
 
 
@@ -137,30 +137,30 @@ def _transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def equal_windows(shards: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the shards' joined texts (each text with an end mark) and their classes: one class has equal LENGTH bytes.
 
-    Positions nearer than LENGTH to their text's end are in classes of their own.
+    Positions nearer than LENGTH to their text's end are in classes of their own. What is alone in its run stays alone in all
+    further steps, so each step takes only runs of several positions back by a symbol.
     """
     orders, transforms = zip(*(_transform(s) for s in shards))
-    sizes = np.array([len(o) for o in orders])
-    ends = [len(s) for s in shards]
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    ends_first = np.repeat(np.arange(len(shards), dtype=np.uint8), ends)
-    total_ends, run = int(sum(ends)), np.zeros(int(sizes.sum()), np.int32)
-    symbols = np.empty(len(run), np.uint8)
+    starts = np.cumsum([0, *map(len, orders)])
+    symbols, places = np.concatenate(transforms), np.concatenate([o + s for o, s in zip(orders, starts)])
+    back = np.empty(len(symbols), np.int32)  # where the suffix that starts a symbol earlier stands
+    for own, start in zip(transforms, starts):
+        back[start + np.argsort(own, kind="stable")] = np.arange(start, start + len(own))
+    slot, run = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for _ in range(LENGTH):
-        for j, own in enumerate(transforms):
-            symbols[np.flatnonzero(shard == j)] = own  # each shard's symbols in its own order
-        order = np.argsort(symbols, kind="stable")[total_ends:]  # end marks keep the order of the shards
-        inner, of, prior = symbols[order], shard[order], run[order]
-        shard = np.concatenate([ends_first, of])
-        new = np.ones(len(run), np.int32)
-        new[total_ends + 1 :] = (inner[1:] != inner[:-1]) | (prior[1:] != prior[:-1])
-        run = np.cumsum(new, dtype=np.int32)
-        if run[-1] == len(run):
+        before = symbols[slot]
+        order = np.argsort(before, kind="stable")[len(before) - np.count_nonzero(before) :]  # an end mark equals no other
+        before, prior, slot = before[order], run[order], back[slot[order]]
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (before[1:] != before[:-1]) | (prior[1:] != prior[:-1])
+        several = ~(new[:-1] & new[1:])
+        slot, run = slot[several], np.cumsum(new[:-1][several], dtype=np.int32)
+        if not len(slot):
             break
-    position = np.empty(len(run), np.int64)
-    starts = np.cumsum(sizes) - sizes
-    position[np.argsort(shard, kind="stable")] = np.concatenate([o + s for o, s in zip(orders, starts)])
-    return position, run
+    alone = np.ones(len(symbols), bool)
+    alone[slot] = False
+    last = int(run[-1]) if len(run) else 0
+    return np.r_[places[slot], places[alone]], np.r_[run, np.arange(last + 1, last + 1 + np.count_nonzero(alone))]
 
 
 def _repeats(ids: np.ndarray, los: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,23 +190,30 @@ def _spans(ids: np.ndarray, los: np.ndarray, text: np.ndarray, offset: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(ids[text[first]]), pa.array(los[text[first]] + offset[first]), pa.array(los[text[first]] + offset[last] + LENGTH)], ["id", "lo", "hi"])
 
 
-def _comparable(block: list[tuple]) -> np.ndarray:
-    """Which stretches can share a window with another of their anchor.
+def _comparable(block: list[tuple]) -> list[tuple]:
+    """The stretches that can share a window with another of their anchor, each cut to the windows that can be shared.
 
-    A window has LENGTH - GRAM bytes besides its anchor, so half of them or more on one side: two stretches that share one have
-    the same bytes there, or on the other side. Most anchors that recur by chance fail this.
+    A window has LENGTH - GRAM bytes besides its anchor. Two that are equal, with x of these bytes before the anchor, agree in
+    what stands from GRID * (x // GRID) bytes before it up to the end that the next multiple's windows have in common. Most
+    anchors that recur by chance fail this.
     """
-    half = (LENGTH - GRAM) // 2
     sizes = np.array([len(b[4]) for b in block])
     begins = np.cumsum(sizes) - sizes
-    at = begins + np.array([b[3] for b in block])
+    at, ends = begins + np.array([b[3] for b in block]), begins + sizes
     anchor = np.array([b[0] for b in block], np.int64).view(np.uint64)
-    data, near = np.frombuffer(b"".join([b[4] for b in block]), np.uint8), np.zeros(len(block), bool)
-    for first, last in ((at - half, at + GRAM), (at, at + GRAM + half)):
-        own = np.flatnonzero((first >= begins) & (last <= begins + sizes))
-        _, group, n = np.unique(span_hashes(data, first[own], last[own]) ^ anchor[own], return_inverse=True, return_counts=True)
-        near[own[n[group] > 1]] = True
-    return near
+    data = np.frombuffer(b"".join([b[4] for b in block]), np.uint8)
+    before = np.arange(0, LENGTH - GRAM + 1, GRID)
+    first, last = at[:, None] - before, at[:, None] + GRAM + np.maximum(LENGTH - GRAM - before - GRID + 1, 0)
+    text, nth = np.nonzero((first >= begins[:, None]) & (last <= ends[:, None]))
+    hashes = span_hashes(data, first[text, nth], last[text, nth]) ^ mix64(anchor[text] + nth.astype(np.uint64))
+    _, group, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = n[group] > 1
+    text, nth = text[shared], nth[shared]
+    lo, hi = ends.copy(), begins.copy()
+    np.minimum.at(lo, text, at[text] - before[nth] - GRID + 1)
+    np.maximum.at(hi, text, at[text] - before[nth] + LENGTH)
+    lo, hi = np.maximum(lo, begins) - begins, np.minimum(hi, ends) - begins
+    return [(anchor, i, start + a, offset - a, raw[a:b]) for (anchor, i, start, offset, raw), a, b in zip(block, lo.tolist(), hi.tolist()) if b - a >= LENGTH]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +222,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
 
     def solve(block: list[tuple]) -> pa.RecordBatch:
-        block = [b for b, near in zip(block, _comparable(block)) if near]
+        block = _comparable(block)
         ids, los = np.array([b[1] for b in block], np.int64), np.array([b[2] for b in block], np.int64)
         found = _repeats(ids, los, [b[4] for b in block]) if block else (np.zeros(0, np.int64),) * 2
         return _spans(ids, los, *found)

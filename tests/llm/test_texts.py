@@ -131,6 +131,20 @@ def test_merged_transforms_find_equal_windows():
     assert all(len(set(ws)) == 1 for ws in at.values()) and sorted(len(ws) for ws in at.values() if b"\xff" not in ws[0] and len(ws[0]) == 100) == sorted(whole.count(w) for w in set(whole))
 
 
+def test_stretches_are_cut_to_what_can_be_shared():
+    draw = random.Random(8)
+    gram, noise = bytes(draw.choices(b"abcdef", k=32)), lambda k: bytes(draw.choices(b"abcdef", k=k))
+    left, right = noise(40), noise(34)
+    whole = left + gram + right  # 106 bytes: 7 windows in common
+    texts = [noise(20) + whole + noise(30), noise(5) + whole + noise(34), noise(68) + gram + right + noise(34)]  # the third shares one side only
+    block = [(7, i, 1000, t.index(gram), t) for i, t in enumerate(texts)]
+    found = suffix_dedup._comparable(block)
+    assert [r[1] for r in found] == [0, 1]
+    for _, i, start, offset, raw in found:
+        assert whole in raw and len(raw) < len(whole) + 2 * suffix_dedup.GRID
+        assert raw == texts[i][start - 1000 : start - 1000 + len(raw)] and raw[offset : offset + 32] == gram
+
+
 def brute_cuts(data):
     """Chunk bounds byte by byte: the gear hash of the last 16 bytes exceeds those of the 24 before it and none of the 24 after is greater."""
     gear = [int(g) for g in substring_dedup._GEAR]
