@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import modest_batches, pieces, table
+from spanloom.llm.common import give_back, lean, modest_batches, pieces, remembers, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words remembered by a task; beyond that the memory starts anew. Pairs are bounded likewise. Longer words are not remembered.
@@ -69,6 +69,10 @@ class Bpe:
         self.memory: dict[str, tuple[int, ...]] = {}
         self._forget_pairs()
 
+    def forget(self) -> None:
+        self.memory = {}
+        self._forget_pairs()
+
     def _forget_pairs(self) -> None:
         self.pairs, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -233,6 +237,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(_located(path))
+        remembers("bpe", bpe.forget)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in pieces(batches):
             ids = bpe.encode(batch.column("text").fill_null("").to_pylist())
@@ -243,10 +248,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                 "decoded_sha256": pa.array([sha(bpe.decode(x)) for x in ids], pa.string()),
             } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if keep_ids else {})
             yield pa.RecordBatch.from_pydict(columns)
+            del ids, columns
+            give_back()
 
     modest_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(work, "bpe"), schema)
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: How to forget what this worker remembers from task to task, by operator.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """This worker holds something for the operator's next tasks; the first task of another operator calls `forget`."""
+    _REMEMBERED[operator] = forget
+
+
+def forget_others(operator: str) -> None:
+    for name in [n for n in _REMEMBERED if n != operator]:
+        _REMEMBERED.pop(name)()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, of which C libraries else keep much."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow without what other operators remember, and giving freed memory back at its end: Spark keeps idle workers."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(operator)
+        yield from work(batches)
+        give_back()
+
+    return mapped
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches again, in slices with about `most` bytes of the column, at least one row each."""
     for batch in batches:
@@ -183,11 +217,11 @@ def bloom_filter(keys: DataFrame, columns: list[str]) -> np.ndarray:
     """The bits of the keys (long columns), as bytes. Tasks fill the blocks of their own, one task ORs each block."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
         for batch in batches:
             for at in _bloom_places([np.asarray(batch.column(c)) for c in columns]):
-                bits[at] = True
-        blocks = [(i, zlib.compress(np.packbits(b).tobytes(), 1)) for i, b in enumerate(bits.reshape(-1, 1 << BLOOM_BLOCK)) if b.any()]
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        blocks = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(bits.reshape(-1, 1 << (BLOOM_BLOCK - 3))) if b.any()]
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], ["block", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +233,7 @@ def bloom_filter(keys: DataFrame, columns: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks.values()], pa.binary())], ["block", "bits"])
 
     out = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
-    filled = keys.select(*columns).mapInArrow(fill, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary")
+    filled = keys.select(*columns).mapInArrow(lean(fill), "block int, bits binary").repartition("block").mapInArrow(lean(merge), "block int, bits binary")
     for row in filled.collect():  # BLOOM_BITS sets their size
         out.reshape(-1, 1 << (BLOOM_BLOCK - 3))[row["block"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out

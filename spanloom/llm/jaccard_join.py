@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BROADCAST_ROWS, bloom_admits, bloom_filter, checkpointed, mix64, modest_batches, only, pieces, shingles, table, utf8, written
+from spanloom.llm.common import BROADCAST_ROWS, bloom_admits, bloom_filter, checkpointed, lean, mix64, modest_batches, only, pieces, shingles, table, utf8, written
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
@@ -111,7 +111,7 @@ def _describe(docs: DataFrame, n_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*nulls, pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], schema=schema)
 
     bits = "".join(f", {b} long" for b in _BITS) + "".join(f", {name} array<long>" for name, *_ in WIDER)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, f"doc_id long, n long, digest long{bits}, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), f"doc_id long, n long, digest long{bits}, block int, counts binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarra
             ids = np.asarray(batch.column("doc_id").fill_null(2**63 - 1))[row]
             yield pa.RecordBatch.from_arrays([pa.array(value[picked].view(np.int64)), pa.array(digest[row]), pa.array(ids), pa.array(meta)], ["token", "node", "id", "meta"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "token long, node long, id long, meta long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(work), "token long, node long, id long, meta long")
 
 
 def _k(meta: str) -> Column:
@@ -182,7 +182,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(bloom_admits(admitted.value, [np.asarray(batch.column("token"))])))
 
-    rows = checkpointed(prefixes.mapInArrow(work, "token long, node long, id long, meta long").join(lists, "token"))
+    rows = checkpointed(prefixes.mapInArrow(lean(work), "token long, node long, id long, meta long").join(lists, "token"))
     own = F.struct("node", "meta")
     hubs = rows.groupBy("token").agg(F.min_by(own, F.struct("id", "node")).alias("hub_0"), F.min(own).alias("hub_1"))
     return rows.drop("id").join(hubs, "token")
@@ -272,7 +272,7 @@ def _candidates(shared: DataFrame, known: DataFrame, nodes: DataFrame, limit: Th
     rows = rows.join(lists, "token").join(nodes.select("node", *_BITS), "node")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     rows = rows.select("token", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "group", "meta", *_BITS)
-    pairs = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_list_pairs(limit), "a long, b long, k long, matches long")
+    pairs = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_list_pairs(limit)), "a long, b long, k long, matches long")
     return pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k")).filter("matches >= k").select(F.col("a").alias("hub"), F.col("b").alias("node"))
 
 
@@ -310,10 +310,10 @@ def _dealt(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     own, place = docs.select(F.col("doc_id").cast("long"), "text"), ("one", "two", "role")
     wanted = checkpointed(wanted.select("rep", "node", *place))
     lists = wanted.filter("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("node", *place)).alias("wanted"))
-    rows = only(own, checkpointed(lists), "doc_id", "inner").select("text", "wanted").mapInArrow(_emit_sets(n_words), kind)
+    rows = only(own, checkpointed(lists), "doc_id", "inner").select("text", "wanted").mapInArrow(lean(_emit_sets(n_words)), kind)
     nameless = wanted.filter("rep is null").drop("rep")
     if not nameless.isEmpty():  # a set without a doc_id is known by its digest alone
-        sets = own.filter("doc_id is null").mapInArrow(_all_sets(n_words), "node long, shingles binary").dropDuplicates(["node"])
+        sets = own.filter("doc_id is null").mapInArrow(lean(_all_sets(n_words)), "node long, shingles binary").dropDuplicates(["node"])
         rows = rows.unionByName(sets.join(nameless, "node"))
     return rows.repartition("one", "two").sortWithinPartitions("one", "two", "role")
 
@@ -363,7 +363,7 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n_words: int, li
     members = pairs.select("rep", "node", F.col("hub").alias("one"), "two", F.lit(1).alias("role"))
     hubs = pairs.select(F.col("hub_rep").alias("rep"), F.col("hub").alias("node"), F.col("hub").alias("one"), "two", F.lit(0).alias("role")).distinct()
     # a doc_id that repeats with other texts has other digests; equal rows give equal links, made one here
-    return checkpointed(_dealt(docs, members.unionByName(hubs), n_words).mapInArrow(_verify_stars(limit), "a long, b long, apart array<long>").dropDuplicates(["a", "b"]))
+    return checkpointed(_dealt(docs, members.unionByName(hubs), n_words).mapInArrow(lean(_verify_stars(limit)), "a long, b long, apart array<long>").dropDuplicates(["a", "b"]))
 
 
 def _trees(links: DataFrame) -> DataFrame:
@@ -443,7 +443,7 @@ def _links_within(members: DataFrame, limit: Threshold) -> DataFrame:
     rows = members.join(weights.select("group", buckets.alias("buckets")), "group").withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
     rows = rows.select("group", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "n", "apart")
-    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_count_blocks(limit), "node long, n_links long")
+    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lean(_count_blocks(limit)), "node long, n_links long")
 
 
 def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_links: bool = True) -> DataFrame:
@@ -458,7 +458,7 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_lin
     modest_batches(docs.sparkSession)
     limit = Threshold(num, den)
     described = checkpointed(_describe(docs, n_words))
-    blocks = described.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary")
+    blocks = described.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(lean(_summed), "block int, counts binary")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in blocks.collect():  # SKETCH_BITS sets their size
         sketch.reshape(-1, 1 << BLOCK_BITS)[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)

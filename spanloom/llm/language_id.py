@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import modest_batches, pieces, table
+from spanloom.llm.common import lean, modest_batches, pieces, table
 
 #: About so many labelled rows are counted, chosen by a hash of their text; lengths of the character n-grams, in the order they
 #: are tried (0 stands for whole words); scores (words x languages) that a task remembers.
@@ -58,7 +58,7 @@ def train(docs: DataFrame, rows: int | None = TRAINING_ROWS) -> DataFrame:
     if rows is not None:
         share = min(1.0, rows / max(labelled.count(), 1))
         labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    words = labelled.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = labelled.mapInArrow(lean(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
 
     def grams_of(n: int) -> Column:
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *map(batch.column, names)], ["doc_id", "lang_pred", "score", *names])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.select("doc_id", *(F.col(f"`{n}`") for n in names)).mapInArrow(work, schema)
+    return docs.select("doc_id", *(F.col(f"`{n}`") for n in names)).mapInArrow(lean(work), schema)
 
 
 def is_held_out(doc_id: str) -> Column:

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bloom_admits, bloom_filter, checkpointed, fresh, mix64, modest_batches, pieces, table, utf8
+from spanloom.llm.common import bloom_admits, bloom_filter, checkpointed, fresh, lean, mix64, modest_batches, pieces, table, utf8
 
 #: Bytes on either side of a cut that it must outdo (chunks have REACH + 1 bytes at least, and about twice as many on average);
 #: bytes of the longest chunk, bytes that a run of repeated chunks must have to go by default; bytes that the gear hash spans.
@@ -141,10 +141,10 @@ def dedup_substrings(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFra
     modest_batches(docs.sparkSession)
     spark, own = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     kind = "one long, two long, id long, number int"
-    again = own.mapInArrow(_emit(), kind).groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")
+    again = own.mapInArrow(lean(_emit()), kind).groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")
     again = checkpointed(again.select("one", "two", "first"))
     admitted = spark.sparkContext.broadcast(bloom_filter(again, ["one", "two"]))
-    gone = own.mapInArrow(_emit(admitted), kind).join(again, ["one", "two"]).filter(F.struct("id", "number") > F.col("first"))
+    gone = own.mapInArrow(lean(_emit(admitted)), kind).join(again, ["one", "two"]).filter(F.struct("id", "number") > F.col("first"))
     key, listed = fresh("id", docs.columns), fresh("again", docs.columns)
     lists = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("number", "one")).alias(listed))
     names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
@@ -152,7 +152,7 @@ def dedup_substrings(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFra
     joined = keyed.join(lists, key, "left").drop(key)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return joined.mapInArrow(_strip(least_bytes, names, listed), schema)
+    return joined.mapInArrow(lean(_strip(least_bytes, names, listed)), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.llm import common
 from tests.llm.helpers import DOCS, components, sha
 from tests.llm.test_texts import brute_chunks, brute_languages, corpus
 
@@ -64,3 +67,34 @@ def test_stages_keep_the_columns(spark):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == pipeline.COLUMNS
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_tasks_forget_what_other_operators_remember(spark):
+    from spanloom.llm import bpe
+
+    texts = spark.createDataFrame([(i, "alpha beta") for i in range(8)], "doc_id long, text string").coalesce(1)
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.load(bpe._located(None)).memory)] * batch.num_rows, pa.int64())], ["n"])
+
+    assert bpe.encode_documents(texts).count() == 8
+    words = lambda operator: {r["n"] for r in texts.mapInArrow(common.lean(seen, operator), "n long").collect()}
+    assert words("jaccard") == {0}  # a worker may be new to it, but none still has the words
+
+
+def test_lean_tasks_give_memory_back():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    pins = []
+
+    def work(batches):
+        for batch in batches:
+            held = [np.ones(60_000, np.uint8) for _ in range(2_000)]
+            pins.append(np.ones(60_000, np.uint8))  # on top of the heap, which else shrinks by itself
+            del held
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
+    before = resident()
+    assert list(common.lean(work)(iter([batch]))) == [batch]
+    assert resident() - before < 60_000_000
