@@ -364,3 +364,13 @@ def test_closed_ways_are_not_written_again(spark, monkeypatch):
     found = sequences.span_tree(spark.createDataFrame(chain, "trace_id string, span_id string, parent_span_id string"))
     assert rows(found.select("span_id", "root", "depth"), "depth") == [(f"n{i}", "n0", i) for i in range(9)]
     assert [df.count() for df in written] == [11, 10, 9, 7, 3, 2]
+
+
+def test_canaries_read_spans_once(spark):
+    spans = spark.range(0, 777).selectExpr("id div 7 as trace_id", "concat('s', id) as span_id", "id as start_time", "if(id % 7 < 3 and id < 70, 'tool_call', 'llm') as type", "if(id % 2 = 0, 'success', 'error') as status", "concat('out ', id) as output")
+    canaries = spark.createDataFrame([(0, "x"), (0, "y"), (20, "z"), (20, "z"), (20, "w"), (900, "none")], "trace_id long, canary_value string")
+    found = quality.inject_canary(spans, canaries)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 777") == 1
+    placed = sorted((r["span_id"], r["output"]) for r in found.filter("output rlike '[wxyz]$' and trace_id in (0, 20, 900)").collect())
+    assert placed == [("context-20", "w"), ("context-20", "z"), ("s2", "out 2\nx"), ("s2", "out 2\ny")]  # no context of a trace without spans
+    assert found.filter("span_id like 's%'").count() == 777 + 7 + 14
