@@ -58,3 +58,9 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("gf_tool_latency_top", "session_list", "cost_by_agent", "scorecard"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
+
+
+def test_alerts_compute_spans_once(spark):
+    """Three parts of the statement read spans; the tables of line items are joined and dealt for one of them alone."""
+    plan = QUERIES["evaluate_alerts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "LogicalRDD" in plan
