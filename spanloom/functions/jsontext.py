@@ -43,12 +43,14 @@ def normal_path(path: Column) -> Column:
     return F.when(absolute, F.concat(F.lit("/"), joined)).otherwise(F.coalesce(F.nullif(joined, F.lit("")), F.lit(".")))
 
 
-def canonical(text: Column, paths: bool = False) -> Column:
+def canonical(text: Column, paths: bool = False, other: Column | None = None) -> Column:
     """One text for all objects and arrays that are the same: keys sorted, 1 as 1.0, strings and keys without white space at their ends.
 
     With `paths`, strings that start with / or ./ or hold .. are paths and come in their normal form. Other texts, among them
-    objects that name a key twice, only lose the white space at their ends; null is empty. Strings that hold JSON stay strings.
+    objects that name a key twice, only lose the white space at their ends (or are `other`, if given); null is empty. Strings that
+    hold JSON stay strings.
     """
+    other = F.coalesce(F.regexp_replace(text, _SPACE, ""), F.lit("")) if other is None else other
 
     def one(part: Column, at: Column) -> Column:
         string = F.regexp_replace(part, _ENDS, "")
@@ -56,13 +58,13 @@ def canonical(text: Column, paths: bool = False) -> Column:
             string = F.when(string.rlike(r"^\.?/|\.\."), normal_path(string)).otherwise(string)
         return F.when(at % 2 == 1, string).otherwise(F.regexp_replace(part, r"(\d)\.0+(?=[,\]}]|$)", "$1"))
 
-    return F.coalesce(restored(F.array_join(F.transform(parts(structured(text)), one), '"')), F.regexp_replace(text, _SPACE, ""), F.lit(""))
+    return F.coalesce(restored(F.array_join(F.transform(parts(structured(text)), one), '"')), other)
 
 
 def meaning_digest(content: Column) -> Column:
     """SHA-256 of a content's meaning: JSON in canonical form, other text with each run of white space as one space."""
     plain = F.regexp_replace(F.regexp_replace(F.coalesce(content, F.lit("")), _SPACE, ""), r"\s+", " ")
-    return F.sha2(F.coalesce(F.when(structured(content).isNotNull(), canonical(content)), plain), 256)
+    return F.sha2(canonical(content, other=plain), 256)
 
 
 def depth(canonical_text: Column) -> Column:

@@ -28,8 +28,9 @@ def repeated_calls(calls: DataFrame) -> DataFrame:
 
 
 def content_groups(contents: DataFrame) -> DataFrame:
-    """contents(id, content) -> digest, n, first: contents of one meaning; `first` is the least id."""
-    return contents.groupBy(jsontext.meaning_digest(F.col("content")).alias("digest")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    """contents(id, content) -> digest, n, first: contents of one meaning; `first` is the least id. Equal contents are digested once."""
+    equal = contents.groupBy("content").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return equal.groupBy(jsontext.meaning_digest(F.col("content")).alias("digest")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def contents(v: Views) -> DataFrame:
