@@ -128,3 +128,11 @@ def test_the_scan_and_its_sql_end_at_the_same_character(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert found == sorted(con.execute(payloads.ORACLES["adversarial_scan"]).fetchall())
     assert [r[4] for r in found if r[:2] == (46, "html_comment_injection")] == [1] and (23, "html_comment_injection") not in {r[:2] for r in found}
+
+
+def test_contents_are_parsed_once(spark):
+    texts = ['{"b": 1.0, "a": " x "}', ' {"a":"x","b":1}', '{"a":"x","b":1}', "plain  text", " plain text\n", '{"a":1,"a":2}  x', '{"a":1,"a":2} x', None, "", "[1, 2]", "[1,2]"]
+    rows = spark.createDataFrame([(f"i{n:02}", t) for n, t in enumerate(texts)], "id string, content string")
+    found = payloads.content_groups(rows)
+    assert found._jdf.queryExecution().analyzed().toString().count("try_parse_json(") == 2  # as the group and as its column
+    assert sorted((r["first"], r["n"]) for r in found.collect()) == [("i00", 3), ("i03", 2), ("i05", 2), ("i07", 2), ("i09", 2)]
