@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +51,30 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made in this block drop their shuffle files as soon as their result stands; else these wait for the driver's garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, into the shared folder."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with passing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with passing_shuffles(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -98,3 +99,17 @@ def test_lean_tasks_give_memory_back():
     before = resident()
     assert list(common.lean(work)(iter([batch]))) == [batch]
     assert resident() - before < 60_000_000
+
+
+def test_checkpoints_leave_no_shuffle_files(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p for p in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in p}
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dealt = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = [common.checkpointed(dealt), common.written(dealt)]
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert [k.count() for k in kept] == [7, 7] and dealt.count() == 7
+    assert spark.conf.get(key) == "false"  # as it was
