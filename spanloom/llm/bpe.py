@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.common import give_back, lean, modest_batches, pieces, remembers, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words remembered by a task; beyond that the memory starts anew. Pairs are bounded likewise. Longer words are not remembered.
-MOST_WORDS, MOST_PAIRS, LONG_WORD = 800_000, 2_000_000, 64
+#: Words remembered by a worker, about 50 MB; beyond that the memory starts anew. Pairs are bounded likewise. Longer words are not remembered.
+MOST_WORDS, MOST_PAIRS, LONG_WORD = 300_000, 2_000_000, 64
 _NEVER = np.int32(2**31 - 1)
 #: The split of the byte-level format into words (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,11 +66,10 @@ class Bpe:
         self.proposable = {token: self.ids[token] for token, own in zip(self.ids, self.merge_all(list(self.ids))) if own == [self.ids[token]]}
         self.split = regex.compile(PATTERN)
         self.on_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self._forget_pairs()
+        self.forget()
 
     def forget(self) -> None:
-        self.memory = {}
+        self.memory: dict[str, bytes] = {}  # the ids of each word, 32 bits each
         self._forget_pairs()
 
     def _forget_pairs(self) -> None:
@@ -190,18 +189,22 @@ class Bpe:
         failing = np.flatnonzero(bad).tolist()
         for i, exact in zip(failing, self.merge_all([raw[i] for i in failing])):
             proposed[i] = exact
-        self.memory.update(zip(new, map(tuple, proposed)))
+        self.memory.update(zip(new, (np.array(p, np.int32).tobytes() for p in proposed)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text. A special token's string is that token; truncation, padding and added tokens are not used."""
+        return [x.tolist() for x in self.encoded(texts)]
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """The same, packed."""
         split = [self._words(t) for t in texts]
         if len(self.memory) > MOST_WORDS:
             self.memory.clear()
         new = set(chain.from_iterable(split)).difference(self.memory, self.special)
+        self.memory.update((s, np.int32(i).tobytes()) for s, i in self.special.items())  # no other word is such a string
         if new:
             self.learn(list(new))
-        memory = self.memory | {s: (i,) for s, i in self.special.items()} if any(s in t for s in self.special for t in texts) else self.memory
-        out = [list(chain.from_iterable(map(memory.__getitem__, ws))) for ws in split]
+        out = [np.frombuffer(b"".join(map(self.memory.__getitem__, ws)), np.int32) for ws in split]
         for w in new:
             if len(w) > LONG_WORD:
                 del self.memory[w]
@@ -240,15 +243,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
         remembers("bpe", bpe.forget)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in pieces(batches):
-            ids = bpe.encode(batch.column("text").fill_null("").to_pylist())
+            ids = bpe.encoded(batch.column("text").fill_null("").to_pylist())
+            digests = [(sha(",".join(map(bpe.text_of.__getitem__, own := x.tolist()))), sha(bpe.decode(own))) for x in ids]
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": pa.array(map(len, ids), pa.int64()),
-                "ids_sha256": pa.array([sha(",".join(map(bpe.text_of.__getitem__, x))) for x in ids], pa.string()),
-                "decoded_sha256": pa.array([sha(bpe.decode(x)) for x in ids], pa.string()),
+                "ids_sha256": pa.array([d[0] for d in digests], pa.string()),
+                "decoded_sha256": pa.array([d[1] for d in digests], pa.string()),
             } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if keep_ids else {})
             yield pa.RecordBatch.from_pydict(columns)
-            del ids, columns
+            del ids, digests, columns
             give_back()
 
     modest_batches(docs.sparkSession)

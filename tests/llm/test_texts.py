@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -331,3 +332,16 @@ def test_bpe_forgets_and_goes_on(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_PAIRS", 50)
     assert [small.encode([t])[0] for t in texts] == expected
     assert [small.decode(x) for x in expected] == texts
+
+
+def test_bpe_remembers_words_in_little_memory():
+    public = pytest.importorskip("public_tokenizers")
+    encoder, words = bpe.Bpe(public.path(bpe.VOCABULARY)), [f"x{i * 7919:x}q" for i in range(30_000)]
+    encoder.encode(words[:100])
+    tracemalloc.start()
+    encoder.encode([" ".join(words[100:])])
+    held = tracemalloc.get_traced_memory()[0] / len(encoder.memory)
+    tracemalloc.stop()
+    assert held * bpe.MOST_WORDS < 100_000_000
+    before = encoder.memory
+    assert encoder.encode(["a<|endoftext|>"])[0][1] == encoder.special["<|endoftext|>"] and encoder.memory is before
