@@ -374,3 +374,20 @@ def test_canaries_read_spans_once(spark):
     placed = sorted((r["span_id"], r["output"]) for r in found.filter("output rlike '[wxyz]$' and trace_id in (0, 20, 900)").collect())
     assert placed == [("context-20", "w"), ("context-20", "z"), ("s2", "out 2\nx"), ("s2", "out 2\ny")]  # no context of a trace without spans
     assert found.filter("span_id like 's%'").count() == 777 + 7 + 14
+
+
+def test_plain_searches_spare_texts_the_patterns_of_secrets(spark, capsys):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    texts = [
+        None, "", "the key is lost", "Api-KEY = 'abcdefgh12'", "PASSWD:abcdefgh12 and sk-" + "a" * 24, key, "ASIA" + "A" * 16, "xAKIA" + "A" * 16, "ghs_" + "b" * 36, "eyJabcdefgh.abcdefgh.abcdefgh",
+        "BeaRer " + "c" * 16, "ftp://me:pw@host token=abcdefgh12", "secret: sk-" + "d" * 30, "toKen=abcdefgh12", "toKeyK", "token=" + key, "İ SECRET=abcdefghİ",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    chain = F.col("text")
+    for name, pattern in tx.SECRETS.items():
+        chain = F.regexp_replace(chain, pattern, f"[REDACTED:{name}]")
+    both = df.select("id", tx.redact(F.col("text")).alias("found"), chain.alias("wanted"))
+    assert [r["found"] for r in both.orderBy("id").collect()] == [r["wanted"] for r in both.orderBy("id").collect()]
+    assert sum("REDACTED" in (r["found"] or "") for r in both.collect()) >= 9
+    df.select(tx.redact(F.col("text"))).explain(True)
+    assert "Contains" in (plan := capsys.readouterr().out) or "contains(" in plan.lower()  # before a pattern is tried
