@@ -12,7 +12,8 @@ common prefix shingles as the smaller k of the two, and goes on to verification
 * First each set is compared with one hub, in two rounds: of the first sets of its shingles' lists the one that it shares most
   prefix shingles with. This joins most copies, at one candidate for each set and round.
 * Then sets of one list whose groups differ are compared in the list's task, long lists in blocks of two buckets, so that no pair
-  becomes a row unless sizes, prefix places and an exact bound on the difference (parity bitmaps) let it pass.
+  becomes a row unless sizes, prefix places and an exact bound on the difference (parity bitmaps, wider ones for large sets) let it
+  pass. Lists of the same sets, as the shingles of a shared passage have them, are compared once, with their number as weight.
 * Candidates are verified in stars: a task holds one set and compares those sent to it, so a set travels once for each candidate.
 * A verified member keeps its difference from the hub, which is short. Links within a group are counted from these differences, in
   blocks of two buckets of its sets, which return a number for each set, no pairs.
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BROADCAST_ROWS, bloom_admits, bloom_filter, checkpointed, lean, mix64, modest_batches, only, pieces, shingles, table, utf8, written
+from spanloom.llm.common import BROADCAST_ROWS, bloom_admits, bloom_filter, checkpointed, give_back, lean, mix64, modest_batches, only, pieces, shingles, table, utf8, written
 from spanloom.llm.components import connected_components
 
 #: Counters of the sketch (as bits) and of one block of it; largest k; cost of verifying a candidate against that of a match.
@@ -38,7 +40,8 @@ SKETCH_BITS, BLOCK_BITS, MOST_MATCHES, VERIFY_COST = 22, 12, 4, 4.0
 #: of the comparison within a list works on.
 BITMAP_WORDS, STAR_SETS, LIST_SETS, STEP_PAIRS = 4, 1024, 2048, 1 << 19
 #: Bitmaps of larger sets besides: name, 64-bit words, sets that have it (a bitmap says little of sets with more shingles than bits).
-WIDER = (("wide", 32, 384), ("widest", 256, 3072))
+#: Words of such bitmaps that a step of the comparison within a list gathers.
+WIDER, STEP_WORDS = (("wide", 32, 384), ("widest", 256, 3072)), 1 << 18
 #: Sets, and shingles of their differences, that one bucket of a group holds, about; times that a set goes on to its hub's hub.
 BUCKET_SETS, BUCKET_SHINGLES, JUMPS = 2048, 1 << 20, 2
 _BITS = [f"bits{i}" for i in range(BITMAP_WORDS)]
@@ -124,10 +127,20 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], ["block", "counts"])
 
 
-def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sketch: np.ndarray) -> DataFrame:
-    """(token, node, id, meta): the prefix shingles of each set; meta holds the size, the shingle's level and the document's k."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    noise = float(sketch.sum()) / len(sketch)
+def _sketch(blocks: DataFrame) -> np.ndarray:
+    """The counters of all blocks(block, counts), each at most the largest int."""
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    for row in blocks.collect():  # SKETCH_BITS sets their size
+        counts = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+        np.minimum(counts, 2**31 - 1, out=sketch.reshape(-1, 1 << BLOCK_BITS)[row["block"]], casting="unsafe")
+    return sketch
+
+
+def _prefixes(docs: DataFrame, n_words: int, limit: Threshold, sent: Broadcast, noise: float) -> DataFrame:
+    """(token, node, id, meta): the prefix shingles of each set; meta holds the size, the shingle's level and the document's k.
+
+    sent: the sketch; noise: what one of its counters holds on average.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
@@ -184,6 +197,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
     rows = checkpointed(prefixes.mapInArrow(lean(work), "token long, node long, id long, meta long").join(lists, "token"))
     own = F.struct("node", "meta")
+    admitted.destroy()
     hubs = rows.groupBy("token").agg(F.min_by(own, F.struct("id", "node")).alias("hub_0"), F.min(own).alias("hub_1"))
     return rows.drop("id").join(hubs, "token")
 
@@ -206,16 +220,28 @@ def _apart(total: Column, limit: Threshold) -> Column:
     return total - 2 * F.ceil(total * limit.num / (limit.num + limit.den) - 1e-9)
 
 
+def _within(u: np.ndarray, v: np.ndarray, most: np.ndarray, wider: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which pairs (u, v) differ in at most `most` bits of each of the wider bitmaps that both have."""
+    good = np.ones(len(u), bool)
+    for (place, bits), (_, words, _) in zip(wider, WIDER):
+        both = np.flatnonzero(good & (place[u] >= 0) & (place[v] >= 0))
+        for at in np.split(both, range(step := STEP_WORDS // words, len(both), step)):
+            good[at] = np.bitwise_count(bits[place[u[at]]] ^ bits[place[v[at]]]).sum(axis=1, dtype=np.int64) <= most[at]
+    return good
+
+
 def _list_pairs(limit: Threshold):
     """Rows sorted by block (token, i, j) -> a, b, k, matches: the pairs of a block that can reach the threshold, in steps."""
+    order_by = ("token", "i", "j", "bucket", "node", "group", "meta", "weight", *_BITS)
 
-    def pairs(block: np.ndarray, across: np.ndarray, bucket: np.ndarray, node: np.ndarray, group: np.ndarray, meta: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(block: np.ndarray, across: np.ndarray, bucket: np.ndarray, node: np.ndarray, group: np.ndarray, meta: np.ndarray, weight: np.ndarray, bits: np.ndarray, wider: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         size, level, k = meta >> 8, meta >> 4 & 15, meta & 15
         order = np.lexsort((node, size, block))
         twin = np.zeros(len(order), bool)
         twin[1:] = (node[order][1:] == node[order][:-1]) & (block[order][1:] == block[order][:-1])
         order = order[~twin]
-        block, across, bucket, node, group, size, level, k, bits = (x[order] for x in (block, across, bucket, node, group, size, level, k, bits))
+        block, across, bucket, node, group, size, level, k, weight, bits = (x[order] for x in (block, across, bucket, node, group, size, level, k, weight, bits))
+        wider = [(place[order], words) for place, words in wider]
         span = int(size.max(initial=0)) * limit.den // limit.num + 2
         ends = np.searchsorted(block * span + size, block * span + size * limit.den // limit.num, side="right")
         partners = ends - np.arange(len(node)) - 1
@@ -227,7 +253,10 @@ def _list_pairs(limit: Threshold):
             least = np.minimum(k[u], k[v])
             good = (group[u] != group[v]) & (np.maximum(level[u], level[v]) <= least) & ~(across[u] & (bucket[u] == bucket[v]))
             u, v, least = u[good], v[good], least[good]
-            good = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64) <= _most_apart(size[u] + size[v], limit)
+            most = _most_apart(size[u] + size[v], limit)
+            good = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64) <= most
+            u, v, least, most = u[good], v[good], least[good], most[good]
+            good = _within(u, v, most, wider)
             u, v, least = u[good], v[good], least[good]
             if not len(u):
                 continue
@@ -235,26 +264,39 @@ def _list_pairs(limit: Threshold):
             order = np.lexsort((b, a))
             a, b, least = a[order], b[order], least[order]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            matches = np.diff(np.r_[first, len(a)])
+            matches = np.add.reduceat(weight[u][order], first)
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(matches)], ["a", "b", "k", "matches"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # columns of the rows of the last block, and of those before it in the batch
+        held: list[pa.RecordBatch] = []  # the rows of the last block so far
         for batch in batches:
-            now = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "i", "j", "bucket", "node", "group", "meta", *_BITS)])
-            now = np.concatenate([*held, now], axis=1)
-            last = np.flatnonzero((now[:3, 1:] != now[:3, :-1]).any(axis=0))
-            if not len(last):
-                held = [now]
+            if not batch.num_rows:
                 continue
-            yield from solved(now[:, : last[-1] + 1])
-            held = [now[:, last[-1] + 1 :]]
+            key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in order_by[:3]])
+            last = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+            start = int(last[-1]) + 1 if len(last) else 0
+            same = held and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in order_by[:3])
+            if held and (start or not same):
+                # what is held ends in this batch or before it
+                yield from solved([*held, batch.slice(0, start)])
+                held = []
+            elif start:
+                yield from solved([batch.slice(0, start)])
+            held.append(batch.slice(start))
         if held:
-            yield from solved(held[0])
-
-    def solved(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from solved(held)
+
+    def solved(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        rows = np.stack([table.column(c).to_numpy().astype(np.int64) for c in order_by])
+        wider = []
+        for name, words, _ in WIDER:
+            column = table.column(name).combine_chunks()
+            has = ~np.asarray(column.is_null())
+            bits = column.flatten().to_numpy().view(np.uint64)
+            wider.append((np.where(has, np.cumsum(has) - 1, -1), bits.reshape(-1, words)))
         block = np.cumsum(np.r_[0, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)])
-        yield from pairs(block, rows[1] != rows[2], rows[3], rows[4], rows[5], rows[6], rows[7:].T.copy().view(np.uint64))
+        yield from pairs(block, rows[1] != rows[2], *rows[3:8], rows[8:].T.copy().view(np.uint64), wider)
 
     return work
 
@@ -262,16 +304,21 @@ def _list_pairs(limit: Threshold):
 def _candidates(shared: DataFrame, known: DataFrame, nodes: DataFrame, limit: Threshold) -> DataFrame:
     """(hub, node): pairs of sets of different known groups with enough common prefix shingles and near enough bitmaps.
 
-    known(node, group): sets already found connected. A shingle all of whose sets are in one group brings no pair.
+    known(node, group): sets already found connected. A shingle all of whose sets are in one group brings no pair. Of the shingles
+    with the same rows (count and 64-bit sums of row hashes) the least stands for all.
     """
     few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = shared.select("token", "node", "meta").join(F.broadcast(known) if few else known, "node", "left").select("token", "node", "meta", F.coalesce("group", "node").alias("group"))
     rows = checkpointed(rows)
-    lists = rows.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("sets")).filter("least <> most")
-    lists = lists.select("token", F.ceil(F.col("sets") / LIST_SETS).cast("int").alias("buckets"))
-    rows = rows.join(lists, "token").join(nodes.select("node", *_BITS), "node")
+    row = F.xxhash64("node", "meta")
+    members = [F.sum(row.bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftright(row, 32)).alias("high")]
+    lists = rows.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("sets"), *members).filter("least <> most")
+    lists = lists.groupBy("sets", "low", "high").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    lists = lists.select("token", "weight", F.ceil(F.col("sets") / LIST_SETS).cast("int").alias("buckets"))
+    wider = [name for name, *_ in WIDER]
+    rows = rows.join(lists, "token").join(nodes.select("node", *_BITS, *wider), "node")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets").cast("long")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
-    rows = rows.select("token", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "group", "meta", *_BITS)
+    rows = rows.select("token", F.least("bucket", "x").alias("i"), F.greatest("bucket", "x").alias("j"), "bucket", "node", "group", "meta", "weight", *_BITS, *wider)
     pairs = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lean(_list_pairs(limit)), "a long, b long, k long, matches long")
     return pairs.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.min("k").alias("k")).filter("matches >= k").select(F.col("a").alias("hub"), F.col("b").alias("node"))
 
@@ -459,13 +506,18 @@ def jaccard_classes(docs: DataFrame, n_words: int, num: int, den: int, count_lin
     limit = Threshold(num, den)
     described = checkpointed(_describe(docs, n_words))
     blocks = described.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(lean(_summed), "block int, counts binary")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in blocks.collect():  # SKETCH_BITS sets their size
-        sketch.reshape(-1, 1 << BLOCK_BITS)[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    sketch = _sketch(blocks)
+    noise = float(sketch.sum(dtype=np.int64)) / len(sketch)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    del sketch
     own = described.filter("block is null").drop("block", "counts")
     nodes = checkpointed(own.filter("n > 0").groupBy(F.col("digest").alias("node"), "n").agg(F.min("doc_id").alias("rep"), *[F.first(b).alias(b) for b in (*_BITS, *(name for name, *_ in WIDER))]))
 
-    shared = checkpointed(_shared(written(_prefixes(docs, n_words, limit, sketch))))
+    prefixes = written(_prefixes(docs, n_words, limit, sent, noise))
+    sent.destroy()
+    give_back()
+    shared = checkpointed(_shared(prefixes))
+    give_back()
     links = _links(docs, _hub_candidates(shared, "hub_0", limit), nodes, n_words, limit)
     linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = links.unionByName(_links(docs, _hub_candidates(shared.join(linked, "node", "left_anti"), "hub_1", limit), nodes, n_words, limit))

@@ -73,8 +73,9 @@ def schedule(targets: DataFrame, total: float, bits: int) -> DataFrame:
     chunks = slots.groupBy("idx", "chunk").count()
     chunks = chunks.select("idx", "chunk", (F.sum("count").over(Window.partitionBy("idx").orderBy("chunk")) - F.col("count")).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("idx", "chunk").orderBy("slot")) - 1
+    # Spark takes the slots, exploded from a row a source, for few, and would send all of them through the driver
     return (
-        slots.join(chunks, ["idx", "chunk"])
+        slots.hint("merge").join(chunks, ["idx", "chunk"])
         .withColumn("rank", rank)
         .select("slot", "idx", "rank", F.least(F.floor(F.col("rank") * width), "goal").alias("start"), F.when(F.col("rank") + 1 == F.col("n"), F.col("goal")).otherwise(F.least(F.floor((F.col("rank") + 1) * width), "goal")).alias("stop"))
     )
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, share: float = 1.5) -> DataFrame:
     spans = spans.select("idx", "bucket", "row", "reading", "lo", "hi", F.explode(rank).alias("rank"))
     overlap = F.greatest(F.least("hi", "stop") - F.greatest("lo", "start"), F.lit(0))
     of = lambda reading: F.min(F.when((overlap > 0) & (F.col("reading") == reading), F.col("slot")))
-    taken = spans.join(slots, ["idx", "rank"]).groupBy("idx", "bucket", "row").agg(F.sum(overlap).cast("long").alias("taken"), of(0).alias("slot"), of(1).alias("slot_again"))
+    taken = spans.join(slots.hint("merge"), ["idx", "rank"]).groupBy("idx", "bucket", "row").agg(F.sum(overlap).cast("long").alias("taken"), of(0).alias("slot"), of(1).alias("slot_again"))
     return placed.join(taken, ["idx", "bucket", "row"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot", "slot_again")
 
 

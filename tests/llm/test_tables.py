@@ -233,3 +233,22 @@ def test_nearest_recall_of_the_query(spark):
     wanted = {r[:3:2] for r in brute_nearest(rows, 20, 20)}
     assert len(found & wanted) >= 0.9 * len(wanted)
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_slots_of_a_mix_are_not_broadcast(spark):
+    rows = [(i, f"s{i % 3}", "w " * 300) for i in range(60)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert mixed.count() == 60 and mixed.agg(F.max("slot")).first()[0] > 10_000
+    mixed.collect()
+    sent = []
+
+    def walk(plan):
+        if plan.nodeName() == "BroadcastExchange":
+            sent.append(plan.metrics().get("numOutputRows").get().value())
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        below += [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else []
+        for p in below:
+            walk(p)
+
+    walk(mixed._jdf.queryExecution().executedPlan())
+    assert max(sent, default=0) < 1_000

@@ -6,6 +6,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -73,6 +74,44 @@ def test_jaccard_links_through_sets_without_ids(spark):
     assert sorted(map(tuple, found), key=str) == sorted([(4, 40, 2, 1), (None, 40, 2, 2), (None, 40, 2, 2), (2, 40, 2, 1), (2, 5, 2, 0), (7, 5, 2, 0)], key=str)
 
 
+def test_jaccard_lists_leave_out_large_sets_that_differ():
+    draw, limit, base = np.random.default_rng(5), jaccard_join.Threshold(80, 100), 800
+    passage = draw.integers(0, 2**63, 46, np.uint64)
+    sets = [np.r_[passage, draw.integers(0, 2**63, base, np.uint64)] for _ in range(40)]
+    sets += [np.r_[draw.integers(0, 2**63, 40, np.uint64), sets[3][40:]], draw.integers(0, 2**63, 20, np.uint64)]
+    sets += [np.r_[passage, draw.integers(0, 2**63, 4000, np.uint64)] for _ in range(4)]
+    value, row, size = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([len(x) for x in sets])
+    n = len(sets)
+    bits = jaccard_join._bitmaps(value, row, n).T.copy()
+    columns = {"token": np.repeat([1, 2], n), "i": np.zeros(2 * n, int), "j": np.zeros(2 * n, int), "bucket": np.zeros(2 * n, int), "node": np.tile(np.arange(n), 2), "group": np.tile(np.arange(n), 2)}
+    columns |= {"meta": np.tile((size << 8) | (1 << 4) | 1, 2), "weight": np.repeat([3, 1], n)} | {name: np.tile(b, 2) for name, b in zip(jaccard_join._BITS, bits)}
+    arrays = {k: pa.array(v) for k, v in columns.items()} | {name: pa.concat_arrays([w, w]) for (name, *_), w in zip(jaccard_join.WIDER, jaccard_join._wider(value, row, size))}
+    batch = pa.RecordBatch.from_pydict(arrays)
+    for step in (1, 7, n, 2 * n):
+        found = [tuple(r.values()) for b in jaccard_join._list_pairs(limit)(iter([batch.slice(at, step) for at in range(0, 2 * n, step)])) for r in b.to_pylist()]
+        assert {r[:2] for r in found} == {(3, 40)} and sum(r[3] for r in found) == 4
+
+
+def test_jaccard_compares_lists_of_the_same_sets_once(spark, monkeypatch):
+    kind = "token long, node long, meta long"
+    one = (20 << 8) | (1 << 4) | 1
+    shared = spark.createDataFrame([(t, n, one) for t in (1, 2, 3) for n in (10, 11, 11, 12)] + [(4, n, one) for n in (10, 10, 11, 12)] + [(5, n, one) for n in (10, 11)], kind)
+    nodes = spark.createDataFrame([(n, *[0] * len(jaccard_join._BITS), None, None) for n in (10, 11, 12)], "node long, " + ", ".join(f"{b} long" for b in jaccard_join._BITS) + ", wide array<long>, widest array<long>")
+    known = spark.createDataFrame([], "node long, group long")
+
+    def listed(limit):
+        def work(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("weight"), pa.array([0] * n), pa.array([1] * n)], ["a", "b", "k", "matches"])
+
+        return work
+
+    monkeypatch.setattr(jaccard_join, "_list_pairs", listed)
+    found = jaccard_join._candidates(shared, known, nodes, jaccard_join.Threshold(80, 100)).collect()
+    assert {tuple(r) for r in found} == {(1, 3), (4, 1), (5, 1)}
+
+
 def test_near_copies_leave_one_of_each_group(docs):
     kept = {r["doc_id"] for r in jaccard_join.without_near_copies(docs).collect()}
     assert kept == {i for i, (_, least) in brute_components([r[:2] for r in corpus()], 5, 80, 100).items() if i == least}
