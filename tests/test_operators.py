@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as tx
 from spanloom.operators import counters, directories, quality, sequences, structural, versions
 from spanloom.plans import derived, scoring
-from spanloom.sources import ingest
+from spanloom.sources import ingest, shared
 from spanloom.sources.views import Views
 
 T0 = datetime(2024, 1, 1)
@@ -391,3 +391,19 @@ def test_plain_searches_spare_texts_the_patterns_of_secrets(spark, capsys):
     assert sum("REDACTED" in (r["found"] or "") for r in both.collect()) >= 9
     df.select(tx.redact(F.col("text"))).explain(True)
     assert "Contains" in (plan := capsys.readouterr().out) or "contains(" in plan.lower()  # before a pattern is tried
+
+
+def test_scores_move_spans_once_and_in_slices(spark, monkeypatch):
+    queries = {"recommendations": scoring.recommendations}
+    whole = {name: sorted(rows(query(Views(spark, "/root/testdata/sf0.001")))) for name, query in queries.items()}
+    moved, kept = [], shared.kept
+    monkeypatch.setattr(shared, "kept", lambda df, **how: moved.append(kept(df, **how)) or moved[-1])
+    monkeypatch.setattr(scoring, "ROWS_A_SLICE", 2500)
+    v = Views(spark, "/root/testdata/sf0.001")
+    for name, query in queries.items():
+        found = query(v)
+        assert sorted(rows(found)) == whole[name] and whole[name]
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    slices = [df.select("trace_id").distinct().count() for df in moved[:3]]
+    assert len(moved) == 4 and min(slices) > 0 and sum(slices) == v.spans.select("trace_id").distinct().count()
+    assert "text" not in moved[0].columns
