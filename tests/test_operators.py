@@ -394,7 +394,7 @@ def test_plain_searches_spare_texts_the_patterns_of_secrets(spark, capsys):
 
 
 def test_scores_move_spans_once_and_in_slices(spark, monkeypatch):
-    queries = {"recommendations": scoring.recommendations}
+    queries = {"recommendations": scoring.recommendations, "watchdog": scoring.watchdog}
     whole = {name: sorted(rows(query(Views(spark, "/root/testdata/sf0.001")))) for name, query in queries.items()}
     moved, kept = [], shared.kept
     monkeypatch.setattr(shared, "kept", lambda df, **how: moved.append(kept(df, **how)) or moved[-1])
