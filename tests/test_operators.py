@@ -407,3 +407,24 @@ def test_scores_move_spans_once_and_in_slices(spark, monkeypatch):
     slices = [df.select("trace_id").distinct().count() for df in moved[:3]]
     assert len(moved) == 4 and min(slices) > 0 and sum(slices) == v.spans.select("trace_id").distinct().count()
     assert "text" not in moved[0].columns
+
+
+def test_small_traces_make_their_trees_without_a_join(spark, monkeypatch):
+    draw = random.Random(15)
+    spans = [(f"t{t}", f"s{i}", draw.choice([None, "gone", *(f"s{j}" for j in range(n))])) for t in range(30) for n in [draw.randrange(1, 9)] for i in range(n)]
+    spans += [(None, "s0", "s1"), (None, "s1", None), ("t0", None, "s0"), *(("long", f"s{i}", f"s{i - 1}" if i else None) for i in range(12)), ("t1", "s0", "s0"), *spans[:20]]
+    df = spark.createDataFrame(spans, "trace_id string, span_id string, parent_span_id string").groupBy("trace_id", "span_id").agg(F.max("parent_span_id").alias("parent_span_id"))
+    wanted = sorted(map(repr, rows(sequences.span_tree(df))))
+    doubled, tree = [], sequences.span_tree
+    monkeypatch.setattr(sequences, "span_tree", lambda large: doubled.extend(rows(large.select("trace_id").distinct())) or tree(large))
+    slices = [df.filter(f"crc32(coalesce(trace_id, '')) % 2 = {i}").repartition(4, "trace_id") for i in (0, 1)]
+    for most, large in ((9, {None, "long"}), (12, {None})):
+        doubled.clear()
+        found = sequences.span_trees(slices, most)
+        assert sorted(map(repr, rows(found))) == wanted and {r[0] for r in doubled} == large
+    doubled.clear()
+    found = sequences.span_trees([s.filter("trace_id is not null") for s in slices])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not doubled and "Exchange" not in plan and "Join" not in plan
+    for name in ("span_tree",):
+        assert "Join" not in derived.QUERIES[name](Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
