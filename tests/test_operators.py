@@ -428,3 +428,12 @@ def test_small_traces_make_their_trees_without_a_join(spark, monkeypatch):
     assert not doubled and "Exchange" not in plan and "Join" not in plan
     for name in ("span_tree", "span_tree_filter"):
         assert "Join" not in derived.QUERIES[name](Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_come_in_long_runs(spark):
+    users = spark.range(60).selectExpr("id % 2 as k", "concat('u', id) as user_id")
+    agents = spark.range(40).selectExpr("id % 2 as k", "concat('a', id) as agent_id")
+    found = rows(directories.spread_join(users, agents, ["k"], "user_id", 2).select("user_id", "agent_id"))
+    assert sorted(found) == sorted((f"u{u}", f"a{a}") for u in range(60) for a in range(40) if u % 2 == a % 2)
+    # each agent stands with all users of a deal, twice for two deals
+    assert sum(one[1] != other[1] for one, other in zip(found, found[1:])) < 80
